@@ -14,8 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlight.functions.calls import CORE_BINS, zf_bin
-from strandlight.util import bit, ratio
+from strandlight.functions.calls import BIN_WIDTH, CENTER_BIN, CORE_BINS, zf_bin
 
 PAIR = ["motif_id", "read_id"]
 
@@ -222,6 +221,41 @@ def pair_filter(b: DataFrame, mode: str, k: int = 0, exact: bool = False) -> Dat
 
 
 # ---------------------------------------------------------------- mask form
+# Expressions are SQL text: one parser call instead of a column tree per bin.
+
+
+def _bit(mask: str, pos: int) -> str:
+    return f"(shiftrightunsigned({mask}, {pos}) & 1L)"
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
+
+
+def _exprs(items: list[str]) -> list[Column]:
+    return [F.expr(e) for e in items]
+
+
+def _unpivot(one: DataFrame, keys: list[str], fields: list[str], rows: list[list[str]]) -> DataFrame:
+    """One output row per entry of ``rows``, each a list of expressions for ``fields``."""
+    structs = [f"named_struct({', '.join(f'{repr(f)}, {e}' for f, e in zip(fields, r))})" for r in rows]
+    return one.selectExpr(*keys, f"inline(array({', '.join(structs)}))")
+
+
+def offset_bits(windows: Windows, rel: str = "rel_pos") -> str:
+    """Mask of every bin that holds an offset: one lookup in a table over the widest window."""
+    spec = [(1 << k, BIN_WIDTH * (k - CENTER_BIN), BIN_WIDTH * (k - CENTER_BIN) + BIN_WIDTH - 1) for k in CORE_BINS]
+    spec += [(1 << bit_of(c), lo, hi) for c, lo, hi in windows.spec()]
+    if windows.nuc:
+        lo, hi = sorted(windows.nuc)
+        spec += [(1 << NUC_UP_BIT, -hi, -lo), (1 << NUC_DOWN_BIT, lo, hi)]
+    w = max(max(abs(lo), abs(hi)) for _, lo, hi in spec)
+    table = [0] * (2 * w + 1)
+    for mask, lo, hi in spec:
+        for x in range(lo, hi + 1):
+            table[x + w] |= mask
+    lookup = "array(" + ", ".join(f"{v}L" for v in table) + ")"
+    return f"coalesce(get({lookup}, CASE WHEN {rel} BETWEEN {-w} AND {w} THEN CAST({rel} + {w} AS INT) END), 0L)"
 
 
 def pair_masks(cm: DataFrame, windows: Windows = Windows(), min_calls: int = 0) -> DataFrame:
@@ -230,44 +264,27 @@ def pair_masks(cm: DataFrame, windows: Windows = Windows(), min_calls: int = 0)
     ``min_calls`` > 1 needs counts per bin, so it first groups by (pair, bin); the nucleosome
     windows (bits 60/61) always count from one call.
     """
-    rel = F.col("rel_pos")
-    mu = cm.filter(F.col("status").isin("M", "U"))
-    z = zf_bin(rel)
-    one = F.lit(1).cast("long")
-    bits = F.when(z.between(1, 11), F.call_function("shiftleft", one, z)).otherwise(F.lit(0).cast("long"))
-    for c, lo, hi in windows.spec():
-        bits = bits.bitwiseOR(F.when(rel.between(lo, hi), F.lit(1 << bit_of(c))).otherwise(F.lit(0)).cast("long"))
-    nuc = F.lit(0).cast("long")
-    if windows.nuc:
-        lo, hi = sorted(windows.nuc)
-        for pos, a, b in ((NUC_UP_BIT, -hi, -lo), (NUC_DOWN_BIT, lo, hi)):
-            nuc = nuc.bitwiseOR(F.when(rel.between(a, b), F.lit(1 << pos)).otherwise(F.lit(0)).cast("long"))
-    is_u = F.col("status") == "U"
-    zero = F.lit(0).cast("long")
+    rows = (
+        cm.filter("status IN ('M', 'U')")
+        .selectExpr(*PAIR, "status = 'U' AS is_u", f"{offset_bits(windows)} AS bits")
+        .filter("bits <> 0")
+    )
     if min_calls <= 1:
-        rows = mu.select(*PAIR, is_u.alias("is_u"), bits.bitwiseOR(nuc).alias("bits")).filter("bits != 0")
         return rows.groupBy(*PAIR).agg(
-            F.bit_or(F.when(F.col("is_u"), F.col("bits")).otherwise(zero)).alias("u"),
-            F.bit_or(F.when(F.col("is_u"), zero).otherwise(F.col("bits"))).alias("m"),
+            F.expr("bit_or(CASE WHEN is_u THEN bits ELSE 0L END) AS u"),
+            F.expr("bit_or(CASE WHEN is_u THEN 0L ELSE bits END) AS m"),
         )
     codes = [bit_of(c) for c in CORE_BINS + windows.codes()] + [NUC_UP_BIT, NUC_DOWN_BIT]
-    each = F.array_compact(F.array(*[F.when(bit("bits", c) == 1, F.lit(c)) for c in codes]))
+    each = f"explode(filter(array({', '.join(map(str, codes))}), c -> {_bit('bits', 'c')} = 1)) AS pos"
     per_bin = (
-        mu.select(*PAIR, is_u.alias("is_u"), bits.bitwiseOR(nuc).alias("bits"))
-        .filter("bits != 0")
-        .select(*PAIR, "is_u", F.explode(each).alias("pos"))
+        rows.selectExpr(*PAIR, "is_u", "bits", each)
         .groupBy(*PAIR, "pos")
-        .agg(
-            F.count("*").alias("n"),
-            F.bool_or("is_u").alias("any_u"),
-            F.bool_or(~F.col("is_u")).alias("any_m"),
-        )
-        .filter((F.col("n") >= min_calls) | (F.col("pos") >= NUC_UP_BIT))
+        .agg(F.expr("count(*) AS n"), F.expr("bool_or(is_u) AS any_u"), F.expr("bool_or(NOT is_u) AS any_m"))
+        .filter(f"n >= {min_calls} OR pos >= {NUC_UP_BIT}")
     )
-    b = F.call_function("shiftleft", one, F.col("pos"))
     return per_bin.groupBy(*PAIR).agg(
-        F.bit_or(F.when(F.col("any_u"), b).otherwise(zero)).alias("u"),
-        F.bit_or(F.when(F.col("any_m"), b).otherwise(zero)).alias("m"),
+        F.expr("bit_or(CASE WHEN any_u THEN shiftleft(1L, pos) ELSE 0L END) AS u"),
+        F.expr("bit_or(CASE WHEN any_m THEN shiftleft(1L, pos) ELSE 0L END) AS m"),
     )
 
 
@@ -287,8 +304,11 @@ class Filters:
     pair_exact: bool = False
 
 
-def _core(mask: Column) -> Column:
-    return mask.bitwiseAND(F.lit(CORE_MASK))
+_CLASS_SQL = (
+    "CASE WHEN n_measured = 0 THEN 'missing' WHEN n_bound = 0 THEN 'naked' "
+    "WHEN n_bound = n_measured THEN 'static' ELSE 'dynamic' END"
+)
+_DYNAMIC = "(n_bound > 0 AND n_bound < n_measured)"
 
 
 def pair_states(masks: DataFrame, f: Filters) -> DataFrame:
@@ -298,31 +318,33 @@ def pair_states(masks: DataFrame, f: Filters) -> DataFrame:
     kept core = in_kept core bins, final = kept core plus the extra bins of every pair that
     is not excluded.
     """
-    u, m = F.col("u"), F.col("m")
-    s = (
-        masks.withColumn("meas", u.bitwiseOR(m))
-        .withColumn("n_measured", F.bit_count(_core(u.bitwiseOR(m))))
-        .withColumn("n_bound", F.bit_count(_core(u)))
-    )
-    n, k = F.col("n_bound"), F.col("n_measured")
-    ok = k > 0
+    ok = ["n_measured > 0"]
     if f.mol_threshold > 0:
-        ok = ok & ((n == f.mol_threshold) if f.exact else (n >= f.mol_threshold))
+        ok.append(f"n_bound {'=' if f.exact else '>='} {f.mol_threshold}")
     if f.focus:
-        fm = sum(1 << c for c in f.focus)
-        ok = ok & (F.bit_count(u.bitwiseAND(F.lit(fm))) >= f.focus_min)
+        ok.append(f"bit_count(u & {sum(1 << c for c in f.focus)}L) >= {f.focus_min}")
     if f.drop_all_bound:
-        ok = ok & (n < k)
-    up = ((bit(u, NUC_UP_BIT) == 1) & (bit(m, NUC_UP_BIT) == 0)) if f.exclude_up else F.lit(False)
-    down = ((bit(u, NUC_DOWN_BIT) == 1) & (bit(m, NUC_DOWN_BIT) == 0)) if f.exclude_down else F.lit(False)
-    s = s.withColumn("in_total", ok).withColumn("nuc_up", up).withColumn("nuc_down", down)
-    s = s.withColumn("nuc", F.col("nuc_up") | F.col("nuc_down"))
-    sel = F.lit(True)
+        ok.append("n_bound < n_measured")
+    cls = ["true"]
     if f.pair_mode != "all":
-        sel = _class(n, k) == f.pair_mode
+        cls.append(f"{_CLASS_SQL} = '{f.pair_mode}'")
         if f.pair_k > 0:
-            sel = sel & ((k == f.pair_k) if f.pair_exact else (k >= f.pair_k))
-    return s.withColumn("class_ok", sel).withColumn("in_kept", F.col("in_total") & ~F.col("nuc") & sel)
+            cls.append(f"n_measured {'=' if f.pair_exact else '>='} {f.pair_k}")
+
+    def nuc(on: bool, pos: int) -> str:
+        return f"({_bit('u', pos)} = 1 AND {_bit('m', pos)} = 0)" if on else "false"
+
+    s = masks.selectExpr(
+        *PAIR, "u", "m", "u | m AS meas", f"bit_count((u | m) & {CORE_MASK}L) AS n_measured",
+        f"bit_count(u & {CORE_MASK}L) AS n_bound",
+    )
+    s = s.selectExpr(
+        "*", f"{' AND '.join(ok)} AS in_total", f"{nuc(f.exclude_up, NUC_UP_BIT)} AS nuc_up",
+        f"{nuc(f.exclude_down, NUC_DOWN_BIT)} AS nuc_down", f"({' AND '.join(cls)}) AS class_ok",
+    )
+    return s.selectExpr(
+        "*", "nuc_up OR nuc_down AS nuc", "in_total AND NOT (nuc_up OR nuc_down) AND class_ok AS in_kept"
+    )
 
 
 def _cluster_masks(df: DataFrame, scheme: str | None) -> tuple[DataFrame, list[int]]:
@@ -331,33 +353,27 @@ def _cluster_masks(df: DataFrame, scheme: str | None) -> tuple[DataFrame, list[i
         return df, list(CORE_BINS)
     groups = SCHEMES[scheme]
 
-    def recode(c: Column) -> Column:
-        out = c.bitwiseAND(F.lit(~CORE_MASK))
-        for t, members in groups.items():
-            gm = sum(1 << k for k in members)
-            out = out.bitwiseOR(
-                F.when(c.bitwiseAND(F.lit(gm)) != 0, F.lit(1 << t)).otherwise(F.lit(0)).cast("long")
-            )
-        return out
+    def recode(c: str) -> str:
+        parts = [f"({c} & {~CORE_MASK}L)"]
+        parts += [
+            f"(CASE WHEN {c} & {sum(1 << k for k in members)}L <> 0 THEN {1 << t}L ELSE 0L END)"
+            for t, members in groups.items()
+        ]
+        return " | ".join(parts)
 
-    return df.withColumn("u", recode(F.col("u"))).withColumn("m", recode(F.col("m"))).withColumn(
-        "meas", F.col("u").bitwiseOR(F.col("m"))
+    rest = [c for c in df.columns if c not in ("u", "m", "meas")]
+    return df.selectExpr(
+        *rest, f"{recode('u')} AS u", f"{recode('m')} AS m", f"{recode('meas')} AS meas"
     ), sorted(groups)
 
 
 def final_rows(states: DataFrame, windows: Windows, scheme: str | None = None) -> DataFrame:
     """The final snapshot in long form: (motif, read, zf, bound)."""
-    s, core = _cluster_masks(states, scheme)
-    items = []
-    for c in core:
-        on = F.col("in_kept") & (bit("meas", bit_of(c)) == 1)
-        items.append(F.when(on, F.struct(F.lit(c).alias("zf"), bit("u", bit_of(c)).cast("int").alias("bound"))))
-    for c in windows.codes():
-        on = ~F.col("nuc") & (bit("meas", bit_of(c)) == 1)
-        items.append(F.when(on, F.struct(F.lit(c).alias("zf"), bit("u", bit_of(c)).cast("int").alias("bound"))))
-    return s.select(*PAIR, F.explode(F.array_compact(F.array(*items))).alias("x")).select(
-        *PAIR, "x.zf", "x.bound"
-    )
+    s, core = final_mask(states, windows, scheme)
+    bits = [(c, bit_of(c)) for c in core + windows.codes()]
+    arr = ", ".join(f"named_struct('zf', {c}, 'p', {p})" for c, p in bits)
+    s = s.selectExpr(*PAIR, "u", f"explode(filter(array({arr}), x -> {_bit('fin', 'x.p')} = 1)) AS x")
+    return s.selectExpr(*PAIR, "x.zf AS zf", f"CAST({_bit('u', 'x.p')} AS INT) AS bound")
 
 
 def binding_prob(
@@ -375,71 +391,51 @@ def binding_prob(
     ``total_has_near_and_tiles`` adds the near-flank and tile bins to the total universe.
     """
     s, core = _cluster_masks(states, scheme)
-    total_in = F.col("in_total")
+    total_in = "in_total"
     if total_from_class and denom == "kept":
-        total_in = total_in & ~F.col("nuc") & F.col("class_ok")
-    aggs, codes = [], [(c, True) for c in core] + [(c, False) for c in windows.codes()]
-    for c, is_core in codes:
-        p = bit_of(c)
-        keep = F.col("in_kept") if is_core else ~F.col("nuc")
-        meas = bit("meas", p)
+        total_in = "(in_total AND NOT nuc AND class_ok)"
+    aggs, rows = [], []
+    for c in core + windows.codes():
+        p, is_core = bit_of(c), c in core and c not in windows.codes()
+        keep = "in_kept" if is_core else "NOT nuc"
         if is_core:
-            tot = F.when(total_in, meas).otherwise(0)
+            tot = f"CASE WHEN {total_in} THEN {_bit('meas', p)} ELSE 0L END"
         elif total_has_near_and_tiles and c not in (FLANK_UP, FLANK_DOWN):
-            tot = meas
+            tot = _bit("meas", p)
         else:
-            tot = F.lit(0).cast("long")
-        name = str(p)
+            tot = "0L"
         aggs += [
-            F.sum(F.when(keep, bit("u", p)).otherwise(0)).alias(f"n{name}"),
-            F.sum(F.when(keep, meas).otherwise(0)).alias(f"k{name}"),
-            F.sum(tot).alias(f"t{name}"),
-        ]
-    wide = s.groupBy("motif_id").agg(*aggs)
-    arr = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("zf"),
-                F.col(f"n{bit_of(c)}").alias("num_bound_kept"),
-                F.col(f"k{bit_of(c)}").alias("den_kept"),
-                F.col(f"t{bit_of(c)}").alias("den_total"),
-            )
-            for c, _ in codes
+            f"sum(CASE WHEN {keep} THEN {_bit('u', p)} ELSE 0L END) AS n{p}",
+            f"sum(CASE WHEN {keep} THEN {_bit('meas', p)} ELSE 0L END) AS k{p}",
+            f"sum({tot}) AS t{p}",
         ]
-    )
-    long = wide.select("motif_id", F.explode(arr).alias("x")).select("motif_id", "x.*")
+        rows.append([str(c), f"n{p}", f"k{p}", f"t{p}"])
+    wide = s.groupBy("motif_id").agg(*_exprs(aggs))
+    long = _unpivot(wide, ["motif_id"], ["zf", "num_bound_kept", "den_kept", "den_total"], rows)
     long = long.filter("den_kept > 0 OR den_total > 0")
     if denom == "total":
         long = long.withColumn("den_total", F.greatest("den_total", "den_kept"))
-    den = F.col("den_total" if denom == "total" else "den_kept")
-    checked = F.when(
-        F.col("num_bound_kept") > den, F.raise_error(F.lit("numerator exceeds denominator")).cast("double")
-    ).otherwise(ratio(F.col("num_bound_kept"), den))
-    return long.withColumn("binding_prob", checked)
+    den = "den_total" if denom == "total" else "den_kept"
+    return long.selectExpr(
+        "*",
+        f"CASE WHEN num_bound_kept > {den} THEN CAST(raise_error('numerator exceeds denominator') AS DOUBLE) "
+        f"ELSE {_ratio('num_bound_kept', den)} END AS binding_prob",
+    )
 
 
 def bin_stats(bp: DataFrame) -> DataFrame:
     """N, mean, sd (sample; 0 when n = 1) and sem per bin."""
-    v = bp.filter(F.col("binding_prob").isNotNull())
-    g = v.groupBy("zf").agg(
-        F.count("*").alias("n"), F.avg("binding_prob").alias("mean"), F.stddev_samp("binding_prob").alias("sd")
-    )
-    g = g.withColumn("sd", F.coalesce("sd", F.lit(0.0)))
-    return g.withColumn("sem", F.col("sd") / F.sqrt("n"))
-
-
-def _core_mask_per_motif(cm: DataFrame) -> DataFrame:
-    return pair_masks(cm).withColumn("meas", F.col("u").bitwiseOR(F.col("m")))
+    g = bp.filter("binding_prob IS NOT NULL").groupBy("zf").agg(*_exprs([
+        "count(*) AS n", "avg(binding_prob) AS mean", "coalesce(stddev_samp(binding_prob), 0D) AS sd"]))
+    return g.selectExpr("*", "sd / sqrt(n) AS sem")
 
 
 def mappability(cm: DataFrame, thr: int = 1) -> DataFrame:
     """Distinct reads per core bin (11 columns), bins at threshold and their fraction."""
-    p = _core_mask_per_motif(cm)
-    w = p.filter(_core(F.col("meas")) != 0).groupBy("motif_id").agg(
-        *[F.sum(bit("meas", k)).alias(f"zf{k}_reads") for k in CORE_BINS]
-    )
-    n = sum((F.col(f"zf{k}_reads") >= thr).cast("int") for k in CORE_BINS)
-    return w.withColumn("n_zf_mappable", n).withColumn("fraction_zf_mappable", n / 11.0)
+    p = pair_masks(cm).selectExpr("motif_id", "u | m AS meas").filter(f"meas & {CORE_MASK}L <> 0")
+    w = p.groupBy("motif_id").agg(*_exprs([f"sum({_bit('meas', k)}) AS zf{k}_reads" for k in CORE_BINS]))
+    n = " + ".join(f"CAST(zf{k}_reads >= {thr} AS INT)" for k in CORE_BINS)
+    return w.selectExpr("*", f"{n} AS n_zf_mappable").selectExpr("*", "n_zf_mappable / 11D AS fraction_zf_mappable")
 
 
 def mappability_by_sites(cm: DataFrame, thr: int = 1) -> DataFrame:
@@ -449,36 +445,23 @@ def mappability_by_sites(cm: DataFrame, thr: int = 1) -> DataFrame:
         F.count("*").alias("n_sites_called")
     )
     j = mappability(cm, thr).join(sites, "motif_id", "left")
-    return j.groupBy("n_sites_called").agg(
-        F.count("n_zf_mappable").alias("n_motifs"),
-        F.avg("n_zf_mappable").alias("mean_zf_mappable"),
-        F.median("n_zf_mappable").alias("median_zf_mappable"),
-    )
+    return j.groupBy("n_sites_called").agg(*_exprs([
+        "count(n_zf_mappable) AS n_motifs", "avg(n_zf_mappable) AS mean_zf_mappable",
+        "median(n_zf_mappable) AS median_zf_mappable"]))
 
 
 def bin_balance(cm: DataFrame, thr: int = 1) -> DataFrame:
     """Motifs and reads tested per core bin at threshold, with fractions."""
-    w = mappability(cm, thr)
-    aggs = [F.count("*").alias("total_sites")]
+    aggs = ["count(*) AS total_sites"]
     for k in CORE_BINS:
-        c = F.col(f"zf{k}_reads")
-        aggs.append(F.sum((c >= thr).cast("int")).alias(f"s{k}"))
-        aggs.append(F.sum(F.when(c >= thr, c).otherwise(0)).alias(f"r{k}"))
-    one = w.agg(*aggs).na.fill(0)
-    total = sum(F.col(f"r{k}") for k in CORE_BINS)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("zf"),
-                F.col(f"s{k}").alias("sites_tested"),
-                ratio(F.col(f"s{k}"), F.col("total_sites")).alias("frac_sites_tested"),
-                F.col(f"r{k}").alias("reads_tested"),
-                ratio(F.col(f"r{k}"), total).alias("frac_reads_tested"),
-            )
-            for k in CORE_BINS
-        ]
+        aggs.append(f"count_if(zf{k}_reads >= {thr}) AS s{k}")
+        aggs.append(f"coalesce(sum(CASE WHEN zf{k}_reads >= {thr} THEN zf{k}_reads END), 0L) AS r{k}")
+    one = mappability(cm, thr).agg(*_exprs(aggs))
+    total = "(" + " + ".join(f"r{k}" for k in CORE_BINS) + ")"
+    return _unpivot(
+        one, [], ["zf", "sites_tested", "frac_sites_tested", "reads_tested", "frac_reads_tested"],
+        [[str(k), f"s{k}", _ratio(f"s{k}", "total_sites"), f"r{k}", _ratio(f"r{k}", total)] for k in CORE_BINS],
     )
-    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def final_mask(states: DataFrame, windows: Windows, scheme: str | None) -> tuple[DataFrame, list[int]]:
@@ -486,11 +469,8 @@ def final_mask(states: DataFrame, windows: Windows, scheme: str | None) -> tuple
     s, core = _cluster_masks(states, scheme)
     cm_ = sum(1 << k for k in core)
     xm = sum(1 << bit_of(c) for c in windows.codes())
-    zero = F.lit(0).cast("long")
-    fin = F.when(F.col("in_kept"), F.col("meas").bitwiseAND(F.lit(cm_))).otherwise(zero).bitwiseOR(
-        F.when(~F.col("nuc"), F.col("meas").bitwiseAND(F.lit(xm))).otherwise(zero)
-    )
-    return s.withColumn("fin", fin), core
+    fin = f"(CASE WHEN in_kept THEN meas & {cm_}L ELSE 0L END) | (CASE WHEN NOT nuc THEN meas & {xm}L ELSE 0L END)"
+    return s.selectExpr("*", f"{fin} AS fin"), core
 
 
 def scatter_stats(
@@ -503,65 +483,52 @@ def scatter_stats(
     The attribution of excluded pairs uses the unclustered bins.
     """
     s, _ = final_mask(states, windows, scheme)
-    # Core bins kept or merely measured before exclusion make a motif known.
-    core_bits = F.when(F.col("in_total"), _core(F.col("meas"))).otherwise(F.lit(0).cast("long"))
-    per_motif = s.groupBy("motif_id").agg(
-        F.bit_or("fin").alias("fin"), F.bit_or(F.col("fin").bitwiseOR(core_bits)).alias("known")
-    )
+    pos = {z: bit_of(z) for z in bins}
     defined = "fin" if denom == "kept" else "known"
-    mot = per_motif.filter("known != 0").agg(
-        F.count("*").alias("total_motifs"), *[F.sum(bit(defined, bit_of(z))).alias(f"m{bit_of(z)}") for z in bins]
-    )
-    per_read = s.groupBy("read_id").agg(
-        F.bit_or("fin").alias("fin"),
-        F.max((F.col("in_kept") & (F.col("n_bound") > 0) & (F.col("n_bound") < F.col("n_measured"))).cast("int")).alias("dyn"),
-        F.max((F.col("in_kept") & (F.col("n_bound") == F.col("n_measured"))).cast("int")).alias("sta"),
-    )
-    rd = per_read.agg(
-        F.sum((F.col("fin") != 0).cast("int")).alias("unique_reads"),
-        F.sum("dyn").alias("dynamic_unique_reads"),
-        F.sum("sta").alias("static_unique_reads"),
-        *[F.sum(bit("fin", bit_of(z))).alias(f"r{bit_of(z)}") for z in bins],
+    mot = (
+        s.groupBy("motif_id")
+        .agg(*_exprs(["bit_or(fin) AS fin",
+                      f"bit_or(fin | CASE WHEN in_total THEN meas & {CORE_MASK}L ELSE 0L END) AS known"]))
+        .filter("known <> 0")
+        .agg(*_exprs(["count(*) AS total_motifs"] + [f"sum({_bit(defined, p)}) AS m{p}" for p in pos.values()]))
+    )
+    rd = (
+        s.groupBy("read_id")
+        .agg(*_exprs(["bit_or(fin) AS fin", f"bool_or(in_kept AND {_DYNAMIC}) AS dyn",
+                      "bool_or(in_kept AND n_bound = n_measured) AS sta"]))
+        .agg(*_exprs(["count_if(fin <> 0) AS unique_reads", "count_if(dyn) AS dynamic_unique_reads",
+                      "count_if(sta) AS static_unique_reads"]
+                     + [f"sum({_bit('fin', p)}) AS r{p}" for p in pos.values()]))
     )
     ex = []
-    for z in bins:
-        b = bit_of(z)
-        meas = (bit(states["meas"], b) == 1) & F.col("in_total") if 1 <= z <= 11 else F.lit(False)
-        up = F.col("nuc_up") if z == FLANK_UP else (F.lit(False) if z == FLANK_DOWN else F.col("nuc_up") & meas)
-        dn = F.col("nuc_down") if z == FLANK_DOWN else (F.lit(False) if z == FLANK_UP else F.col("nuc_down") & meas)
-        ex += [F.sum(up.cast("int")).alias(f"u{b}"), F.sum(dn.cast("int")).alias(f"d{b}")]
-    kept = F.col("in_kept")
-    pr = states.agg(
-        F.sum((kept & (F.col("n_bound") > 0) & (F.col("n_bound") < F.col("n_measured"))).cast("int")).alias("dynamic_pairs"),
-        F.sum((kept & (F.col("n_bound") == F.col("n_measured"))).cast("int")).alias("static_pairs"),
-        *ex,
-    )
-    # three one-row tables side by side
-    one = mot.withColumn("_k", F.lit(1)).join(rd.withColumn("_k", F.lit(1)), "_k").join(
-        pr.withColumn("_k", F.lit(1)), "_k")
-    tot_r = sum(F.col(f"r{bit_of(z)}") for z in bins)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(z).alias("bin"),
-                F.col(f"m{bit_of(z)}").alias("motifs_in_bin"),
-                ratio(F.col(f"m{bit_of(z)}"), F.col("total_motifs")).alias("frac_motifs_in_bin"),
-                F.col(f"r{bit_of(z)}").alias("reads_in_bin"),
-                ratio(F.col(f"r{bit_of(z)}"), tot_r).alias("frac_reads_in_bin"),
-                F.col(f"u{bit_of(z)}").alias("excluded_up_pairs"),
-                F.col(f"d{bit_of(z)}").alias("excluded_down_pairs"),
-                F.col("total_motifs"),
-                tot_r.alias("total_reads_bins"),
-                F.col("unique_reads"),
-                F.col("dynamic_pairs"),
-                F.col("static_pairs"),
-                F.col("dynamic_unique_reads"),
-                F.col("static_unique_reads"),
-            )
-            for z in bins
-        ]
-    )
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    for z, p in pos.items():
+        meas = f"(in_total AND {_bit('meas', p)} = 1)" if 1 <= z <= 11 else "false"
+        up = {FLANK_UP: "nuc_up", FLANK_DOWN: "false"}.get(z, f"nuc_up AND {meas}")
+        dn = {FLANK_UP: "false", FLANK_DOWN: "nuc_down"}.get(z, f"nuc_down AND {meas}")
+        ex += [f"count_if({up}) AS u{p}", f"count_if({dn}) AS d{p}"]
+    pr = states.agg(*_exprs([f"count_if(in_kept AND {_DYNAMIC}) AS dynamic_pairs",
+                             "count_if(in_kept AND n_bound = n_measured) AS static_pairs"] + ex))
+    one = _side_by_side(mot, rd, pr)
+    tot_r = "(" + " + ".join(f"r{p}" for p in pos.values()) + ")"
+    fields = ["bin", "motifs_in_bin", "frac_motifs_in_bin", "reads_in_bin", "frac_reads_in_bin", "excluded_up_pairs",
+              "excluded_down_pairs", "total_motifs", "total_reads_bins", "unique_reads", "dynamic_pairs",
+              "static_pairs", "dynamic_unique_reads", "static_unique_reads"]
+    rows = [
+        [str(z), f"m{p}", _ratio(f"m{p}", "total_motifs"), f"r{p}", _ratio(f"r{p}", tot_r), f"u{p}", f"d{p}",
+         "total_motifs", tot_r, "unique_reads", "dynamic_pairs", "static_pairs", "dynamic_unique_reads",
+         "static_unique_reads"]
+        for z, p in pos.items()
+    ]
+    return _unpivot(one, [], fields, rows)
+
+
+def _side_by_side(*ones: DataFrame) -> DataFrame:
+    """One-row aggregates joined on a constant key."""
+    out = None
+    for t in ones:
+        t = t.withColumn("_k", F.lit(1))
+        out = t if out is None else out.join(t, "_k")
+    return out.drop("_k")
 
 
 def qc_summary(states: DataFrame, windows: Windows, bins: list[int], scheme: str | None = None) -> DataFrame:
@@ -569,11 +536,8 @@ def qc_summary(states: DataFrame, windows: Windows, bins: list[int], scheme: str
     st = scatter_stats(states, windows, bins, scheme).select(
         "bin", "motifs_in_bin", "reads_in_bin", "total_motifs"
     )
-    ex = states.agg(
-        F.sum(F.col("nuc_up").cast("int")).alias("excluded_up"),
-        F.sum(F.col("nuc_down").cast("int")).alias("excluded_down"),
-    )
-    return st.withColumn("_k", F.lit(1)).join(ex.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    ex = states.agg(*_exprs(["count_if(nuc_up) AS excluded_up", "count_if(nuc_down) AS excluded_down"]))
+    return _side_by_side(st, ex)
 
 
 CATEGORIES = ["bound", "nucleosome", "nothing"]
@@ -582,42 +546,29 @@ CATEGORIES = ["bound", "nucleosome", "nothing"]
 def _category_side(pairs: DataFrame, side: str) -> DataFrame:
     """Counts and per-motif fraction moments of ``category`` for one denominator."""
     w = pairs.groupBy("motif_id").agg(
-        F.count("*").alias("n"),
-        *[F.sum((F.col("category") == c).cast("int")).alias(c) for c in CATEGORIES],
+        *_exprs(["count(*) AS n"] + [f"count_if(category = '{c}') AS {c}" for c in CATEGORIES])
     )
-    aggs = [F.count("*").alias("n_motifs"), F.sum("n").alias("N")]
+    aggs = ["count(*) AS n_motifs", "sum(n) AS N"]
     for c in CATEGORIES:
-        f = F.col(c) / F.col("n")
-        aggs += [F.sum(c).alias(f"n_{c}"), F.avg(f).alias(f"mean_{c}"), F.stddev_samp(f).alias(f"sd_{c}")]
-    one = w.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("category"),
-                F.coalesce(F.col(f"n_{c}"), F.lit(0)).alias(f"n_pairs_{side}"),
-                ratio(F.col(f"n_{c}"), F.col("N")).alias(f"frac_pairs_{side}"),
-                F.col("n_motifs").alias(f"n_motifs_{side}"),
-                F.col(f"mean_{c}").alias(f"mean_{side}"),
-                F.col(f"sd_{c}").alias(f"sd_{side}"),
-            )
-            for c in CATEGORIES
-        ]
+        aggs += [f"coalesce(sum({c}), 0L) AS n_{c}", f"avg({c} / n) AS mean_{c}", f"stddev_samp({c} / n) AS sd_{c}"]
+    fields = ["category"] + [f"{x}_{side}" for x in ("n_pairs", "frac_pairs", "n_motifs", "mean", "sd")]
+    return _unpivot(
+        w.agg(*_exprs(aggs)), [], fields,
+        [[f"'{c}'", f"n_{c}", _ratio(f"n_{c}", "N"), "n_motifs", f"mean_{c}", f"sd_{c}"] for c in CATEGORIES],
     )
-    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def read_category_counts(states: DataFrame) -> DataFrame:
     """Exclusive categories, nucleosome > bound > nothing, on total and kept pairs."""
-    cat = F.when(F.col("nuc"), "nucleosome").when(F.col("n_bound") > 0, "bound").otherwise("nothing")
-    s = states.withColumn("category", cat)
+    s = states.selectExpr(
+        "*", "CASE WHEN nuc THEN 'nucleosome' WHEN n_bound > 0 THEN 'bound' ELSE 'nothing' END AS category"
+    )
     out = None
     for side, flag in (("total", "in_total"), ("kept", "in_kept")):
         t = _category_side(s.filter(flag), side)
-        sd = F.when(F.col(f"n_motifs_{side}") > 1, F.col(f"sd_{side}")).when(
-            F.col(f"n_motifs_{side}") == 1, F.lit(0.0))
-        t = t.withColumn(f"sd_{side}", sd).withColumn(
-            f"sem_{side}", F.col(f"sd_{side}") / F.sqrt(F.nullif(F.col(f"n_motifs_{side}"), F.lit(0)))
-        )
+        rest = [c for c in t.columns if c != f"sd_{side}"]
+        t = t.selectExpr(*rest, f"CASE WHEN n_motifs_{side} = 1 THEN 0D ELSE sd_{side} END AS sd_{side}")
+        t = t.selectExpr("*", f"sd_{side} / sqrt(nullif(n_motifs_{side}, 0)) AS sem_{side}")
         out = t if out is None else out.join(t, "category")
     return out
 
@@ -627,12 +578,12 @@ def category_summary(states: DataFrame, windows: Windows) -> DataFrame:
     a bin other than 0 / 12 is; nucleosome pairs are gone from kept."""
     s, _ = final_mask(states, windows, None)
     ndr = (1 << FLANK_UP) | (1 << FLANK_DOWN)
-    tot = s.filter("in_total").withColumn(
-        "category",
-        F.when(F.col("n_bound") > 0, "bound").when(F.col("nuc"), "nucleosome").otherwise("nothing"),
+    tot = s.filter("in_total").selectExpr(
+        "motif_id", "CASE WHEN n_bound > 0 THEN 'bound' WHEN nuc THEN 'nucleosome' ELSE 'nothing' END AS category"
+    )
+    kept = s.filter("fin <> 0").selectExpr(
+        "motif_id", f"CASE WHEN fin & u & {~ndr}L <> 0 THEN 'bound' ELSE 'nothing' END AS category"
     )
-    kept_bound = F.col("fin").bitwiseAND(F.col("u")).bitwiseAND(F.lit(~ndr)) != 0
-    kept = s.filter("fin != 0").withColumn("category", F.when(kept_bound, "bound").otherwise("nothing"))
     a = _category_side(tot, "total").select("category", "mean_total", "sd_total", "n_motifs_total")
     b = _category_side(kept, "kept").select("category", "mean_kept", "sd_kept", "n_motifs_kept")
     return a.join(b, "category")
@@ -640,43 +591,26 @@ def category_summary(states: DataFrame, windows: Windows) -> DataFrame:
 
 def dynamic_static_by_k(states: DataFrame, ks: list[int] | None = None) -> DataFrame:
     """Dynamic and static shares among bound pairs for >= K and == K measured bins."""
-    ks = ks or [2, 3, 4, 5]
-    rules = [(k, r) for k in ks for r in ("ge", "eq")]
+    rules = [(k, r) for k in (ks or [2, 3, 4, 5]) for r in ("ge", "eq")]
     out = None
     for side, flag in (("total", "in_total"), ("kept", "in_kept")):
-        bound = states.filter(F.col(flag) & ~F.col("nuc") & (F.col("n_bound") > 0))
-        n, stat = F.col("n_measured"), F.col("n_bound") == F.col("n_measured")
-        aggs = []
+        bound = states.filter(f"{flag} AND NOT nuc AND n_bound > 0")
+        aggs, rows = [], []
         for k, r in rules:
-            sel = n >= k if r == "ge" else n == k
-            aggs += [
-                F.sum(sel.cast("int")).alias(f"d_{r}{k}"),
-                F.sum((sel & stat).cast("int")).alias(f"s_{r}{k}"),
-            ]
-        per = bound.groupBy("motif_id").agg(*aggs)
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("k"), F.lit(r).alias("rule"), F.lit(kind).alias("kind"),
-                    F.col(f"d_{r}{k}").alias("den"),
-                    (F.col(f"s_{r}{k}") if kind == "static" else F.col(f"d_{r}{k}") - F.col(f"s_{r}{k}")).alias("num"),
-                )
-                for k, r in rules
-                for kind in ("dynamic", "static")
-            ]
-        )
-        long = per.select(F.explode(rows).alias("x")).select("x.*")
-        f = F.when(F.col("den") > 0, F.col("num") / F.col("den"))
-        hit = F.sum((F.col("den") > 0).cast("int"))
-        t = long.groupBy("k", "rule", "kind").agg(
-            F.sum("num").alias(f"n_pairs_{side}"),
-            F.sum("den").alias(f"den_pairs_{side}"),
-            hit.alias(f"n_motifs_{side}"),
-            F.avg(f).alias(f"mean_{side}"),
-            F.when(hit > 1, F.stddev_samp(f)).when(hit == 1, F.lit(0.0)).alias(f"sd_{side}"),
-        )
-        t = t.withColumn(f"frac_pairs_{side}", ratio(F.col(f"n_pairs_{side}"), F.col(f"den_pairs_{side}")))
-        t = t.withColumn(f"sem_{side}", F.col(f"sd_{side}") / F.sqrt(F.nullif(F.col(f"n_motifs_{side}"), F.lit(0))))
+            sel = f"n_measured {'>=' if r == 'ge' else '='} {k}"
+            aggs += [f"count_if({sel}) AS d_{r}{k}", f"count_if({sel} AND n_bound = n_measured) AS s_{r}{k}"]
+            rows.append([str(k), f"'{r}'", "'static'", f"d_{r}{k}", f"s_{r}{k}"])
+            rows.append([str(k), f"'{r}'", "'dynamic'", f"d_{r}{k}", f"d_{r}{k} - s_{r}{k}"])
+        per = bound.groupBy("motif_id").agg(*_exprs(aggs))
+        long = _unpivot(per, [], ["k", "rule", "kind", "den", "num"], rows)
+        t = long.groupBy("k", "rule", "kind").agg(*_exprs([
+            f"sum(num) AS n_pairs_{side}", f"sum(den) AS den_pairs_{side}", f"count_if(den > 0) AS n_motifs_{side}",
+            f"avg(try_divide(num, den)) AS mean_{side}", "stddev_samp(try_divide(num, den)) AS sd"]))
+        t = t.selectExpr(
+            "k", "rule", "kind", f"n_pairs_{side}", f"den_pairs_{side}", f"n_motifs_{side}", f"mean_{side}",
+            f"CASE WHEN n_motifs_{side} = 1 THEN 0D ELSE sd END AS sd_{side}",
+            f"{_ratio(f'n_pairs_{side}', f'den_pairs_{side}')} AS frac_pairs_{side}",
+        ).selectExpr("*", f"sd_{side} / sqrt(nullif(n_motifs_{side}, 0)) AS sem_{side}")
         out = t if out is None else out.join(t, ["k", "rule", "kind"], "full")
     return out
 
@@ -687,27 +621,16 @@ def dynamic_curve(
 ) -> DataFrame:
     """Share of dynamic among bound pairs by number of measured bins, with the K=0 anchor."""
     mask = CORE_MASK & ~sum(1 << k for k in (exclude_bins or []))
-    n = F.bit_count(F.col("u").bitwiseAND(F.lit(mask)))
-    k = F.bit_count(F.col("meas").bitwiseAND(F.lit(mask)))
-    p = states.filter("in_kept" if use == "kept" else "in_total").select(n.alias("n"), k.alias("k"))
-    p = p.filter((F.col("k") >= min_measured) & (F.col("n") > 0))
+    p = states.filter("in_kept" if use == "kept" else "in_total").selectExpr(
+        f"bit_count(u & {mask}L) AS n", f"bit_count(meas & {mask}L) AS k"
+    ).filter(f"k >= {min_measured} AND n > 0")
     ks = range(max(1, min_measured), kmax + 1)
-    aggs = [F.count("*").alias("d0")]
+    aggs, rows = ["count(*) AS d0"], [["0", "d0", "0L", "0D"]]
     for q in ks:
-        sel = F.col("k") == q if mode == "eq" else F.col("k") >= q
-        aggs += [
-            F.sum(sel.cast("int")).alias(f"d{q}"),
-            F.sum((sel & (F.col("n") < F.col("k"))).cast("int")).alias(f"y{q}"),
-        ]
-    one = p.agg(*aggs).na.fill(0)
-    rows = [F.struct(F.lit(0).alias("k"), F.col("d0").alias("den_pairs"), F.lit(0).cast("long").alias("num_dynamic"),
-                     F.lit(0.0).alias("frac_dynamic"))]
-    rows += [
-        F.struct(F.lit(q).alias("k"), F.col(f"d{q}").alias("den_pairs"), F.col(f"y{q}").alias("num_dynamic"),
-                 ratio(F.col(f"y{q}"), F.col(f"d{q}")).alias("frac_dynamic"))
-        for q in ks
-    ]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        sel = f"k {'=' if mode == 'eq' else '>='} {q}"
+        aggs += [f"count_if({sel}) AS d{q}", f"count_if({sel} AND n < k) AS y{q}"]
+        rows.append([str(q), f"d{q}", f"y{q}", _ratio(f"y{q}", f"d{q}")])
+    return _unpivot(p.agg(*_exprs(aggs)), [], ["k", "den_pairs", "num_dynamic", "frac_dynamic"], rows)
 
 
 # ---------------------------------------------------------------- conditional probabilities
@@ -732,19 +655,17 @@ def cond_states(
     pair that fails the threshold stay, as their rows are added after it.
     """
     f = Filters(mol_threshold=mol_threshold, exact=exact, exclude_up=exclude_up, exclude_down=exclude_down)
-    s = pair_states(pair_masks(cm, windows, min_calls), f).filter(~F.col("nuc"))
+    s = pair_states(pair_masks(cm, windows, min_calls), f).filter("NOT nuc")
     xm = sum(1 << bit_of(c) for c in windows.codes())
-    cols = F.lit(sum(1 << bit_of(c) for c in bins))
-    zero = F.lit(0).cast("long")
-    row = F.when(F.col("in_total"), _core(F.col("meas"))).otherwise(zero).bitwiseOR(
-        F.col("meas").bitwiseAND(F.lit(xm))
-    ).bitwiseAND(cols)
-    s = s.withColumn("row_meas", row).withColumn("row_u", row.bitwiseAND(F.col("u"))).filter("row_meas != 0")
+    cols = sum(1 << bit_of(c) for c in bins)
+    row = f"((CASE WHEN in_total THEN meas & {CORE_MASK}L ELSE 0L END) | (meas & {xm}L)) & {cols}L"
+    s = s.selectExpr(*PAIR, "u", f"{row} AS row_meas").selectExpr(*PAIR, "row_meas", "row_meas & u AS row_u")
+    s = s.filter("row_meas <> 0")
     if drop_ndr_bound:
-        s = s.filter(F.col("row_u").bitwiseAND(F.lit((1 << FLANK_UP) | (1 << FLANK_DOWN))) == 0)
+        s = s.filter(f"row_u & {(1 << FLANK_UP) | (1 << FLANK_DOWN)}L = 0")
     if drop_all_bound:
         # a row without any measured core bin counts as all bound
-        s = s.filter(F.bit_count(_core(F.col("row_u"))) < F.bit_count(_core(F.col("row_meas"))))
+        s = s.filter(f"bit_count(row_u & {CORE_MASK}L) < bit_count(row_meas & {CORE_MASK}L)")
     return s
 
 
@@ -755,26 +676,17 @@ def cond_prob(s: DataFrame, bins: list[int], v: int) -> DataFrame:
     One row per set bit of i, then sums of bits for all j: at most len(bins) rows per pair
     before map-side combine, len(bins) groups after it.
     """
-    want = [
-        F.when((bit("row_meas", bit_of(i)) == 1) & (bit("row_u", bit_of(i)) == v), F.lit(i)) for i in bins
-    ]
-    rows = s.withColumn("zf_i", F.explode(F.array_compact(F.array(*want))))
-    g = rows.groupBy("zf_i").agg(
-        F.count("*").alias("n_row"),
-        *[F.sum(bit("row_meas", bit_of(j))).alias(f"n{bit_of(j)}") for j in bins],
-        *[F.sum(bit("row_u", bit_of(j))).alias(f"b{bit_of(j)}") for j in bins],
+    arr = ", ".join(f"named_struct('zf', {i}, 'p', {bit_of(i)})" for i in bins)
+    hit = f"{_bit('row_meas', 'x.p')} = 1 AND {_bit('row_u', 'x.p')} = {v}"
+    rows = s.selectExpr("row_meas", "row_u", f"explode(filter(array({arr}), x -> {hit})) AS i")
+    pos = [bit_of(j) for j in bins]
+    g = rows.groupBy("i.zf").agg(*_exprs(
+        ["count(*) AS n_row"] + [f"sum({_bit('row_meas', p)}) AS n{p}" for p in pos]
+        + [f"sum({_bit('row_u', p)}) AS b{p}" for p in pos])).withColumnRenamed("zf", "zf_i")
+    return _unpivot(
+        g, ["zf_i", "n_row"], ["zf_j", "n_cell", "p_bound"],
+        [[str(j), f"n{bit_of(j)}", _ratio(f"b{bit_of(j)}", f"n{bit_of(j)}")] for j in bins],
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("zf_j"),
-                F.col(f"n{bit_of(j)}").alias("n_cell"),
-                ratio(F.col(f"b{bit_of(j)}"), F.col(f"n{bit_of(j)}")).alias("p_bound"),
-            )
-            for j in bins
-        ]
-    )
-    return g.select("zf_i", "n_row", F.explode(cells).alias("x")).select("zf_i", "n_row", "x.*")
 
 
 def cond_diff(a: DataFrame, c: DataFrame) -> DataFrame:
@@ -784,6 +696,20 @@ def cond_diff(a: DataFrame, c: DataFrame) -> DataFrame:
     return l.join(r, ["zf_i", "zf_j"], "full").withColumn("delta", F.col("p_a") - F.col("p_b"))
 
 
+def bin_pair_counts(masks: DataFrame, bins: list[int]) -> DataFrame:
+    """C20: for i < j the pairs with both bins measured, and with both bound.
+
+    One row per measured i of a pair, then sums over all later bins: no self join.
+    """
+    arr = ", ".join(map(str, bins))
+    rows = masks.selectExpr("u", "u | m AS meas", f"explode(filter(array({arr}), k -> {_bit('(u | m)', 'k')} = 1)) AS zf_i")
+    g = rows.groupBy("zf_i").agg(*_exprs(
+        [f"sum({_bit('meas', j)}) AS n{j}" for j in bins]
+        + [f"sum({_bit('u', j)} * {_bit('u', 'zf_i')}) AS b{j}" for j in bins]))
+    out = _unpivot(g, ["zf_i"], ["zf_j", "n", "n_both"], [[str(j), f"n{j}", f"b{j}"] for j in bins])
+    return out.filter("zf_i < zf_j AND n > 0")
+
+
 # ---------------------------------------------------------------- selections and exports
 
 # Named bin patterns, (any of these unbound) and (any of these bound).
@@ -792,10 +718,8 @@ GROUPS = {"N_open": ([1, 2], [6, 7]), "C_open": ([10, 11], [6, 7]), "ZF2U_ZF6B":
 
 def select_group(states: DataFrame, name: str) -> DataFrame:
     """P5: pairs with an unbound bin of one set and a bound bin of another."""
-    lo, hi = GROUPS[name]
-    lm, hm = (F.lit(sum(1 << k for k in x)) for x in (lo, hi))
-    unbound = F.col("meas").bitwiseAND(F.bitwise_not("u"))
-    return states.filter((unbound.bitwiseAND(lm) != 0) & (F.col("u").bitwiseAND(hm) != 0)).select(*PAIR)
+    lo, hi = (sum(1 << k for k in x) for x in GROUPS[name])
+    return states.filter(f"(meas & ~u & {lo}L) <> 0 AND (u & {hi}L) <> 0").select(*PAIR)
 
 
 def global_classes(states: DataFrame) -> DataFrame:
@@ -803,20 +727,17 @@ def global_classes(states: DataFrame) -> DataFrame:
 
     States must carry nucleosome flags; 'mix' = Static + Dynamic and 'all' = every label.
     """
-    cls = _class(F.col("n_bound"), F.col("n_measured"))
     label = (
-        F.when(F.col("nuc"), "Nucleosomes")
-        .when(cls == "static", "Static")
-        .when(cls == "dynamic", "Dynamic")
-        .when(cls == "naked", "Unbound")
+        f"CASE WHEN nuc THEN 'Nucleosomes' ELSE element_at(map('static', 'Static', 'dynamic', 'Dynamic', "
+        f"'naked', 'Unbound'), {_CLASS_SQL}) END AS label"
     )
-    return states.select(*PAIR, label.alias("label")).filter("label IS NOT NULL")
+    return states.selectExpr(*PAIR, label).filter("label IS NOT NULL")
 
 
 def matrix_export(bp: DataFrame, bins: list[tuple[int, str]]) -> DataFrame:
     """Motif x bin matrix in axis order."""
-    cells = [F.max(F.when(F.col("zf") == z, F.col("binding_prob"))).alias(lab) for z, lab in bins]
-    return bp.filter(F.col("zf").isin([z for z, _ in bins])).groupBy("motif_id").agg(*cells)
+    cells = [f"max(CASE WHEN zf = {z} THEN binding_prob END) AS `{lab}`" for z, lab in bins]
+    return bp.filter(F.col("zf").isin([z for z, _ in bins])).groupBy("motif_id").agg(*_exprs(cells))
 
 
 def points_export(bp: DataFrame, bins: list[tuple[int, str]], denom: str = "kept") -> DataFrame:
@@ -835,21 +756,3 @@ def cluster_means(bp: DataFrame, clusters: dict[str, list[int]]) -> DataFrame:
     return bp.withColumn("cluster", F.explode(hits)).groupBy("motif_id", "cluster").agg(
         F.avg("binding_prob").alias("value")
     )
-
-
-def bin_pair_counts(masks: DataFrame, bins: list[int]) -> DataFrame:
-    """C20: for i < j the pairs with both bins measured, and with both bound.
-
-    One row per measured i of a pair, then sums over all later bins: no self join.
-    """
-    s = masks.withColumn("meas", F.col("u").bitwiseOR(F.col("m")))
-    i_set = [F.when(bit("meas", bit_of(i)) == 1, F.struct(F.lit(i).alias("zf_i"), bit("u", bit_of(i)).alias("bi"))) for i in bins]
-    rows = s.select("u", "meas", F.explode(F.array_compact(F.array(*i_set))).alias("x")).select("u", "meas", "x.*")
-    g = rows.groupBy("zf_i").agg(
-        *[F.sum(bit("meas", bit_of(j))).alias(f"n{j}") for j in bins],
-        *[F.sum(bit("u", bit_of(j)) * F.col("bi")).alias(f"b{j}") for j in bins],
-    )
-    cells = F.array(*[
-        F.struct(F.lit(j).alias("zf_j"), F.col(f"n{j}").alias("n"), F.col(f"b{j}").alias("n_both")) for j in bins])
-    out = g.select("zf_i", F.explode(cells).alias("x")).select("zf_i", "x.*")
-    return out.filter("zf_i < zf_j AND n > 0")

@@ -118,9 +118,3 @@ def sql(body: str, *names: str, **extra: str) -> str:
     parts = [f"{n} AS ({CTE[n][1]})" for n in _need(list(names), [])]
     parts += [f"{n} AS ({t})" for n, t in extra.items()]
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
-
-
-def r6(expr: str, name: str | None = None) -> str:
-    """Six digits without a negative zero."""
-    out = f"round(CAST({expr} AS DOUBLE), 6) + 0.0"
-    return f"{out} AS {name}" if name else out

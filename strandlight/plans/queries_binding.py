@@ -9,6 +9,7 @@ from strandlight.operators import binding as bd
 from strandlight.plans.oracle import sql
 from strandlight.plans.registry import query
 from strandlight.sources import adapters as ad
+from strandlight.util import bit
 
 NDR = bd.Windows(ndr=(20, 60), nuc=(20, 60))
 PROFILE = bd.Windows(nuc=(40, 60))
@@ -395,7 +396,7 @@ query("D21_cond_diff", sql(f"""
     USING (zf_i, zf_j)""", "b", "nuc20", **_CVIEWS), dbl="p_a p_b delta", ints="zf_j")(_cond_diff)
 query("D22_cond_prob_input", sql(f"SELECT {_P}, zf, bound FROM crow", "b", "nuc20", **_CVIEWS))(
     lambda s, d: cond_rows(s, d).select("motif_id", "read_id", F.explode(F.array_compact(F.array(*[
-        F.when(bd.bit("row_meas", k) == 1, F.struct(F.lit(k).alias("zf"), bd.bit("row_u", k).alias("bound")))
+        F.when(bit("row_meas", k) == 1, F.struct(F.lit(k).alias("zf"), bit("row_u", k).alias("bound")))
         for k in _CBINS]))).alias("x")).select("motif_id", "read_id", "x.*")
 )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.functions.calls import call_status, motif_id, rel_pos
+from strandlight.functions.calls import motif_id, rel_pos
 from strandlight.operators.intervals import overlap_join
 
 
@@ -17,68 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _chrom(key: str):
-    return F.concat(F.lit("chr"), (F.col(key) % 22 + 1).cast("string"))
+_CENTER = "CAST(1000 + floor(p_partkey / 22) * 150 + (p_size % 40) * 4 AS BIGINT)"
+_POS = f"({_CENTER} + (l_orderkey * 7 + l_linenumber * 13) % 131 - 65)"
+_LLR = "(round(l_discount * 100) - 5)"
+_STRAND = "CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END"
+
+
+def _chrom(key: str) -> str:
+    return f"concat('chr', {key} % 22 + 1)"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
 
 
 def motifs(spark, sf_dir) -> DataFrame:
     """chrom, start, end, strand, seq, center: +-65 windows from part."""
-    k = F.col("p_partkey")
-    c = (1000 + F.floor(k / 22) * 150 + (F.col("p_size") % 40) * 4).cast("long")
-    return table(spark, sf_dir, "part").select(
-        _chrom("p_partkey").alias("chrom"),
-        (c - 65).alias("start"),
-        (c + 65).alias("end"),
-        F.when(k % 2 == 0, "+").otherwise("-").alias("strand"),
-        F.col("p_brand").alias("seq"),
-        c.alias("center"),
+    return table(spark, sf_dir, "part").selectExpr(
+        f"{_chrom('p_partkey')} AS chrom", f"{_CENTER} - 65 AS start", f"{_CENTER} + 65 AS end",
+        "CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand", "p_brand AS seq", f"{_CENTER} AS center",
     )
 
 
 def calls(spark, sf_dir) -> DataFrame:
     """Ten-column wide calls from lineitem and part."""
-    li, pt = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    c = 1000 + F.floor(F.col("p_partkey") / 22) * 150 + (F.col("p_size") % 40) * 4
-    pos = (c + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 131 - 65).cast("long")
-    llr = F.round(F.col("l_discount") * 100) - 5
-    j = li.join(pt, F.col("l_partkey") == F.col("p_partkey"))
-    return j.select(
-        _chrom("p_partkey").alias("chrom"),
-        (pos - 1).alias("start"),
-        (pos + 1).alias("end"),
-        pos.alias("call_pos"),
-        F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"),
-        F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("read_id"),
-        llr.alias("llr"),
-        (-F.col("l_quantity")).alias("llr_met"),
-        (-F.col("l_quantity") - llr).alias("llr_unmet"),
-        call_status(llr).alias("status"),
+    return _items(spark, sf_dir).selectExpr(
+        f"{_chrom('p_partkey')} AS chrom", f"{_POS} - 1 AS start", f"{_POS} + 1 AS end", f"{_POS} AS call_pos",
+        f"{_STRAND} AS strand", "concat('r', l_suppkey % 5) AS read_id", f"{_LLR} AS llr",
+        "-l_quantity AS llr_met", f"-l_quantity - {_LLR} AS llr_unmet",
+        f"CASE WHEN {_LLR} >= 1 THEN 'M' WHEN {_LLR} <= -1 THEN 'U' ELSE 'N' END AS status",
     )
 
 
 def raw_calls(spark, sf_dir) -> DataFrame:
     """Twelve-field raw calls: k-mers carry M at a varying place, or none."""
-    li, pt = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    c = 1000 + F.floor(F.col("p_partkey") / 22) * 150 + (F.col("p_size") % 40) * 4
-    pos = (c + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 131 - 65).cast("long")
-    lead = F.repeat(F.lit("A"), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    kmer = F.when(F.col("l_orderkey") % 7 == 0, F.concat(lead, F.lit("GTC"))).otherwise(
-        F.concat(lead, F.lit("GMTC"))
-    )
-    j = li.join(pt, F.col("l_partkey") == F.col("p_partkey"))
-    return j.select(
-        _chrom("p_partkey").alias("chrom"),
-        F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"),
-        pos.alias("start"),
-        (pos + F.col("l_linenumber") % 5 + 4).cast("long").alias("end"),
-        F.concat(F.lit("r"), (F.col("l_suppkey") % 5).cast("string")).alias("read_id"),
-        (F.round(F.col("l_discount") * 100) - 5).alias("llr"),
-        (-F.col("l_quantity")).alias("ll_met"),
-        (-F.col("l_tax")).alias("ll_unmet"),
-        F.lit(1).alias("field9"),
-        (F.col("l_orderkey") % 3).cast("int").alias("n_motifs"),
-        F.lit(".").alias("field11"),
-        kmer.alias("kmer"),
+    return _items(spark, sf_dir).selectExpr(
+        f"{_chrom('p_partkey')} AS chrom", f"{_STRAND} AS strand", f"{_POS} AS start",
+        f"{_POS} + l_linenumber % 5 + 4 AS end", "concat('r', l_suppkey % 5) AS read_id", f"{_LLR} AS llr",
+        "-l_quantity AS ll_met", "-l_tax AS ll_unmet", "1 AS field9", "CAST(l_orderkey % 3 AS INT) AS n_motifs",
+        "'.' AS field11",
+        "concat(repeat('A', l_linenumber % 5 + 1), CASE WHEN l_orderkey % 7 = 0 THEN 'GTC' ELSE 'GMTC' END) AS kmer",
     )
 
 
@@ -106,27 +86,20 @@ def calls_motif(spark, sf_dir) -> DataFrame:
 
 def peaks(spark, sf_dir) -> DataFrame:
     """1-bp summits per replicate with the best score."""
-    li, pt = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    c = 1000 + F.floor(F.col("p_partkey") / 22) * 150 + (F.col("p_size") % 40) * 4
-    s = (c + F.col("l_orderkey") % 16).cast("long")
-    j = li.join(pt, F.col("l_partkey") == F.col("p_partkey"))
-    return (
-        j.select(_chrom("p_partkey").alias("chrom"), s.alias("summit"), F.col("l_returnflag").alias("replicate"),
-                 "l_quantity")
-        .groupBy("chrom", "summit", "replicate")
-        .agg(F.max("l_quantity").alias("score"))
-        .select("chrom", (F.col("summit") - 1).alias("start"), F.col("summit").alias("end"), "score", "replicate")
+    rows = _items(spark, sf_dir).selectExpr(
+        f"{_chrom('p_partkey')} AS chrom", f"{_CENTER} + l_orderkey % 16 AS summit", "l_returnflag AS replicate",
+        "l_quantity",
+    )
+    return rows.groupBy("chrom", "summit", "replicate").agg(F.max("l_quantity").alias("score")).selectExpr(
+        "chrom", "summit - 1 AS start", "summit AS end", "score", "replicate"
     )
 
 
 def track(spark, sf_dir) -> DataFrame:
     """10-bp signal tiles covering part of the motif range."""
-    k = F.floor(F.col("o_orderkey") / 22)
-    return table(spark, sf_dir, "orders").select(
-        _chrom("o_orderkey").alias("chrom"),
-        (k * 10).cast("long").alias("start"),
-        (k * 10 + 10).cast("long").alias("end"),
-        (F.col("o_totalprice") / 1000).alias("value"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{_chrom('o_orderkey')} AS chrom", "CAST(floor(o_orderkey / 22) * 10 AS BIGINT) AS start",
+        "CAST(floor(o_orderkey / 22) * 10 + 10 AS BIGINT) AS end", "o_totalprice / 1000 AS value",
     )
 
 
@@ -135,40 +108,30 @@ def chrom_sizes(spark, sf_dir) -> DataFrame:
 
 
 def signals(spark, sf_dir) -> DataFrame:
-    """Two signal tracks on every motif, from part."""
-    m = table(spark, sf_dir, "part").select(
-        motif_id_of_part().alias("motif_id"), "p_partkey", "p_retailprice", "p_size"
-    )
-    one = m.select("motif_id", F.lit("price").alias("track"), (F.col("p_retailprice") % 97).alias("signal"))
-    two = m.filter(F.col("p_partkey") % 5 != 0).select(
-        "motif_id", F.lit("size").alias("track"), F.col("p_size").cast("double").alias("signal")
+    """Two signal tracks on the motifs, the second with gaps."""
+    mid = (
+        f"concat_ws('_', {_chrom('p_partkey')}, {_CENTER} - 65, {_CENTER} + 65, "
+        "CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END) AS motif_id"
     )
+    p = table(spark, sf_dir, "part")
+    one = p.selectExpr(mid, "'price' AS track", "p_retailprice % 97 AS signal")
+    two = p.filter("p_partkey % 5 <> 0").selectExpr(mid, "'size' AS track", "CAST(p_size AS DOUBLE) AS signal")
     return one.unionByName(two)
 
 
-def motif_id_of_part():
-    k = F.col("p_partkey")
-    c = (1000 + F.floor(k / 22) * 150 + (F.col("p_size") % 40) * 4).cast("long")
-    return F.concat_ws("_", _chrom("p_partkey"), c - 65, c + 65, F.when(k % 2 == 0, "+").otherwise("-"))
-
-
 def traces(spark, sf_dir) -> DataFrame:
     """condition, trace_id, t (seconds), ev (tie-break), signal from events."""
-    t = (F.unix_micros("ts") - F.lit(1704067200000000)) / F.lit(1e6)
-    return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 4).cast("string").alias("condition"),
-        F.col("user_id").alias("trace_id"),
-        t.alias("t"),
-        F.col("event_id").alias("ev"),
-        F.col("value").alias("signal"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "CAST(user_id % 4 AS STRING) AS condition", "user_id AS trace_id",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) / 1e6D AS t",
+        "event_id AS ev", "value AS signal",
     )
 
 
 def states(spark, sf_dir) -> DataFrame:
     """Traces with a thresholded state 0..3 in place of a decoded path."""
-    v = F.col("signal")
-    return traces(spark, sf_dir).withColumn(
-        "state", F.when(v >= 70, 0).when(v >= 35, 1).when(v >= 15, 2).otherwise(3)
+    return traces(spark, sf_dir).selectExpr(
+        "*", "CASE WHEN signal >= 70 THEN 0 WHEN signal >= 35 THEN 1 WHEN signal >= 15 THEN 2 ELSE 3 END AS state"
     )
 
 
