@@ -750,9 +750,14 @@ def points_export(bp: DataFrame, bins: list[tuple[int, str]], denom: str = "kept
 
 
 def cluster_means(bp: DataFrame, clusters: dict[str, list[int]]) -> DataFrame:
-    """Per motif and cluster the mean of its non-null bins."""
-    z = F.col("zf")
-    hits = F.array_compact(F.array(*[F.when(z.isin(m), F.lit(l)) for l, m in clusters.items()]))
-    return bp.withColumn("cluster", F.explode(hits)).groupBy("motif_id", "cluster").agg(
-        F.avg("binding_prob").alias("value")
-    )
+    """Per motif and cluster the mean of its non-null bins, added in bin order so that equal
+    inputs give equal means whatever the partitioning."""
+    codes = sorted({z for m in clusters.values() for z in m})
+    wide = bp.filter(F.col("zf").isin(codes)).groupBy("motif_id").agg(
+        *_exprs([f"max(CASE WHEN zf = {z} THEN binding_prob END) AS z{z}" for z in codes]))
+    rows = []
+    for label, m in clusters.items():
+        total = " + ".join(f"coalesce(z{z}, 0D)" for z in m)
+        n = " + ".join(f"CAST(z{z} IS NOT NULL AS INT)" for z in m)
+        rows.append([f"'{label}'", f"try_divide({total}, {n})"])
+    return _unpivot(wide, ["motif_id"], ["cluster", "value"], rows).filter("value IS NOT NULL")

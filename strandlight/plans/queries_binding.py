@@ -414,9 +414,11 @@ query("D25_points_export", sql(f"""
     lambda s, d: bd.points_export(_BP(s, d), _SPEC)
 )
 CL = {"C1": [1, 2], "C2": list(range(3, 9)), "C3": [9, 10, 11]}
-_CLW = "SELECT * FROM (VALUES " + ", ".join(f"('{l}', {z})" for l, m in CL.items() for z in m) + ") v(cluster, zf)"
-query("D24_cluster_means", sql("""
-    SELECT motif_id, cluster, avg(binding_prob) AS value FROM bp JOIN cl USING (zf) GROUP BY ALL""", "bp", cl=_CLW),
+_WZ = "SELECT motif_id, " + ", ".join(f"max(binding_prob) FILTER (WHERE zf = {z}) AS z{z}" for z in range(1, 12)) + " FROM bp GROUP BY motif_id"
+CL_MEANS = " UNION ALL ".join(
+    f"SELECT motif_id, '{l}' AS cluster, ({' + '.join(f'coalesce(z{z}, 0)' for z in m)}) / nullif({' + '.join(f'CAST(z{z} IS NOT NULL AS INT)' for z in m)}, 0) AS value FROM ({_WZ})"
+    for l, m in CL.items())
+query("D24_cluster_means", sql(f"SELECT * FROM ({CL_MEANS}) WHERE value IS NOT NULL", "bp"),
     dbl="value")(lambda s, d: bd.cluster_means(_BP(s, d), CL))
 
 _PIV = f"SELECT {_P}, " + ", ".join(f"max(bound) FILTER (WHERE zf = {k}) AS z{k}" for k in range(1, 12)) + " FROM b GROUP BY ALL"
