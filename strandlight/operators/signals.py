@@ -66,9 +66,11 @@ def quantile_counts(df: DataFrame, q: str = "quantile") -> DataFrame:
     return df.groupBy(q).agg(F.count("*").alias("n"))
 
 
-def value_chunks(df: DataFrame, value: str, pieces: int = 512) -> DataFrame:
-    """Chunks monotone in the value, between its exact minimum and maximum."""
-    mn, mx = df.agg(F.min(value), F.max(value)).first()
+def value_chunks(
+    df: DataFrame, value: str, pieces: int = 512, bounds: tuple[float, float] | None = None
+) -> DataFrame:
+    """Chunks monotone in the value, between known bounds or its exact minimum and maximum."""
+    mn, mx = bounds or df.agg(F.min(value), F.max(value)).first()
     if mn is None or mx <= mn:
         return df.withColumn("_chunk", F.lit(0).cast("long"))
     return df.withColumn("_chunk", F.floor((F.col(value) - mn) / ((mx - mn) / pieces)).cast("long"))
@@ -98,7 +100,10 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float]
     return out
 
 
-def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, out: str = "rank") -> DataFrame:
+def average_ranks(
+    df: DataFrame, value: str, keys: list[str] | None = None, out: str = "rank",
+    bounds: tuple[float, float] | None = None,
+) -> DataFrame:
     """Tie-averaged ranks (1-based) per key, through counts of distinct values.
 
     The values are counted first, the running count goes over distinct values in chunks, and the
@@ -107,7 +112,7 @@ def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None, out:
     keys = keys or []
     base = df.filter(F.col(value).isNotNull())
     cnt = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    cnt = value_chunks(cnt, value)
+    cnt = value_chunks(cnt, value, bounds=bounds)
     tagged = cnt if keys else cnt.withColumn("_all", F.lit(1))
     kk = keys or ["_all"]
     run = with_running(tagged, kk, [value], {"_run": F.col("_c")}, totals=True)

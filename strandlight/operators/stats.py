@@ -41,7 +41,7 @@ def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", missing: str = "exclude
     base = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)) if missing == "one" else F.col(p))
     # ranks per distinct p: every row of a tie takes the highest rank, as the running minimum would
     cnt = base.filter("_p IS NOT NULL").groupBy("_p").agg(F.count("*").alias("_c"))
-    run = with_running(value_chunks(cnt, "_p").withColumn("_all", F.lit(1)), ["_all"], ["_p"], {"_k": F.col("_c")}, totals=True)
+    run = with_running(value_chunks(cnt, "_p", bounds=(0.0, 1.0)).withColumn("_all", F.lit(1)), ["_all"], ["_p"], {"_k": F.col("_c")}, totals=True)
     run = run.withColumn("_q", F.least(F.col("_p") * F.col("_k_total") / F.col("_k"), F.lit(1.0)))
     per = run.groupBy("_chunk").agg(F.min("_q").alias("_m"))
     after = Window.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)  # one row per chunk, at most 513
@@ -68,7 +68,7 @@ def pairwise_wilcoxon(bp: DataFrame, bins: list[int]) -> DataFrame:
         F.count("*").alias("n_paired"), F.avg("x").alias("mean1"), F.avg("y").alias("mean2"),
         F.count_if(F.col("d") == 0).alias("n_zero"), F.max(F.abs("d")).alias("top"),
     )
-    r = average_ranks(d.filter("d <> 0").withColumn("ad", F.abs("d")), "ad", keys)
+    r = average_ranks(d.filter("d <> 0").withColumn("ad", F.abs("d")), "ad", keys, bounds=(0.0, 1.0))
     t = F.col("ties").cast("double")
     w = r.groupBy(*keys).agg(
         F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
@@ -100,15 +100,17 @@ def pairwise_tests(bp: DataFrame, bins: list[int], method: str = "wilcoxon", alp
             F.when(F.col("zf").isin(a, b), F.struct(F.lit(a).alias("bin1"), F.lit(b).alias("bin2"))) for a, b in pairs]))
         rows = v.select("zf", "binding_prob", F.explode(hits).alias("k")).select("k.*", "zf", "binding_prob")
         rows = rows.withColumn("side", F.when(F.col("zf") == F.col("bin1"), 1).otherwise(2))
-        t = rank_sums(rows, ["bin1", "bin2"], "side", "binding_prob").withColumn("stat", F.col("u1"))
+        t = rank_sums(rows, ["bin1", "bin2"], "side", "binding_prob", (0.0, 1.0)).withColumn("stat", F.col("u1"))
         t = t.withColumn("p_value", rank_sum_p(F.col("u1"), F.col("n1"), F.col("n2"), F.col("tie_term")))
     t = t.withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))
     return bh_adjust(t, "p_value", missing="one").withColumn("significant", (F.col("p_adj") < alpha).cast("int"))
 
 
-def rank_sums(df: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
+def rank_sums(
+    df: DataFrame, keys: list[str], side: str, value: str, bounds: tuple[float, float] | None = None
+) -> DataFrame:
     """Tie-averaged rank sums and U of sides 1 and 2 per key, with the tie term."""
-    r = average_ranks(df.filter(F.col(value).isNotNull()), value, keys)
+    r = average_ranks(df.filter(F.col(value).isNotNull()), value, keys, bounds=bounds)
     one = F.col(side) == 1
     t = F.col("ties").cast("double")
     g = r.groupBy(*keys).agg(
@@ -130,9 +132,11 @@ def _sd_u():
     return F.sqrt(n1 * n2 / 12.0 * inner)
 
 
-def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
+def mann_whitney(
+    df: DataFrame, keys: list[str], side: str, value: str, bounds: tuple[float, float] | None = None
+) -> DataFrame:
     """With the tie-corrected normal p, no continuity correction."""
-    g = rank_sums(df, keys, side, value).withColumn("sd_u", _sd_u())
+    g = rank_sums(df, keys, side, value, bounds).withColumn("sd_u", _sd_u())
     z = F.when(F.col("sd_u") > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2.0) / F.col("sd_u")).otherwise(0.0)
     return g.withColumn("z", z).withColumn("p_value", norm_p(F.col("z")))
 
@@ -171,29 +175,35 @@ def _pairs_below(x: DataFrame, y: DataFrame, cuts: DataFrame) -> DataFrame:
     return run.groupBy("key", "cut").agg(F.sum(F.col("cx") * F.col("below")).alias("n_below"))
 
 
-def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 32, enough: int = 20_000) -> DataFrame:
+def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 64, enough: int = 20_000) -> DataFrame:
     """S3: median of all differences y - x (side 2 minus side 1) and its 95% interval, exactly.
 
     The n1*n2 differences are never listed. Their wanted order statistics are located by counting
     pairs below trial shifts (one merged running count per round, all keys and positions at
-    once) until an interval holds at most ``enough`` differences; only those are enumerated.
+    once) until an interval holds at most ``enough`` differences or has shrunk to one repeated
+    difference; only its distinct value pairs are then listed.
     """
-    g = rank_sums(df, [key], side, value).withColumn("sd_u", _sd_u()).select(
-        F.col(key).alias("key"), "n1", "n2", "sd_u").filter("n1 > 0 AND n2 > 0").collect()  # one row per key
     spark = df.sparkSession
     cnt = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(side).alias("s"), F.col(value).alias("v")).agg(F.count("*").alias("c")).persist()
     x, y = cnt.filter("s = 1").drop("s"), cnt.filter("s = 2").drop("s")
-    ext = {r["key"]: r for r in cnt.groupBy("key").agg(
-        F.min(F.when(F.col("s") == 1, F.col("v"))).alias("x0"), F.max(F.when(F.col("s") == 1, F.col("v"))).alias("x1"),
-        F.min(F.when(F.col("s") == 2, F.col("v"))).alias("y0"), F.max(F.when(F.col("s") == 2, F.col("v"))).alias("y1")).collect()}
+    both = cnt.groupBy("key", "v").agg(*[
+        F.sum(F.when(F.col("s") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in (1, 2)])
+    c = (F.col("c1") + F.col("c2")).cast("double")
+    ext = both.groupBy("key").agg(
+        F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum(c * c * c - c).alias("tie_term"),
+        *[f(F.when(F.col(f"c{i}") > 0, F.col("v"))).alias(f"{n}{e}")
+          for i, n in ((1, "x"), (2, "y")) for e, f in ((0, F.min), (1, F.max))])
+    g = ext.filter("n1 > 0 AND n2 > 0").withColumn("sd_u", _sd_u()).collect()  # one row per key
     want: dict[tuple, list] = {}  # (key, k) -> [lo, n_below(lo), hi, n_below(hi)]
+    span: dict = {}
     names: dict = {}
     for r in g:
         N = r["n1"] * r["n2"]
         k = math.floor(N / 2.0 - Z95 * (r["sd_u"] or 0.0))
         names[r["key"]] = dict(m1=(N + 1) // 2, m2=N // 2 + 1, lo=max(1, k + 1), hi=min(N, N - k))
-        e = ext[r["key"]]
-        pad = 1e-9 * (1 + abs(e["y0"]) + abs(e["x1"]) + abs(e["y1"]) + abs(e["x0"]))
+        e = r
+        span[r["key"]] = 1 + abs(e["y0"]) + abs(e["x1"]) + abs(e["y1"]) + abs(e["x0"])
+        pad = 1e-9 * span[r["key"]]
         for q in set(names[r["key"]].values()):
             want[(r["key"], q)] = [e["y0"] - e["x1"] - pad, 0, e["y1"] - e["x0"] + pad, N]
     kt = df.schema[key].dataType.simpleString()
@@ -201,7 +211,7 @@ def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 32
         trial: dict = {}
         for (kk, _q), (lo, nlo, hi, nhi) in want.items():
             step = (hi - lo) / fan
-            if nhi - nlo > enough and lo + step > lo:
+            if nhi - nlo > enough and hi - lo > 1e-10 * span[kk]:
                 trial.setdefault(kk, set()).update(lo + step * i for i in range(1, fan))
         if not trial:
             break

@@ -66,7 +66,7 @@ _SIDES = dict(
 )
 query("S2_mann_whitney", sql("""SELECT cluster, n1, n2, r1, r2, tie_term, u1, u2, least(u1, u2) AS u, sd_u, (least(u1, u2) - n1 * n2 / 2.0) / sd_u AS z FROM u""", "bp", **_SIDES),
       dbl="r1 r2 tie_term u1 u2 u sd_u z")(
-    lambda s, d: st.mann_whitney(sides(s, d), ["cluster"], "side", "value").drop("mean1", "mean2", "p_value"))
+    lambda s, d: st.mann_whitney(sides(s, d), ["cluster"], "side", "value", (0.0, 1.0)).drop("mean1", "mean2", "p_value"))
 _MCI = """SELECT cluster, side, median(value) AS median, any_value(n) AS n, max(value) FILTER (WHERE rn = greatest(1, floor(n / 2.0 - 0.5 * 1.959963984540054 * sqrt(n)))) AS ci_low,
     max(value) FILTER (WHERE rn = least(n, ceil(n / 2.0 + 0.5 * 1.959963984540054 * sqrt(n)))) AS ci_high FROM
     (SELECT *, row_number() OVER (PARTITION BY cluster, side ORDER BY value) AS rn, count(*) OVER (PARTITION BY cluster, side) AS n FROM cv) GROUP BY cluster, side"""
