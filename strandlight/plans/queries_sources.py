@@ -103,11 +103,10 @@ query("A7_read_bed_gzip", sql('SELECT chrom, "start", "end" FROM motifs', "motif
 def _hits_file(s, d):
     p = _out(s, "hits")
     m = ad.motifs(s, d)
-    body = m.select(F.expr("concat_ws('\t', 'M1', '.', chrom, start, end, strand, '9.5', '1e-5', '.', CASE WHEN center % 7 = 0 THEN '.' ELSE seq END)").alias("value"))
-    head = s.range(1).select(F.lit("motif_id\tmotif_alt_id\tsequence_name\tstart\tstop\tstrand\tscore\tp-value\tq-value\tmatched_sequence").alias("value"))
-    tail = s.range(1).select(F.lit("# scanner footer").alias("value"))
-    # every part file needs the header line: rows of one partition in order
-    head.unionAll(body).unionAll(tail).coalesce(1).write.text(p)
+    cols = ["motif_id", "motif_alt_id", "sequence_name", "start", "stop", "strand", "score", "p-value", "q-value", "matched_sequence"]
+    body = m.selectExpr("'M1'", "'.'", "chrom", "start", "end", "strand", "'9.5'", "'1e-5'", "'.'", "CASE WHEN center % 7 = 0 THEN '.' ELSE seq END").toDF(*cols)
+    foot = s.range(1).selectExpr("'# scanner footer'", *["CAST(NULL AS STRING)"] * 9).toDF(*cols)
+    body.select(*[F.col(f"`{c}`").cast("string") for c in cols]).toDF(*cols).unionAll(foot).write.option("sep", "\t").option("header", True).csv(p)
     return p
 
 
@@ -190,20 +189,12 @@ def _history_files(s, d):
     p = _out(s, "histories")
     h = ad.traces(s, d).groupBy((F.col("trace_id") % 6 + 1).alias("k"), (F.col("ev") % 5 + 1).cast("int").alias("iteration")).agg((-F.sum("signal")).alias("log_likelihood"))
     for k in range(1, 7):
-        h.filter(F.col("k") == k).select("iteration", "log_likelihood").coalesce(1).write.option("header", True).csv(f"{p}/{k}")
+        h.filter(F.col("k") == k).select("iteration", "log_likelihood").write.option("header", True).csv(f"{p}/loglikelihood_{k}_states.csv")
     return p
 
 
 def _histories(s, d):
-    p = _history_files(s, d)
-    # give each file its conventional name inside the shared folder
-    jvm = s.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(p)
-    fs = root.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
-    for k in range(1, 7):
-        for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{p}/{k}/part-*.csv")):
-            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{p}/loglikelihood_{k}_states.csv"))
-    return ts.read_fit_histories(s, f"{p}/*.csv", 5)
+    return ts.read_fit_histories(s, f"{_history_files(s, d)}/loglikelihood_*_states.csv", 5)
 
 
 query("A16_read_fit_histories", """SELECT user_id % 6 + 1 AS k, -sum(value) AS log_likelihood FROM events WHERE user_id % 6 + 1 <= 5 AND event_id % 5 = 4 GROUP BY 1""", dbl="log_likelihood")(_histories)

@@ -18,9 +18,9 @@ def read_traces(spark: SparkSession, root: str, time: str = "time (seconds)", va
 
 
 def read_fit_histories(spark: SparkSession, path: str, max_states: int | None = None) -> DataFrame:
-    """Final log-likelihood per K from files loglikelihood_<K>_states.csv."""
+    """Final log-likelihood per K from files (or folders) loglikelihood_<K>_states.csv."""
     df = spark.read.schema("iteration int, log_likelihood double").option("header", True).csv(path)
-    k = F.regexp_extract(F.col("_metadata.file_name"), r"loglikelihood_(\d+)_states\.csv$", 1)
+    k = F.regexp_extract(F.col("_metadata.file_path"), r"loglikelihood_(\d+)_states\.csv(/|$)", 1)
     df = df.select("iteration", "log_likelihood", k.alias("_k")).filter("_k <> ''").withColumn("k", F.col("_k").cast("int"))
     if max_states is not None:
         df = df.filter(F.col("k") <= max_states)
