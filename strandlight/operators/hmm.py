@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.operators.signals import exact_percentiles
+from strandlight.session import cut_lineage
 from strandlight.operators.traces import (
     CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks, sliding_windows,
 )
@@ -396,6 +397,7 @@ def sweep_tables(spark: SparkSession, sweep: dict) -> tuple[DataFrame, DataFrame
 def hmm_decode(tr: DataFrame, m: Model, keys: list[str] = KEY, size: int = BLOCK, chunk_s: float = CHUNK_S) -> DataFrame:
     """H3: the samples with their most likely ``state``."""
     d = indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")).drop("idx", "n_rows"), keys, chunk_s)
+    d = cut_lineage(d, "indexed")  # read by both passes and by the final join
     blocks = d.groupBy(*keys, F.floor(F.col("idx") / size).alias("blk")).agg(
         F.sort_array(F.collect_list(F.struct("idx", "signal"))).alias("r")).select(*keys, "blk", F.col("r.signal").alias("xs"))
     kd = _kdef(blocks, keys)
@@ -468,9 +470,10 @@ def annotate_regimes(tr: DataFrame, models: dict[str, Model], baseline: str, win
                      min_windows: int = 3, keys: list[str] = KEY) -> DataFrame:
     """H6: each sample's regime: window scores, hysteresis, spike removal, minimum run, expansion
     (a later run overwrites; samples behind the last window carry the baseline name)."""
-    d = indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")), keys)
-    lab = collapse_spikes(hysteresis(score_windows(d, models, win, step, keys), list(models), delta, keys), keys)
-    runs = min_run(lab, min_windows, keys)
+    d = cut_lineage(indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")), keys), "indexed")
+    scores = cut_lineage(score_windows(d, models, win, step, keys), "scores")
+    lab = cut_lineage(hysteresis(scores, list(models), delta, keys), "labels")
+    runs = cut_lineage(min_run(collapse_spikes(lab, keys), min_windows, keys), "regimes")
     # a run owns the samples from its first window to the start of the next run
     nxt = runs.select(*keys, (F.col("w_first") - 1).alias("w_last"), F.col("w_first").alias("_nw"))
     r = runs.join(nxt, [*keys, "w_last"], "left").select(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.operators.stats import order_statistics
+from strandlight.session import cut_lineage
 from strandlight.ordered import centred_mean, chunk_by, with_index, with_neighbors, with_running
 
 KEY = ["trace_id"]
@@ -173,7 +174,8 @@ def _segments(tr: DataFrame, keys: list[str], chunk_s: float) -> DataFrame:
 
 def dwell_next(tr: DataFrame, keys: list[str] = KEY, chunk_s: float = CHUNK_S) -> DataFrame:
     """A dwell ends at the first sample of the next state, the last one at the last sample."""
-    s = chunk_by(_segments(tr, keys, chunk_s), "seg", 4096)
+    # the segment table is far smaller than the samples and is read twice below
+    s = chunk_by(cut_lineage(_segments(tr, keys, chunk_s), "segments"), "seg", 4096)
     s = with_neighbors(s, keys, ["seg"], next={"_nt": "t_first"}).drop("_chunk")
     d = F.coalesce("_nt", "t_last") - F.col("t_first")
     return s.select(*keys, "seg", "state", "t_first", d.alias("dwell")).filter("dwell >= 0")
@@ -402,9 +404,11 @@ def min_run(labels: DataFrame, m: int = 3, keys: list[str] = KEY, block: int = 4
 
     Going left to right, every run ends up with the label of the last run that kept its own;
     run 2 keeps its own in any case after a short run 1 has taken it. Equal neighbours are
-    merged again: (keys, w_first, w_last, label).
+    merged again: (keys, w_first, w_last, label). Each step reads the table before it twice, so
+    the small run tables are written to the shared folder in between.
     """
-    r = chunk_by(label_runs(labels, keys, block), "run", block)
+    runs = cut_lineage(label_runs(cut_lineage(labels, "labels"), keys, block), "runs")
+    r = chunk_by(runs, "run", block)
     r = with_neighbors(r, keys, ["run"], prev={"_pn": "n"}, next={"_nl": "label"})
     first = F.col("run") == 1
     own = (F.col("n") >= m) | (first & F.col("_nl").isNull()) | ((F.col("run") == 2) & (F.col("_pn") < m))
@@ -412,7 +416,8 @@ def min_run(labels: DataFrame, m: int = 3, keys: list[str] = KEY, block: int = 4
     r = r.withColumn("_a", anchor)
     r = with_running(r, keys, ["run"], {"_g": F.col("_a").isNotNull().cast("long")})
     g = r.groupBy(*keys, "_g").agg(F.max("_a").alias("label"), F.min("w_first").alias("w_first"), F.max("w_last").alias("w_last"))
-    g = with_neighbors(chunk_by(g, "_g", block), keys, ["_g"], prev={"_p": "label"})
+    g = chunk_by(cut_lineage(g, "merged"), "_g", block)
+    g = with_neighbors(g, keys, ["_g"], prev={"_p": "label"})
     g = with_running(g, keys, ["_g"], {"_s": (F.col("_p").isNull() | (F.col("_p") != F.col("label"))).cast("long")})
     return g.groupBy(*keys, "_s", "label").agg(F.min("w_first").alias("w_first"), F.max("w_last").alias("w_last")).drop("_s")
 

@@ -17,6 +17,7 @@ from strandlight.operators import stats as st
 from strandlight.operators import traces as tr
 from strandlight.operators import unzip as uz
 from strandlight.ordered import centred_mean, chunk_by, with_index
+from strandlight.session import cut_lineage
 from strandlight.streaming.ingest import wide_from_raw
 
 # Cluster bins and windows of the analyses.
@@ -83,9 +84,10 @@ def prepare_flanks(motifs: DataFrame, calls: DataFrame) -> DataFrame:
 def r1b(cm: DataFrame) -> dict[str, DataFrame]:
     """R1B: binding probability per bin with every table around it, from one pair table.
 
-    The pair states are the three snapshots; they are written to the shared folder once when
-    several outputs are taken (see ``shared_states``)."""
+    The pair states are the three snapshots; they are written to the shared folder once and
+    every table reads them from there."""
     s = bd.pair_states(bd.pair_masks(cm, WIDE_NDR, 1), bd.Filters(mol_threshold=1, exclude_up=True, exclude_down=True))
+    s = cut_lineage(s, "pair-states")
     spec = bd.bin_spec(WIDE_NDR, hide5=True)
     bins = [z for z, _ in spec]
     bp = bd.binding_prob(s, WIDE_NDR, "kept")
@@ -187,7 +189,7 @@ def rt1(traces: DataFrame, period_us: int, lo: float, hi: float, n: int, target:
 def rt2(traces: DataFrame, k: int = 4, max_iter: int = 300, max_dwell: float = 5.0) -> dict[str, DataFrame]:
     """RT2: fit, decode, order states, then occupancy, transitions, signal, dwells and lifetimes."""
     m, _ = hmm.hmm_fit(traces, k, max_iter=max_iter)
-    d = hmm.hmm_decode(traces, m.ordered()).withColumn("grp", F.lit("all"))
+    d = cut_lineage(hmm.hmm_decode(traces, m.ordered()).withColumn("grp", F.lit("all")), "decoded")
     cdf = tr.dwell_cdf(tr.dwell_next(d), ["state"], max_dwell)
     return dict(
         decoded=d, occupancy=tr.occupancy(d, ["grp"]), transitions=tr.transition_matrix(d, k, ["grp"]), signal=tr.state_signal(d, []),
@@ -198,6 +200,7 @@ def pure_segments(annotated: DataFrame, m: hmm.Model, regime: str, max_dwell: fl
     """The samples of one regime, decoded; occupancy, transitions, dwells (last-sample rule),
     mean signal and lifetimes in the order of descending state mean."""
     d = hmm.hmm_decode(annotated.filter(F.col("regime") == regime).drop("idx", "n_rows"), m.ordered()).withColumn("grp", F.lit(regime))
+    d = cut_lineage(d, "decoded")
     dw = tr.dwell_last(d)
     enough = dw.filter(F.col("dwell") < max_dwell).groupBy("state").agg(F.count("*").alias("c")).filter("c >= 3").select("state")
     cdf = tr.dwell_cdf(dw.join(F.broadcast(enough), "state", "left_semi"), ["state"], max_dwell, 5)  # at most K rows
@@ -212,16 +215,17 @@ def rt3(conditions: dict[str, DataFrame], base: hmm.Model, baseline: str, win: i
     both = None
     for t in conditions.values():
         both = t if both is None else both.unionByName(t)
-    ann = hmm.annotate_regimes(both, models, baseline, win, step, delta)
+    ann = cut_lineage(hmm.annotate_regimes(both, models, baseline, win, step, delta), "annotated")
     return dict(models=models, scores=hmm.hmm_score(both, models, baseline), annotated=ann, summary=tr.regime_summary(ann, list(models)))
 
 
 def rt4(traces: DataFrame, m: hmm.Model, levels: list[float], target: float = 12.75) -> DataFrame:
     """RT4: decode, shift the highest state to ``target``, decode again, time-weighted occupancy
     with its block spread, and the occupancy-weighted level per trace."""
-    first = hmm.hmm_decode(traces, m.ordered())
+    first = cut_lineage(hmm.hmm_decode(traces, m.ordered()), "decoded")
     moved = tr.shift_to_state(first, target).withColumn("signal", F.col("corrected")).drop("corrected", "shift", "state", "idx", "n_rows")
     d = tr.relabel_states(hmm.hmm_decode(moved, m.ordered()), ["trace_id"]).withColumn("state", F.col("new_state")).drop("new_state")
+    d = cut_lineage(d, "shifted")
     occ = tr.occupancy(d, ["trace_id"], "time").join(tr.occupancy_sd(d, m.k), ["trace_id", "state"])
     lv = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("state") + 1)
     w = occ.groupBy("trace_id").agg(F.sum(F.col("occupancy") * lv).alias("force"), F.sqrt(F.sum((F.col("sd") * lv) ** 2)).alias("force_se"))
