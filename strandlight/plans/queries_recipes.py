@@ -122,7 +122,7 @@ def _two_tracks(s, d):
 
 query("S21_region_profiles", sql("""SELECT track, bin, mean FROM (
     SELECT 'ref' AS track, bin, avg(v) AS mean FROM rm GROUP BY bin UNION ALL SELECT 'half', bin, avg(v) FROM rm GROUP BY bin)""", "motifs", "track", rm="""
-    SELECT region_id, bin, avg(v) AS v FROM (SELECT chrom || '_' || center || strand AS region_id, CASE WHEN strand = '+' THEN 9 - bin ELSE bin END AS bin, v FROM
+    SELECT region_id, bin, avg(v) AS v FROM (SELECT g.chrom || '_' || center || strand AS region_id, CASE WHEN strand = '+' THEN 9 - bin ELSE bin END AS bin, v FROM
       (SELECT chrom, strand, center, unnest(range(10)) AS bin FROM motifs) g LEFT JOIN
       (SELECT chrom, base, value AS v FROM (SELECT chrom, value, unnest(range("start", "end")) AS base FROM track)) t
       ON g.chrom = t.chrom AND base >= center - 500 + bin * 100 AND base < center - 400 + bin * 100) GROUP BY ALL"""), dbl="mean")(
