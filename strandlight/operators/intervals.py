@@ -163,16 +163,21 @@ def territories(motifs: DataFrame, tol: int, last_by: str) -> DataFrame:
 
 
 def nearest_join(
-    calls: DataFrame, motifs: DataFrame, tol: int = 0, last_by: str = "start", bin_size: int = 1 << 16
+    calls: DataFrame, motifs: DataFrame, tol: int = 0, last_by: str = "start", bin_size: int | None = None
 ) -> DataFrame:
     """C11: each call with its nearest motif centre on the chromosome (inner).
 
     Centres are turned into disjoint territories once, on the small side, so a call meets at
     most one row per bin and never needs a group of its own. ``tol <= 0`` means no limit: the
     first and last territory of a chromosome are then open, and call bins are clamped to the
-    bins between the outermost centres. Motif columns come back with an ``m_`` prefix.
+    bins between the outermost centres. The bin width follows the span of the motif table, so
+    that the expanded table stays near 100,000 rows plus two per motif. Motif columns come back
+    with an ``m_`` prefix.
     """
     t = territories(motifs, tol, last_by)
+    if bin_size is None:
+        span = motifs.groupBy("chrom").agg((F.max("center") - F.min("center")).alias("s")).agg(F.sum("s")).first()[0]
+        bin_size = max(512, 1 << (int(span or 0) // 100_000).bit_length())
     m = t.select(*[F.col(c).alias(f"m_{c}") for c in motifs.columns], "t_lo", "t_hi")
     pos_bin = F.floor(F.col("call_pos") / bin_size)
     if tol > 0:
