@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.ordered import chunk_by, with_neighbors, with_running
-from strandlight.session import broadcast_if_small
+from strandlight.session import broadcast_if_small, cut_lineage
 
 LEFT, RIGHT = "a_", "b_"
 
@@ -194,6 +194,7 @@ def nearest_join(
         left = calls.join(broadcast_if_small(ext), F.col("chrom") == F.col("x_chrom"))
         left = left.withColumn("_bin", F.greatest(F.least(pos_bin, F.col("b1")), F.col("b0")))
         left = left.drop("x_chrom", "b0", "b1")
+    m = cut_lineage(m, "territories")  # counted for the broadcast check, then joined
     p = F.col("call_pos")
     cond = (
         (F.col("chrom") == F.col("m_chrom"))
