@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import lang_cnn
+from strandlight.llm import fm_decontam, lang_cnn
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     out = docs.select("doc_id", held.alias("held_out"), p.alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    h = fm_decontam.find_hits(spark, docs.select("doc_id", "text"), items)
+    return h.select(
+        "doc_id",
+        F.col("_hits.n_words").alias("n_words"),
+        F.col("_hits.n_hit").alias("n_hit"),
+        F.size("_hits.items").cast("long").alias("n_items"),
+        fm_decontam.digest(F.col("_hits.items")).alias("items_sha256"),
+        (F.col("_hits.n_hit") > 0).alias("contaminated"),
+    )
