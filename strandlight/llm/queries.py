@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import fm_decontam, lang_cnn
+from strandlight.llm import fm_decontam, lang_cnn, pack_bounded
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         fm_decontam.digest(F.col("_hits.items")).alias("items_sha256"),
         (F.col("_hits.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op9_pack")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_bounded.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
