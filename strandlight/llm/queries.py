@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import fm_decontam, lang_cnn, pack_bounded
+from strandlight.llm import fm_decontam, lang_cnn, pack_bounded, pii_semicrf
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_bounded.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = pii_semicrf.train(docs)
+    out = docs.select("doc_id", pii_semicrf.spans_column(F.col("text"), w).alias("p"))
+    kinds = F.transform("p.base", lambda x: x["kind"])
+    count = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii_semicrf.KINDS]
+    return out.select(
+        "doc_id", *count,
+        F.sha2(pii_semicrf.in_order(F.col("p.base")), 256).alias("base_sha256"),
+        pii_semicrf.in_order(F.concat("p.base", "p.added")).alias("spans"),
+        F.size("p.added").cast("long").alias("n_added"),
+    )
