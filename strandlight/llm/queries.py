@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import fm_decontam, lang_cnn, pack_bounded, pii_semicrf
+from strandlight.llm import fm_decontam, jaccard_metric, lang_cnn, pack_bounded, pii_semicrf
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii_semicrf.in_order(F.concat("p.base", "p.added")).alias("spans"),
         F.size("p.added").cast("long").alias("n_added"),
     )
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_metric.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
