@@ -29,6 +29,14 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.col(col).cast("string")) % m
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one partition -> a spanning forest of them (at most one edge per node)."""
     parent: dict[int, int] = {}
