@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import embed_ego, fm_decontam, jaccard_metric, lang_cnn, pack_bounded, pii_semicrf, suffix_dedup
+from strandlight.llm import embed_ego, fm_decontam, jaccard_metric, lang_cnn, lattice_lm, pack_bounded, pii_semicrf, suffix_dedup
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ FROM embeddings v JOIN g ON g.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id
 @query("op1_embedding_links", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_ego.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op8_lattice_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice_lm.score(docs, crc_mod("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
