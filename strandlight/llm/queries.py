@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.llm import embed_ego, fm_decontam, jaccard_metric, lang_cnn, lattice_lm, pack_bounded, pii_semicrf, suffix_dedup
+from strandlight.llm import embed_ego, fm_decontam, jaccard_metric, lang_cnn, lattice_lm, license_rules, pack_bounded, pii_semicrf, suffix_dedup, url_templates
 from strandlight.llm.common import crc_mod, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lattice_lm.score(docs, crc_mod("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_url_templates", url_templates.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge(pages, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+@query("op3_license_rules", license_rules.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
