@@ -8,7 +8,8 @@ tokens chooses boundaries and kinds jointly. No entity can lie outside an island
 0, so segmenting the islands alone gives the best segmentation of the whole text.
 
 It is trained on islands of a bounded sample of documents, labelled by the base, with written variants
-of the labelled spans (without a plus sign, with "at" and "dot", other separators) as further examples.
+of the labelled spans (without a plus sign, with "at" and "dot", other separators) as further examples and
+spoiled ones (wrong check digit, part beyond 255) as counter-examples.
 Added spans never overlap base spans. Offsets are code points, ends exclusive. Null text is empty.
 A table without any base match trains no field, and only the base counts.
 """
@@ -212,6 +213,13 @@ def variants(kind: str, x: str) -> list[str]:
     return [x.replace(".", " . ")]
 
 
+def spoiled(kind: str, x: str) -> list[str]:
+    """Changed base matches that are no personal data any more: a wrong check digit, a part beyond 255."""
+    if kind == "card":
+        return [x[:-1] + str((int(x[-1]) + k) % 10) for k in (1, 5)]
+    return [re.sub("^[0-9]+", "999", x)] if kind == "ip" else []
+
+
 def fit(samples: list[str], epochs: int = 60, rate: float = 0.1, l2: float = 1e-3) -> np.ndarray | None:
     """Weights (kinds x features) from island texts with a little context; None without a base match."""
     data = []
@@ -219,7 +227,9 @@ def fit(samples: list[str], epochs: int = 60, rate: float = 0.1, l2: float = 1e-
         gold = base_spans(t)
         data += [(t, gold)]
         for kind, s, e in gold:
-            data += [(t[:s] + v + t[e:], [(kind, s, s + len(v))]) for v in variants(kind, t[s:e]) if len(gold) == 1]
+            if len(gold) == 1:
+                data += [(t[:s] + v + t[e:], [(kind, s, s + len(v))]) for v in variants(kind, t[s:e])]
+                data += [(t[:s] + v + t[e:], []) for v in spoiled(kind, t[s:e])]
     if not any(g for _, g in data):
         return None
     built = [(Lattice(t, a, b), set(g)) for t, g in data for a, b in islands(t)]
