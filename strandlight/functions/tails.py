@@ -91,17 +91,20 @@ def signed_rank_exact(w: float, n: int) -> float:
 
 
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U: number of ways to reach each U for the two sample sizes."""
-    ways = {(0, j): np.array([1.0]) for j in range(n2 + 1)}
-    for i in range(1, n1 + 1):
-        ways[(i, 0)] = np.array([1.0])
-        for j in range(1, n2 + 1):
-            out = np.zeros(i * j + 1)
-            a, b = ways[(i, j - 1)], ways[(i - 1, j)]
-            out[: len(a)] += a
-            out[j : j + len(b)] += b
-            ways[(i, j)] = out
-    c = ways[(n1, n2)]
+    """Two-sided exact p of U: number of ways to reach each U for the two sample sizes.
+
+    The counts are the coefficients of the Gaussian binomial, built by one multiplication and one
+    division by (1 - x^k) per step on a single array of n1 n2 + 1 numbers.
+    """
+    size = n1 * n2 + 1
+    c = np.zeros(size)
+    c[0] = 1.0
+    for i in range(1, min(n1, n2) + 1):
+        k = max(n1, n2) + i
+        if k < size:
+            c[k:] -= c[:-k].copy()
+        for r in range(i):  # cumulative sums in steps of i
+            c[r::i] = np.cumsum(c[r::i])
     return float(min(1.0, 2.0 * c[int(max(u, n1 * n2 - u)) :].sum() / c.sum()))
 
 
@@ -124,13 +127,16 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def signed_rank_p(stat: pd.Series, n: pd.Series, tie: pd.Series, zeros: pd.Series) -> pd.Series:
-    """Signed-rank p: exact for n <= 50 without ties or zeros, else the tie-corrected normal."""
+def signed_rank_p(stat: pd.Series, n: pd.Series, tie: pd.Series, zeros: pd.Series, method: pd.Series) -> pd.Series:
+    """Signed-rank p: ``exact``, ``normal`` (tie-corrected) or ``auto`` (exact for n <= 50 without ties or zeros)."""
     out = []
-    for w, k, t, z0 in zip(stat, n, tie, zeros):
+    for w, k, t, z0, how in zip(stat, n, tie, zeros, method):
+        plain = t == 0 and z0 == 0
         if k == 0:
             out.append(1.0)
-        elif k <= 50 and t == 0 and z0 == 0:
+        elif how == "exact" and not plain:
+            out.append(math.nan)
+        elif plain and (how == "exact" or how == "auto" and k <= 50):
             out.append(signed_rank_exact(w, int(k)))
         else:
             sd = math.sqrt(k * (k + 1) * (2 * k + 1) / 24.0 - t / 48.0)
@@ -139,14 +145,17 @@ def signed_rank_p(stat: pd.Series, n: pd.Series, tie: pd.Series, zeros: pd.Serie
 
 
 @F.pandas_udf(T.DoubleType())
-def rank_sum_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie: pd.Series) -> pd.Series:
-    """Mann-Whitney p: exact for a small tie-free sample, else normal with continuity correction."""
+def rank_sum_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, tie: pd.Series, method: pd.Series) -> pd.Series:
+    """Mann-Whitney p: ``exact``, ``normal`` (with continuity correction) or ``auto`` (exact for a tie-free
+    sample of at most 8 on one side)."""
     out = []
-    for u, a, b, t in zip(u1, n1, n2, tie):
+    for u, a, b, t, how in zip(u1, n1, n2, tie, method):
         n = a + b
         if a == 0 or b == 0:
             out.append(math.nan)
-        elif min(a, b) <= 8 and t == 0:
+        elif how == "exact" and t != 0:
+            out.append(math.nan)
+        elif t == 0 and (how == "exact" or how == "auto" and min(a, b) <= 8):
             out.append(rank_sum_exact(u, int(a), int(b)))
         else:
             sd = math.sqrt(a * b / 12.0 * ((n + 1) - t / (n * (n - 1.0))))

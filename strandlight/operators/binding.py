@@ -36,6 +36,8 @@ NUC_UP_BIT, NUC_DOWN_BIT = 60, 61
 
 def bit_of(code: int) -> int:
     """Bit position of a bin code: 0..14 and 21..39 as they are, -1..-19 at 41..59."""
+    if not -19 <= code <= 39:
+        raise ValueError(f"bin code {code}: a mask holds at most 19 flank tiles per side")
     return code if code >= 0 else 40 - code
 
 

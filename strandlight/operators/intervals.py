@@ -74,21 +74,24 @@ def overlap_a(a: DataFrame, b: DataFrame, dedup: bool = False, **kw) -> DataFram
 def overlap_semi(a: DataFrame, b: DataFrame, bin_size: int = 2048, a_max_len: int | None = None) -> DataFrame:
     """``a`` rows that touch any ``b`` row, each once.
 
-    ``a`` keeps a single bin, so a plain left-semi join is exact and ``a`` is never regrouped.
-    When no length bound is given it is read from the data in one aggregate.
+    With a length bound ``a`` keeps a single bin, so a plain left-semi join is exact and ``a`` is never
+    regrouped. Without one, rows of ``a`` are looked up in every bin they touch and then kept once, so
+    one long row does not widen the bins of all others.
     """
-    if a_max_len is None:
-        a_max_len = a.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
-    size = max(bin_size, 1 << (a_max_len - 1).bit_length())
     B = _prefixed(b.select("chrom", "start", "end").distinct(), RIGHT)
-    B = B.withColumn("b__bin", F.explode(_bins(F.col("b_start") - a_max_len, F.col("b_end"), size)))
-    A = a.withColumn("_bin", F.floor(F.col("start") / size))
     cond = (
         (F.col("chrom") == F.col("b_chrom"))
         & (F.col("_bin") == F.col("b__bin"))
         & (F.col("start") < F.col("b_end"))
         & (F.col("end") > F.col("b_start"))
     )
+    if a_max_len is None:
+        B = B.withColumn("b__bin", F.explode(_bins(F.col("b_start"), F.col("b_end"), bin_size)))
+        A = a.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end"), bin_size)))
+        return A.join(broadcast_if_small(B), cond, "left_semi").dropDuplicates(["_row"]).select(*a.columns)
+    size = max(bin_size, 1 << (a_max_len - 1).bit_length())
+    B = B.withColumn("b__bin", F.explode(_bins(F.col("b_start") - a_max_len, F.col("b_end"), size)))
+    A = a.withColumn("_bin", F.floor(F.col("start") / size))
     return A.join(broadcast_if_small(B), cond, "left_semi").drop("_bin")
 
 

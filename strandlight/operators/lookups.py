@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,21 +59,26 @@ def restrict_motifs(cm: DataFrame, motifs: DataFrame, with_strand: bool = False)
 
 def target_motif(motifs: DataFrame, regions: DataFrame, idx: int | None = None) -> DataFrame:
     """Per region the overlapping motif (inclusive ends) closest to its midpoint, or the
-    ``idx``-th in (start, end) order."""
-    r = regions.select(F.col("chrom").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    j = motifs.join(
-        broadcast_if_small(r),
-        (F.col("chrom") == F.col("r_chrom")) & (F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start")),
-    )
-    row = F.struct(*[F.col(c) for c in motifs.columns])
+    ``idx``-th in (start, end) order.
+
+    The bucketed overlap join keys by position, so no chromosome is one key.
+    """
+    from strandlight.operators.intervals import overlap_join
+
+    r = regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    # half-open intervals, one longer on the region's side, meet exactly where closed ones do
+    wide = r.withColumn("start", F.col("r_start")).withColumn("end", F.col("r_end") + 1)
+    m = motifs.select(F.struct(*motifs.columns).alias("m"), "chrom", "start", (F.col("end") + 1).alias("end"))
+    j = overlap_join(m, wide.distinct())
+    j = j.select(F.col("a_m").alias("m"), F.col("b_chrom").alias("r_chrom"), F.col("b_r_start").alias("r_start"), F.col("b_r_end").alias("r_end"))
+    keys = ["r_chrom", "r_start", "r_end"]
     mid = F.floor((F.col("r_start") + F.col("r_end")) / 2)
-    g = j.groupBy("r_chrom", "r_start", "r_end")
     if idx is None:
-        pick = g.agg(F.min_by(row, F.struct(F.abs(F.col("center") - mid), "start", "end")).alias("m"))
+        pick = j.groupBy(*keys).agg(F.min_by("m", F.struct(F.abs(F.col("m.center") - mid), "m.start", "m.end")).alias("m"))
     else:
-        pick = g.agg(F.sort_array(F.collect_list(F.struct("start", "end", row.alias("m")))).alias("l"))
-        pick = pick.withColumn("m", F.get("l", F.lit(idx)).getField("m")).drop("l")
-    return pick.select("r_chrom", "r_start", "r_end", "m.*")
+        w = Window.partitionBy(*keys).orderBy("m.start", "m.end")
+        pick = j.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == idx + 1)
+    return pick.select(*keys, "m.*")
 
 
 def complete_bins(df: DataFrame, W: int, w: int, keys: list[str] | None = None, name: str = "rel_bin") -> DataFrame:
@@ -97,20 +102,22 @@ def curves_wide(curves: dict[str, DataFrame], key: str, value: str) -> DataFrame
 
 
 def attach_baseline(curves: DataFrame, wide_map: DataFrame) -> DataFrame:
-    """C17: map each curve to its baseline; the wide map (header = baseline, cells = curves) is
-    unpivoted first."""
+    """C17: map each curve to its baseline, null where the map has none; the wide map (header = baseline,
+    cells = curves) is unpivoted first."""
     cols = wide_map.columns
     long = wide_map.select([F.col(f"`{c}`").cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "baseline_curve", "curve"
     ).filter("curve IS NOT NULL")
-    return curves.join(broadcast_if_small(long), "curve")
+    return curves.join(broadcast_if_small(long), "curve", "left")
 
 
 def attach_calibration(curves: DataFrame, cal: DataFrame, value: str = "kappa") -> DataFrame:
-    """C17: stiffness of both channels per (date, curve)."""
+    """C17: stiffness of both channels per (date, curve); a curve without calibration fails the job."""
     k = cal.groupBy("date", "curve").pivot("channel", ["1x", "2x"]).agg(F.first(value))
     k = k.withColumnRenamed("1x", f"{value}_1x").withColumnRenamed("2x", f"{value}_2x")
-    return curves.join(broadcast_if_small(k), ["date", "curve"])
+    out = curves.join(broadcast_if_small(k.withColumn("_has", F.lit(True))), ["date", "curve"], "left")
+    lost = F.raise_error(F.concat(F.lit("no calibration for curve "), F.col("curve").cast("string"))).cast("boolean")
+    return out.filter(F.coalesce("_has", lost)).drop("_has")
 
 
 def order_tracks(r: DataFrame, bins: list[int]) -> DataFrame:

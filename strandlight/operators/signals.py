@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlight.operators.intervals import overlap_join
 from strandlight.ordered import chunk_by, with_index, with_running
-from strandlight.session import broadcast_if_small
+from strandlight.session import broadcast_if_small, cut_lineage
 
 
 def clamp_interval(df: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -66,14 +66,16 @@ def quantile_counts(df: DataFrame, q: str = "quantile") -> DataFrame:
     return df.groupBy(q).agg(F.count("*").alias("n"))
 
 
-def value_chunks(
-    df: DataFrame, value: str, pieces: int = 512, bounds: tuple[float, float] | None = None
-) -> DataFrame:
-    """Chunks monotone in the value, between known bounds or its exact minimum and maximum."""
-    mn, mx = bounds or df.agg(F.min(value), F.max(value)).first()
-    if mn is None or mx <= mn:
+def value_chunks(df: DataFrame, value: str, rows: int = 50_000) -> DataFrame:
+    """Chunks of about ``rows`` rows each, monotone in the value, whatever its distribution.
+
+    A range partition on the value gives the edges; the table is written so that they stay.
+    """
+    n = df.count()
+    if n <= rows:
         return df.withColumn("_chunk", F.lit(0).cast("long"))
-    return df.withColumn("_chunk", F.floor((F.col(value) - mn) / ((mx - mn) / pieces)).cast("long"))
+    laid = df.repartitionByRange(-(-n // rows), value).withColumn("_chunk", F.spark_partition_id().cast("long"))
+    return cut_lineage(laid, "chunks")
 
 
 def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float] | None:
@@ -102,7 +104,7 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float]
 
 def average_ranks(
     df: DataFrame, value: str, keys: list[str] | None = None, out: str = "rank",
-    bounds: tuple[float, float] | None = None,
+    rows: int = 50_000,
 ) -> DataFrame:
     """Tie-averaged ranks (1-based) per key, through counts of distinct values.
 
@@ -112,7 +114,7 @@ def average_ranks(
     keys = keys or []
     base = df.filter(F.col(value).isNotNull())
     cnt = base.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    cnt = value_chunks(cnt, value, bounds=bounds)
+    cnt = value_chunks(cnt, value, rows)
     tagged = cnt if keys else cnt.withColumn("_all", F.lit(1))
     kk = keys or ["_all"]
     run = with_running(tagged, kk, [value], {"_run": F.col("_c")}, totals=True)

@@ -41,7 +41,7 @@ def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", missing: str = "exclude
     base = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)) if missing == "one" else F.col(p))
     # ranks per distinct p: every row of a tie takes the highest rank, as the running minimum would
     cnt = base.filter("_p IS NOT NULL").groupBy("_p").agg(F.count("*").alias("_c"))
-    run = with_running(value_chunks(cnt, "_p", bounds=(0.0, 1.0)).withColumn("_all", F.lit(1)), ["_all"], ["_p"], {"_k": F.col("_c")}, totals=True)
+    run = with_running(value_chunks(cnt, "_p").withColumn("_all", F.lit(1)), ["_all"], ["_p"], {"_k": F.col("_c")}, totals=True)
     run = run.withColumn("_q", F.least(F.col("_p") * F.col("_k_total") / F.col("_k"), F.lit(1.0)))
     per = run.groupBy("_chunk").agg(F.min("_q").alias("_m"))
     after = Window.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)  # one row per chunk, at most 513
@@ -68,7 +68,7 @@ def pairwise_wilcoxon(bp: DataFrame, bins: list[int]) -> DataFrame:
         F.count("*").alias("n_paired"), F.avg("x").alias("mean1"), F.avg("y").alias("mean2"),
         F.count_if(F.col("d") == 0).alias("n_zero"), F.max(F.abs("d")).alias("top"),
     )
-    r = average_ranks(d.filter("d <> 0").withColumn("ad", F.abs("d")), "ad", keys, bounds=(0.0, 1.0))
+    r = average_ranks(d.filter("d <> 0").withColumn("ad", F.abs("d")), "ad", keys)
     t = F.col("ties").cast("double")
     w = r.groupBy(*keys).agg(
         F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
@@ -86,11 +86,18 @@ def pairwise_wilcoxon(bp: DataFrame, bins: list[int]) -> DataFrame:
     )
 
 
-def pairwise_tests(bp: DataFrame, bins: list[int], method: str = "wilcoxon", alpha: float = 0.05) -> DataFrame:
-    """Statistics with p, Benjamini-Hochberg (missing p counts as 1) and the verdict."""
+def pairwise_tests(bp: DataFrame, bins: list[int], method: str = "wilcoxon", alpha: float = 0.05, p_method: str = "auto") -> DataFrame:
+    """Statistics with p, Benjamini-Hochberg (missing p counts as 1) and the verdict.
+
+    ``p_method``: ``normal`` (tie-corrected), ``exact`` (null where ties or zeros rule it out), or
+    ``auto``, the rule of the common statistics library: exact without ties or zeros for at most 50
+    differences (signed ranks) or at most 8 values in the smaller sample (rank sums), else normal.
+    """
+    if p_method not in ("auto", "exact", "normal"):
+        raise ValueError(p_method)
     if method == "wilcoxon":
         t = pairwise_wilcoxon(bp, bins)
-        p = signed_rank_p(F.col("stat"), F.col("n_used"), F.col("tie_term"), F.col("n_zero"))
+        p = signed_rank_p(F.col("stat"), F.col("n_used"), F.col("tie_term"), F.col("n_zero"), F.lit(p_method))
         t = t.withColumn("p_value", F.when(F.col("flat"), 1.0).otherwise(p)).drop("flat")
     else:
         v = bp.filter(F.col("zf").isin(bins) & F.col("binding_prob").isNotNull()).select("zf", "binding_prob")
@@ -100,17 +107,17 @@ def pairwise_tests(bp: DataFrame, bins: list[int], method: str = "wilcoxon", alp
             F.when(F.col("zf").isin(a, b), F.struct(F.lit(a).alias("bin1"), F.lit(b).alias("bin2"))) for a, b in pairs]))
         rows = v.select("zf", "binding_prob", F.explode(hits).alias("k")).select("k.*", "zf", "binding_prob")
         rows = rows.withColumn("side", F.when(F.col("zf") == F.col("bin1"), 1).otherwise(2))
-        t = rank_sums(rows, ["bin1", "bin2"], "side", "binding_prob", (0.0, 1.0)).withColumn("stat", F.col("u1"))
-        t = t.withColumn("p_value", rank_sum_p(F.col("u1"), F.col("n1"), F.col("n2"), F.col("tie_term")))
+        t = rank_sums(rows, ["bin1", "bin2"], "side", "binding_prob").withColumn("stat", F.col("u1"))
+        t = t.withColumn("p_value", rank_sum_p(F.col("u1"), F.col("n1"), F.col("n2"), F.col("tie_term"), F.lit(p_method)))
     t = t.withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))
     return bh_adjust(t, "p_value", missing="one").withColumn("significant", (F.col("p_adj") < alpha).cast("int"))
 
 
 def rank_sums(
-    df: DataFrame, keys: list[str], side: str, value: str, bounds: tuple[float, float] | None = None
+    df: DataFrame, keys: list[str], side: str, value: str
 ) -> DataFrame:
     """Tie-averaged rank sums and U of sides 1 and 2 per key, with the tie term."""
-    r = average_ranks(df.filter(F.col(value).isNotNull()), value, keys, bounds=bounds)
+    r = average_ranks(df.filter(F.col(value).isNotNull()), value, keys)
     one = F.col(side) == 1
     t = F.col("ties").cast("double")
     g = r.groupBy(*keys).agg(
@@ -133,10 +140,10 @@ def _sd_u():
 
 
 def mann_whitney(
-    df: DataFrame, keys: list[str], side: str, value: str, bounds: tuple[float, float] | None = None
+    df: DataFrame, keys: list[str], side: str, value: str
 ) -> DataFrame:
     """With the tie-corrected normal p, no continuity correction."""
-    g = rank_sums(df, keys, side, value, bounds).withColumn("sd_u", _sd_u())
+    g = rank_sums(df, keys, side, value).withColumn("sd_u", _sd_u())
     z = F.when(F.col("sd_u") > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2.0) / F.col("sd_u")).otherwise(0.0)
     return g.withColumn("z", z).withColumn("p_value", norm_p(F.col("z")))
 

@@ -125,8 +125,18 @@ def merge_close(ext: DataFrame, sign: str, keys: list[str], seconds: float = 2.0
     return ext.select(*cols).groupBy(*keys).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in cols))
 
 
+def first_valley(ext: DataFrame, curves: DataFrame, value: str, k: int, keys: list[str]) -> DataFrame:
+    """Where a curve has fewer than k minima, its first sample becomes one more candidate."""
+    few = ext.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    first = curves.groupBy(*keys).agg(F.min_by(F.struct("t", F.col(value).alias("value")), "ev").alias("_f"))
+    first = first.join(few, keys, "left").filter(F.coalesce("_n", F.lit(0)) < k)
+    add = first.select(*keys, F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("idx"), "_f.t", "_f.value")
+    return ext.select(*add.columns).unionByName(add)
+
+
 def top_peaks(ext: DataFrame, k: int, sign: str, keys: list[str]) -> DataFrame:
-    """The k most extreme candidates per curve, numbered in position order."""
+    """The k most extreme candidates per curve, numbered in position order (for minima, add
+    ``first_valley`` before)."""
     v = F.desc("value") if sign == "+" else F.asc("value")
     pos = F.desc("idx") if sign == "+" else F.asc("idx")
     a = ext.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(v, pos))).filter(F.col("_r") <= k)

@@ -93,7 +93,7 @@ query("R1C_profile", sql("""SELECT motif_id, rel_bin, avg(f) AS mean, stddev_pop
 query("R1C_raster")(lambda s, d: rc.r1c(ad.calls(s, d), ad.motifs(s, d))["raster"])
 query("R1E_decile_clusters")(lambda s, d: rc.r1e(ad.calls_motif(s, d), ad.motifs(s, d), ad.track(s, d), ad.chrom_sizes(s, d)))
 query("R1E_rank_test")(lambda s, d: st.mann_whitney(
-    rc.r1e(ad.calls_motif(s, d), ad.motifs(s, d), ad.track(s, d), ad.chrom_sizes(s, d)), ["cluster"], "side", "value", (0.0, 1.0)))
+    rc.r1e(ad.calls_motif(s, d), ad.motifs(s, d), ad.track(s, d), ad.chrom_sizes(s, d)), ["cluster"], "side", "value"))
 query("R3C_decile_clusters")(lambda s, d: rc.r1e(ad.calls_motif(s, d), ad.motifs(s, d), ad.track(s, d), ad.chrom_sizes(s, d), dynamic=True))
 query("R3B_correlation")(lambda s, d: rc.r3b(ad.calls_motif(s, d), ad.signals(s, d))[0])
 query("S1B_macro_profile", sql("""SELECT rel_bin, mean, sd, n_motifs, label, avg(mean) OVER (PARTITION BY label ORDER BY rel_bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM (

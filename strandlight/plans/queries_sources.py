@@ -3,6 +3,7 @@ folder and read back, so the work grows with them."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlight.functions import calls as fc
@@ -170,7 +171,35 @@ def _region_file(s, d):
     return p
 
 
-query("A14_read_regions", sql('SELECT chrom, "start", "end", strand FROM motifs', "motifs"))(lambda s, d: g.read_regions(s, _region_file(s, d)))
+query("A14_read_regions", sql('SELECT chrom, "start", "end", strand FROM motifs', "motifs"))(lambda s, d: g.read_regions(s, _region_file(s, d)).drop("region_id"))
+
+
+def _paired(s, d):
+    """Matrix and region files of as many rows, read back, paired by number and turned by strand."""
+    p, q = _out(s, "pairs-m"), _out(s, "pairs-r")
+    e = ad.table(s, d, "embeddings").orderBy("vec_id").coalesce(1)
+    e.select(F.concat_ws("\t", F.lit("row"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), "\t")).alias("value")).write.text(p)
+    e.select(F.expr("concat_ws('\t', 'chr' || (vec_id % 5), vec_id * 10, vec_id * 10 + 5, if(vec_id % 3 = 0, '-', '+'))").alias("value")).write.text(q)
+    m = g.matrix_with_regions(g.read_matrix_tab(s, p), g.read_regions(s, q))
+    return m.withColumn("bin", F.when(F.col("strand") == "-", 63 - F.col("bin")).otherwise(F.col("bin")))
+
+
+query("A13_A14_paired_profile", """SELECT CASE WHEN vec_id % 3 = 0 THEN 64 - i ELSE i - 1 END AS bin, sum(vec_id * round(CAST(embedding[i] AS DOUBLE), 4)) AS weighted, count(*) AS n
+    FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1""", dbl="weighted", ints="bin", digits=3)(
+    lambda s, d: _paired(s, d).groupBy("bin").agg(F.sum(F.col("start") / 10 * F.col("value")).alias("weighted"), F.count("*").alias("n")))
+
+
+def _mixed_motifs(s, d):
+    p = _out(s, "mixed")
+    ad.motifs(s, d).select(F.expr("concat_ws('\t', chrom, start, end, strand, if(start % 3 = 0, 'text', cast(center AS string)))").alias("value")).write.text(p)
+    return p
+
+
+query("A5_read_motifs_all_or_nothing", sql('SELECT chrom, "start", "end", strand, CAST(floor(("start" + "end") / 2) AS BIGINT) AS center FROM motifs', "motifs"))(
+    lambda s, d: g.read_motifs(s, _mixed_motifs(s, d), all_or_nothing=True))
+query("A12_to_bed6_priority", sql("""SELECT chrom, "start", "end", 'id' || center AS name, 0 AS score, strand FROM motifs""", "motifs"), ints="score")(
+    lambda s, d: g.to_bed6(ad.motifs(s, d).select(F.lit("x").alias("chrom"), F.col("chrom").alias("chr_motif"), F.lit(1).alias("start"), F.col("start").alias("start_motif"),
+        F.lit(2).alias("end"), F.col("end").alias("end_motif"), F.lit("n").alias("name"), F.concat(F.lit("id"), F.col("center")).alias("motif_id"), F.lit("?").alias("strand"), F.col("strand").alias("strand_motif"))))
 
 
 def _trace_files(s, d):
@@ -185,6 +214,19 @@ query("A15_read_traces", """SELECT 'condition=' || (user_id % 4) AS condition, c
     lambda s, d: ts.read_traces(s, _trace_files(s, d)).groupBy("condition").agg(F.count("*").alias("n"), F.sum("signal").alias("total")))
 
 
+def _single_trace_files(s, d):
+    """A file per trace, below condition and trace folders."""
+    p = _out(s, "single-traces")
+    t = ad.traces(s, d).select("condition", F.col("trace_id").alias("tid"), F.col("t").alias("time (seconds)"), F.col("signal").alias("force (pN)"), "ev")
+    t.repartition("condition", "tid").sortWithinPartitions("condition", "tid", "ev").drop("ev").write.option("header", True).partitionBy("condition", "tid").csv(p)
+    return ts.read_traces(s, p)
+
+
+query("A15_read_traces_keys", """SELECT 'condition=' || (user_id % 4) || '/tid=' || user_id AS condition, count(*) AS n, sum(value) AS total, CAST(1 AS BIGINT) AS ids, CAST(0 AS BIGINT) AS back FROM events GROUP BY user_id""", dbl="total")(
+    lambda s, d: (lambda t: t.withColumn("b", F.when(F.col("t") < F.lag("t").over(Window.partitionBy("trace_id").orderBy("ev")), 1).otherwise(0)).groupBy("condition").agg(
+        F.count("*").alias("n"), F.sum("signal").alias("total"), F.countDistinct("trace_id").alias("ids"), F.sum("b").alias("back")))(_single_trace_files(s, d)))
+
+
 def _history_files(s, d):
     p = _out(s, "histories")
     h = ad.traces(s, d).groupBy((F.col("trace_id") % 6 + 1).alias("k"), (F.col("ev") % 5 + 1).cast("int").alias("iteration")).agg((-F.sum("signal")).alias("log_likelihood"))
@@ -223,7 +265,7 @@ def _quantile_files(s, d):
     g.quantile_beds(m.select("chrom", "start", "end", "center", "v", "quantile"), p, 4)
     out = None
     for i in range(1, 5):
-        t = s.read.schema("chrom string, start long, end long, center long, v double").option("sep", "\t").csv(f"{p}/quantile_{i}").withColumn("quantile", F.lit(i))
+        t = s.read.schema("chrom string, start long, end long, center long, v double").option("sep", "\t").csv(f"{p}/quantile={i}").withColumn("quantile", F.lit(i))
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -238,6 +238,10 @@ def _peaks(s, d, sign, k):
 
 
 query("W11_top_peaks")(lambda s, d: _peaks(s, d, "+", 3))
+query("W11_first_valley", sql("""SELECT * FROM e UNION ALL SELECT trace_id, -1, 0, f1 FROM cu WHERE idx = 0
+        AND trace_id NOT IN (SELECT trace_id FROM e GROUP BY trace_id HAVING count(*) >= 3)""", "traces", cu=_CURVE, e="""SELECT trace_id, block, arg_min(idx, {'v': f1, 'i': idx}) AS idx, min(f1) AS value FROM
+        (SELECT *, CAST(floor(idx / 40) AS BIGINT) AS block FROM cu WHERE idx < n_rows - 1) GROUP BY trace_id, block"""), dbl="value", ints="idx block")(
+    lambda s, d: uz.first_valley(uz.block_extrema(curves(s, d), "f1", 40, "-", ["trace_id"]), curves(s, d), "f1", 3, ["trace_id"]).drop("t"))
 _PK = dict(cu=_CURVE, bl="SELECT *, CAST(floor(idx / 10) AS BIGINT) AS block FROM cu WHERE idx < n_rows - 1",
            pk="""SELECT trace_id, idx, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS n FROM (SELECT trace_id, idx, row_number() OVER (PARTITION BY trace_id ORDER BY v DESC, idx DESC) AS r FROM
                  (SELECT trace_id, block, arg_min(idx, {'v': -f1, 'i': idx}) AS idx, max(f1) AS v FROM bl GROUP BY ALL)) WHERE r <= 3""",
@@ -294,8 +298,8 @@ def _wide_map(s, d):
     return t.select(*[F.when(F.col("c") % 7 == b, F.col("c")).alias(str(b)) for b in range(1, 7)])
 
 
-query("C17_attach_baseline", """SELECT CAST(c AS VARCHAR) AS curve, CAST(c % 7 AS VARCHAR) AS baseline_curve, n FROM
-    (SELECT user_id AS c, count(*) AS n FROM events GROUP BY user_id) WHERE c % 7 <> 0""")(
+query("C17_attach_baseline", """SELECT CAST(c AS VARCHAR) AS curve, CASE WHEN c % 7 <> 0 THEN CAST(c % 7 AS VARCHAR) END AS baseline_curve, n FROM
+    (SELECT user_id AS c, count(*) AS n FROM events GROUP BY user_id)""")(
     lambda s, d: lk.attach_baseline(ad.traces(s, d).groupBy(F.col("trace_id").cast("string").alias("curve")).agg(F.count("*").alias("n")), _wide_map(s, d)))
 
 

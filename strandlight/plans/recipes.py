@@ -204,8 +204,10 @@ def pure_segments(annotated: DataFrame, m: hmm.Model, regime: str, max_dwell: fl
     dw = tr.dwell_last(d)
     enough = dw.filter(F.col("dwell") < max_dwell).groupBy("state").agg(F.count("*").alias("c")).filter("c >= 3").select("state")
     cdf = tr.dwell_cdf(dw.join(F.broadcast(enough), "state", "left_semi"), ["state"], max_dwell, 5)  # at most K rows
+    fitted = fits.fit_exp_cdf(cdf, ["state"])
+    states = d.select("state").distinct()  # a state with fewer dwells keeps its row, without a lifetime
     return dict(occupancy=tr.occupancy(d, ["grp"]), transitions=tr.transition_matrix(d, m.k, ["grp"]), signal=tr.state_signal(d, ["grp"]),
-                dwells=dw, lifetimes=fits.fit_exp_cdf(cdf, ["state"]))
+                dwells=dw, lifetimes=states.join(fitted, "state", "left"))
 
 
 def rt3(conditions: dict[str, DataFrame], base: hmm.Model, baseline: str, win: int = 500, step: int = 100, max_iter: int = 100,

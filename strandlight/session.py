@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -56,13 +58,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    It must be reachable from every executor. Only a local session that names none
-    (tests) falls back to a temporary folder.
+    It must be reachable from every executor. Only a single-process local session that names none
+    (tests, benchmarks) gets a temporary folder of its own; any cluster must set it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", named)
@@ -75,12 +77,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: survives executor loss, ends the lineage."""
+    """Write to the shared folder and read back: survives executor loss, ends the lineage.
+
+    The tables belong to the innermost open ``scratch`` block, which removes them; without one they stay
+    until the owner of the folder clears it.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Owner of the tables that ``cut_lineage`` writes inside the block: they are removed at its end, so
+    results that read them must be written or collected before."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the table provably holds at most ``max_rows`` rows."""
     if df.isStreaming:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlight.session import cut_lineage
+
 # Field order of the text formats.
 RAW_SCHEMA = (
     "chrom string, strand string, start long, end long, read_id string, llr double, ll_met double, ll_unmet double, "
@@ -23,12 +25,13 @@ INTERSECT_SCHEMA = WIDE_SCHEMA + (
 PEAK_SCHEMA = "chrom string, start long, end long, score double, field5 string, region string"
 SIGNAL_SCHEMA = "chrom string, start long, end long, strand string, signal double"
 TRACK_SCHEMA = "chrom string, start long, end long, value double"
-NAME_ALIASES = ["name", "motif_id", "id", "motif_name"]
+# Column aliases, the first that is there wins; names after the fourth (third for name, start, end) are additions.
+NAME_ALIASES = ["motif_id", "name", "id", "motif_name"]
 COLUMN_ALIASES = {
-    "chrom": ["chr", "chrom", "chromosome", "chr_motif", "seqnames"],
-    "start": ["start", "start_motif", "chromstart"],
-    "end": ["end", "end_motif", "stop", "chromend"],
-    "strand": ["strand", "strand_motif"],
+    "chrom": ["chr_motif", "chrom", "chr", "seqname", "chromosome", "seqnames"],
+    "start": ["start_motif", "start", "chromstart"],
+    "end": ["end_motif", "end", "chromend", "stop"],
+    "strand": ["strand_motif", "strand"],
 }
 
 
@@ -72,12 +75,17 @@ def detect_calls_format(spark: SparkSession, path) -> str:
     return "wide" if n <= 12 else "intersect"
 
 
-def read_motifs(spark: SparkSession, path) -> DataFrame:
+def read_motifs(spark: SparkSession, path, all_or_nothing: bool = False) -> DataFrame:
     """A5: chrom, start, end, strand, then the centre: the fifth field where it is a number, else
-    the floor midpoint."""
+    the floor midpoint. With ``all_or_nothing`` one row whose fifth field is text gives every row
+    its midpoint (an empty fifth field is only missing)."""
     df = spark.read.text(path).select(F.split("value", "\t").alias("f"))
     s, e = F.get("f", F.lit(1)).cast("long"), F.get("f", F.lit(2)).cast("long")
     c = F.expr("CAST(try_cast(get(f, 4) AS DOUBLE) AS BIGINT)")
+    if all_or_nothing:
+        bad = df.filter("trim(get(f, 4)) <> '' AND try_cast(get(f, 4) AS DOUBLE) IS NULL")
+        if not bad.isEmpty():
+            c = F.lit(None).cast("long")
     return df.select(
         F.get("f", F.lit(0)).alias("chrom"), s.alias("start"), e.alias("end"), F.get("f", F.lit(3)).alias("strand"),
         F.coalesce(c, F.floor((s + e) / 2)).alias("center"),
@@ -114,11 +122,15 @@ def hit_positions(hits: DataFrame) -> DataFrame:
 
 
 def read_track(spark: SparkSession, path) -> DataFrame:
-    """A10: signal intervals from bedGraph text or Parquet."""
+    """A10: signal intervals from bedGraph text or Parquet. Header lines (comments, track, browser)
+    are skipped; any other line must parse, or the read fails."""
     if str(path).endswith(".parquet"):
         return spark.read.schema(TRACK_SCHEMA).parquet(path)
-    df = spark.read.schema(TRACK_SCHEMA).option("sep", "\t").option("comment", "#").option("mode", "DROPMALFORMED").csv(path)
-    return df.filter("start IS NOT NULL")
+    t = spark.read.text(path).filter("NOT (trim(value) = '' OR value LIKE '#%' OR value LIKE 'track%' OR value LIKE 'browser%')")
+    f = F.split("value", "\t")
+    return t.select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start"),
+                    F.get(f, F.lit(2)).cast("long").alias("end"), F.get(f, F.lit(3)).cast("double").alias("value")).filter(
+        F.when(F.col("start").isNull() | F.col("end").isNull(), F.raise_error(F.lit("track line without coordinates")).cast("boolean")).otherwise(True))
 
 
 def read_chrom_sizes(spark: SparkSession, path) -> DataFrame:
@@ -167,18 +179,37 @@ def to_bed6(df: DataFrame) -> DataFrame:
     return t.withColumn("name", F.concat(F.lit("motif"), (F.col("_i") + 1).cast("string"))).select(*out.columns)
 
 
+def _numbered(lines: DataFrame, row_col: str) -> DataFrame:
+    """Lines of one text input numbered 0.. in file order.
+
+    Partition ids follow file order; one small row per partition carries the offsets.
+    """
+    t = lines.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    t = cut_lineage(t, "lines")
+    per = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = t.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_m")) - 1)
+    return at.join(per.select("_part", before.alias("_b")), "_part").withColumn(row_col, (F.col("_b") + F.col("_k")).cast("long")).drop("_m", "_part", "_k", "_b")
+
+
 def read_matrix_tab(spark: SparkSession, path, row_col: str = "region_id") -> DataFrame:
-    """Numeric text rows in long form (row, bin, value): comment and blank lines and tokens
-    that are not numbers skipped. Rows carry their number within the file as given by a leading
-    row label when present, else a generated id per line (file offset order)."""
-    t = spark.read.text(path).filter("value <> '' AND NOT value LIKE '#%'")
-    t = t.select(F.monotonically_increasing_id().alias(row_col), "value")
-    vals = F.expr("filter(transform(split(trim(value), '[ \\t,]+'), x -> try_cast(x AS DOUBLE)), x -> x IS NOT NULL)")
-    t = t.select(row_col, vals.alias("v")).filter("size(v) > 0")
+    """Numeric text rows in long form (row, bin, value): comment and blank lines, and tab-separated
+    tokens that are not numbers, skipped; rows are numbered 0.. among the numeric ones, in file order."""
+    t = spark.read.text(path).filter("trim(value) <> '' AND NOT value LIKE '#%'")
+    vals = F.expr("filter(transform(split(value, '\t'), x -> try_cast(trim(x) AS DOUBLE)), x -> x IS NOT NULL)")
+    t = _numbered(t.select(vals.alias("v")).filter("size(v) > 0"), row_col)
     return t.select(row_col, F.posexplode("v").alias("bin", "value")).withColumn(
         "value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def matrix_with_regions(matrix: DataFrame, regions: DataFrame, row_col: str = "region_id") -> DataFrame:
+    """A13 + A14: matrix rows with the region of the same number; different numbers of rows fail."""
+    m, r = matrix.select(row_col).distinct().count(), regions.count()
+    if m != r:
+        raise ValueError(f"{m} matrix rows, {r} regions")
+    return matrix.join(regions, row_col)
+
+
 def pad_matrix(mat: DataFrame, row_col: str = "region_id") -> DataFrame:
     """Every row padded with nulls to the widest one."""
     n = mat.agg(F.max("bin")).first()[0]
@@ -186,16 +217,17 @@ def pad_matrix(mat: DataFrame, row_col: str = "region_id") -> DataFrame:
     return grid.join(mat, [row_col, "bin"], "left")
 
 
-def read_regions(spark: SparkSession, path, strand_col: int | None = None) -> DataFrame:
-    """Region rows without comment, track and browser lines; the strand from the given
-    0-based column or the detected one."""
+def read_regions(spark: SparkSession, path, strand_col: int | None = None, row_col: str = "region_id") -> DataFrame:
+    """Region rows without comment, track and browser lines, numbered 0.. in file order; the strand
+    from the given 0-based column or the detected one, '+' where there is none."""
     t = spark.read.text(path).filter(
-        "value <> '' AND NOT value LIKE '#%' AND NOT value LIKE 'track%' AND NOT value LIKE 'browser%'"
+        "trim(value) <> '' AND NOT value LIKE '#%' AND NOT value LIKE 'track%' AND NOT value LIKE 'browser%'"
     ).select(F.split("value", "\t").alias("f"))
     if strand_col is None:
         strand_col = detect_strand_col(t)
-    s = F.get("f", F.lit(strand_col)) if strand_col is not None else F.lit(".")
-    return t.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("start"),
+    s = F.coalesce(F.get("f", F.lit(strand_col)), F.lit("+")) if strand_col is not None else F.lit("+")
+    t = _numbered(t, row_col)
+    return t.select(row_col, F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("start"),
                     F.get("f", F.lit(2)).cast("long").alias("end"), s.alias("strand"))
 
 
@@ -226,6 +258,8 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def quantile_beds(df: DataFrame, path: str, q: int, quantile: str = "quantile") -> None:
-    """One folder per quantile, an empty one included."""
-    for i in range(1, q + 1):
-        df.filter(F.col(quantile) == i).drop(quantile).write.option("sep", "\t").csv(f"{path}/quantile_{i}")
+    """One folder per quantile (``<quantile>=<i>``), written in one pass; empty quantiles get an empty folder."""
+    df.filter(F.col(quantile).between(1, q)).write.partitionBy(quantile).option("sep", "\t").csv(path)
+    have = {r[0] for r in df.filter(F.col(quantile).between(1, q)).select(quantile).distinct().collect()}  # at most q
+    for i in sorted(set(range(1, q + 1)) - have):
+        df.drop(quantile).limit(0).write.option("sep", "\t").csv(f"{path}/{quantile}={i}")

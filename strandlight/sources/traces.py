@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_traces(spark: SparkSession, root: str, time: str = "time (seconds)", value: str = "force (pN)") -> DataFrame:
-    """One CSV per trace below a condition folder; condition and trace id from the path."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(root)
-    p = F.col("_metadata.file_path")
+def read_traces(spark: SparkSession, root: str, time: str = "time (seconds)", value: str = "force (pN)",
+                extra: list[str] | None = None) -> DataFrame:
+    """One CSV per trace below a condition path: condition, trace_id, ev, t, signal.
+
+    ``condition`` is the whole path between the root and the file, so equal file names under several
+    conditions stay apart; ``trace_id`` is ``condition/file`` and thus unique. ``ev`` grows with the sample's
+    place in its file. All files must have the header of the first one, or the read fails.
+    """
+    def files() -> DataFrameReader:
+        return spark.read.option("header", True).option("recursiveFileLookup", True)
+
+    names = files().csv(root).columns  # of one file; every other file must have the same header
+    schema = ", ".join(f"`{c}` string" for c in names)
+    df = files().schema(schema).option("enforceSchema", False).csv(root)
+    base = root.rstrip("/").split("://")[-1]
+    below = F.element_at(F.split(F.url_decode("_metadata.file_path"), re.escape(base) + "/"), -1)
+    # rows of a block number less than its bytes, so the sum grows along a file and across its blocks
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return df.select(
-        F.url_decode(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1)).alias("condition"),
-        F.url_decode(F.regexp_extract(p, r"([^/]+)\.csv$", 1)).alias("trace_id"),
+        F.regexp_replace(below, "/?[^/]*$", "").alias("condition"), F.regexp_replace(below, "\\.csv$", "").alias("trace_id"), place.alias("ev"),
         F.col(f"`{time}`").cast("double").alias("t"), F.col(f"`{value}`").cast("double").alias("signal"),
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in extra or []],
     )
 
 
