@@ -96,21 +96,30 @@ def overlap_semi(a: DataFrame, b: DataFrame, bin_size: int = 2048, a_max_len: in
 
 
 def overlap_map(
-    a: DataFrame, b: DataFrame, aggs: dict[str, Column], bin_size: int = 2048, **kw
+    a: DataFrame, b: DataFrame, aggs: dict[str, Column], bin_size: int = 2048, a_max_len: int | None = None
 ) -> DataFrame:
     """Every ``a`` row with aggregates over the ``b`` rows it overlaps, null when none.
 
+    One left join and one aggregate by row number: ``a`` is read once.
+
     ``aggs`` maps output names to aggregate expressions over ``b_``-prefixed columns.
     """
-    keys = a.columns
-    j = overlap_join(a.distinct(), b, bin_size=bin_size, **kw)
-    got = j.groupBy(*[F.col(LEFT + c).alias(c) for c in keys]).agg(*[e.alias(n) for n, e in aggs.items()])
-    cond = None
-    left, right = a.alias("l"), got.alias("r")
-    for c in keys:
-        e = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        cond = e if cond is None else cond & e
-    return left.join(right, cond, "left").select("l.*", *[F.col(f"r.{n}").alias(n) for n in aggs])
+    A = _prefixed(a, LEFT).withColumn("_row", F.monotonically_increasing_id())
+    B = _prefixed(b, RIGHT)
+    a_s, a_e, b_s, b_e = (F.col(x) for x in ("a_start", "a_end", "b_start", "b_end"))
+    cond = (F.col("a_chrom") == F.col("b_chrom")) & (F.col("a__bin") == F.col("b__bin")) & (a_s < b_e) & (a_e > b_s)
+    if a_max_len is None:  # a pair meets in the bin of the later start only
+        A = A.withColumn("a__bin", F.explode(_bins(a_s, a_e, bin_size)))
+        B = B.withColumn("b__bin", F.explode(_bins(b_s, b_e, bin_size)))
+        cond = cond & (F.col("a__bin") == F.floor(F.greatest(a_s, b_s) / bin_size))
+    else:
+        long = F.raise_error(F.lit(f"interval longer than {a_max_len}")).cast("long")
+        A = A.withColumn("a__bin", F.when(a_e - a_s <= a_max_len, F.floor(a_s / bin_size)).otherwise(long))
+        B = B.withColumn("b__bin", F.explode(_bins(b_s - a_max_len, b_e, bin_size)))
+    rows = A.join(broadcast_if_small(B), cond, "left").groupBy("_row", *[LEFT + c for c in a.columns])
+    met = F.count("b_chrom") > 0
+    return rows.agg(*[F.when(met, e).alias(n) for n, e in aggs.items()]).select(
+        *[F.col(LEFT + c).alias(c) for c in a.columns], *aggs)
 
 
 def multi_depth(beds: DataFrame, min_k: int, label: str = "replicate", chunk_bp: int = 1 << 22) -> DataFrame:

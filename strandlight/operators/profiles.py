@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlight.operators.binding import CORE_MASK, PAIR, Windows, pair_masks
 from strandlight.operators.lookups import complete_bins
 from strandlight.ordered import with_index
+from strandlight.session import cut_lineage
 
 
 def _windowed(cm: DataFrame, W: int, w: int) -> DataFrame:
@@ -93,9 +94,12 @@ def _row_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def raster(reads: DataFrame, status: str = "M") -> DataFrame:
     """Per (motif, read, bin) 1 when any call has the chosen status, else 0; absent cells are
-    the -1 of a dense matrix. ``row_ord`` follows the first occupied bin, then the read id."""
+    the -1 of a dense matrix. ``row_ord`` follows the first occupied bin, then the read id.
+
+    The calls are read once: the cells are written, and the order comes from them."""
     cell = reads.groupBy(*PAIR, "rel_bin").agg(F.max((F.col("status") == status).cast("int")).alias("val"))
-    first = reads.groupBy(*PAIR).agg(F.min("rel_bin").alias("first_bin"))
+    cell = cut_lineage(cell, "cells")
+    first = cell.groupBy(*PAIR).agg(F.min("rel_bin").alias("first_bin"))
     order = _row_order(first.withColumn("_chunk", F.col("first_bin").cast("long")), ["first_bin", "read_id"], "row_ord")
     return cell.join(order.select(*PAIR, "row_ord"), PAIR)
 
