@@ -319,10 +319,16 @@ def maximization(s: np.ndarray, m: Model, flags: str = "stmc") -> Model:
 # ---------------------------------------------------------------- operators
 
 
-def initial_model(tr: DataFrame, k: int, init: str = "linspace") -> Model:
+def signal_facts(tr: DataFrame) -> tuple[float, float, float]:
+    """Least, largest and variance of the signal: what every start model needs."""
+    v = tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal"))
+    return tuple(v.agg(F.min("signal"), F.max("signal"), F.var_pop("signal")).first())
+
+
+def initial_model(tr: DataFrame, k: int, init: str = "linspace", facts: tuple[float, float, float] | None = None) -> Model:
     """H1: uniform start, sticky diagonal, means by range or quantiles, variance / K."""
     v = tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal"))
-    lo, hi, var = v.agg(F.min("signal"), F.max("signal"), F.var_pop("signal")).first()
+    lo, hi, var = facts or signal_facts(tr)
     means = np.linspace(lo, hi, k) if init == "linspace" else np.array(exact_percentiles(v, "signal", list(np.linspace(0, 1, k))))
     trans = np.full((k, k), (1.0 - STICKY) / (k - 1)) if k > 1 else np.ones((1, 1))
     if k > 1:
@@ -335,25 +341,29 @@ def cached_blocks(tr: DataFrame, keys: list[str] = KEY, size: int = BLOCK) -> Da
     return blocks_of(tr, keys, size).repartition(*keys, "blk").persist()
 
 
-def em(blocks: DataFrame, model: Model, tol: float, max_iter: int, flags: str = "stmc", keys: list[str] = KEY) -> tuple[Model, list[float]]:
-    """H1: EM until the gain in log-likelihood falls below ``tol``."""
+def em(blocks: DataFrame, model: Model, tol: float, max_iter: int, flags: str = "stmc", keys: list[str] = KEY,
+       rel_tol: float | None = None) -> tuple[Model, list[float]]:
+    """H1: EM until the gain in log-likelihood falls below ``tol`` or, where ``rel_tol`` is given
+    instead, until its change relative to the previous value falls below that."""
     history: list[float] = []
     chained = is_chained(blocks)
     for _ in range(max_iter):
         s, ll = expectation(blocks, model, keys, chained)
         model = maximization(s, model, flags)
         history.append(ll)
-        if len(history) > 1 and history[-1] - history[-2] < tol:
-            break
+        if len(history) > 1:
+            gain = history[-1] - history[-2]
+            if gain < tol if rel_tol is None else abs(gain) < rel_tol * abs(history[-2]):
+                break
     return model, history
 
 
 def hmm_fit(tr: DataFrame, k: int, init: str = "linspace", tol: float = 1e-2, max_iter: int = 300,
-            keys: list[str] = KEY, size: int = BLOCK) -> tuple[Model, list[float]]:
+            keys: list[str] = KEY, size: int = BLOCK, rel_tol: float | None = None) -> tuple[Model, list[float]]:
     """H1: fit over many traces without transitions between them; model and LL history."""
     blocks = cached_blocks(tr, keys, size)
     try:
-        return em(blocks, initial_model(tr, k, init), tol, max_iter, keys=keys)
+        return em(blocks, initial_model(tr, k, init), tol, max_iter, keys=keys, rel_tol=rel_tol)
     finally:
         blocks.unpersist()
 
@@ -370,8 +380,9 @@ def hmm_sweep(tr: DataFrame, kmin: int = 1, kmax: int = 6, threshold: float = 1e
     try:
         n = blocks.agg(F.sum(F.size("xs"))).first()[0]
         rows, hist, models = [], [], {}
+        facts = signal_facts(tr)
         for k in range(kmin, kmax + 1):
-            m, h = em(blocks, initial_model(tr, k), threshold, max_iter, keys=keys)
+            m, h = em(blocks, initial_model(tr, k, facts=facts), threshold, max_iter, keys=keys)
             ll = log_likelihood(blocks, m, keys).agg(F.sum("ll")).first()[0]
             p = k * k + 2 * k - 1
             rows.append((k, 2.0 * p - 2 * ll, float(np.log(n)) * p - 2 * ll, ll, ll - rows[-1][3] if rows else None))
@@ -380,7 +391,7 @@ def hmm_sweep(tr: DataFrame, kmin: int = 1, kmax: int = 6, threshold: float = 1e
             if len(rows) > 1 and abs(rows[-2][2] - rows[-1][2]) < threshold:
                 break
         best = min(rows, key=lambda r: r[2])[0]
-        final, fh = em(blocks, initial_model(tr, best, "quantile"), refit_tol, refit_iter, keys=keys)
+        final, fh = em(blocks, initial_model(tr, best, "quantile", facts), refit_tol, refit_iter, keys=keys)
     finally:
         blocks.unpersist()
     return dict(summary=rows, history=hist, models=models, best_k=best, final=final, final_history=fh)
@@ -469,16 +480,17 @@ def hmm_adapt(tr: DataFrame, base: Model, flags: str = "stm", shrink: float = 0.
 def annotate_regimes(tr: DataFrame, models: dict[str, Model], baseline: str, win: int = 500, step: int = 100, delta: float = 8.0,
                      min_windows: int = 3, keys: list[str] = KEY) -> DataFrame:
     """H6: each sample's regime: window scores, hysteresis, spike removal, minimum run, expansion
-    (a later run overwrites; samples behind the last window carry the baseline name)."""
+    (a later run overwrites; samples that no window covers carry the baseline name). Samples without a
+    signal keep their row, without a regime."""
     d = cut_lineage(indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")), keys), "indexed")
     scores = cut_lineage(score_windows(d, models, win, step, keys), "scores")
     lab = cut_lineage(hysteresis(scores, list(models), delta, keys), "labels")
     runs = cut_lineage(min_run(collapse_spikes(lab, keys), min_windows, keys), "regimes")
-    # a run owns the samples from its first window to the start of the next run
+    # a run owns the samples of its windows up to the start of the next run
     nxt = runs.select(*keys, (F.col("w_first") - 1).alias("w_last"), F.col("w_first").alias("_nw"))
     r = runs.join(nxt, [*keys, "w_last"], "left").select(
         *keys, F.col("label").alias("regime"), (F.col("w_first") * step).alias("lo"),
-        F.coalesce(F.col("_nw") * step, F.col("w_last") * step + win).alias("hi"))
+        F.least(F.col("_nw") * step, F.col("w_last") * step + win).alias("hi"))
     size = 8192
     r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
     l, q = d.withColumn("_b", F.floor(F.col("idx") / size)).alias("l"), r.alias("q")
@@ -486,4 +498,6 @@ def annotate_regimes(tr: DataFrame, models: dict[str, Model], baseline: str, win
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"q.{k}"))
     cols = [F.col(f"l.{c}") for c in d.columns]
-    return l.join(q, cond, "left").select(*cols, F.coalesce("q.regime", F.lit(baseline)).alias("regime"))
+    out = l.join(q, cond, "left").select(*cols, F.coalesce("q.regime", F.lit(baseline)).alias("regime"))
+    mute = tr.filter(F.col("signal").isNull() | F.isnan("signal"))
+    return out.unionByName(mute.withColumn("regime", F.lit(None).cast("string")), allowMissingColumns=True)

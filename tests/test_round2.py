@@ -146,3 +146,15 @@ def test_scratch_tables_are_removed(spark):
         path = d.inputFiles()[0].replace("file://", "")
         assert d.count() == 5 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_relative_stop_rule_and_unlabelled_samples(spark, trace_root):
+    t = trace_files.read_traces(spark, trace_root).filter("condition = 'DNA'")
+    _, long = hmm.hmm_fit(t, 2, tol=-1e9, max_iter=8)
+    _, short = hmm.hmm_fit(t, 2, max_iter=8, rel_tol=0.5)
+    assert len(short) < len(long) == 8
+    m = {"low": hmm.Model.of(np.array([1.0]), np.ones((1, 1)), np.array([5.0]), np.array([1.0])), "high": hmm.Model.of(np.array([1.0]), np.ones((1, 1)), np.array([8.0]), np.array([1.0]))}
+    gaps = t.withColumn("signal", F.when(F.col("ev") % 97 == 0, F.lit(None)).otherwise(F.col("signal")))
+    a = hmm.annotate_regimes(gaps, m, "low", win=10, step=20, delta=1.0, min_windows=1)
+    n = {r["regime"]: r["count"] for r in a.groupBy("regime").count().collect()}
+    assert sum(n.values()) == 800 and n[None] == gaps.filter("signal IS NULL").count() and n["high"] > 100
