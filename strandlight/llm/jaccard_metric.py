@@ -6,11 +6,11 @@ regions are joined recursively. Two levels of pivots are used, because document
 separate unrelated texts (nearly all of their distances are 1, within any window):
 
 1. Pivots that are one-shingle sets {s}. d(x, {s}) is 1 - 1/|x| when s is in x and 1 otherwise, so the
-   nearest pivots of x are its own shingles; ties go by one global order (commonness in a bounded
-   sample, then hash). A linked pair differs in at most |x| - ceil(t|x|) shingles of x, so x belongs to
+   nearest pivots of x are its own shingles; ties go by one global order (how common its rarest word is
+   in a bounded sample, then hash: a shingle is at most as common as its rarest word). A linked pair differs in at most |x| - ceil(t|x|) shingles of x, so x belongs to
    the regions of that many pivots and one more, and no link can lie outside a common region. The
    window of the empty set as a pivot (sizes within the threshold) cuts regions into bands.
-2. Document pivots inside a region. A set's shingle counts in 32 hash classes are a contraction: their
+2. Document pivots inside a region. A set's shingle counts in 128 hash classes are a contraction: their
    L1 distance never exceeds the size of the symmetric difference. Farthest-first pivots, Voronoi cells
    and windows of twice the largest linkable difference recurse until a cell is small or stops shrinking.
 
@@ -39,12 +39,12 @@ from strandlight.session import cut_lineage
 
 WIDTH = 3
 THRESHOLD = (9, 10)
-CLASSES = 32
+CLASSES = 128  # counts above 255 are held at 255, which keeps the map a contraction
 LEAF = 256  # cells of at most this size are compared at once
 PIVOTS = 8
 HOT = 20_000  # rows of a region joined in one task; larger regions are dealt in block pairs
-SAMPLE_DOCS = 2000  # bound: documents that fix the global order of shingles
-COMMON = 50_000  # bound: shingles known as common
+SAMPLE_DOCS = 20_000  # bound: documents whose words fix the global order of shingles
+COMMON = 300_000  # bound: words known as common
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -70,17 +70,38 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
+def word_hashes(text: str | None) -> np.ndarray:
     w = words(text) if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    a = np.array([_HASH[x] for x in w], np.uint64)
+    return np.array([_HASH[x] for x in w], np.uint64)
+
+
+def _shingle_hashes(a: np.ndarray, width: int) -> np.ndarray:
     k = min(width, len(a))
     h = np.full(len(a) - k + 1, k, np.uint64)
     for j in range(k):
         h = _mix(h * _M1 + a[j : len(a) - k + 1 + j])
-    return np.unique(h)
+    return h
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    a = word_hashes(text)
+    return np.unique(_shingle_hashes(a, width)) if len(a) else np.zeros(0, np.uint64)
+
+
+def ranked(text: str | None, width: int, common: np.ndarray, commonness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, ascending, and how common the rarest word of each is."""
+    a = word_hashes(text)
+    if not len(a):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, first = np.unique(_shingle_hashes(a, width), return_index=True)
+    if not len(common):
+        return h, np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common, a), len(common) - 1)
+    often = np.where(common[at] == a, commonness[at], 0)
+    k = min(width, len(a))
+    least = np.minimum.reduce([often[j : len(a) - k + 1 + j] for j in range(k)])
+    return h, least[first]
 
 
 def least_overlap(total, num: int, den: int):
@@ -93,19 +114,14 @@ def _features(width: int, num: int, den: int, common: np.ndarray, commonness: np
         for b in batches:
             out: dict[str, list] = {"doc": [], "n": [], "fp": [], "sketch": [], "prefix": []}
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h = shingles(t.as_py(), width)
+                h, often = ranked(t.as_py(), width, common, commonness)
                 n = len(h)
                 keep = n - -(-num * n // den) + 1 if n else 0
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    often = np.where(common[at] == h, commonness[at], 0)
-                    top = h[np.lexsort((h, often))[:keep]]
-                else:
-                    top = h[:keep]
+                top = h[np.lexsort((h, often))[:keep]]
                 out["doc"].append(doc)
                 out["n"].append(n)
                 out["fp"].append(xxhash.xxh3_128_digest(h.tobytes()))
-                out["sketch"].append(np.minimum(np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes())
+                out["sketch"].append(np.minimum(np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
                 out["prefix"].append(top.view(np.int64))
             types = {"doc": pa.int64(), "n": pa.int64(), "fp": pa.binary(), "sketch": pa.binary(), "prefix": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
@@ -168,11 +184,11 @@ def voronoi(sk: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
             continue
         x = np.r_[own, win]
         pivots = [own[0]]
-        dist = [np.abs(sk[x] - sk[own[0]]).sum(1)]
+        dist = [np.abs(sk[x] - sk[own[0]]).sum(1, dtype=np.int32)]
         for _ in range(PIVOTS - 1):  # farthest first
             far = int(np.minimum.reduce(dist)[: len(own)].argmax())
             pivots.append(own[far])
-            dist.append(np.abs(sk[x] - sk[own[far]]).sum(1))
+            dist.append(np.abs(sk[x] - sk[own[far]]).sum(1, dtype=np.int32))
         d = np.stack(dist, 1)
         cell, least = d.argmin(1), d.min(1)
         parts = []
@@ -191,7 +207,7 @@ def voronoi(sk: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of one region whose rank for one of the two documents is in [lo, hi)."""
-    sk = sk.astype(np.int32)
+    sk = sk.astype(np.int16)
     big = int(n.max())
     reach = 2 * big - 2 * least_overlap(2 * big, num, den)
     xs, ys, more = [], [], False
@@ -200,7 +216,7 @@ def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den
         step = max(1, 4_000_000 // (CLASSES * len(cols)))
         for i in range(0, len(own), step):
             rows = own[i : i + step]
-            gap = np.abs(sk[rows][:, None] - sk[cols][None]).sum(2)
+            gap = np.abs(sk[rows][:, None] - sk[cols][None]).sum(2, dtype=np.int32)
             total = n[rows][:, None] + n[cols][None]
             ok = (gap <= total - 2 * least_overlap(total, num, den)) & (home[rows][:, None] | home[cols][None])
             ok &= den * np.minimum(n[rows][:, None], n[cols][None]) >= num * np.maximum(n[rows][:, None], n[cols][None])
@@ -228,7 +244,7 @@ def _join_regions(lo: int, hi: int, num: int, den: int):
         if t is None:
             return
         col = {k: t.column(k).to_numpy() for k in ("r1", "r2", "i", "j", "block", "doc", "home", "n", "grp")}
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, CLASSES)
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES)
         order = np.lexsort((col["doc"], col["j"], col["i"], col["r2"], col["r1"]))
         key = np.stack([col[k][order] for k in ("r1", "r2", "i", "j")], 1)
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
@@ -269,23 +285,20 @@ def _linked(num: int, den: int):
     return run
 
 
-def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several of the sampled documents, and how often: they come last in the order."""
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words (hashes) that several of the sampled documents hold, and in how many."""
     few = rows.filter("doc IS NOT NULL").select("doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_DOCS).distinct()
-    sets = rows.join(F.broadcast(few), "doc", "left_semi").mapInArrow(_sets_long(width), "s long")
-    got = sets.groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
-    h, c = got["s"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    held = rows.join(F.broadcast(few), "doc", "left_semi").mapInArrow(_distinct_words, "w long")
+    got = held.groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(COMMON).toPandas()
+    h, c = got["w"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def _sets_long(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(1):
-                yield pa.RecordBatch.from_pydict({"s": shingles(t.as_py(), width).view(np.int64)})
-
-    return run
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        parts = [np.unique(word_hashes(t.as_py())) for t in b.column(1)]
+        yield pa.RecordBatch.from_pydict({"w": np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)})
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -293,51 +306,69 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     num, den = threshold
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
-    common = _common(rows, width)
+    common = _common(rows)
     made = rows.mapInArrow(_features(width, num, den, *common), "doc long, n long, fp binary, sketch binary, prefix array<long>")
     made = cut_lineage(made, "jaccard-f")
     reps = made.filter("n > 0 AND doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep"))
     reps = cut_lineage(reps, "jaccard-rep")
-    one = made.join(reps.select(F.col("rep").alias("doc"), "fp"), ["doc", "fp"], "left_semi").dropDuplicates(["doc"])
+    one = made.join(reps.select(F.col("rep").alias("doc"), "fp"), ["doc", "fp"], "left_semi")
     spread = one.select(F.explode("prefix").alias("s"), "doc", "n").repartition("s")
     member = spread.mapInArrow(_regions(num, den), "r1 long, r2 long, doc long, home boolean").distinct()
     member = cut_lineage(member, "jaccard-r")
     near = member.select("doc").distinct()
-    facts = cut_lineage(one.join(near, "doc", "left_semi").select("doc", "n", "sketch"), "jaccard-d")
-    sets = rows.join(near, "doc", "left_semi").dropDuplicates(["doc"])
+    facts = cut_lineage(one.join(near, "doc", "left_semi").select("doc", "n", "sketch").dropDuplicates(["doc"]), "jaccard-d")
     hot = member.groupBy("r1", "r2").count().filter(F.col("count") > HOT)
-    hot = hot.select("r1", "r2", F.ceil(F.col("count") / HOT).cast("int").alias("nb"))
-    dealt = member.join(hot, ["r1", "r2"], "left") if not hot.isEmpty() else member.withColumn("nb", F.lit(1))
-    nb = F.coalesce("nb", F.lit(1))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), nb).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
-    dealt = dealt.select("r1", "r2", "doc", "home", "block", F.least("block", "o").cast("int").alias("i"), F.greatest("block", "o").cast("int").alias("j"))
-
-    links: DataFrame | None = None
-    groups = None
+    hot = cut_lineage(hot.select("r1", "r2", F.ceil(F.col("count") / HOT).cast("int").alias("nb")), "jaccard-h")
+    one_block = [F.lit(0).cast("int").alias(c) for c in ("block", "i", "j")]
+    dealt = member.select("r1", "r2", "doc", "home", *one_block)
+    if not hot.isEmpty():
+        large = member.join(hot, ["r1", "r2"]).withColumn("block", F.pmod(F.xxhash64("doc"), "nb").cast("int"))
+        large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        pair = [F.least("block", "o").cast("int").alias("i"), F.greatest("block", "o").cast("int").alias("j")]
+        large = large.select("r1", "r2", "doc", "home", "block", *pair)
+        dealt = dealt.join(hot.select("r1", "r2"), ["r1", "r2"], "left_anti").union(large)
+
+    groups: DataFrame | None = None  # (doc, g) of documents with a link
     lo, hi = 0, 2
     while True:
         d = facts.withColumn("grp", F.col("doc"))
         if groups is not None:
-            d = facts.join(groups.toDF("doc", "g"), "doc", "left").select("doc", "n", "sketch", F.coalesce("g", "doc").alias("grp"))
+            d = facts.join(groups, "doc", "left").select("doc", "n", "sketch", F.coalesce("g", "doc").alias("grp"))
         cand = dealt.join(d, "doc").repartition("r1", "r2", "i", "j").mapInArrow(_join_regions(lo, hi, num, den), "x long, y long")
-        cand = cut_lineage(cand.distinct(), "jaccard-c")
-        left = not cand.filter("x < 0").isEmpty()
-        pairs = cand.filter("x >= 0 OR y >= 0")
-        both = _with_sets(pairs, sets, width)
+        cand = cut_lineage(cand, "jaccard-c")
+        left = not cand.filter("x = -1 AND y = -1").isEmpty()
+        both = _with_sets(cand.filter("NOT (x = -1 AND y = -1)").distinct(), rows, width)
         new = cut_lineage(both.mapInArrow(_linked(num, den), "u long, v long"), "jaccard-l")
-        links = new if links is None else links.union(new)
-        groups = components(links, "jaccard-cc")
+        if not new.isEmpty():
+            groups = _merge(groups, new)
         if not left:
             break
-        lo, hi = hi, hi * 4
+        lo, hi = hi, hi * 16
+    if groups is None:
+        groups = facts.limit(0).select("doc", F.col("doc").alias("g"))
     out = made.select("doc", "n", "fp").join(reps, "fp", "left")
-    out = out.join(groups.toDF("rep", "g"), "rep", "left")
+    out = out.join(groups.withColumnRenamed("doc", "rep"), "rep", "left")
     group = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("g", "rep"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"))
 
 
-def _with_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    sets = texts.mapInArrow(_sets(width), "doc long, set binary")
+def _merge(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups after further links: components of the groups that the links join."""
+    if groups is None:
+        return components(links, "jaccard-cc").toDF("doc", "g")
+    for c in ("u", "v"):
+        links = links.join(groups.toDF(c, f"g{c}"), c, "left").withColumn(c, F.coalesce(f"g{c}", c))
+    comps = cut_lineage(components(links.select("u", "v"), "jaccard-cc").toDF("g", "to"), "jaccard-to")
+    old = groups.join(comps, "g", "left").select("doc", F.coalesce("to", "g").alias("g"))
+    fresh = comps.toDF("doc", "g").join(groups, "doc", "left_anti")
+    return cut_lineage(old.union(fresh), "jaccard-g")
+
+
+def _with_sets(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Pairs with both whole sets; only documents of a pair are read into sets."""
+    used = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct()
+    sets = rows.join(used, "doc", "left_semi").mapInArrow(_sets(width), "doc long, set binary")
+    sets = cut_lineage(sets, "jaccard-s")
     return (
         pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
     )
