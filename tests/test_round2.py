@@ -22,9 +22,9 @@ def trace_root(tmp_path_factory):
     """Two conditions, one nested, with a file of the same name each."""
     root = tmp_path_factory.mktemp("formatted")
     r = np.random.default_rng(0)
-    for cond, level in (("DNA", 5.0), ("PDGFRA/Nterm", 9.0)):
+    for cond, level in (("alpha", 5.0), ("beta/inner", 9.0)):
         (root / cond).mkdir(parents=True)
-        for name in ("120824N47", "130824N02"):
+        for name in ("tr1", "tr2"):
             state = (np.arange(400) // 40) % 2
             rows = [f"{i / 100},{level + 3 * s + r.normal() * 0.2}" for i, s in enumerate(state)]
             (root / cond / f"{name}.csv").write_text("time (seconds),force (pN)\n" + "\n".join(rows) + "\n")
@@ -34,8 +34,8 @@ def trace_root(tmp_path_factory):
 def test_traces_of_equal_names_stay_apart(spark, trace_root):
     t = trace_files.read_traces(spark, trace_root)
     got = {(r["condition"], r["trace_id"]): r["n"] for r in t.groupBy("condition", "trace_id").agg(F.count("*").alias("n")).collect()}
-    assert got == {(c, f"{c}/{f}"): 400 for c in ("DNA", "PDGFRA/Nterm") for f in ("120824N47", "130824N02")}
-    rows = t.filter("trace_id = 'DNA/120824N47'").orderBy("ev").select("t").collect()
+    assert got == {(c, f"{c}/{f}"): 400 for c in ("alpha", "beta/inner") for f in ("tr1", "tr2")}
+    rows = t.filter("trace_id = 'alpha/tr1'").orderBy("ev").select("t").collect()
     assert [r["t"] for r in rows] == [i / 100 for i in range(400)]
 
 
@@ -43,8 +43,8 @@ def test_trace_files_feed_the_operators(spark, trace_root):
     t = trace_files.read_traces(spark, trace_root)
     flat = traces.drift_correct(t, 50, 12.0)
     assert flat.select("trace_id").distinct().count() == 4 and flat.count() == 1600
-    m, _ = hmm.hmm_fit(t.filter("condition = 'DNA'"), 2, max_iter=20)
-    d = hmm.hmm_decode(t.filter("condition = 'DNA'"), m.ordered())
+    m, _ = hmm.hmm_fit(t.filter("condition = 'alpha'"), 2, max_iter=20)
+    d = hmm.hmm_decode(t.filter("condition = 'alpha'"), m.ordered())
     dwell = traces.dwell_next(d).groupBy("trace_id").count().collect()
     assert len(dwell) == 2 and all(7 <= r["count"] <= 12 for r in dwell)
 
@@ -149,7 +149,7 @@ def test_scratch_tables_are_removed(spark):
 
 
 def test_relative_stop_rule_and_unlabelled_samples(spark, trace_root):
-    t = trace_files.read_traces(spark, trace_root).filter("condition = 'DNA'")
+    t = trace_files.read_traces(spark, trace_root).filter("condition = 'alpha'")
     _, long = hmm.hmm_fit(t, 2, tol=-1e9, max_iter=8)
     _, short = hmm.hmm_fit(t, 2, max_iter=8, rel_tol=0.5)
     assert len(short) < len(long) == 8
