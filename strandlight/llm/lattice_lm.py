@@ -179,10 +179,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``rows`` rows: lattices of many equally long words run as one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _sum_pieces(ps: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ps.names))
-        for b in batches:
+        for b in _gathered(batches):
             total += expected(b.column(0).to_pylist(), np.minimum(b.column(1).to_numpy(), DISCOUNT), ps)
         got = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(got, pa.int64()), "n": pa.array(total[got], pa.float64())})
@@ -199,9 +211,9 @@ def whole_word(ws: list[bytes], counts: np.ndarray, n: int, enter: float, ps: Pi
 
 def _score_words(ps: Pieces, n: int, enter: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             p = whole_word(b.column(0).to_pylist(), b.column(1).to_numpy(), n, enter, ps)
-            yield pa.RecordBatch.from_pydict({"w": b.column(0), "c": b.column(1), "p": pa.array(p, pa.float64())})
+            yield from b.append_column("p", pa.array(p, pa.float64())).to_batches()
 
     return run
 
