@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlight.llm.common import components
-from strandlight.session import cut_lineage
+from strandlight.session import broadcast_if_small, cut_lineage
 
 WIDTH = 3
 THRESHOLD = (9, 10)
@@ -366,8 +366,10 @@ def _merge(groups: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Pairs with both whole sets; only documents of a pair are read into sets."""
-    used = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct()
-    sets = rows.join(used, "doc", "left_semi").mapInArrow(_sets(width), "doc long, set binary")
+    used = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc")))
+    used = cut_lineage(used.distinct(), "jaccard-u")
+    # ids alone, broadcast behind a count of them; beyond it the texts are shuffled by id
+    sets = rows.join(broadcast_if_small(used), "doc", "left_semi").mapInArrow(_sets(width), "doc long, set binary")
     sets = cut_lineage(sets, "jaccard-s")
     return (
         pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
