@@ -36,7 +36,7 @@ SHALLOW = 48  # bytes sorted by words before the tries
 HOT = 200_000  # kinds of surroundings of one anchor sorted in one task
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ANCHOR = np.dtype([("kh", "<i8"), ("ch", "<i8"), ("ch2", "<i8"), ("doc", "<i8"), ("pos", "<i4")])
+_ANCHOR = np.dtype([("kh", "<i8"), ("ch", "<i8"), ("doc", "<i8"), ("pos", "<i4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,13 +60,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any substring from prefix sums (two of them: b and its mixed copy)."""
+    """Hashes of any substring from prefix sums; ``twice`` adds a second, independent one."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, twice: bool = False):
         p, self.inv = _powers(len(data) + 1)
         d = data.astype(np.uint64) + np.uint64(1)
         self.one = np.r_[np.uint64(0), np.cumsum(d * p[:-1])]
-        self.two = np.r_[np.uint64(0), np.cumsum(_mix(d) * p[:-1])]
+        self.two = np.r_[np.uint64(0), np.cumsum(_mix(d) * p[:-1])] if twice else None
 
     def spans(self, lo: np.ndarray, hi: np.ndarray, second: bool = False) -> np.ndarray:
         s = self.two if second else self.one
@@ -114,7 +114,6 @@ def _anchor_rows(length: int, gram: int, buckets: int):
                 rows = np.zeros(len(at), _ANCHOR)
                 rows["kh"] = h.view(np.int64)
                 rows["ch"] = _mix(roll.spans(lo, hi) ^ _mix(side)).view(np.int64)
-                rows["ch2"] = roll.spans(lo, hi, True).view(np.int64)
                 rows["doc"], rows["pos"] = doc, at
                 held.append(rows)
                 size += len(rows)
@@ -167,11 +166,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = a[np.sort(order[~(new & np.r_[new[1:], True])])]
         if not len(a):
             continue
-        order = np.lexsort((a["pos"], a["doc"], a["ch2"], a["ch"], a["kh"]))
+        order = np.lexsort((a["pos"], a["doc"], a["ch"], a["kh"]))
         a = a[order]
-        a = a[_first(np.arange(len(a)), a["kh"], a["ch"], a["ch2"], a["doc"], a["pos"])]
+        a = a[_first(np.arange(len(a)), a["kh"], a["ch"], a["doc"], a["pos"])]
         i = np.arange(len(a))
-        group, kind = _first(i, a["kh"]), _first(i, a["kh"], a["ch"], a["ch2"])
+        group, kind = _first(i, a["kh"]), _first(i, a["kh"], a["ch"])
         g = np.cumsum(group) - 1
         kinds = np.bincount(g, weights=kind)[g]
         keep = ~kind | (kinds > 1)
@@ -367,7 +366,7 @@ def _strings(length: int, gram: int):
                 pos = want.values.field("pos").to_numpy().astype(np.int64)
                 at = np.unique((pos[:, None] - np.arange(length - gram + 1)[None]).ravel())
                 at = at[(at >= 0) & (at + length <= len(data))]
-                roll = Rolling(data)
+                roll = Rolling(data, True)
                 yield pa.RecordBatch.from_pydict({
                     "h1": roll.spans(at, at + length).view(np.int64), "h2": roll.spans(at, at + length, True).view(np.int64),
                     "doc": np.full(len(at), doc, np.int64), "lo": at,
