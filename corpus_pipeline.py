@@ -20,6 +20,8 @@ from strandlight.llm.common import crc_mod, free_name, prepare, table
 from strandlight.session import cut_lineage
 
 VOCABULARY = "byte_bpe_50k.json"
+NEAR_WIDTH = 5  # words of a shingle of the second stage
+NEAR_THRESHOLD = (4, 5)  # similarity from which it links documents
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -38,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    groups = jaccard_metric.join(docs.select("doc_id", "text"))
+    groups = jaccard_metric.join(docs.select("doc_id", "text"), width=NEAR_WIDTH, threshold=NEAR_THRESHOLD)
     keep = groups.filter("component_id = doc_id").select("doc_id").distinct()
     one = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return one.union(docs.filter("doc_id IS NULL"))

@@ -537,3 +537,24 @@ def test_pipeline(spark, docs, none, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, str(tmp_path))
     assert at.count() == 0
+
+
+def test_near_copies_five_words(spark):
+    """The stage equals brute force on five-word shingles at 0.8, also where three words at 0.9 find no link."""
+    prepare(spark)
+    r = random.Random(21)
+    rows, i = [], 0
+    for c in range(25):
+        w = [f"w{r.randint(0, 5000)}" for _ in range(r.choice((51, 80, 110)))]
+        for edits in range(r.randint(1, 5)):
+            x = list(w)
+            for k in range(edits):
+                x[(k + 1) * len(x) // (edits + 1)] = f"edit{c}-{edits}-{k}"
+            rows.append((i := i + 1, " ".join(x), "aa"))
+    s = {i: {tuple(split(t)[k : k + 5]) for k in range(len(split(t)) - 4)} for i, t, _ in rows}
+    links = [(a, b) for a, b in itertools.combinations(s, 2) if 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
+    want = {i for i, c in groups(list(s), links).items() if i == c}
+    loose = {i for i, (_, c) in jaccard_brute([(i, t) for i, t, _ in rows]).items() if i == c}
+    assert len(want) < len(loose)
+    got = [x["doc_id"] for x in corpus_pipeline.near_copies(spark, frame(spark, rows).repartition(4), "").collect()]
+    assert sorted(got) == sorted(want)
