@@ -174,6 +174,14 @@ def _regions(num: int, den: int):
     return run
 
 
+def widest(big: int, num: int, den: int) -> int:
+    """Largest symmetric difference of two linked sets of at most ``big`` shingles.
+
+    It has the parity of the sizes' total and grows along each parity, so the two largest totals decide.
+    """
+    return max(t - 2 * least_overlap(t, num, den) for t in (2 * big, 2 * big - 1))
+
+
 def voronoi(sk: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Cells (own rows, window rows) of L1 vectors, so that rows at most ``reach`` apart share a cell."""
     out, todo = [], [(np.arange(len(sk)), np.zeros(0, np.int64))]
@@ -208,8 +216,7 @@ def voronoi(sk: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
 def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of one region whose rank for one of the two documents is in [lo, hi)."""
     sk = sk.astype(np.int16)
-    big = int(n.max())
-    reach = 2 * big - 2 * least_overlap(2 * big, num, den)
+    reach = widest(int(n.max()), num, den)
     xs, ys, more = [], [], False
     for own, win in voronoi(sk, reach):
         cols = np.r_[own, win]

@@ -277,6 +277,29 @@ def test_voronoi_windows():
         assert near <= set(own[0]) | set(own[1])
 
 
+def test_short_sets_of_one_region():
+    """No link of distinct short sets is lost between cells of the production size, at odd totals either."""
+    for num, den in ((9, 10), (4, 5)):
+        for big in range(1, 400):
+            most = max(t - 2 * -(-num * t // (num + den)) for t in range(2 * big + 1))
+            assert jaccard_metric.widest(big, num, den) == most
+    r = np.random.default_rng(8)
+    sets = set()
+    while len(sets) < 900:  # one shingle in common
+        x = [0, *(1 + r.choice(30, r.integers(8, 18), replace=False)).tolist()]
+        sets |= {frozenset(x), frozenset(x[:-1])}
+    sets = sorted(sets, key=sorted)
+    n, doc = np.array([len(x) for x in sets]), np.arange(len(sets))
+    sk = np.zeros((len(sets), jaccard_metric.CLASSES), np.uint8)
+    for i, x in enumerate(sets):
+        sk[i, list(x)] = 1
+    assert len(jaccard_metric.voronoi(sk.astype(np.int16), jaccard_metric.widest(18, 9, 10))) > 1
+    both = sk.astype(int) @ sk.T.astype(int)
+    want = {(a, b) for a, b in zip(*np.nonzero(10 * both >= 9 * (n[:, None] + n[None] - both))) if a < b}
+    x, y, _ = jaccard_metric.region_pairs(doc, n, sk, doc, np.ones(len(n), bool), None, 0, len(n), 9, 10)
+    assert {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())} == want and len(want) == 405
+
+
 # 5
 
 
