@@ -39,10 +39,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+")
 _QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9])")
+_DOT = r"(?:\.|\x20?[(\[][Dd][Oo][Tt][)\]]\x20?|\x20[Dd][Oo][Tt]\x20)"
 _ADDRESS = re.compile(
-    r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?:\x20?@\x20?|\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,5}"
+    r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?:\x20?@\x20?|\x20?[(\[][Aa][Tt][)\]]\x20?|\x20[Aa][Tt]\x20)[A-Za-z0-9-]{1,63}"
+    rf"(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}"
 )
+# What every address holds from its "at" on: cheap to look for, and no text without it has an address.
+_AT = re.compile(rf"(?:@\x20?|[(\[][Aa][Tt][)\]]\x20?|\x20[Aa][Tt]\x20)[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
 Span = tuple[str, int, int]
@@ -91,7 +94,7 @@ def base_spans(t: str | None) -> list[Span]:
 def islands(t: str) -> list[tuple[int, int]]:
     """Merged stretches that can hold an entity."""
     found = [m.span() for rx in (_NUMBER, _QUAD) for m in rx.finditer(t)]
-    if "@" in t or "at" in t and "dot" in t:
+    if _AT.search(t):
         found += [m.span() for m in _ADDRESS.finditer(t)]
     out: list[list[int]] = []
     for a, b in sorted(found):
@@ -113,7 +116,7 @@ def features(t: str, s: int, e: int, n_tokens: int) -> np.ndarray:
     sizes = tuple(len(p) for p in parts)
     quad = len(parts) == 4 and bool(re.fullmatch(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", x))
     small = quad and all(int(p) <= 255 for p in parts)
-    spelled = bool(re.search(r"[(\[ ]at[)\] ]", x)) and bool(re.search(r"[(\[ .](dot)?[)\] ]?", x))
+    spelled = bool(re.search(r"[(\[ ][Aa][Tt][)\] ]", x)) and bool(re.search(r"[(\[ .]([Dd][Oo][Tt])?[)\] ]?", x))
     address = bool(_ADDRESS.fullmatch(x))
     return np.array(
         [
@@ -146,7 +149,7 @@ class Lattice:
                 c = t[s:e]
                 if not t[e - 1].isalnum() or (j == i and e - s < 7):
                     continue
-                if sum("0" <= k <= "9" for k in c) >= 4 or "@" in c or " at" in c or "(at" in c or "[at" in c:
+                if sum("0" <= k <= "9" for k in c) >= 4 or "@" in c or re.search(r"[ (\[][Aa][Tt]", c):
                     self.segs.append((i, j + 1, s, e))
         self.f = np.array([features(t, s, e, j - i) for i, j, s, e in self.segs]).reshape(-1, WIDTH)
         self.by_end: dict[int, list[int]] = {}
@@ -202,7 +205,7 @@ class Lattice:
 def variants(kind: str, x: str) -> list[str]:
     """Other ways to write a base match."""
     if kind == "email":
-        return [x.replace("@", " at ").replace(".", " dot "), x.replace("@", " (at) "), x.replace("@", "[at]").replace(".", "[dot]")]
+        return [x.replace("@", " at ").replace(".", " dot "), x.replace("@", " (at) "), x.replace("@", " [at] "), x.replace("@", "[at]").replace(".", "[dot]")]
     if kind == "phone":
         bare = x.lstrip("+")
         short = re.sub(r"^[0-9]+[ -](?=\()", "", bare)

@@ -168,6 +168,19 @@ def test_pii_base_and_field(spark, docs):
     assert pii_semicrf.train(docs.limit(0)) is None
 
 
+def test_pii_written_at():
+    """Addresses with a written "at" and real dots, or in capitals, are candidates and are found."""
+    r = random.Random(4)
+    texts = [f"{prose(5, i)} {r.choice(['mail%d@host.example.com' % i, '+1 (9%02d) 555-%04d' % (i % 100, i), '10.1.%d.7' % (i % 200)])} {prose(4, i)}" for i in range(150)]
+    w = pii_semicrf.fit(texts)
+    for x in ("jane.roe (at) example.com", "jane [at] example.com", "jane.roe (AT) example.com", "jane.roe AT mail DOT example DOT com", "jane @ example.com"):
+        t = f"write to us: {x} or come by"
+        assert any(a <= 13 and b >= 13 + len(x) for a, b in pii_semicrf.islands(t)), x
+        assert ("email", 13, 13 + len(x)) in pii_semicrf.find(t, w)[1], x
+    for t in ("come at noon. Then go", "at @ . dot", "we met at the house", "a@b", "x (at) y"):
+        assert pii_semicrf.islands(t) == []
+
+
 def test_semi_markov_sums():
     """Forward-backward equals the sum over all segmentations of a short island."""
     t = "555 123 4567"
