@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences (at line ends and after ``.``, ``!``, ``?``; a line that ends inside a sentence
-and goes on with a lower-case letter is joined first). Sentences are normalised - A-Z lower-cased, anything
-but letters and digits becomes one blank - and looked up among the known licence sentences. The identifiers
-found, in order, are matched against ordered rules: a rule fits when its identifiers occur in its order,
+The text is normalised - A-Z lower-cased, anything but letters and digits becomes one blank - and keeps two
+marks: where a sentence ends (after ``.``, ``!``, ``?`` before a blank or line end) and where another line
+ends (unless the next goes on with a lower-case letter). Known licence sentences are looked up from mark to
+mark, the longest first; a line end inside one counts as a blank, so the wrapping of a text, its blank lines
+and comment signs do not matter. The identifiers found, in order, are matched against ordered rules: a rule fits when its identifiers occur in its order,
 other text in between allowed. All of it happens inside a row, so no key can be hot and nothing is shuffled.
 
 Null and empty texts have no sentences. Repeated sentences keep all their places. Whole texts are read.
@@ -76,13 +77,18 @@ def known() -> list[tuple[str, str]]:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "([^.!?\\s])[ \\t]*\\r?\\n[ \\t]*([a-z])", "$1 $2")
-    parts = F.split(F.regexp_replace(t, "([.!?])[ \\t]+", "$1\n"), "\\r?\\n")
-    table = F.create_map(*[F.lit(x) for pair in known() for x in pair])
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.translate(s, upper, lower), "[^a-z0-9]+", " ")))
-    keys = F.array(*[F.lit(k) for k, _ in known()])
-    return F.transform(F.filter(plain, lambda s: F.array_contains(keys, s)), lambda s: F.element_at(table, s))
+    t = F.translate(F.coalesce(text, F.lit("")), "\1\2", "  ")  # \1 and \2 become the marks of sentence and line ends
+    t = F.regexp_replace(t, "(?m)^([ \t]*)(?:[Rr][Ee][Mm]|dnl)[ \t]", "$1 ")  # comment signs made of letters
+    t = F.regexp_replace(t, "([^.!?\\s])[ \t]*\\r?\\n[ \t]*([a-z])", "$1 $2")
+    t = F.regexp_replace(t, "[.!?](?:[ \t]+|[ \t]*\\r?\\n)", "\1")
+    t = F.regexp_replace(t, "\\r?\\n", "\2")
+    t = F.regexp_replace(F.translate(t, upper, lower), "[^a-z0-9\1\2]+", " ")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, "[ \2]*\1[ \1\2]*", "\1"), "[ \2]*\2[ \2]*", "\2"))
+    longest = sorted((k for k, _ in known()), key=lambda k: (-len(k), k))
+    rx = "(?:^|[\1\2])(" + "|".join(k.replace(" ", "[ \2]") for k in longest) + ")(?=[\1\2]|\\z)"
+    table = F.create_map(*[F.lit(x) for pair in known() for x in pair])
+    return F.transform(F.regexp_extract_all(t, F.lit(rx), F.lit(1)), lambda s: F.element_at(table, F.translate(s, "\2", " ")))
 
 
 def matching(ids: Column) -> Column:

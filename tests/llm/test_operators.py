@@ -219,6 +219,82 @@ def test_license_rules(spark):
     assert license_rules.scan(df.limit(0)).count() == 0
 
 
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_license_wrappings(spark):
+    """The published wrappings, bare and as comments, and texts that only look like them."""
+    want = {"GPL-3.0": GPL, "Apache-2.0": APACHE, "MIT": MIT, "BSD-3-Clause": BSD}
+    signs = ["", "# ", " * ", "// ", "REM ", "dnl ", ";; "]
+    rows = [(name, f"{name}{k}", "".join(f"{p}{x}{e}" for x in t.split("\n"))) for name, t in want.items() for k, (p, e) in enumerate(itertools.product(signs, ("\n", "\r\n")))]
+    rows += [(None, "not", "not\nall rights reserved"), (None, "free", "\n" * 9000 + " \n" * 9000), ("All-rights-reserved", "marks", "a\1b\2\n\n\nAll rights\n  RESERVED")]
+    df = spark.createDataFrame([(i, t, "c", "c") for _, i, t in rows], "doc_id string, text string, ids string, hit string")
+    got = {x["doc_id"]: x for x in license_rules.scan(df).collect()}
+    assert {i: got[i]["primary_license"] for _, i, _ in rows} == {i: name for name, i, _ in rows}
+    assert got["Apache-2.00"]["sentence_ids"] == "apache-head,apache-copy,apache-basis,apache-see"
+    assert got["BSD-3-Clause2"]["sentence_ids"] == "reserved,bsd-use,bsd-source,bsd-binary,bsd-names"
+
+
 # 4
 
 
