@@ -3,8 +3,8 @@
 Fixed rules come first: a rule (host, path) fits its host and all subdomains when the path starts with the
 rule's path; the longest wins. For all other URLs the tree decides. Segments lose their variable parts by
 shape (digit runs and long hexadecimal runs become ``#``). Then, level by level under each host, segments
-too rare among their siblings become ``*``, and branches whose labelled rate does not differ statistically
-from that of their siblings merge into ``*`` as well. A template is rejected when its purity, the share of
+of fewer than ``MIN_PAGES`` pages become ``*``, and branches without labels or whose labelled rate does not
+differ statistically from that of their siblings merge into ``*`` as well, however large or small. A template is rejected when its purity, the share of
 good labelled pages, smoothed towards its host's and the corpus's, is below a share of the corpus's purity.
 
 Levels beyond ``DEPTH`` are one wildcard ``**``. Null URLs and URLs without ``://`` have an empty host and
@@ -23,7 +23,7 @@ from strandlight.session import cut_lineage
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DEPTH = 4
 MIN_PAGES = 5  # a segment stays itself from so many pages
-MIN_SHARE = 0.01  # and from so large a share of its parent's pages
+MIN_SHARE = 0.01  # of the SQL counterpart only: it also merges smaller shares of the parent's pages
 Z = 1.96  # branches within so many standard errors of their siblings merge
 WEIGHT = 20.0  # pages that the smoothing counts for
 REJECT = 0.5  # share of the corpus's purity below which a template is rejected
@@ -66,7 +66,7 @@ def _level(t: DataFrame, k: int) -> DataFrame:
     p = F.col("p_good") / F.nullif(F.col("p_lab"), F.lit(0))
     error = F.sqrt(p * (1 - p) * (1 / F.nullif(F.col("lab"), F.lit(0)) + 1 / F.nullif(other, F.lit(0))))
     gap = F.abs(F.col("good") / F.nullif(F.col("lab"), F.lit(0)) - (F.col("p_good") - F.col("good")) / F.nullif(other, F.lit(0)))
-    rare = (F.col("n") < MIN_PAGES) | (F.col("n") < MIN_SHARE * F.col("p_n"))
+    rare = F.col("n") < MIN_PAGES
     differs = F.coalesce(gap > Z * error, F.lit(False))
     branch = F.when(F.col("seg") == "", "").when(F.col("n") == F.col("p_n"), F.col("seg")).when(rare | ~differs, "*").otherwise(F.col("seg"))
     c = c.select("host", "template", "seg", branch.alias("branch"))

@@ -420,6 +420,16 @@ def test_url_tree(spark):
     assert {x["verdict"] for x in got if "spam" not in x["template"]} == {"allow"} and len(got) <= 3
 
 
+def test_url_small_bad_section(spark):
+    """A bad section of 0.9 % of a hot host is rejected apart from its small good siblings."""
+    prepare(spark)
+    names = [f"big{'abc'[k % 3]}" for k in range(5400)] + [f"small{'abcdefghijklmnopqrs'[k % 19]}" for k in range(1140)] + ["bad"] * 60
+    df = spark.createDataFrame([(k, f"http://hot.net/{x}/item-{k}") for k, x in enumerate(names)], "page_id long, url string")
+    lb = spark.createDataFrame([(k, int(x != "bad"), 0) for k, x in enumerate(names)], "doc_id long, quality int, toxic int")
+    got = {(names[x["page_id"]] == "bad", x["verdict"]) for x in url_templates.judge(df, lb).collect()}
+    assert got == {(True, "block"), (False, "allow")}
+
+
 # 6
 
 
