@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 TOXIC_DOCS = 2500  # bound: labelled toxic documents that train the field
 CLEAN_DOCS = 10_000  # bound: labelled clean documents that do
-WINDOWS = 3  # bound: training windows per document
+WINDOWS = 3  # bound: training windows per toxic document, twice as many per clean one
 SIDE = 20  # tokens on either side of the middle of a training window
 BUCKETS = 1 << 18  # hashed features
 PURITY = 0.9  # share of toxic documents (classes weighted alike) from which a feature can label tokens
@@ -140,8 +140,9 @@ class Field:
         self.w = np.zeros(BUCKETS, np.float64)
         self.bias, self.trans, self.start = -3.0, np.zeros((2, 2)), np.zeros(2)
 
-    def fit(self, texts: list[list[str]], tags: list[list[int]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-6) -> "Field":
-        """Gradient steps with per-weight scale on the mean log-likelihood of the tags."""
+    def fit(self, texts: list[list[str]], tags: list[list[int]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-6) -> "Field":
+        """Gradient steps with per-weight scale on the mean log-likelihood of the tags. Every other step hides
+        the words themselves, so that beginnings and endings learn to stand alone for words never seen."""
         words: dict[str, int] = {}
         ids = np.array([words.setdefault(w, len(words)) for t in texts for w in t], np.int64)
         y = np.array([v for t in tags for v in t], np.float64)
@@ -151,18 +152,20 @@ class Field:
         prev, nxt = np.r_[-1, ids[:-1]], np.r_[ids[1:], -1]
         prev[first], nxt[last] = len(words), len(words)
         own = [features(w) for w in words]
-        of = np.repeat(np.arange(len(own)), [len(f) for f in own])
-        flat = np.array([x for f in own for x in f], np.int64)
+        of_all = np.repeat(np.arange(len(own)), [len(f) for f in own])
+        flat_all = np.array([x for f in own for x in f], np.int64)
+        part = np.r_[False, of_all[1:] == of_all[:-1]]  # the first feature is the word
         left = np.array([*[beside(w, "<") for w in words], beside(None, "<")])
         right = np.array([*[beside(w, ">") for w in words], beside(None, ">")])
         n_w, n = len(words), len(ids)
-        used = np.unique(np.concatenate([flat, left, right]))
+        used = np.unique(np.concatenate([flat_all, left, right]))
         squares = np.zeros(BUCKETS) + 1e-8
         other = np.zeros(7) + 1e-8
         yi = y.astype(np.int64)
         want = np.zeros((2, 2))
         np.add.at(want, (yi[:-1][~first[1:]], yi[1:][~first[1:]]), 1)
-        for _ in range(rounds):
+        for k in range(rounds):
+            flat, of = (flat_all[part], of_all[part]) if k % 2 else (flat_all, of_all)
             cur = np.bincount(of, self.w[flat], n_w)
             e = self.bias + cur[ids] + self.w[left][prev] + self.w[right][nxt]
             p, joint = marginals(e, first, np.exp(self.trans), np.exp(self.start), True)
@@ -342,19 +345,18 @@ def _windows(lex: dict[str, float]):
             out: dict[str, list] = {"i": [], "words": [], "tags": []}
             for y, t, i in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 w = [x.lower() for x in TOKEN.findall(t.as_py())]
-                hit = [y == 1 and any(f in lex for f in stems(x)) for x in w]
-                if y == 1:
-                    mid = [k for k, h in enumerate(hit) if h]
-                else:
-                    mid = [len(w) * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS)] if w else []
+                hit = [any(f in lex for f in stems(x)) for x in w]
+                mid = [k for k, h in enumerate(hit) if h]  # in clean documents too: what the lexicon gets wrong there
+                if y == 0:
+                    mid = mid[:WINDOWS] + [len(w) * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS) if w]
                 upto = done = 0
-                for m in mid:
+                for m in sorted(mid):
                     lo, hi = max(upto, m - SIDE), min(len(w), m + SIDE)
-                    if done == WINDOWS or m < upto or lo >= hi:
+                    if done == 2 * WINDOWS - WINDOWS * y or m < upto or lo >= hi:
                         continue
                     out["i"].append(i)
                     out["words"].append(w[lo:hi])
-                    out["tags"].append([int(h) for h in hit[lo:hi]])
+                    out["tags"].append([int(h) * y for h in hit[lo:hi]])
                     upto, done = hi, done + 1
             kinds = {"i": pa.int64(), "words": pa.list_(pa.string()), "tags": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -367,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     """Fit on at most ``toxic_docs`` and ``clean_docs`` documents whose label row satisfies ``usable``.
 
     ``usable`` is a column over ``labels``. Ids and labels alone take part in the choice; the texts of the
-    chosen are read afterwards, and at most ``WINDOWS`` windows of each reach the driver.
+    chosen are read afterwards, and a few windows of each (``WINDOWS``) reach the driver.
     """
     marks = labels.filter(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("i"), F.col(label_col).alias("l"))
     marks = marks.filter("i IS NOT NULL AND l IS NOT NULL").groupBy("i").agg(F.max(F.when(F.col("l") == 1, 1).otherwise(0)).alias("y"))
