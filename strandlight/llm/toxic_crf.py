@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOXIC_DOCS = 2500  # bound: labelled toxic documents that train the field
-CLEAN_DOCS = 10_000  # bound: labelled clean documents that do
-WINDOWS = 3  # bound: training windows per toxic document, twice as many per clean one
-SIDE = 20  # tokens on either side of the middle of a training window
+CLEAN_DOCS = 7500  # bound: labelled clean documents that do
+WINDOWS = 3  # bound: training windows around tokens of the lexicon per document; a clean one gives one more
+SIDE = 12  # tokens on either side of the middle of a training window
 BUCKETS = 1 << 18  # hashed features
 PURITY = 0.9  # share of toxic documents (classes weighted alike) from which a feature can label tokens
 LEXICON = 20_000  # bound: features that label tokens
@@ -348,17 +348,17 @@ def _windows(lex: dict[str, float]):
                 hit = [any(f in lex for f in stems(x)) for x in w]
                 mid = [k for k, h in enumerate(hit) if h]  # in clean documents too: what the lexicon gets wrong there
                 if y == 0:
-                    mid = mid[:WINDOWS] + [len(w) * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS) if w]
+                    mid = mid[:WINDOWS] + [len(w) // 2] * bool(w)
                 upto = done = 0
                 for m in sorted(mid):
                     lo, hi = max(upto, m - SIDE), min(len(w), m + SIDE)
-                    if done == 2 * WINDOWS - WINDOWS * y or m < upto or lo >= hi:
+                    if done == WINDOWS + 1 - y or m < upto or lo >= hi:
                         continue
                     out["i"].append(i)
-                    out["words"].append(w[lo:hi])
-                    out["tags"].append([int(h) * y for h in hit[lo:hi]])
+                    out["words"].append(" ".join(w[lo:hi]))
+                    out["tags"].append("".join("1" if h and y else "0" for h in hit[lo:hi]))
                     upto, done = hi, done + 1
-            kinds = {"i": pa.int64(), "words": pa.list_(pa.string()), "tags": pa.list_(pa.int32())}
+            kinds = {"i": pa.int64(), "words": pa.string(), "tags": pa.string()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     return run
@@ -380,13 +380,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         lex = lexicon(rows)
         if not lex:
             return None
-        got = rows.mapInArrow(_windows(lex), "i long, words array<string>, tags array<int>").collect()
+        got = rows.mapInArrow(_windows(lex), "i long, words string, tags string").collect()
     finally:
         rows.unpersist()
     got = sorted((r["i"], r["words"], r["tags"]) for r in got if r["words"])
-    if not any(v for _, _, t in got for v in t):
+    if not any("1" in t for _, _, t in got):
         return None
-    return Field().fit([w for _, w, _ in got], [t for _, _, t in got]).slim()
+    return Field().fit([w.split(" ") for _, w, _ in got], [[int(v) for v in t] for _, _, t in got]).slim()
 
 
 def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
