@@ -76,16 +76,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "strandlight", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "cut", outer: bool = False) -> DataFrame:
     """Write to the shared folder and read back: survives executor loss, ends the lineage.
 
     The tables belong to the innermost open ``scratch`` block, which removes them; without one they stay
-    until the owner of the folder clears it.
+    until the owner of the folder clears it. With ``outer`` the table outlives the innermost block and belongs
+    to the one around it.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    owners = _OWNERS[:-1] if outer else _OWNERS
+    if owners:
+        owners[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
