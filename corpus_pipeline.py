@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlight.llm import fm_decontam, jaccard_metric, lang_cnn, pack_bounded, pii_semicrf
 from strandlight.llm.common import crc_mod, free_name, prepare, table
-from strandlight.session import cut_lineage
+from strandlight.session import cut_lineage, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 NEAR_WIDTH = 5  # words of a shingle of the second stage
@@ -81,8 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again; what a stage wrote on its way goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}", outer=True)
     return docs
