@@ -26,6 +26,7 @@ with a null group. Shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlight.llm.common import components
-from strandlight.session import broadcast_if_small, cut_lineage
+from strandlight.session import broadcast_if_small, cut_lineage, scratch
 
 WIDTH = 3
 THRESHOLD = (9, 10)
 CLASSES = 128  # counts above 255 are held at 255, which keeps the map a contraction
 LEAF = 256  # cells of at most this size are compared at once
 PIVOTS = 8
+RUN = 200_000  # rows a task holds while it forms regions; only a shingle of more documents is named otherwise
 HOT = 20_000  # rows of a region joined in one task; larger regions are dealt in block pairs
 SAMPLE_DOCS = 20_000  # bound: documents whose words fix the global order of shingles
 COMMON = 300_000  # bound: words known as common
@@ -138,37 +140,80 @@ def _sets(width: int):
     return run
 
 
-def _regions(num: int, den: int):
-    """(s, doc, n) of one partition -> members (r1, r2, doc, home) of bands that hold a pair."""
+def _runs(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str], rows: int, pieces: bool) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Rows sorted by ``key``, as (columns, whole): runs of whole groups of about ``rows`` rows. With ``pieces`` a
+    group that alone is longer comes in parts (whole = False), so what is held depends on no partition or group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-        got = [g for g in got if len(g[0])]
-        if not got:
-            return
-        s, doc, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-        del got
-        order = np.argsort(s, kind="stable")
-        s, doc, n = s[order], doc[order], n[order]
-        new = np.r_[True, s[1:] != s[:-1]]
-        many = ~(new & np.r_[new[1:], True])
-        s, doc, n = s[many], doc[many], n[many]
-        band = np.floor(np.log(n) / (np.log(den / num) * 1.000001)).astype(np.int64)
-        s, doc, band = np.r_[s, s], np.r_[doc, doc], np.r_[band, band + 1]
-        home = np.r_[np.ones(len(n), bool), np.zeros(len(n), bool)]
-        order = np.lexsort((band, s))
-        s, doc, band, home = s[order], doc[order], band[order], home[order]
-        if not len(s):
+    def part(t: dict[str, np.ndarray], a: int, b: int | None = None) -> dict[str, np.ndarray]:
+        return {c: v[a:b] for c, v in t.items()}
+
+    def like(t: dict[str, np.ndarray], values: tuple) -> np.ndarray:
+        return np.logical_and.reduce([t[c] == v for c, v in zip(key, values)])
+
+    held, n, given = [], 0, None  # given: key of a group of which parts are out
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            if b.num_rows:
+                held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in cols})
+                n += b.num_rows
+            if n < rows:
+                continue
+        if not n:
             return
-        start = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (band[1:] != band[:-1])])
-        size = np.diff(np.r_[start, len(s)])
-        good = (size > 1) & (np.add.reduceat(home.astype(np.int64), start) > 0)
-        d = doc.view(np.uint64) * np.uint64(2) + home
-        r1 = np.add.reduceat(_mix(d + _M1), start).view(np.int64)
-        r2 = np.add.reduceat(_mix(_mix(d ^ _M2)), start).view(np.int64)
-        g = np.repeat(np.arange(len(start)), size)
-        keep = np.flatnonzero(good[g])
-        for k in np.array_split(keep, max(1, len(keep) // 100_000)):
+        t = {c: np.concatenate([h[c] for h in held]) for c in cols}
+        if given is not None:
+            m = int(like(t, given).sum())
+            if m:
+                yield part(t, 0, m), False
+                t, n = part(t, m), n - m
+            given = given if not n else None
+        if n and b is None:
+            yield t, True
+        elif n:
+            last = like(t, tuple(t[c][-1] for c in key))
+            start = n - int(last.sum())
+            if start:
+                yield part(t, 0, start), True
+                t, n = part(t, start), n - start
+            elif pieces and n >= rows:
+                given = tuple(t[c][-1] for c in key)
+                yield t, False
+                n = 0
+        held = [t] if n else []
+
+
+def _regions(num: int, den: int, rows: int):
+    """(s, doc, n), dealt and sorted by s, -> members (r1, r2, doc, home) of bands that hold a pair.
+
+    A region is named by a hash of its members, so equal regions are one; a shingle of more than ``rows``
+    documents names its bands itself, as its members are never held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, whole in _runs(batches, ["s", "doc", "n"], ["s"], rows, True):
+            s, doc, n = t["s"], t["doc"], t["n"]
+            if whole:
+                new = np.r_[True, s[1:] != s[:-1]]
+                many = ~(new & np.r_[new[1:], True])
+                s, doc, n = s[many], doc[many], n[many]
+            band = np.floor(np.log(n) / (np.log(den / num) * 1.000001)).astype(np.int64)
+            s, doc, band = np.r_[s, s], np.r_[doc, doc], np.r_[band, band + 1]
+            home = np.r_[np.ones(len(n), bool), np.zeros(len(n), bool)]
+            if not len(s):
+                continue
+            if not whole:
+                r1, r2 = _mix(s.view(np.uint64) ^ _M3), _mix(_mix(s.view(np.uint64) + _M3) + band.view(np.uint64))
+                yield pa.RecordBatch.from_pydict({"r1": r1.view(np.int64), "r2": r2.view(np.int64), "doc": doc, "home": home})
+                continue
+            order = np.lexsort((band, s))
+            s, doc, band, home = s[order], doc[order], band[order], home[order]
+            start = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (band[1:] != band[:-1])])
+            size = np.diff(np.r_[start, len(s)])
+            good = (size > 1) & (np.add.reduceat(home.astype(np.int64), start) > 0)
+            d = doc.view(np.uint64) * np.uint64(2) + home
+            r1 = np.add.reduceat(_mix(d + _M1), start).view(np.int64)
+            r2 = np.add.reduceat(_mix(_mix(d ^ _M2)), start).view(np.int64)
+            g = np.repeat(np.arange(len(start)), size)
+            k = np.flatnonzero(good[g])
             yield pa.RecordBatch.from_pydict({"r1": r1[g[k]], "r2": r2[g[k]], "doc": doc[k], "home": home[k]})
 
     return run
@@ -244,31 +289,28 @@ def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den
 
 
 def _join_regions(lo: int, hi: int, num: int, den: int):
-    """Rows (r1, r2, i, j, block, doc, home, n, sketch, grp), dealt by region, -> pairs (x, y); (-1, -1) when more are left."""
+    """Rows (r1, r2, i, j, block, doc, home, n, sketch, grp), dealt and sorted by region and document, -> pairs
+    (x, y); (-1, -1) when more are left. A task holds some regions at a time, each of at most two blocks."""
+    key = ["r1", "r2", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if t is None:
-            return
-        col = {k: t.column(k).to_numpy() for k in ("r1", "r2", "i", "j", "block", "doc", "home", "n", "grp")}
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES)
-        order = np.lexsort((col["doc"], col["j"], col["i"], col["r2"], col["r1"]))
-        key = np.stack([col[k][order] for k in ("r1", "r2", "i", "j")], 1)
-        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
         left = False
-        xs, ys = [], []
-        for a, b in zip(cut[:-1], cut[1:]):
-            k = order[a:b]
-            if b - a < 2 or (col["grp"][k] == col["grp"][k[0]]).all():
-                continue
-            block = col["block"][k] if key[a, 2] != key[a, 3] else None
-            x, y, more = region_pairs(col["doc"][k], col["n"][k], sk[k], col["grp"][k], col["home"][k], block, lo, hi, num, den)
-            left = left or more
-            xs.append(np.minimum(x, y))
-            ys.append(np.maximum(x, y))
-        if xs:
-            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"x": pairs[:, 0], "y": pairs[:, 1]})
+        for col, _ in _runs(batches, [*key, "block", "doc", "home", "n", "grp", "sketch"], key, 2 * HOT, False):
+            sk = np.frombuffer(b"".join(col.pop("sketch")), np.uint8).reshape(-1, CLASSES)
+            ks = np.stack([col[k] for k in key], 1)
+            cut = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]).any(1), True])
+            xs, ys = [], []
+            for a, b in zip(cut[:-1], cut[1:]):
+                if b - a < 2 or (col["grp"][a:b] == col["grp"][a]).all():
+                    continue
+                block = col["block"][a:b] if ks[a, 2] != ks[a, 3] else None
+                x, y, more = region_pairs(col["doc"][a:b], col["n"][a:b], sk[a:b], col["grp"][a:b], col["home"][a:b], block, lo, hi, num, den)
+                left = left or more
+                xs.append(np.minimum(x, y))
+                ys.append(np.maximum(x, y))
+            if xs:
+                pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], 1), axis=0)
+                yield pa.RecordBatch.from_pydict({"x": pairs[:, 0], "y": pairs[:, 1]})
         if left:
             yield pa.RecordBatch.from_pydict({"x": pa.array([-1], pa.int64()), "y": pa.array([-1], pa.int64())})
 
@@ -319,8 +361,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     reps = made.filter("n > 0 AND doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep"))
     reps = cut_lineage(reps, "jaccard-rep")
     one = made.join(reps.select(F.col("rep").alias("doc"), "fp"), ["doc", "fp"], "left_semi")
-    spread = one.select(F.explode("prefix").alias("s"), "doc", "n").repartition("s")
-    member = spread.mapInArrow(_regions(num, den), "r1 long, r2 long, doc long, home boolean").distinct()
+    spread = one.select(F.explode("prefix").alias("s"), "doc", "n").repartition("s").sortWithinPartitions("s")
+    member = spread.mapInArrow(_regions(num, den, RUN), "r1 long, r2 long, doc long, home boolean").distinct()
     member = cut_lineage(member, "jaccard-r")
     near = member.select("doc").distinct()
     facts = cut_lineage(one.join(near, "doc", "left_semi").select("doc", "n", "sketch").dropDuplicates(["doc"]), "jaccard-d")
@@ -341,13 +383,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         d = facts.withColumn("grp", F.col("doc"))
         if groups is not None:
             d = facts.join(groups, "doc", "left").select("doc", "n", "sketch", F.coalesce("g", "doc").alias("grp"))
-        cand = dealt.join(d, "doc").repartition("r1", "r2", "i", "j").mapInArrow(_join_regions(lo, hi, num, den), "x long, y long")
-        cand = cut_lineage(cand, "jaccard-c")
-        left = not cand.filter("x = -1 AND y = -1").isEmpty()
-        both = _with_sets(cand.filter("NOT (x = -1 AND y = -1)").distinct(), rows, width)
-        new = cut_lineage(both.mapInArrow(_linked(num, den), "u long, v long"), "jaccard-l")
-        if not new.isEmpty():
-            groups = _merge(groups, new)
+        with scratch(docs.sparkSession):  # the tables of a round go with it
+            cand = dealt.join(d, "doc").repartition("r1", "r2", "i", "j")
+            cand = cand.sortWithinPartitions("r1", "r2", "i", "j", "doc").mapInArrow(_join_regions(lo, hi, num, den), "x long, y long")
+            cand = cut_lineage(cand, "jaccard-c")
+            left = not cand.filter("x = -1 AND y = -1").isEmpty()
+            both = _with_sets(cand.filter("NOT (x = -1 AND y = -1)").distinct(), rows, width)
+            new = cut_lineage(both.mapInArrow(_linked(num, den), "u long, v long"), "jaccard-l")
+            if not new.isEmpty():
+                groups = cut_lineage(_merge(groups, new), "jaccard-g", outer=True)
         if not left:
             break
         lo, hi = hi, hi * 16
@@ -368,7 +412,7 @@ def _merge(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     comps = cut_lineage(components(links.select("u", "v"), "jaccard-cc").toDF("g", "to"), "jaccard-to")
     old = groups.join(comps, "g", "left").select("doc", F.coalesce("to", "g").alias("g"))
     fresh = comps.toDF("doc", "g").join(groups, "doc", "left_anti")
-    return cut_lineage(old.union(fresh), "jaccard-g")
+    return old.union(fresh)
 
 
 def _with_sets(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,23 @@ def test_jaccard_crowd(spark, monkeypatch):
     assert got == want
 
 
+def test_regions_in_pieces():
+    """Groups longer than a run name their regions themselves; every other group is met whole."""
+    r = np.random.default_rng(6)
+    s = np.sort(np.r_[np.zeros(500, np.int64), r.integers(1, 60, 400), np.full(300, 60)])
+    doc, n = np.arange(len(s)), r.integers(5, 40, len(s)).astype(np.int64)
+    batches = [pa.RecordBatch.from_pydict({"s": s[i : i + 37], "doc": doc[i : i + 37], "n": n[i : i + 37]}) for i in range(0, len(s), 37)]
+
+    def met(rows):
+        by = collections.defaultdict(dict)
+        for b in jaccard_metric._regions(4, 5, rows)(iter(batches)):
+            for r1, r2, d, h in zip(*(c.to_pylist() for c in b.columns)):
+                by[r1, r2].setdefault(d, h)
+        return {(x, y) for g in by.values() for x, y in itertools.combinations(sorted(g), 2) if g[x] or g[y]}
+
+    assert met(100) == met(10_000)
+
+
 def test_voronoi_windows():
     """Every close pair shares a cell in which one of the two is at home."""
     r = np.random.default_rng(2)
