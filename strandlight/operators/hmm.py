@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.operators.signals import exact_percentiles
-from strandlight.session import cut_lineage
+from strandlight.operators.signals import exact_percentiles, value_chunks
+from strandlight.ordered import with_running
+from strandlight.session import broadcast_if_small, cut_lineage
 from strandlight.operators.traces import (
     CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks, sliding_windows,
 )
@@ -375,26 +376,195 @@ def log_likelihood(blocks: DataFrame, m: Model, keys: list[str] = KEY) -> DataFr
 
 def hmm_sweep(tr: DataFrame, kmin: int = 1, kmax: int = 6, threshold: float = 1e-2, max_iter: int = 300,
               refit_tol: float = 1e-4, refit_iter: int = 1000, keys: list[str] = KEY) -> dict:
-    """H2: fit K = kmin..kmax, stop early when BIC settles, refit the K of lowest BIC strictly."""
+    """H2: fit K = kmin..kmax side by side (one job per round for all of them), report up to the K where
+    BIC settles, refit the K of lowest BIC strictly."""
     blocks = cached_blocks(tr, keys)
     try:
         n = blocks.agg(F.sum(F.size("xs"))).first()[0]
-        rows, hist, models = [], [], {}
         facts = signal_facts(tr)
+        start = {k: (initial_model(tr, k, facts=facts), None) for k in range(kmin, kmax + 1)}
+        models, history = em_all(blocks, start, threshold, max_iter, keys)
+        final_ll = expectation_all(blocks, {k: (m, None) for k, m in models.items()}, keys)
+        rows, hist = [], []
         for k in range(kmin, kmax + 1):
-            m, h = em(blocks, initial_model(tr, k, facts=facts), threshold, max_iter, keys=keys)
-            ll = log_likelihood(blocks, m, keys).agg(F.sum("ll")).first()[0]
-            p = k * k + 2 * k - 1
-            rows.append((k, 2.0 * p - 2 * ll, float(np.log(n)) * p - 2 * ll, ll, ll - rows[-1][3] if rows else None))
-            hist += [(k, i + 1, v) for i, v in enumerate(h)]
-            models[k] = m
+            ll = final_ll[k][1]
+            rows.append((k, *criteria(k, ll, n), ll, ll - rows[-1][3] if rows else None))
+            hist += [(k, i + 1, v) for i, v in enumerate(history[k])]
             if len(rows) > 1 and abs(rows[-2][2] - rows[-1][2]) < threshold:
                 break
         best = min(rows, key=lambda r: r[2])[0]
         final, fh = em(blocks, initial_model(tr, best, "quantile", facts), refit_tol, refit_iter, keys=keys)
     finally:
         blocks.unpersist()
-    return dict(summary=rows, history=hist, models=models, best_k=best, final=final, final_history=fh)
+    return dict(summary=rows, history=hist, models={r[0]: models[r[0]] for r in rows}, best_k=best, final=final, final_history=fh)
+
+
+def criteria(k: int, ll: float, n: int) -> tuple[float, float]:
+    """AIC and BIC of K states with full transitions, start, means and variances."""
+    p = k * k + 2 * k - 1
+    return 2.0 * p - 2 * ll, float(np.log(n)) * p - 2 * ll
+
+
+# ---- several models in one pass, with held-out folds
+
+
+def fold_blocks(tr: DataFrame, n_splits: int, keys: list[str] = KEY, size: int = BLOCK, chunk_s: float = CHUNK_S) -> DataFrame:
+    """(keys, blk, xs, lead, fold, prev_fold): blocks that no fold border crosses.
+
+    The folds are ``n_splits`` contiguous stretches of all samples, traces laid end to end in key order; the
+    first (samples mod n_splits) folds hold one sample more. ``lead`` marks the first block of a trace,
+    ``prev_fold`` is the fold of the sample before the block (-1 at the start of a trace).
+    """
+    d = indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")).drop("idx", "n_rows"), keys, chunk_s)
+    d = cut_lineage(d, "indexed")
+    per = d.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_k", F.struct(*keys)).withColumn("_all", F.lit(1))
+    per = with_running(value_chunks(per, "_k"), ["_all"], ["_k"], {"_upto": F.col("_n")}, totals=True)
+    per = per.select(*keys, (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_upto_total").alias("_total"))
+    d = d.join(broadcast_if_small(per), keys)
+    small, more = F.floor(F.col("_total") / n_splits), F.col("_total") % n_splits
+    wide = more * (small + 1)  # samples of the folds that hold one more
+
+    def fold(g):
+        return F.when(g < wide, F.floor(g / (small + 1))).otherwise(more + F.floor((g - wide) / F.greatest(small, F.lit(1))))
+
+    g = F.col("_base") + F.col("idx")
+    d = d.withColumn("fold", fold(g).cast("int")).withColumn("_before", F.when(F.col("idx") > 0, fold(g - 1)).otherwise(-1).cast("int"))
+    b = d.groupBy(*keys, (F.floor(F.col("idx") / size) * n_splits + F.col("fold")).alias("blk"), "fold").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "signal"))).alias("r"), F.min_by("_before", "idx").alias("prev_fold"))
+    return b.select(*keys, "blk", F.col("r.signal").alias("xs"), (F.col("prev_fold") < 0).alias("lead"), "fold", "prev_fold")
+
+
+def _taken(q: pd.DataFrame, hold: int | None, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that a job sees and which of them start a sequence: all blocks, those outside fold ``hold``
+    or those inside it; what a removed fold parts is two sequences."""
+    if hold is None:
+        return np.ones(len(q), bool), (q["lead"] if "lead" in q else q["blk"] == 0).to_numpy()
+    fold, before, lead = q["fold"].to_numpy(), q["prev_fold"].to_numpy(), q["lead"].to_numpy()
+    if inside:
+        return fold == hold, lead | (before != hold)
+    return fold != hold, lead | (before == hold)
+
+
+def _chain_jobs(keys: list[str]):
+    """Like the chain of one model, for any number of states, with a mark on the first row."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        k = int(round(len(p["mat"].iloc[0]) ** 0.5))
+        out = _chain_sum(k, keys)(p)
+        out["head"] = np.arange(len(out)) == 0
+        return out
+
+    return run
+
+
+def expectation_all(blocks: DataFrame, jobs: dict, keys: list[str] = KEY, inside: bool = False, chained: bool = True) -> dict:
+    """One E-step of several models at once: job -> (additive sums, log-likelihood).
+
+    ``jobs`` maps a name to (model, fold to leave out or None); with ``inside`` the fold is what is scored. The
+    statistics are keyed by job, so all models share one scan of the blocks and one aggregate.
+    """
+    names = list(jobs)
+    given = list(jobs.values())
+    kd = _kdef(blocks, keys)
+
+    def transfers(it):
+        for p in it:
+            for q in _slices(p):
+                x, n = _pad(list(q["xs"]))
+                for j, (m, hold) in enumerate(given):
+                    use, first = _taken(q, hold, inside)
+                    if use.any():
+                        mat = _transfer(x[use], n[use], first[use], m, False)
+                        yield q.loc[use, [*keys, "blk"]].assign(job=j, mat=[r.ravel().tolist() for r in mat])
+
+    def sums(it):
+        for p in it:
+            acc: dict[int, np.ndarray] = {}
+            for q in _slices(p):
+                x, n = _pad(list(q["xs"]))
+                edges = [{int(e["job"]): e for e in es} for es in q["edges"]] if chained else None
+                for j, (m, hold) in enumerate(given):
+                    use, first = _taken(q, hold, inside)
+                    if not use.any():
+                        continue
+                    if chained:
+                        e = [edges[i][j] for i in np.flatnonzero(use)]
+                        a_in, b_out = (np.array([list(r[c]) for r in e]) for c in ("a_in", "b_out"))
+                    else:
+                        a_in = b_out = np.zeros((int(use.sum()), m.k))
+                    s = _statistics(x[use], n[use], first[use], a_in, b_out, m)
+                    if chained:
+                        s[-1] = sum(r["ll"] for r in e if r["head"])
+                    acc[j] = acc[j] + s if j in acc else s
+            for j, s in acc.items():
+                yield pd.DataFrame({"job": j, "i": np.arange(len(s)), "v": s})
+
+    src = blocks
+    if chained:
+        mats = blocks.mapInPandas(transfers, f"{kd}, blk long, job int, mat array<double>")
+        edge = scan_blocks(mats, [*keys, "job"], f"{kd}, job int, blk long, a_in array<double>, b_out array<double>, ll double, head boolean",
+                           _chain_jobs([*keys, "job"]))
+        edge = edge.groupBy(*keys, "blk").agg(F.collect_list(F.struct("job", "a_in", "b_out", "ll", "head")).alias("edges"))
+        src = blocks.join(edge, [*keys, "blk"])
+    part = src.mapInPandas(sums, "job int, i int, v double").groupBy("job", "i").agg(F.sum("v").alias("v"))
+    out = {name: np.zeros(m.k * m.k + 4 * m.k + 1) for name, (m, _) in jobs.items()}
+    for r in part.collect():  # a few dozen sums per model
+        out[names[r["job"]]][r["i"]] = r["v"]
+    return {name: (v[:-1], float(v[-1])) for name, v in out.items()}
+
+
+def em_all(blocks: DataFrame, jobs: dict, tol: float, max_iter: int, keys: list[str] = KEY) -> tuple[dict, dict]:
+    """H2: EM of several models side by side, one job per round; a model rests once its gain falls below ``tol``."""
+    models, history = {n: m for n, (m, _) in jobs.items()}, {n: [] for n in jobs}
+    live = list(jobs)
+    chained = "fold" in blocks.columns or is_chained(blocks)
+    for _ in range(max_iter):
+        step = expectation_all(blocks, {n: (models[n], jobs[n][1]) for n in live}, keys, chained=chained)
+        for n in list(live):
+            s, ll = step[n]
+            models[n] = maximization(s, models[n])
+            history[n].append(ll)
+            if len(history[n]) > 1 and history[n][-1] - history[n][-2] < tol:
+                live.remove(n)
+        if not live:
+            break
+    return models, history
+
+
+def hmm_cross_validate(tr: DataFrame, kmin: int = 1, kmax: int = 6, n_splits: int = 5, tol: float = 1e-2, max_iter: int = 200,
+                       keys: list[str] = KEY, size: int = BLOCK) -> dict:
+    """H2 with held-out folds: for every K and contiguous fold a model of the other folds scores the fold.
+
+    All (K, fold) models share one job per round. ``folds``: (k, fold, samples, held-out log-likelihood);
+    ``summary``: (k, aic, bic, mean held-out log-likelihood), the criteria taken at that mean over all samples.
+    Traces never join; a trace that a fold cuts gives one sequence on either side of it. Start models come
+    from the range and variance of all samples.
+    """
+    blocks = fold_blocks(tr, n_splits, keys, size).repartition(*keys, "blk").persist()
+    try:
+        size_of = {r["fold"]: r["n"] for r in blocks.groupBy("fold").agg(F.sum(F.size("xs")).alias("n")).collect()}  # one row per fold
+        facts = signal_facts(tr)
+        first = {k: initial_model(tr, k, facts=facts) for k in range(kmin, kmax + 1)}
+        jobs = {(k, f): (m, f) for k, m in first.items() for f in sorted(size_of)}
+        models, history = em_all(blocks, jobs, tol, max_iter, keys)
+        held = expectation_all(blocks, {j: (models[j], j[1]) for j in jobs}, keys, inside=True)
+    finally:
+        blocks.unpersist()
+    n = sum(size_of.values())
+    folds = [(k, f, size_of[f], held[k, f][1]) for k, f in jobs]
+    summary = []
+    for k in first:
+        ll = float(np.mean([v for kk, _, _, v in folds if kk == k]))
+        summary.append((k, *criteria(k, ll, n), ll))
+    return dict(summary=summary, folds=folds, models=models, history=history)
+
+
+def cross_validation_tables(spark: SparkSession, cv: dict) -> tuple[DataFrame, DataFrame]:
+    """H2: criteria per K, and held-out log-likelihood per K and fold."""
+    return (
+        spark.createDataFrame(cv["summary"], "k int, aic double, bic double, log_likelihood double"),
+        spark.createDataFrame(cv["folds"], "k int, fold int, samples long, log_likelihood double"),
+    )
 
 
 def sweep_tables(spark: SparkSession, sweep: dict) -> tuple[DataFrame, DataFrame]:

@@ -38,9 +38,62 @@ def _sweep(s, d):
 
 
 query("H2_hmm_sweep")(_sweep)
+
+
+def _forward_sql(xs: str, start: list, trans: list, means: list, vars: list) -> str:
+    """SQL of the log-likelihood of a list of samples under a model whose parameters are SQL numbers."""
+    k = range(len(means))
+    dens = [f"exp(-0.5 * (x - ({means[i]})) * (x - ({means[i]})) / ({vars[i]})) / sqrt(2 * pi() * ({vars[i]}))" for i in k]
+    z0 = " + ".join(f"({start[i]}) * y.e{i}" for i in k)
+    one = ", ".join([f"'e{i}': y.e{i}" for i in k] + [f"'f{i}': ({start[i]}) * y.e{i} / ({z0})" for i in k] + [f"'ll': ln({z0})"])
+    g = ["(" + " + ".join(f"p.f{i} * ({trans[i][j]})" for i in k) + f") * z.e{j}" for j in k]
+    z = " + ".join(g)
+    step = ", ".join([f"'e{i}': z.e{i}" for i in k] + [f"'f{i}': {g[i]} / ({z})" for i in k] + [f"'ll': p.ll + ln({z})"])
+    e = ", ".join(f"'e{i}': {dens[i]}" for i in k)
+    return f"list_reduce(list_transform(list_transform({xs}, lambda x: {{{e}}}), lambda y: {{{one}}}), lambda p, z: {{{step}}}).ll"
+
+
+def _model_sql(xs: str, m: hmm.Model) -> str:
+    return _forward_sql(xs, *(list(a) for a in (m.start, m.trans, m.means, m.vars)))
+
+
+def _start_sql(xs: str, k: int) -> str:
+    """Of the start model of K states, from columns lo, hi and var."""
+    t = [[hmm.STICKY if i == j else f"{1 - hmm.STICKY} / {k - 1}" for j in range(k)] for i in range(k)] if k > 1 else [[1.0]]
+    return _forward_sql(xs, [f"1.0 / {k}"] * k, t, [f"lo + (hi - lo) * {i} / {max(1, k - 1)}" for i in range(k)], [f"var / {k}"] * k)
+
+
+SPLITS = 4
+_SAMPLES = "SELECT trace_id, t, ev, signal, row_number() OVER (PARTITION BY trace_id ORDER BY t, ev) - 1 AS idx FROM traces WHERE signal IS NOT NULL"
+# contiguous folds over all samples, traces in order of their id
+_FOLDS = f"""SELECT *, CASE WHEN g < m * (q + 1) THEN g // (q + 1) ELSE m + (g - m * (q + 1)) // q END AS fold FROM
+    (SELECT *, row_number() OVER (ORDER BY trace_id, idx) - 1 AS g, count(*) OVER () // {SPLITS} AS q, count(*) OVER () % {SPLITS} AS m FROM sm)"""
+_FACTS = "SELECT min(signal) AS lo, max(signal) AS hi, var_pop(signal) AS var FROM sm"
+_SEQ = "SELECT trace_id, fold, count(*) AS n, list(signal ORDER BY idx) AS xs FROM fo GROUP BY trace_id, fold"
+
+
+def _held_out(s, d, kmin, kmax, rounds):
+    cv = hmm.hmm_cross_validate(ad.traces(s, d).select("trace_id", "t", "ev", "signal"), kmin, kmax, SPLITS, max_iter=rounds, size=32)
+    return hmm.cross_validation_tables(s, cv)[1]
+
+
+query("H2_heldout_start_models", sql(" UNION ALL ".join(
+    f"SELECT {k} AS k, CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS samples, sum({_start_sql('xs', k)}) AS log_likelihood FROM sq, fa GROUP BY fold" for k in (1, 2, 3)),
+    "traces", sm=_SAMPLES, fo=_FOLDS, fa=_FACTS, sq=_SEQ), dbl="log_likelihood", ints="k fold", digits=4)(lambda s, d: _held_out(s, d, 1, 3, 0))
+query("H2_heldout_one_state", sql(f"""SELECT 1 AS k, CAST(o.fold AS INTEGER) AS fold, count(*) AS samples, sum(-0.5 * (ln(2 * pi() * v) + (signal - mu) * (signal - mu) / v)) AS log_likelihood
+    FROM fo o JOIN (SELECT f.fold, avg(signal) AS mu, ({hmm.COVAR_PRIOR} + var_pop(signal) * count(*)) / count(*) AS v
+      FROM (SELECT DISTINCT fold FROM fo) f JOIN fo x ON x.fold <> f.fold GROUP BY f.fold) m ON m.fold = o.fold GROUP BY o.fold""",
+    "traces", sm=_SAMPLES, fo=_FOLDS), dbl="log_likelihood", ints="k fold", digits=4)(lambda s, d: _held_out(s, d, 1, 1, 2))
 query("H3_hmm_decode")(lambda s, d: hmm.hmm_decode(ad.traces(s, d), BASE).select("trace_id", "ev", "state"))
-query("H4_hmm_score")(lambda s, d: hmm.hmm_score(ad.traces(s, d), {"base": BASE, "other": OTHER}, "base"))
-query("H4_score_windows")(lambda s, d: hmm.score_windows(ad.traces(s, d), {"base": BASE, "other": OTHER}, 20, 5))
+_TWO = {"base": BASE, "other": OTHER}
+_LLS = ", ".join(f"{_model_sql('xs', m)} AS ll_{n}" for n, m in _TWO.items())
+query("H4_hmm_score", sql(f"""SELECT trace_id, ll_base, ll_other, CASE WHEN ll_base >= ll_other THEN 'base' ELSE 'other' END AS best_model, greatest(ll_base, ll_other) - ll_base AS gain
+    FROM (SELECT trace_id, {_LLS} FROM (SELECT trace_id, list(signal ORDER BY idx) AS xs FROM sm GROUP BY trace_id))""", "traces", sm=_SAMPLES),
+    dbl="ll_base ll_other gain", digits=4)(lambda s, d: hmm.hmm_score(ad.traces(s, d), _TWO, "base"))
+query("H4_score_windows", sql(f"""SELECT trace_id, w, {_LLS.replace('ll_', '')} FROM (SELECT trace_id, k AS w, list(signal ORDER BY idx) AS xs FROM
+    (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n_rows FROM sm) CROSS JOIN LATERAL (SELECT unnest(range(n_rows)) AS k)
+    WHERE k * 5 <= idx AND idx < k * 5 + 20 AND k * 5 <= greatest(n_rows - 20, 0) GROUP BY trace_id, k)""", "traces", sm=_SAMPLES),
+    dbl="base other", digits=4)(lambda s, d: hmm.score_windows(ad.traces(s, d), _TWO, 20, 5))
 query("H5_hmm_adapt")(lambda s, d: hmm.model_table(s, {"adapted": hmm.hmm_adapt(ad.traces(s, d), BASE, max_iter=3)}))
 
 

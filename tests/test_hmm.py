@@ -85,6 +85,85 @@ def test_decode_matches_exhaustive_search(spark):
             assert tuple(got[got.trace_id == i]["state"]) == best
 
 
+@pytest.mark.parametrize("size", [50, 4096])
+def test_models_side_by_side_equal_single_fits(traces, size):
+    tr, _, _ = traces
+    blocks = hmm.blocks_of(tr, size=size).persist()
+    start = {k: hmm.initial_model(tr, k) for k in (1, 2, 3)}
+    models, history = hmm.em_all(blocks, {k: (m, None) for k, m in start.items()}, 1e-2, 3)
+    for k, m in start.items():
+        one, h = hmm.em(blocks, m, 1e-2, 3)
+        np.testing.assert_allclose(history[k], h, rtol=1e-9)
+        np.testing.assert_allclose(models[k].means, one.means, rtol=1e-7)
+        np.testing.assert_allclose(models[k].trans, one.trans, atol=1e-7)
+    blocks.unpersist()
+
+
+def direct_em(seqs, m, rounds):
+    """Plain forward-backward EM over whole sequences."""
+    for _ in range(rounds):
+        s, a, mu, v = m.arrays()
+        k = m.k
+        s0, xi, w, wx, wxx = np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros(k)
+        for x in seqs:
+            e = np.exp(-0.5 * (np.log(2 * np.pi * v) + (x[:, None] - mu) ** 2 / v))
+            f, b = np.zeros((len(x), k)), np.ones((len(x), k))
+            f[0] = s * e[0]
+            f[0] /= f[0].sum()
+            for t in range(1, len(x)):
+                f[t] = (f[t - 1] @ a) * e[t]
+                f[t] /= f[t].sum()
+            for t in range(len(x) - 2, -1, -1):
+                b[t] = a @ (e[t + 1] * b[t + 1])
+                b[t] /= b[t].sum()
+            g = f * b
+            g /= g.sum(1, keepdims=True)
+            for t in range(1, len(x)):
+                j = f[t - 1][:, None] * a * (e[t] * b[t])[None]
+                xi += j / j.sum()
+            s0, w, wx, wxx = s0 + g[0], w + g.sum(0), wx + (g * x[:, None]).sum(0), wxx + (g * x[:, None] ** 2).sum(0)
+        m = hmm.maximization(np.concatenate([s0, xi.ravel(), w, wx, wxx]), m)
+    return m
+
+
+def test_held_out_folds_equal_brute_force(traces):
+    """Models of the other folds and their likelihood of the fold, by plain recursions over the cut sequences."""
+    tr, _, xs = traces
+    n, splits = sum(map(len, xs.values())), 4
+    out = hmm.hmm_cross_validate(tr, 2, 3, n_splits=splits, tol=-1e9, max_iter=2, size=64)
+    wide = [n // splits + (f < n % splits) for f in range(splits)]
+    edges = np.cumsum([0, *wide])
+    place, at = {}, 0
+    for i in sorted(xs):
+        place[i] = np.searchsorted(edges, np.arange(at, at + len(xs[i])), side="right") - 1
+        at += len(xs[i])
+
+    def cut(fold, inside):
+        seqs = []
+        for i, x in xs.items():
+            keep = (place[i] == fold) == inside
+            runs = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(int)))
+            seqs += [x[a:b] for a, b in zip(runs[::2], runs[1::2])]
+        return seqs
+
+    assert [(k, f, m) for k, f, m, _ in out["folds"]] == [(k, f, wide[f]) for k in (2, 3) for f in range(splits)]
+    for k, f, _, ll in out["folds"]:
+        m = direct_em(cut(f, False), hmm.initial_model(tr, k), 2)
+        np.testing.assert_allclose(out["models"][k, f].means, m.means, rtol=1e-7)
+        assert ll == pytest.approx(sum(direct_ll(x, m) for x in cut(f, True)), rel=1e-8)
+    for k, aic, bic, mean in out["summary"]:
+        assert mean == pytest.approx(np.mean([v for kk, _, _, v in out["folds"] if kk == k]))
+        assert aic == pytest.approx(2 * (k * k + 2 * k - 1) - 2 * mean) and bic == pytest.approx(np.log(n) * (k * k + 2 * k - 1) - 2 * mean)
+
+
+def test_more_folds_than_some_traces_have_samples(traces, spark):
+    tr, _, _ = traces
+    few = tr.filter("trace_id >= 3 AND t < 0.05")
+    out = hmm.hmm_cross_validate(few, 1, 1, n_splits=6, max_iter=1)
+    assert [r[2] for r in out["folds"]] == [1] * 6
+    assert hmm.cross_validation_tables(spark, out)[1].count() == 6
+
+
 def test_sweep_stops_and_picks_lowest_bic(traces, spark):
     tr, _, _ = traces
     out = hmm.hmm_sweep(tr, 1, 3, threshold=1e-2, max_iter=5, refit_iter=2)
