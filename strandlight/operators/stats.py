@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlight.functions.tails import chi2_p, norm_p, pearson_p, rank_sum_p, signed_rank_p
 from strandlight.operators.signals import average_ranks, value_chunks
 from strandlight.ordered import with_index, with_running
+from strandlight.session import broadcast_if_small, cut_lineage
 
 Z95 = 1.959963984540054  # fixed value: 97.5% normal quantile
 
@@ -175,76 +176,87 @@ def median_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def _pairs_below(x: DataFrame, y: DataFrame, cuts: DataFrame) -> DataFrame:
     """For each (key, cut) the number of pairs with y <= x + cut, by one merged running count."""
-    xs = x.join(F.broadcast(cuts), "key").select("key", "cut", (F.col("v") + F.col("cut")).alias("v"), F.col("c").alias("cx"), F.lit(0).cast("long").alias("cy"))
-    ys = y.join(F.broadcast(cuts.select("key", "cut")), "key").select("key", "cut", "v", F.lit(0).cast("long").alias("cx"), F.col("c").alias("cy"))
+    cuts = broadcast_if_small(cuts)
+    none = F.lit(0).cast("long")
+    xs = x.join(cuts, "key").select("key", "cut", (F.col("v") + F.col("cut")).alias("v"), F.col("c").alias("cx"), none.alias("cy"))
+    ys = y.join(cuts, "key").select("key", "cut", "v", none.alias("cx"), F.col("c").alias("cy"))
     both = xs.unionByName(ys).groupBy("key", "cut", "v").agg(F.sum("cx").alias("cx"), F.sum("cy").alias("cy"))
     run = with_running(value_chunks(both, "v"), ["key", "cut"], ["v"], {"below": F.col("cy")})
     return run.groupBy("key", "cut").agg(F.sum(F.col("cx") * F.col("below")).alias("n_below"))
 
 
-def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 64, enough: int = 20_000) -> DataFrame:
-    """S3: median of all differences y - x (side 2 minus side 1) and its 95% interval, exactly.
-
-    The n1*n2 differences are never listed. Their wanted order statistics are located by counting
-    pairs below trial shifts (one merged running count per round, all keys and positions at
-    once) until an interval holds at most ``enough`` differences or has shrunk to one repeated
-    difference; only its distinct value pairs are then listed.
-    """
-    spark = df.sparkSession
-    cnt = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(side).alias("s"), F.col(value).alias("v")).agg(F.count("*").alias("c")).persist()
-    x, y = cnt.filter("s = 1").drop("s"), cnt.filter("s = 2").drop("s")
+def _shift_facts(cnt: DataFrame) -> DataFrame:
+    """Per key with both sides: the number of differences and the positions of the median and the interval."""
     both = cnt.groupBy("key", "v").agg(*[
         F.sum(F.when(F.col("s") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in (1, 2)])
     c = (F.col("c1") + F.col("c2")).cast("double")
     ext = both.groupBy("key").agg(
         F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.sum(c * c * c - c).alias("tie_term"),
-        *[f(F.when(F.col(f"c{i}") > 0, F.col("v"))).alias(f"{n}{e}")
+        *[f(F.when(F.col(f"c{i}") > 0, F.col("v"))).cast("double").alias(f"{n}{e}")
           for i, n in ((1, "x"), (2, "y")) for e, f in ((0, F.min), (1, F.max))])
-    g = ext.filter("n1 > 0 AND n2 > 0").withColumn("sd_u", _sd_u()).collect()  # one row per key
-    want: dict[tuple, list] = {}  # (key, k) -> [lo, n_below(lo), hi, n_below(hi)]
-    span: dict = {}
-    names: dict = {}
-    for r in g:
-        N = r["n1"] * r["n2"]
-        k = math.floor(N / 2.0 - Z95 * (r["sd_u"] or 0.0))
-        names[r["key"]] = dict(m1=(N + 1) // 2, m2=N // 2 + 1, lo=max(1, k + 1), hi=min(N, N - k))
-        e = r
-        span[r["key"]] = 1 + abs(e["y0"]) + abs(e["x1"]) + abs(e["y1"]) + abs(e["x0"])
-        pad = 1e-9 * span[r["key"]]
-        for q in set(names[r["key"]].values()):
-            want[(r["key"], q)] = [e["y0"] - e["x1"] - pad, 0, e["y1"] - e["x0"] + pad, N]
-    kt = df.schema[key].dataType.simpleString()
-    for _ in range(24):
-        trial: dict = {}
-        for (kk, _q), (lo, nlo, hi, nhi) in want.items():
-            step = (hi - lo) / fan
-            if nhi - nlo > enough and hi - lo > 1e-10 * span[kk]:
-                trial.setdefault(kk, set()).update(lo + step * i for i in range(1, fan))
-        if not trial:
-            break
-        cuts = spark.createDataFrame([(kk, c) for kk, cs in trial.items() for c in sorted(cs)], f"key {kt}, cut double")
-        for kk, c, nb in _pairs_below(x, y, cuts).select("key", "cut", "n_below").collect():  # fan rows per position
-            for (wk, q), w in want.items():
-                if wk == kk:
-                    if nb < q and c > w[0]:
-                        w[0], w[1] = c, nb
-                    elif nb >= q and c < w[2]:
-                        w[2], w[3] = c, nb
-    rows = [(kk, q, w[0], w[2], q - w[1]) for (kk, q), w in want.items()]
-    spans = spark.createDataFrame(rows, f"key {kt}, k long, lo double, hi double, pick long")
+    n, k = F.col("n_pairs"), F.col("_k")
+    ext = ext.filter("n1 > 0 AND n2 > 0").withColumn("n_pairs", F.col("n1") * F.col("n2"))
+    ext = ext.withColumn("_k", F.floor(n / 2.0 - Z95 * F.coalesce(_sd_u(), F.lit(0.0))))
+    return ext.select(
+        "key", "n_pairs", *[F.col(f"{a}{b}") for a in "xy" for b in (0, 1)],
+        F.floor((n + 1) / 2).alias("m1"), (F.floor(n / 2) + 1).alias("m2"),
+        F.greatest(F.lit(1), k + 1).alias("low"), F.least(n, n - k).alias("high"),
+        (1 + sum(F.abs(F.col(f"{a}{b}")) for a in "xy" for b in (0, 1))).alias("span"))
+
+
+def _narrow(x: DataFrame, y: DataFrame, b: DataFrame, fan: int, enough: int) -> DataFrame:
+    """Brackets (key, q, span, lo, n_lo, hi, n_hi) around the q-th difference, narrowed until each holds at most
+    ``enough`` differences or has shrunk to one repeated difference. All keys and positions move in one job per
+    round; they stay in the table and only whether one is still wide comes back."""
+    while True:
+        wide = b.filter((F.col("n_hi") - F.col("n_lo") > enough) & (F.col("hi") - F.col("lo") > 1e-10 * F.col("span")))
+        if wide.isEmpty():
+            return b
+        step = (F.col("hi") - F.col("lo")) / fan
+        cuts = wide.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.col("lo") + step * i)).alias("cut")).distinct()
+        seen = wide.join(_pairs_below(x, y, cuts), "key")
+        at = F.struct("cut", "n_below")
+        moved = seen.groupBy("key", "q").agg(
+            F.max(F.when((F.col("n_below") < F.col("q")) & (F.col("cut") > F.col("lo")), at)).alias("_up"),
+            F.min(F.when((F.col("n_below") >= F.col("q")) & (F.col("cut") < F.col("hi")), at)).alias("_down"))
+        b = cut_lineage(b.join(moved, ["key", "q"], "left").select(
+            "key", "q", "span", F.coalesce("_up.cut", "lo").alias("lo"), F.coalesce("_up.n_below", "n_lo").alias("n_lo"),
+            F.coalesce("_down.cut", "hi").alias("hi"), F.coalesce("_down.n_below", "n_hi").alias("n_hi")), "brackets")
+
+
+def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 64, enough: int = 50_000) -> DataFrame:
+    """S3: median of all differences y - x (side 2 minus side 1) and its 95% interval, exactly, per key.
+
+    The n1*n2 differences are the entries of a matrix sorted both ways and are never listed: brackets around the
+    wanted order statistics live in a DataFrame and narrow by counting pairs below trial shifts; what a bracket
+    still holds at the end (few, or one value many times) is then listed as distinct value pairs. Keys with few
+    differences are listed at once. Keys without one of the sides have no row; a null key has none either.
+    """
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(side).alias("s"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cnt = cut_lineage(cnt, "values")
+    x, y = cnt.filter("s = 1").drop("s"), cnt.filter("s = 2").drop("s")
+    facts = cut_lineage(_shift_facts(cnt), "shifts")
+    pad = 1e-9 * F.col("span")
+    start = facts.select("key", "span", (F.col("y0") - F.col("x1") - pad).alias("lo"), F.lit(0).cast("long").alias("n_lo"),
+                         (F.col("y1") - F.col("x0") + pad).alias("hi"), F.col("n_pairs").alias("n_hi"),
+                         F.explode(F.array_distinct(F.array("m1", "m2", "low", "high"))).alias("q"))
+    b = _narrow(x, y, start.select("key", "q", "span", "lo", "n_lo", "hi", "n_hi"), fan, enough)
+    spans = broadcast_if_small(b.select("key", "q", "lo", "hi", (F.col("q") - F.col("n_lo")).alias("pick")))
     width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
-    xs = x.join(F.broadcast(spans), "key").withColumn("b", F.explode(F.sequence(
+    xs = x.join(spans, "key").withColumn("b", F.explode(F.sequence(
         F.floor((F.col("v") + F.col("lo")) / width), F.floor((F.col("v") + F.col("hi")) / width))))
-    ys = y.join(F.broadcast(spans.select("key", "k", "lo", "hi")), "key").select(
-        "key", "k", F.floor(F.col("v") / width).alias("b"), F.col("v").alias("yv"), F.col("c").alias("yc"))
-    near = xs.join(ys, ["key", "k", "b"]).filter("yv <= v + hi AND NOT yv <= v + lo").select(
-        "key", "k", "pick", (F.col("yv") - F.col("v")).alias("d"), (F.col("c") * F.col("yc")).alias("w"))
-    near = near.groupBy("key", "k", "pick", "d").agg(F.sum("w").alias("w"))
-    run = with_running(value_chunks(near, "d"), ["key", "k"], ["d"], {"hi_": F.col("w")})
-    got = {(r["key"], r["k"]): r["d"] for r in run.filter("pick <= hi_ AND pick > hi_ - w").select("key", "k", "d").collect()}
-    cnt.unpersist()
-    out = [(kk, (got[(kk, p["m1"])] + got[(kk, p["m2"])]) / 2, got[(kk, p["lo"])], got[(kk, p["hi"])]) for kk, p in names.items()]
-    return spark.createDataFrame(out, f"{key} {kt}, hl double, hl_low double, hl_high double")
+    ys = y.join(spans.select("key", "q", "lo", "hi"), "key").select(
+        "key", "q", F.floor(F.col("v") / width).alias("b"), F.col("v").alias("yv"), F.col("c").alias("yc"))
+    near = xs.join(ys, ["key", "q", "b"]).filter("yv <= v + hi AND NOT yv <= v + lo").select(
+        "key", "q", "pick", (F.col("yv") - F.col("v")).alias("d"), (F.col("c") * F.col("yc")).alias("w"))
+    near = near.groupBy("key", "q", "pick", "d").agg(F.sum("w").alias("w"))
+    run = with_running(value_chunks(near, "d"), ["key", "q"], ["d"], {"hi_": F.col("w")})
+    got = run.filter("pick <= hi_ AND pick > hi_ - w").select("key", "q", "d")
+    names = ("m1", "m2", "low", "high")
+    wanted = facts.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("q")) for n in names])).alias("w"))
+    at = wanted.select("key", "w.*").join(got, ["key", "q"]).groupBy("key").agg(
+        *[F.max(F.when(F.col("name") == n, F.col("d"))).alias(n) for n in names])
+    return at.select(F.col("key").alias(key), ((F.col("m1") + F.col("m2")) / 2).alias("hl"), F.col("low").alias("hl_low"), F.col("high").alias("hl_high"))
 
 
 def rank_test_table(df: DataFrame, key: str, side: str, value: str) -> DataFrame:

@@ -71,11 +71,17 @@ _MCI = """SELECT cluster, side, median(value) AS median, any_value(n) AS n, max(
     max(value) FILTER (WHERE rn = least(n, ceil(n / 2.0 + 0.5 * 1.959963984540054 * sqrt(n)))) AS ci_high FROM
     (SELECT *, row_number() OVER (PARTITION BY cluster, side ORDER BY value) AS rn, count(*) OVER (PARTITION BY cluster, side) AS n FROM cv) GROUP BY cluster, side"""
 query("S3_median_ci", sql(_MCI, "bp", **_SIDES), dbl="median ci_low ci_high")(lambda s, d: st.median_ci(sides(s, d), ["cluster", "side"], "value"))
-query("S3_hodges_lehmann", sql("""SELECT cluster, median(dv) AS hl, max(dv) FILTER (WHERE rn = greatest(1, k + 1)) AS hl_low, max(dv) FILTER (WHERE rn = least(nn, nn - k)) AS hl_high FROM
+_HL = """SELECT cluster, median(dv) AS hl, max(dv) FILTER (WHERE rn = greatest(1, k + 1)) AS hl_low, max(dv) FILTER (WHERE rn = least(nn, nn - k)) AS hl_high FROM
     (SELECT a.cluster, b.value - a.value AS dv, row_number() OVER (PARTITION BY a.cluster ORDER BY b.value - a.value) AS rn, count(*) OVER (PARTITION BY a.cluster) AS nn,
      CAST(floor(n1 * n2 / 2.0 - 1.959963984540054 * sd_u) AS BIGINT) AS k
-     FROM cv a JOIN cv b ON a.cluster = b.cluster AND a.side = 1 AND b.side = 2 JOIN u ON u.cluster = a.cluster) GROUP BY cluster""", "bp", **_SIDES),
-    dbl="hl hl_low hl_high")(lambda s, d: st.hodges_lehmann(sides(s, d), "cluster", "side", "value"))
+     FROM cv a JOIN cv b ON a.cluster = b.cluster AND a.side = 1 AND b.side = 2 JOIN u ON u.cluster = a.cluster) GROUP BY cluster"""
+query("S3_hodges_lehmann", sql(_HL, "bp", **_SIDES), dbl="hl hl_low hl_high")(
+    lambda s, d: st.hodges_lehmann(sides(s, d), "cluster", "side", "value"))
+query("S3_rank_test_values", sql("""SELECT u.cluster, n1, n2, r1, r2, least(u1, u2) AS u, a.median AS median_high, a.ci_low AS ci_low_high, a.ci_high AS ci_high_high,
+    b.median AS median_low, b.ci_low AS ci_low_low, b.ci_high AS ci_high_low, hl, hl_low, hl_high, b.median - a.median AS difference
+    FROM u JOIN mc a ON a.cluster = u.cluster AND a.side = 1 JOIN mc b ON b.cluster = u.cluster AND b.side = 2 JOIN hl ON hl.cluster = u.cluster""",
+    "bp", **_SIDES, mc=_MCI, hl=_HL), dbl="r1 r2 u median_high ci_low_high ci_high_high median_low ci_low_low ci_high_low hl hl_low hl_high difference")(
+    lambda s, d: st.rank_test_table(sides(s, d), "cluster", "side", "value").drop("p_value", "stars"))
 query("S3_rank_test_table")(lambda s, d: st.rank_test_table(sides(s, d), "cluster", "side", "value"))
 
 # p-values of orders: a deterministic pseudo-p with ties and gaps

@@ -148,6 +148,44 @@ def test_hodges_lehmann_equals_all_pairs(spark):
     assert (got["hl_low"], got["hl_high"]) == pytest.approx((d[k], d[len(d) - k - 1]))
 
 
+def _shift(x, y):
+    """Median and interval of all y - x from the listed differences."""
+    d = np.sort((y[None, :] - x[:, None]).ravel())
+    both = np.r_[x, y]
+    c = np.unique(both, return_counts=True)[1].astype(float)
+    n = len(both)
+    sd = np.sqrt(len(x) * len(y) / 12 * ((n + 1) - ((c**3 - c).sum() / (n * (n - 1)) if n > 1 else 0)))
+    k = int(np.floor(len(d) / 2 - st.Z95 * sd))
+    return np.median(d), d[max(1, k + 1) - 1], d[min(len(d), len(d) - k) - 1]
+
+
+def test_hodges_lehmann_of_many_keys(spark):
+    """Ten thousand keys in a handful of jobs; sides of one value, missing sides, null values and keys."""
+    rng = np.random.default_rng(2)
+    data = {k: (np.round(rng.normal(0, 1, rng.integers(1, 6)), 1), np.round(rng.normal(0.5, 1, rng.integers(1, 6)), 1)) for k in range(10_000)}
+    p = pd.DataFrame([(k, s + 1, v) for k, two in data.items() for s, vs in enumerate(two) for v in vs], columns=["key", "side", "v"])
+    p = pd.concat([p, pd.DataFrame({"key": [20_000, 20_001, 0], "side": [1, 2, 1], "v": [1.0, 2.0, None]})])
+    df = spark.createDataFrame(p).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    df = df.union(spark.createDataFrame([(None, 1, 1.0), (None, 2, 1.0)], df.schema))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = {r["key"]: (r["hl"], r["hl_low"], r["hl_high"]) for r in st.hodges_lehmann(df, "key", "side", "v").collect()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 60
+    assert set(got) == set(data)
+    for k, (x, y) in data.items():
+        assert got[k] == pytest.approx(_shift(x, y))
+
+
+def test_hodges_lehmann_narrows(spark):
+    """Brackets of several keys of unlike size narrow to few differences or to one repeated one."""
+    rng = np.random.default_rng(3)
+    data = {"wide": (rng.normal(0, 1, 300), rng.normal(1, 2, 200)), "ties": (rng.integers(0, 3, 400) * 0.5, rng.integers(0, 4, 300) * 0.5),
+            "far": (np.r_[rng.normal(0, 1e-3, 150), 1e6], rng.normal(0, 1e-3, 100)), "one": (np.array([2.0]), np.array([5.0])), "flat": (np.full(90, 1.0), np.full(80, 1.5))}
+    df = spark.createDataFrame([(k, s + 1, float(v)) for k, two in data.items() for s, vs in enumerate(two) for v in vs], "key string, side int, v double")
+    got = {r["key"]: (r["hl"], r["hl_low"], r["hl_high"]) for r in st.hodges_lehmann(df, "key", "side", "v", fan=8, enough=50).collect()}
+    for k, (x, y) in data.items():
+        assert got[k] == pytest.approx(_shift(x, y), abs=1e-9)
+
+
 def test_fits_recover_parameters(spark):
     x = np.linspace(0, 4, 30)
     p = pd.DataFrame({"g": "a", "x": x, "cdf": 1 - np.exp(-1.7 * x), "count": 10, "density": 1.7 * np.exp(-1.7 * x)})
