@@ -148,6 +148,32 @@ def test_hodges_lehmann_equals_all_pairs(spark):
     assert (got["hl_low"], got["hl_high"]) == pytest.approx((d[k], d[len(d) - k - 1]))
 
 
+@pytest.mark.parametrize("w", [1, 7])
+def test_region_bins_equal_bases(spark, w):
+    """Bins against a plain array of bases: overlapping, touching and missing intervals, both strands, repeated regions."""
+    rng = np.random.default_rng(8)
+    iv_ = [(int(a), int(a + n), float(v)) for a, n, v in zip(rng.integers(0, 900, 60), rng.integers(1, 60, 60), np.round(rng.normal(0, 3, 60), 3))]
+    iv_ += [(1000, 1010, float("nan")), (1010, 1020, float("inf")), (1020, 1030, 1e12), (1030, 1400, 1.0)]
+    track = spark.createDataFrame([("c", a, b, v) for a, b, v in iv_] + [("c", 5, 50, None), ("d", 0, 9, 1.0)], "chrom string, start long, end long, value double")
+    spots = [("r1", "+", "c", 300), ("r2", "-", "c", 305), ("r3", "+", "c", 5000), ("r4", "-", "e", 10), ("r5", "+", "c", 1015), ("r5", "+", "c", 1015), ("r6", "-", "c", -20), ("r6", "-", "c", 40)]
+    got = sg.region_matrix(spark.createDataFrame(spots, "region_id string, strand string, chrom string, center long"), track, 50, 48, w).collect()
+    n = -(-98 // w)
+    assert len(got) == len(spots) * n
+    want = []
+    for r, strand, chrom, c in spots:
+        for k in range(n):
+            s, m = 0.0, 0
+            for p in range(c - 50 + k * w, min(c + 48, c - 50 + (k + 1) * w)):
+                vs = [v for a, b, v in iv_ if chrom == "c" and a <= p < b]
+                s, m = s + sum(vs), m + len(vs)
+            want.append((r, n - 1 - k if strand == "-" else k, s / m if m else None))
+    order = lambda t: (t[0], t[1], t[2] is None, str(t[2]) if t[2] is None or t[2] != t[2] else "", t[2] or 0)
+    for g, x in zip(sorted(map(tuple, got), key=order), sorted(want, key=order)):
+        assert g[:2] == x[:2] and (g[2] is None) == (x[2] is None)
+        if x[2] is not None:
+            assert g[2] == pytest.approx(x[2], rel=1e-9, abs=1e-9, nan_ok=True)
+
+
 def _shift(x, y):
     """Median and interval of all y - x from the listed differences."""
     d = np.sort((y[None, :] - x[:, None]).ravel())
