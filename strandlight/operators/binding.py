@@ -260,21 +260,29 @@ def offset_bits(windows: Windows, rel: str = "rel_pos") -> str:
     return f"coalesce(get({lookup}, CASE WHEN {rel} BETWEEN {-w} AND {w} THEN CAST({rel} + {w} AS INT) END), 0L)"
 
 
-def pair_masks(cm: DataFrame, windows: Windows = Windows(), min_calls: int = 0) -> DataFrame:
-    """One row per (motif, read) with the masks ``u`` and ``m`` over all bins.
+CORE_LO, CORE_HI = BIN_WIDTH * (CORE_BINS[0] - CENTER_BIN), BIN_WIDTH * (CORE_BINS[-1] - CENTER_BIN) + BIN_WIDTH - 1
+_SITES = f"CASE WHEN rel_pos BETWEEN {CORE_LO} AND {CORE_HI} THEN shiftleft(1L, CAST(rel_pos - ({CORE_LO}) AS INT)) ELSE 0L END"
+
+
+def pair_masks(cm: DataFrame, windows: Windows = Windows(), min_calls: int = 0, sites: bool = False) -> DataFrame:
+    """One row per (motif, read) with the masks ``u`` and ``m`` over all bins; with ``sites`` also a mask of the
+    called positions of the core bins (one bit per base), from the same aggregate.
 
     ``min_calls`` > 1 needs counts per bin, so it first groups by (pair, bin); the nucleosome
     windows (bits 60/61) always count from one call.
     """
+    if sites and min_calls > 1:
+        raise ValueError("positions are counted from one call on")
     rows = (
         cm.filter("status IN ('M', 'U')")
-        .selectExpr(*PAIR, "status = 'U' AS is_u", f"{offset_bits(windows)} AS bits")
+        .selectExpr(*PAIR, "status = 'U' AS is_u", f"{offset_bits(windows)} AS bits", *([f"{_SITES} AS at"] if sites else []))
         .filter("bits <> 0")
     )
     if min_calls <= 1:
         return rows.groupBy(*PAIR).agg(
             F.expr("bit_or(CASE WHEN is_u THEN bits ELSE 0L END) AS u"),
             F.expr("bit_or(CASE WHEN is_u THEN 0L ELSE bits END) AS m"),
+            *([F.expr("bit_or(at) AS sites")] if sites else []),
         )
     codes = [bit_of(c) for c in CORE_BINS + windows.codes()] + [NUC_UP_BIT, NUC_DOWN_BIT]
     each = f"explode(filter(array({', '.join(map(str, codes))}), c -> {_bit('bits', 'c')} = 1)) AS pos"
@@ -432,33 +440,35 @@ def bin_stats(bp: DataFrame) -> DataFrame:
     return g.selectExpr("*", "sd / sqrt(n) AS sem")
 
 
-def mappability(cm: DataFrame, thr: int = 1) -> DataFrame:
-    """Distinct reads per core bin (11 columns), bins at threshold and their fraction."""
-    p = pair_masks(cm).selectExpr("motif_id", "u | m AS meas").filter(f"meas & {CORE_MASK}L <> 0")
-    w = p.groupBy("motif_id").agg(*_exprs([f"sum({_bit('meas', k)}) AS zf{k}_reads" for k in CORE_BINS]))
+def motif_reads(pairs: DataFrame, thr: int = 1) -> DataFrame:
+    """What D12-D14 need of a pair table with ``sites``: per motif the reads of each core bin, bins at threshold
+    and distinct call positions."""
+    p = pairs.selectExpr("motif_id", "u | m AS meas", "sites").filter(f"meas & {CORE_MASK}L <> 0")
+    w = p.groupBy("motif_id").agg(
+        *_exprs([f"sum({_bit('meas', k)}) AS zf{k}_reads" for k in CORE_BINS]), F.expr("CAST(bit_count(bit_or(sites)) AS BIGINT) AS n_sites_called"))
     n = " + ".join(f"CAST(zf{k}_reads >= {thr} AS INT)" for k in CORE_BINS)
-    return w.selectExpr("*", f"{n} AS n_zf_mappable").selectExpr("*", "n_zf_mappable / 11D AS fraction_zf_mappable")
+    return w.selectExpr("*", f"{n} AS n_zf_mappable")
 
 
-def mappability_by_sites(cm: DataFrame, thr: int = 1) -> DataFrame:
-    """Mappable bins by the number of distinct call positions of the motif."""
-    core = cm.filter(F.col("status").isin("M", "U") & zf_bin("rel_pos").between(1, 11))
-    sites = core.select("motif_id", "call_pos").distinct().groupBy("motif_id").agg(
-        F.count("*").alias("n_sites_called")
-    )
-    j = mappability(cm, thr).join(sites, "motif_id", "left")
-    return j.groupBy("n_sites_called").agg(*_exprs([
+def mappability_table(reads: DataFrame) -> DataFrame:
+    """D12 from ``motif_reads``."""
+    return reads.drop("n_sites_called").selectExpr("*", "n_zf_mappable / 11D AS fraction_zf_mappable")
+
+
+def sites_table(reads: DataFrame) -> DataFrame:
+    """D13 from ``motif_reads``."""
+    return reads.groupBy("n_sites_called").agg(*_exprs([
         "count(n_zf_mappable) AS n_motifs", "avg(n_zf_mappable) AS mean_zf_mappable",
         "median(n_zf_mappable) AS median_zf_mappable"]))
 
 
-def bin_balance(cm: DataFrame, thr: int = 1) -> DataFrame:
-    """Motifs and reads tested per core bin at threshold, with fractions."""
+def balance_table(reads: DataFrame, thr: int = 1) -> DataFrame:
+    """D14 from ``motif_reads``."""
     aggs = ["count(*) AS total_sites"]
     for k in CORE_BINS:
         aggs.append(f"count_if(zf{k}_reads >= {thr}) AS s{k}")
         aggs.append(f"coalesce(sum(CASE WHEN zf{k}_reads >= {thr} THEN zf{k}_reads END), 0L) AS r{k}")
-    one = mappability(cm, thr).agg(*_exprs(aggs))
+    one = reads.agg(*_exprs(aggs))
     total = "(" + " + ".join(f"r{k}" for k in CORE_BINS) + ")"
     return _unpivot(
         one, [], ["zf", "sites_tested", "frac_sites_tested", "reads_tested", "frac_reads_tested"],
@@ -466,6 +476,21 @@ def bin_balance(cm: DataFrame, thr: int = 1) -> DataFrame:
     )
 
 
+def mappability(cm: DataFrame, thr: int = 1) -> DataFrame:
+    """Distinct reads per core bin (11 columns), bins at threshold and their fraction."""
+    return mappability_table(motif_reads(pair_masks(cm, sites=True), thr))
+
+
+def mappability_by_sites(cm: DataFrame, thr: int = 1) -> DataFrame:
+    """Mappable bins by the number of distinct call positions of the motif."""
+    return sites_table(motif_reads(pair_masks(cm, sites=True), thr))
+
+
+def bin_balance(cm: DataFrame, thr: int = 1) -> DataFrame:
+    """Motifs and reads tested per core bin at threshold, with fractions."""
+    return balance_table(motif_reads(pair_masks(cm, sites=True), thr), thr)
+
+
 def final_mask(states: DataFrame, windows: Windows, scheme: str | None) -> tuple[DataFrame, list[int]]:
     """Measured bits that survive into the final snapshot, as column ``fin``."""
     s, core = _cluster_masks(states, scheme)

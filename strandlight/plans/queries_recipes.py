@@ -15,7 +15,7 @@ from strandlight.plans.queries_binding import _CBINS, _CVIEWS, _cond_sql
 from strandlight.plans.queries_genome import _DEPTH, _LABELS
 from strandlight.plans.queries_stats import _M
 from strandlight.plans.queries_traces import _CURVE, calibration, curves
-from strandlight.plans.registry import query
+from strandlight.plans.registry import ORACLE, query
 from strandlight.sources import adapters as ad
 
 # A fixed three-state model on the scale of the event values.
@@ -134,6 +134,19 @@ query("R0_prepare_flanks", sql("""SELECT region, c.chrom, call_pos, read_id, sta
 query("R1B_bin_stats", sql("""SELECT zf, count(*) AS n, avg(binding_prob) AS mean, coalesce(stddev_samp(binding_prob), 0) AS sd,
     coalesce(stddev_samp(binding_prob), 0) / sqrt(count(*)) AS sem FROM bp WHERE binding_prob IS NOT NULL AND zf <> 5 GROUP BY zf""", "bp"), dbl="mean sd sem")(
     lambda s, d: rc.r1b(ad.calls_motif(s, d))["bin_stats"])
+# the other outputs of the recipe, each against the SQL of the table by itself
+for _out, _same in dict(
+    binding_prob="D10_binding_prob", matrix="D25_matrix_export", points="D25_points_export", scatter_stats="D15_scatter_stats",
+    category_counts="D16_read_category_counts", category_summary="D18_category_summary", mappability="D12_mappability",
+    mappability_by_sites="D13_mappability_by_sites", balance="D14_bin_balance",
+).items():
+    query(f"R1B_{_out}", ORACLE[_same])(lambda s, d, o=_out: rc.r1b(ad.calls_motif(s, d), 2)[o])
+query("R1B_by_k", ORACLE["D17_dynamic_static_by_k"])(
+    lambda s, d: rc.r1b(ad.calls_motif(s, d))["by_k"].filter("n_motifs_total > 0"))
+query("R1B_states", sql("""SELECT motif_id, read_id, count(*) AS n_measured, sum(bound) AS n_bound, coalesce(any_value(k.kept), 0) AS kept FROM total
+    LEFT JOIN (SELECT DISTINCT motif_id, read_id, 1 AS kept FROM kept) k USING (motif_id, read_id) GROUP BY motif_id, read_id""", "total", "kept"),
+    ints="n_measured n_bound kept")(
+    lambda s, d: rc.r1b(ad.calls_motif(s, d))["states"].filter("in_total").selectExpr("motif_id", "read_id", "n_measured", "n_bound", "int(in_kept) AS kept"))
 _NR = """SELECT m.chrom || '_' || m."start" || '_' || m."end" || '_' || m.strand AS motif_id, read_id, status,
     (call_pos - m.center) * CASE WHEN m.strand = '+' THEN -1 ELSE 1 END AS rel_pos FROM (SELECT chrom, call_pos, read_id, status, center FROM (
       SELECT c.*, m.center, row_number() OVER (PARTITION BY c.id ORDER BY abs(c.call_pos - m.center), m.center) AS rn

@@ -81,22 +81,24 @@ def prepare_flanks(motifs: DataFrame, calls: DataFrame) -> DataFrame:
         "region", "chrom", "call_pos", "read_id", "status", "offset_center")
 
 
-def r1b(cm: DataFrame) -> dict[str, DataFrame]:
-    """R1B: binding probability per bin with every table around it, from one pair table.
-
-    The pair states are the three snapshots; they are written to the shared folder once and
-    every table reads them from there."""
-    s = bd.pair_states(bd.pair_masks(cm, WIDE_NDR, 1), bd.Filters(mol_threshold=1, exclude_up=True, exclude_down=True))
-    s = cut_lineage(s, "pair-states")
+def r1b(cm: DataFrame, mappable: int = 1) -> dict[str, DataFrame]:
+    """R1B: binding probability per bin with every table around it, from one scan of the calls.
+
+    One aggregate leaves a row per (motif, read): two masks over the bins and one over the called positions. It is
+    written to the shared folder once; the three snapshots and all twelve tables are views of it. ``mappable`` is
+    the number of reads from which a bin counts as mappable."""
+    pairs = cut_lineage(bd.pair_masks(cm, WIDE_NDR, 1, sites=True), "pairs")
+    s = bd.pair_states(pairs, bd.Filters(mol_threshold=1, exclude_up=True, exclude_down=True))
     spec = bd.bin_spec(WIDE_NDR, hide5=True)
     bins = [z for z, _ in spec]
     bp = bd.binding_prob(s, WIDE_NDR, "kept")
     used = bp.filter(F.col("zf").isin(bins))
+    reads = bd.motif_reads(pairs, mappable)
     return dict(
         states=s, binding_prob=bp, bin_stats=bd.bin_stats(used), matrix=bd.matrix_export(bp, spec),
         points=bd.points_export(bp, spec), scatter_stats=bd.scatter_stats(s, WIDE_NDR, bins),
         category_counts=bd.read_category_counts(s), by_k=bd.dynamic_static_by_k(s), category_summary=bd.category_summary(s, WIDE_NDR),
-        mappability=bd.mappability(cm), mappability_by_sites=bd.mappability_by_sites(cm), balance=bd.bin_balance(cm))
+        mappability=bd.mappability_table(reads), mappability_by_sites=bd.sites_table(reads), balance=bd.balance_table(reads, mappable))
 
 
 def r1c(calls: DataFrame, motifs: DataFrame, half: int = 18, w: int = 5) -> dict[str, DataFrame]:
