@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlight.operators.signals import exact_percentiles, value_chunks
-from strandlight.ordered import with_running
+from strandlight.ordered import halo_blocks, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 from strandlight.operators.traces import (
-    CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks, sliding_windows,
+    CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks,
 )
 
 BLOCK = 1024
@@ -612,22 +612,36 @@ def hmm_score(tr: DataFrame, models: dict[str, Model], baseline: str, keys: list
     return out.withColumn("best_model", pick).withColumn("gain", best - F.col(f"ll_{baseline}"))
 
 
-def score_windows(tr: DataFrame, models: dict[str, Model], win: int = 500, step: int = 100, keys: list[str] = KEY) -> DataFrame:
-    """H4: (keys, w, <one column per model>): log-likelihood of each sliding window."""
-    w = sliding_windows(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")), win, step, keys)
-    g = w.groupBy(*keys, F.col("window").alias("w")).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "signal"))).alias("r")).select(*keys, "w", F.col("r.signal").alias("xs"))
+def score_windows(tr: DataFrame, models: dict[str, Model], win: int = 500, step: int = 100, keys: list[str] = KEY,
+                  block: int = 8192) -> DataFrame:
+    """H4: (keys, w, <one column per model>): log-likelihood of each sliding window.
+
+    Samples travel in blocks with a halo of one window, so each is sent once (twice near a border) whatever
+    win / step is; the windows are views of the block inside the task. A trace shorter than a window has one
+    window of all its samples.
+    """
+    size = -(-max(block, win) // step) * step
+    d = indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")).drop("idx", "n_rows"), keys)
+    d = halo_blocks(d.select(*keys, "idx", "n_rows", "signal"), "idx", 0, win - 1, size, "blk")
+    g = d.groupBy(*keys, "blk").agg(
+        F.max("n_rows").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "signal"))).alias("r")).select(*keys, "blk", "n", F.col("r.signal").alias("xs"))
     names = list(models)
 
     def run(it):
         for p in it:
-            for q in _slices(p):
-                x, n = _pad(list(q["xs"]))
-                first = np.ones(len(q), dtype=bool)
-                out = q[[*keys, "w"]].copy()
-                for name in names:
-                    out[name] = _lse(_transfer(x, n, first, models[name], False)[:, 0], 1)
-                yield out
+            for row in p.itertuples(index=False):
+                lo, x = row.blk * size, np.asarray(row.xs)
+                starts = np.arange(lo, min(lo + size, max(row.n - win, 0) + 1), step)
+                if not len(starts):
+                    continue
+                views = np.lib.stride_tricks.sliding_window_view(x, min(win, len(x)))[starts - lo]
+                for i in range(0, len(views), BATCH):
+                    v = views[i : i + BATCH]
+                    n, first = np.full(len(v), v.shape[1]), np.ones(len(v), bool)
+                    out = pd.DataFrame({k: [getattr(row, k)] * len(v) for k in keys} | {"w": starts[i : i + BATCH] // step})
+                    for name in names:
+                        out[name] = _lse(_transfer(v, n, first, models[name], False)[:, 0], 1)
+                    yield out
 
     return g.mapInPandas(run, f"{_kdef(g, keys)}, w long, " + ", ".join(f"`{n}` double" for n in names))
 

@@ -164,6 +164,16 @@ def test_more_folds_than_some_traces_have_samples(traces, spark):
     assert hmm.cross_validation_tables(spark, out)[1].count() == 6
 
 
+@pytest.mark.parametrize("win, step", [(50, 7), (30, 30), (20, 45)])
+def test_window_scores_across_block_borders(traces, win, step):
+    tr, _, xs = traces
+    got = {(r["trace_id"], r["w"]): r["true"] for r in hmm.score_windows(tr, {"true": TRUE}, win, step, block=64).collect()}
+    want = {(i, s // step): direct_ll(x[s : s + win], TRUE) for i, x in xs.items() for s in range(0, max(len(x) - win, 0) + 1, step)}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-8)
+
+
 def test_sweep_stops_and_picks_lowest_bic(traces, spark):
     tr, _, _ = traces
     out = hmm.hmm_sweep(tr, 1, 3, threshold=1e-2, max_iter=5, refit_iter=2)

@@ -174,6 +174,18 @@ def test_region_bins_equal_bases(spark, w):
             assert g[2] == pytest.approx(x[2], rel=1e-9, abs=1e-9, nan_ok=True)
 
 
+def test_binding_tables_share_one_scan(spark, sf):
+    """Every table of the recipe reads the pair table, none the calls again."""
+    from strandlight.plans import recipes as rc
+    from strandlight.sources import adapters as ad
+
+    out = rc.r1b(ad.calls_motif(spark, sf))
+    assert len(out) == 12
+    for name, df in out.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lineitem" not in plan and "l_orderkey" not in plan and "sites" in df._jdf.queryExecution().analyzed().toString(), name
+
+
 def _shift(x, y):
     """Median and interval of all y - x from the listed differences."""
     d = np.sort((y[None, :] - x[:, None]).ravel())
