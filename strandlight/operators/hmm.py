@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlight.operators.signals import exact_percentiles, value_chunks
-from strandlight.ordered import halo_blocks, with_running
+from strandlight.operators.signals import exact_percentiles
+from strandlight.ordered import halo_blocks, value_chunks, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 from strandlight.operators.traces import (
     CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlight.ordered import chunk_by, with_neighbors, with_running
+from strandlight.ordered import chunk_by, value_chunks, with_neighbors, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 
 LEFT, RIGHT = "a_", "b_"
@@ -217,29 +217,30 @@ def nearest_join(
     return left.join(broadcast_if_small(m), cond).drop("_bin", "m__bin", "t_lo", "t_hi")
 
 
-def nearest_index(x: DataFrame, y: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
-    """For each x.value the index of the closest y.value, lowest index on ties.
+def nearest_index(x: DataFrame, y: DataFrame) -> DataFrame:
+    """For each row of x the index of the closest y.value of its key, lowest index on ties.
 
-    Values are real numbers, so a y row owns [mid(prev), mid(next)]; both owners of a midpoint
-    match there and the lower index wins in a per-x minimum. Duplicates of y keep the first.
+    Both sides are merged in value order, in range chunks of like row counts; within a chunk each x sees the last
+    y before it and the first after it, and what lies beyond a chunk comes from one summary row per chunk. Neither
+    a frequent key nor crowded values make a task larger. Of equal y values the lowest index counts; every row of x
+    with a value stays unless its key has no y.
     """
-    ys = y.groupBy("key", "value").agg(F.min("idx").alias("idx"))
-    ys = with_neighbors(chunk_by(ys, "value", bin_size), ["key"], ["value"], prev={"_p": "value"}, next={"_n": "value"})
-    ys = ys.select(
-        "key", F.col("value").alias("y_value"), F.col("idx").alias("y_idx"),
-        ((F.col("_p") + F.col("value")) / 2).alias("lo"), ((F.col("value") + F.col("_n")) / 2).alias("hi"),
-    )
-    ext = ys.groupBy("key").agg(F.min("y_value").alias("v0"), F.max("y_value").alias("v1"))
-    span = ys.join(ext, "key")
-    step = F.greatest((F.col("v1") - F.col("v0")) / 1024.0, F.lit(1e-9))
-    b = lambda v: F.floor((v - F.col("v0")) / step)
-    span = span.withColumn(
-        "_b", F.explode(F.sequence(b(F.coalesce("lo", "v0")), b(F.coalesce("hi", "v1"))))
-    ).drop("v0", "v1")
-    xs = x.join(broadcast_if_small(ext), "key")
-    xs = xs.withColumn("_b", b(F.greatest(F.least("value", "v1"), F.col("v0")))).drop("v0", "v1")
-    hit = xs.join(broadcast_if_small(span), ["key", "_b"]).filter(
-        (F.col("lo").isNull() | (F.col("value") >= F.col("lo")))
-        & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
-    )
-    return hit.groupBy("key", *[c for c in x.columns if c != "key"]).agg(F.min("y_idx").alias("nearest_idx"))
+    ys = y.filter("value IS NOT NULL").groupBy("key", "value").agg(F.min("idx").alias("idx"))
+    ys = ys.select("key", "value", F.struct("value", "idx").alias("_y"), F.lit(None).cast(x.schema).alias("_x"))
+    xs = x.filter("value IS NOT NULL").select("key", "value", F.lit(None).cast(ys.schema["_y"].dataType).alias("_y"), F.struct(*x.columns).alias("_x"))
+    both = value_chunks(ys.unionByName(xs), "value")
+    per = both.groupBy("key", "_chunk").agg(F.max("_y").alias("_l"), F.min("_y").alias("_f"))
+    outer = Window.partitionBy("key").orderBy("_chunk")
+    per = per.select(
+        "key", "_chunk", F.last("_l", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_f", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inner = Window.partitionBy("key", "_chunk").orderBy("value", F.col("_x").isNotNull())
+    both = both.withColumn("_p", F.last("_y", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_n", F.first("_y", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.filter("_x IS NOT NULL").join(per, ["key", "_chunk"])
+
+    def off(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.struct(F.abs(F.col("value") - c["value"]).alias("d"), c["idx"].alias("i")))
+
+    best = F.least(off(F.coalesce("_p", "_before")), off(F.coalesce("_n", "_after")))
+    return both.withColumn("_b", best).filter("_b IS NOT NULL").select("_x.*", F.col("_b.i").alias("nearest_idx"))

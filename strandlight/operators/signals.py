@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.operators.intervals import overlap_join
-from strandlight.ordered import chunk_by, with_index, with_running
+from strandlight.ordered import chunk_by, value_chunks, with_index, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 
 
@@ -69,18 +69,6 @@ def quantile_counts(df: DataFrame, q: str = "quantile") -> DataFrame:
     return df.groupBy(q).agg(F.count("*").alias("n"))
 
 
-def value_chunks(df: DataFrame, value: str, rows: int = 50_000) -> DataFrame:
-    """Chunks of about ``rows`` rows each, monotone in the value, whatever its distribution.
-
-    A range partition on the value gives the edges; the table is written so that they stay.
-    """
-    n = df.count()
-    if n <= rows:
-        return df.withColumn("_chunk", F.lit(0).cast("long"))
-    laid = df.repartitionByRange(-(-n // rows), value).withColumn("_chunk", F.spark_partition_id().cast("long"))
-    return cut_lineage(laid, "chunks")
-
-
 def exact_percentiles(df: DataFrame, value: str, ps: list[float]) -> list[float] | None:
     """Linear-interpolated percentiles of a whole column by distributed ranking: only the two
     neighbours of each position reach the driver."""

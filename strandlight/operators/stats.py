@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions.tails import chi2_p, norm_p, pearson_p, rank_sum_p, signed_rank_p
-from strandlight.operators.signals import average_ranks, value_chunks
-from strandlight.ordered import with_index, with_running
+from strandlight.operators.signals import average_ranks
+from strandlight.ordered import value_chunks, with_index, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 
 Z95 = 1.959963984540054  # fixed value: 97.5% normal quantile

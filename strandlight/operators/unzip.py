@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlight.operators.traces import indexed
+from strandlight.operators.traces import CHUNK_S, indexed
+from strandlight.ordered import chunk_by, with_neighbors, with_running
 
 
 def select_curves(files: DataFrame, file_type: str, selections: list | None = None) -> DataFrame:
@@ -100,10 +101,11 @@ def block_extrema(df: DataFrame, value: str, n: int, sign: str, keys: list[str],
     return g.select(*keys, "block", "r.idx", "r.t", "r.value")
 
 
-def merge_close(ext: DataFrame, sign: str, keys: list[str], seconds: float = 2.0) -> DataFrame:
+def merge_close(ext: DataFrame, sign: str, keys: list[str], seconds: float = 2.0, chunk_s: float = CHUNK_S) -> DataFrame:
     """Right to left, of two candidates closer than ``seconds`` the more extreme stays.
 
-    Sequential, over one candidate per block of rows (a thousandth of the curve).
+    Where neighbours lie ``seconds`` or more apart nothing on one side can meet the other, so a curve is cut there
+    into runs that are merged independently, each over one candidate per block of rows.
     """
     types = {f.name: f.dataType.simpleString() for f in ext.schema.fields}
     cols = [*keys, "block", "idx", "t", "value"]
@@ -122,7 +124,9 @@ def merge_close(ext: DataFrame, sign: str, keys: list[str], seconds: float = 2.0
         keep.append(cur)
         return p.loc[sorted(keep), cols]
 
-    return ext.select(*cols).groupBy(*keys).applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in cols))
+    d = with_neighbors(chunk_by(ext.select(*cols), "t", chunk_s), keys, ["idx"], prev={"_pt": "t"})
+    d = with_running(d, keys, ["idx"], {"_run": F.coalesce((F.col("t") - F.col("_pt") >= seconds).cast("long"), F.lit(0).cast("long"))})
+    return d.groupBy(*keys, "_run").applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in cols))
 
 
 def first_valley(ext: DataFrame, curves: DataFrame, value: str, k: int, keys: list[str]) -> DataFrame:

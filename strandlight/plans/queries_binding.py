@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlight.functions import calls as fc
 from strandlight.operators import binding as bd
+from strandlight.operators import lookups as lk
 from strandlight.plans.oracle import sql
 from strandlight.plans.registry import query
 from strandlight.sources import adapters as ad
@@ -443,9 +444,7 @@ query("C12_restrict_motifs", sql("""
     SELECT cm.motif_id, cm.read_id, cm.rel_pos, cm.status FROM cm SEMI JOIN
     (SELECT * FROM motifs WHERE strand = '+') m ON cm.chrom = m.chrom AND cm.m_start = m."start" AND cm.m_end = m."end" """,
     "cm", "motifs"))(
-    lambda s, d: ad.calls_motif(s, d).join(
-        ad.motifs(s, d).filter("strand = '+'").select("chrom", F.col("start").alias("m_start"), F.col("end").alias("m_end")),
-        ["chrom", "m_start", "m_end"], "left_semi").select("motif_id", "read_id", "rel_pos", "status")
+    lambda s, d: lk.restrict_motifs(ad.calls_motif(s, d), ad.motifs(s, d).filter("strand = '+'")).select("motif_id", "read_id", "rel_pos", "status")
 )
 query("C13_keep_pairs", sql(f"SELECT {_P}, zf, bound FROM b SEMI JOIN nuc20 n USING ({_P})", "b", "nuc20"))(
     lambda s, d: bd.keep_pairs(b_table(s, d), bd.nucleosome_pairs(ad.calls_motif(s, d), 20, 60)).drop("n_calls")

@@ -177,7 +177,7 @@ query("A14_read_regions", sql('SELECT chrom, "start", "end", strand FROM motifs'
 def _paired(s, d):
     """Matrix and region files of as many rows, read back, paired by number and turned by strand."""
     p, q = _out(s, "pairs-m"), _out(s, "pairs-r")
-    e = ad.table(s, d, "embeddings").orderBy("vec_id").coalesce(1)
+    e = ad.table(s, d, "embeddings").orderBy("vec_id")
     e.select(F.concat_ws("\t", F.lit("row"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), "\t")).alias("value")).write.text(p)
     e.select(F.expr("concat_ws('\t', 'chr' || (vec_id % 5), vec_id * 10, vec_id * 10 + 5, if(vec_id % 3 = 0, '-', '+'))").alias("value")).write.text(q)
     m = g.matrix_with_regions(g.read_matrix_tab(s, p), g.read_regions(s, q))

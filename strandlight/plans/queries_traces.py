@@ -237,7 +237,15 @@ def _peaks(s, d, sign, k):
     return uz.top_peaks(e, k, sign, ["trace_id"])
 
 
-query("W11_top_peaks")(lambda s, d: _peaks(s, d, "+", 3))
+_MERGED = """SELECT trace_id, unnest(list_append(r.k, {'i': r.i, 'b': r.b, 't': r.t, 'v': r.v})) AS x FROM (SELECT trace_id, list_reduce(
+    list({'i': idx, 'b': block, 't': t, 'v': value, 'k': CAST([] AS STRUCT(i BIGINT, b BIGINT, t DOUBLE, v DOUBLE)[])} ORDER BY idx DESC), lambda p, z:
+    CASE WHEN p.t - z.t >= 40000 THEN {'i': z.i, 'b': z.b, 't': z.t, 'v': z.v, 'k': list_append(p.k, {'i': p.i, 'b': p.b, 't': p.t, 'v': p.v})}
+         WHEN p.v < z.v THEN {'i': z.i, 'b': z.b, 't': z.t, 'v': z.v, 'k': p.k} ELSE p END) AS r FROM ex GROUP BY trace_id)"""
+query("W11_top_peaks", sql("""SELECT trace_id, x.b AS block, x.i AS idx, x.t AS t, x.v AS value, row_number() OVER (PARTITION BY trace_id ORDER BY x.i) AS n FROM
+    (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY x.v DESC, x.i DESC) AS r FROM me) WHERE r <= 3""", "traces", cu=_CURVE,
+    ex="""SELECT trace_id, block, CAST(r.i AS BIGINT) AS idx, r.t AS t, r.v AS value FROM (SELECT trace_id, block, arg_min({'i': idx, 't': t, 'v': f1}, {'v': -f1, 'i': idx}) AS r
+          FROM (SELECT *, CAST(floor(idx / 10) AS BIGINT) AS block FROM cu WHERE idx < n_rows - 1) GROUP BY trace_id, block)""", me=_MERGED), dbl="t value", ints="block idx n")(
+    lambda s, d: _peaks(s, d, "+", 3))
 query("W11_first_valley", sql("""SELECT * FROM e UNION ALL SELECT trace_id, -1, 0, f1 FROM cu WHERE idx = 0
         AND trace_id NOT IN (SELECT trace_id FROM e GROUP BY trace_id HAVING count(*) >= 3)""", "traces", cu=_CURVE, e="""SELECT trace_id, block, arg_min(idx, {'v': f1, 'i': idx}) AS idx, min(f1) AS value FROM
         (SELECT *, CAST(floor(idx / 40) AS BIGINT) AS block FROM cu WHERE idx < n_rows - 1) GROUP BY trace_id, block"""), dbl="value", ints="idx block")(

@@ -14,7 +14,7 @@ from strandlight.operators import intervals as iv
 from strandlight.operators import signals as sg
 from strandlight.operators import stats as st
 from strandlight.operators import traces as tr
-from strandlight.ordered import centred_mean, chunk_by, with_index
+from strandlight.ordered import centred_mean, chunk_by, value_chunks, with_index
 
 
 def rows(df, *order):
@@ -186,6 +186,49 @@ def test_binding_tables_share_one_scan(spark, sf):
         assert "lineitem" not in plan and "l_orderkey" not in plan and "sites" in df._jdf.queryExecution().analyzed().toString(), name
 
 
+@pytest.mark.parametrize("rows", [40, 50_000])
+def test_nearest_index_of_crowded_values(spark, monkeypatch, rows):
+    """Dense, equal and far values, a key that holds most rows, keys without y, null values, repeated x."""
+    monkeypatch.setattr(iv, "value_chunks", lambda d, v: value_chunks(d, v, rows))
+    rng = np.random.default_rng(9)
+    y = [("a", round(float(v), 3), int(i)) for i, v in enumerate(np.r_[rng.normal(0, 1e-2, 150), rng.normal(1e6, 1, 50), 0.5, 0.5])]
+    y += [("b", 1.0, 7), ("b", 3.0, 2), ("b", None, 0)]
+    x = [("a", i, round(float(v), 3)) for i, v in enumerate(np.r_[rng.normal(0, 2e-2, 200), rng.normal(5e5, 3e5, 60)])]
+    x += [("b", 1000, 2.0), ("b", 1001, -50.0), ("b", 1002, None), ("b", 1000, 2.0), ("c", 1003, 1.0)]
+    got = iv.nearest_index(spark.createDataFrame(x, "key string, ev long, value double"), spark.createDataFrame(y, "key string, value double, idx long"))
+    want = []
+    for k, ev, v in x:
+        at = [(abs(v - w), i) for kk, w, i in y if kk == k and w is not None] if v is not None else []
+        if at:
+            want.append((k, ev, v, min(at)[1]))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_close_peaks_merge_between_gaps(spark):
+    """Equal to one sweep over the whole curve, from right to left."""
+    from strandlight.operators import unzip as uz
+
+    rng = np.random.default_rng(10)
+    rows = []
+    for c in range(3):
+        t = np.cumsum(rng.choice([0.3, 0.9, 1.9, 2.0, 7.0], 120))
+        rows += [(c, i, i * 10, float(t[i]), float(v)) for i, v in enumerate(np.round(rng.normal(0, 1, 120), 1))]
+    df = spark.createDataFrame(rows, "curve int, block long, idx long, t double, value double")
+    for sign in "+-":
+        want = set()
+        for c in range(3):
+            own = [r for r in rows if r[0] == c]
+            cur = own[-1]
+            for r in reversed(own[:-1]):
+                if cur[3] - r[3] >= 2.0:
+                    want.add(cur)
+                    cur = r
+                elif (cur[4] > r[4]) if sign == "-" else (cur[4] < r[4]):
+                    cur = r
+            want.add(cur)
+        assert {tuple(r) for r in uz.merge_close(df, sign, ["curve"], chunk_s=30.0).collect()} == want
+
+
 def _shift(x, y):
     """Median and interval of all y - x from the listed differences."""
     d = np.sort((y[None, :] - x[:, None]).ravel())
