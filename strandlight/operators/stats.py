@@ -292,8 +292,11 @@ def two_barrier(occ: list[float], x12: float, x23: float, kT: float = 4.1, force
 def score_models(occ: DataFrame, m: dict[str, float], constant: float, k_model: int = 2) -> DataFrame:
     """Model value and slope per trace summed to chi-square, log-likelihood, AIC and BIC.
 
-    ``occ`` has force, force_se, p_obs and p_se, one row per trace.
+    ``occ`` has force, force_se, p_obs and p_se, one row per trace. Rows that lack a value or have no positive p_se
+    cannot be scored; ``n_left_out`` says how many.
     """
+    ok = (F.col("p_se") > 0) & ~F.isnan("p_se") & F.col("p_obs").isNotNull() & F.col("force").isNotNull() & F.col("force_se").isNotNull()
+    occ = occ.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("p_obs", "p_se")})
     f, kT = F.col("force"), m["kT"]
     e12 = F.exp(-(m["g12"] - f * m["x12"]) / kT)
     e23 = F.exp(-(m["g12"] - f * m["x12"] + m["g23"] - f * m["x23"]) / kT)
@@ -303,13 +306,13 @@ def score_models(occ: DataFrame, m: dict[str, float], constant: float, k_model:
     comb = F.sqrt(F.col("p_se") ** 2 + (F.col("slope") * F.col("force_se")) ** 2)
     ll = lambda p: -0.5 * F.sum(((F.col("p_obs") - p) / F.col("p_se")) ** 2 + F.log(2 * math.pi * F.col("p_se") ** 2))
     g = t.agg(
-        F.count("*").alias("n"),
+        F.count_if("_ok").alias("n"), F.count_if(~F.col("_ok")).alias("n_left_out"),
         F.sum(((F.col("p_obs") - F.col("p_model")) / comb) ** 2).alias("chi_model"),
         F.sum(((F.col("p_obs") - constant) / F.col("p_se")) ** 2).alias("chi_const"),
         ll(F.col("p_model")).alias("ll_model"), ll(F.lit(constant)).alias("ll_const"),
     )
     row = lambda name, k, chi, l, dof: F.struct(
         F.lit(name).alias("model"), F.col(chi).alias("chi2"), (F.col("n") - dof).alias("dof"), F.col(l).alias("log_lik"),
-        (2.0 * k - 2 * F.col(l)).alias("aic"), (k * F.log("n") - 2 * F.col(l)).alias("bic"))
+        (2.0 * k - 2 * F.col(l)).alias("aic"), (k * F.log("n") - 2 * F.col(l)).alias("bic"), F.col("n_left_out"))
     g = g.select(F.explode(F.array(row("two_barrier", k_model, "chi_model", "ll_model", 2), row("constant", 1, "chi_const", "ll_const", 1))).alias("x")).select("x.*")
     return g.withColumn("p_value", chi2_p(F.col("chi2"), F.col("dof")))

@@ -218,8 +218,7 @@ def _conditions(s, d):
 
 
 query("RT3_regimes")(lambda s, d: rc.rt3(_conditions(s, d), BASE, "base", 20, 5, 2, 2.0)["summary"])
-query("RT4_force_dependence")(lambda s, d: st.score_models(
-    rc.rt4(ad.traces(s, d), BASE, [12.7, 12.0, 11.0], 140.0).filter("p_se > 0 AND force_se IS NOT NULL"), _M, 0.2))
+query("RT4_force_dependence")(lambda s, d: st.score_models(rc.rt4(ad.traces(s, d), BASE, [12.7, 12.0, 11.0], 140.0), _M, 0.2))
 
 
 def _unzip(s, d, deg):

@@ -134,4 +134,4 @@ query("S6_score_models", sql("""SELECT model, chi2, n - k_dof AS dof, ll AS log_
     UNION ALL SELECT 'constant', 1, 1, count(*), sum(pow((p_obs - 0.2) / p_se, 2)), -0.5 * sum(pow((p_obs - 0.2) / p_se, 2) + ln(2 * pi() * p_se * p_se)) FROM q)""",
     "states", occ=_OCC, q=f"""SELECT *, 1 / (1 + a + b) AS pm, (-0.7 * a - 1.2 * b) / (4.1 * (1 + a + b) * (1 + a + b)) AS sl
     FROM (SELECT *, {_E12} AS a, {_E23} AS b FROM occ)"""), dbl="chi2 log_lik aic bic")(
-    lambda s, d: st.score_models(occ_table(s, d), _M, 0.2).drop("p_value"))
+    lambda s, d: st.score_models(occ_table(s, d), _M, 0.2).drop("p_value", "n_left_out"))

@@ -229,6 +229,19 @@ def test_close_peaks_merge_between_gaps(spark):
         assert {tuple(r) for r in uz.merge_close(df, sign, ["curve"], chunk_s=30.0).collect()} == want
 
 
+def test_model_scores_report_rows_without_spread(spark):
+    """Rows that cannot be scored change nothing but their count."""
+    m = st.two_barrier([0.2, 0.5, 0.3], 0.7, 0.5)
+    kind = "force double, force_se double, p_obs double, p_se double"
+    good = [(12.0, 0.1, 0.3, 0.05), (12.5, 0.2, 0.2, 0.1), (11.0, 0.1, 0.5, 0.2)]
+    bad = [(12.0, 0.1, 0.3, 0.0), (12.0, None, 0.3, 0.1), (None, 0.1, 0.3, 0.1), (12.0, 0.1, None, 0.1), (12.0, 0.1, 0.3, None)]
+    a, b = (sorted(st.score_models(spark.createDataFrame(t, kind), m, 0.2).collect(), key=lambda r: r["model"]) for t in (good, good + bad))
+    assert [r["n_left_out"] for r in a] == [0, 0] and [r["n_left_out"] for r in b] == [5, 5]
+    for x, y in zip(a, b):
+        assert [x[c] for c in ("model", "dof")] == [y[c] for c in ("model", "dof")]
+        assert [x[c] for c in ("chi2", "log_lik", "aic", "bic")] == pytest.approx([y[c] for c in ("chi2", "log_lik", "aic", "bic")])
+
+
 def _shift(x, y):
     """Median and interval of all y - x from the listed differences."""
     d = np.sort((y[None, :] - x[:, None]).ravel())
