@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +48,13 @@ RUN = 200_000  # rows a task holds while it forms regions; only a shingle of mor
 HOT = 20_000  # rows of a region joined in one task; larger regions are dealt in block pairs
 SAMPLE_DOCS = 20_000  # bound: documents whose words fix the global order of shingles
 COMMON = 300_000  # bound: words known as common
+KEY = 6  # bytes of a shingle's hash that name it as a pivot; shingles that share them share a region, no more
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -124,20 +126,43 @@ def _features(width: int, num: int, den: int, common: np.ndarray, commonness: np
                 out["n"].append(n)
                 out["fp"].append(xxhash.xxh3_128_digest(h.tobytes()))
                 out["sketch"].append(np.minimum(np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
-                out["prefix"].append(top.view(np.int64))
-            types = {"doc": pa.int64(), "n": pa.int64(), "fp": pa.binary(), "sketch": pa.binary(), "prefix": pa.list_(pa.int64())}
+                out["prefix"].append(np.ascontiguousarray(top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes())
+            types = {"doc": pa.int64(), "n": pa.int64(), "fp": pa.binary(), "sketch": pa.binary(), "prefix": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
 
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [shingles(t.as_py(), width).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc": b.column(0), "set": pa.array(h, pa.binary())})
-
-    return run
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, n, prefix) -> one row (doc, n, s) per pivot, in batches of bounded size whatever the texts' lengths."""
+    for b in batches:
+        held, size = [], 0
+        for doc, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            raw = np.frombuffer(p.as_buffer(), np.uint8).reshape(-1, KEY)
+            for at in range(0, len(raw), RUN):
+                held.append((doc, n, raw[at : at + RUN]))
+                size += len(held[-1][2])
+                if size >= RUN:
+                    yield _pivots(held)
+                    held, size = [], 0
+        if held:
+            yield _pivots(held)
+
+
+def _pivots(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    many = [len(r) for _, _, r in held]
+    s = np.zeros((sum(many), 8), np.uint8)
+    s[:, :KEY] = np.concatenate([r for _, _, r in held])
+    doc, n = (np.repeat(np.array([h[k] for h in held], np.int64), many) for k in (0, 1))
+    return pa.RecordBatch.from_pydict({"doc": doc, "n": n, "s": s.view("<i8").ravel()})
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) -> the text compressed: a third of the bytes of its shingle hashes."""
+    z = zstandard.ZstdCompressor()
+    for b in batches:
+        body = [z.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(1)]
+        yield pa.RecordBatch.from_pydict({"doc": b.column(0), "body": pa.array(body, pa.binary())})
 
 
 def _runs(batches: Iterator[pa.RecordBatch], cols: list[str], key: list[str], rows: int, pieces: bool) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
@@ -317,14 +342,23 @@ def _join_regions(lo: int, hi: int, num: int, den: int):
     return run
 
 
-def _linked(num: int, den: int):
-    """(x, y, sx, sy) -> the pairs whose whole sets are similar enough."""
+def _linked(num: int, den: int, width: int):
+    """(x, y, bx, by) -> the pairs whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+
+        def whole(body: bytes) -> np.ndarray:
+            return shingles(z.decompress(body).decode("utf-8", "surrogatepass"), width)
+
+        last, q = None, np.zeros(0, np.uint64)  # rows come sorted by y
         for b in batches:
             keep = []
-            for sx, sy in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(sx.as_buffer(), np.uint64), np.frombuffer(sy.as_buffer(), np.uint64)
+            for bx, by in zip(b.column(2), b.column(3)):
+                if by.as_py() != last:
+                    last = by.as_py()
+                    q = whole(last)
+                p = whole(bx.as_py())
                 both = np.sort(np.concatenate([p, q]), kind="stable")
                 k = int((both[1:] == both[:-1]).sum())
                 keep.append(den * k >= num * (len(p) + len(q) - k))
@@ -356,12 +390,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     num, den = threshold
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
     common = _common(rows)
-    made = rows.mapInArrow(_features(width, num, den, *common), "doc long, n long, fp binary, sketch binary, prefix array<long>")
+    made = rows.mapInArrow(_features(width, num, den, *common), "doc long, n long, fp binary, sketch binary, prefix binary")
     made = cut_lineage(made, "jaccard-f")
     reps = made.filter("n > 0 AND doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep"))
     reps = cut_lineage(reps, "jaccard-rep")
     one = made.join(reps.select(F.col("rep").alias("doc"), "fp"), ["doc", "fp"], "left_semi")
-    spread = one.select(F.explode("prefix").alias("s"), "doc", "n").repartition("s").sortWithinPartitions("s")
+    spread = one.select("doc", "n", "prefix").mapInArrow(_spread, "doc long, n long, s long")
+    spread = spread.repartition("s").sortWithinPartitions("s")
     member = spread.mapInArrow(_regions(num, den, RUN), "r1 long, r2 long, doc long, home boolean").distinct()
     member = cut_lineage(member, "jaccard-r")
     near = member.select("doc").distinct()
@@ -388,8 +423,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             cand = cand.sortWithinPartitions("r1", "r2", "i", "j", "doc").mapInArrow(_join_regions(lo, hi, num, den), "x long, y long")
             cand = cut_lineage(cand, "jaccard-c")
             left = not cand.filter("x = -1 AND y = -1").isEmpty()
-            both = _with_sets(cand.filter("NOT (x = -1 AND y = -1)").distinct(), rows, width)
-            new = cut_lineage(both.mapInArrow(_linked(num, den), "u long, v long"), "jaccard-l")
+            both = _with_texts(cand.filter("NOT (x = -1 AND y = -1)").distinct(), rows)
+            new = cut_lineage(both.mapInArrow(_linked(num, den, width), "u long, v long"), "jaccard-l")
             if not new.isEmpty():
                 groups = cut_lineage(_merge(groups, new), "jaccard-g", outer=True)
         if not left:
@@ -415,13 +450,11 @@ def _merge(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     return old.union(fresh)
 
 
-def _with_sets(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Pairs with both whole sets; only documents of a pair are read into sets."""
+def _with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with both whole texts, compressed; only documents of a pair are read again."""
     used = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc")))
     used = cut_lineage(used.distinct(), "jaccard-u")
     # ids alone, broadcast behind a count of them; beyond it the texts are shuffled by id
-    sets = rows.join(broadcast_if_small(used), "doc", "left_semi").mapInArrow(_sets(width), "doc long, set binary")
-    sets = cut_lineage(sets, "jaccard-s")
-    return (
-        pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    )
+    body = rows.join(broadcast_if_small(used), "doc", "left_semi").mapInArrow(_packed, "doc long, body binary")
+    body = cut_lineage(body, "jaccard-s")
+    return pairs.join(body.toDF("x", "bx"), "x").join(body.toDF("y", "by"), "y").select("x", "y", "bx", "by")
