@@ -2,9 +2,9 @@
 
 A trace is stored as blocks of at most ``BLOCK`` samples. What a block does to the state vector
 is a K x K matrix, and such matrices chain, so each pass over the data works on blocks in
-parallel and only the chaining of one small row per block runs per trace:
+parallel and only one small row per block is chained, a bounded number of rows at a time:
 
-  transfer (all blocks)  ->  chain (per trace, one row per block)  ->  apply (all blocks)
+  transfer (all blocks)  ->  chain (products of FAN rows, level by level, and back down)  ->  apply (all blocks)
 
 With sums this gives the forward-backward sums of EM, with maxima the most likely path. Both are
 exact; a single very long trace spreads over as many tasks as it has blocks.
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from strandlight.operators.signals import exact_percentiles
 from strandlight.ordered import halo_blocks, value_chunks, with_running
-from strandlight.session import broadcast_if_small, cut_lineage
+from strandlight.session import broadcast_if_small, cut_lineage, scratch
 from strandlight.operators.traces import (
-    CHUNK_S, KEY, collapse_spikes, hysteresis, indexed, min_run, scan_blocks,
+    CHUNK_S, FAN, KEY, collapse_spikes, hysteresis, indexed, levels_of, min_run, scan_blocks,
 )
 
 BLOCK = 1024
@@ -218,15 +218,31 @@ def _transfers(blocks: DataFrame, m: Model, keys: list[str], best: bool) -> Data
     return blocks.mapInPandas(run, f"{_kdef(blocks, keys)}, blk long, mat array<double>")
 
 
+def _product(keys: list[str], best: bool):
+    """The transfer matrix of neighbouring blocks from those of each."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        k = int(round(len(p["mat"].iloc[0]) ** 0.5))
+        mats = np.array(p["mat"].tolist()).reshape(-1, k, k)
+        while len(mats) > 1:  # pairs of neighbours, all at once
+            odd = mats[-1:] if len(mats) % 2 else mats[:0]
+            s = mats[: len(mats) - len(odd) : 2, :, :, None] + mats[1 : len(mats) : 2, None, :, :]
+            mats = np.concatenate([s.max(axis=2) if best else _lse(s, 2), odd])
+        return p[[*keys, "blk"]].iloc[:1].assign(mat=[mats[0].ravel().tolist()])
+
+    return run
+
+
 def _chain_sum(k: int, keys: list[str]):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         mats = [np.array(v).reshape(k, k) for v in p["mat"]]
-        a, ins = np.where(np.arange(k) == 0, 0.0, -np.inf), []
+        inner = "in_a_in" in p
+        a, ins = np.array(p["in_a_in"].iloc[0]) if inner else np.where(np.arange(k) == 0, 0.0, -np.inf), []
         for m in mats:
             ins.append(a)
             a = _lse(a[:, None] + m, 0)
-        ll = float(_lse(a, 0))
-        b, outs = np.zeros(k), []
+        ll = float(p["in_ll"].iloc[0]) if inner else float(_lse(a, 0))
+        b, outs = np.array(p["in_b_out"].iloc[0]) if inner else np.zeros(k), []
         for m in reversed(mats):
             outs.append(b)
             b = _lse(m + b[None, :], 1)
@@ -241,14 +257,18 @@ def _chain_sum(k: int, keys: list[str]):
 
 
 def _chain_max(k: int, keys: list[str]):
+    """States at the borders of blocks; within a group they lie between those of the group's own borders."""
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
         mats = [np.array(v).reshape(k, k) for v in p["mat"]]
-        a, froms = np.where(np.arange(k) == 0, 0.0, -np.inf), []
+        inner = "in_z_end" in p
+        enter = int(p["in_z_prev"].iloc[0]) if inner else 0
+        a, froms = np.where(np.arange(k) == enter, 0.0, -np.inf), []
         for m in mats:
             s = a[:, None] + m
             froms.append(s.argmax(axis=0))
             a = s.max(axis=0)
-        z, prev, end = int(a.argmax()), [], []
+        z, prev, end = int(p["in_z_end"].iloc[0]) if inner else int(a.argmax()), [], []
         for f in reversed(froms):
             end.append(z)
             z = int(f[z])
@@ -260,18 +280,20 @@ def _chain_max(k: int, keys: list[str]):
     return run
 
 
-def _boundaries(blocks: DataFrame, m: Model, keys: list[str]) -> DataFrame:
+def _boundaries(blocks: DataFrame, m: Model, keys: list[str], levels: int = 1, fan: int = FAN) -> DataFrame:
     kd = _kdef(blocks, keys)
-    return scan_blocks(_transfers(blocks, m, keys, False), keys,
-                       f"{kd}, blk long, a_in array<double>, b_out array<double>, ll double", _chain_sum(m.k, keys))
+    return scan_blocks(
+        _transfers(blocks, m, keys, False), keys, f"{kd}, blk long, a_in array<double>, b_out array<double>, ll double",
+        _chain_sum(m.k, keys), _product(keys, False), ["a_in", "b_out", "ll"], levels, fan)
 
 
-def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, chained: bool = True) -> tuple[np.ndarray, float]:
+def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, levels: int = 1, fan: int = FAN) -> tuple[np.ndarray, float]:
     """One E-step: additive sums of all blocks and the total log-likelihood.
 
-    With ``chained`` False no trace has a second block: nothing needs chaining and the step is one
-    narrow pass and one sum.
+    ``levels`` comes from ``chain_levels``. At 0 no trace has a second block: nothing needs chaining and the
+    step is one narrow pass and one sum.
     """
+    chained = levels > 0
     names = [f"s{i}" for i in range(m.k * m.k + 4 * m.k)]
     k = m.k
 
@@ -289,15 +311,17 @@ def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, chained: boo
                     s[-1] = float(q["ll"][first].sum())
                 yield pd.DataFrame([s], columns=[*names, "ll"])
 
-    src = blocks.join(_boundaries(blocks, m, keys), [*keys, "blk"]) if chained else blocks
-    part = src.mapInPandas(run, ", ".join(f"{c} double" for c in [*names, "ll"]))
-    r = part.agg(*[F.sum(c).alias(c) for c in [*names, "ll"]]).first()
+    with scratch(blocks.sparkSession):
+        src = blocks.join(_boundaries(blocks, m, keys, levels, fan), [*keys, "blk"]) if chained else blocks
+        part = src.mapInPandas(run, ", ".join(f"{c} double" for c in [*names, "ll"]))
+        r = part.agg(*[F.sum(c).alias(c) for c in [*names, "ll"]]).first()
     return np.array([r[c] for c in names]), float(r["ll"])
 
 
-def is_chained(blocks: DataFrame) -> bool:
-    """True when some trace has more than one block."""
-    return bool(blocks.filter("blk > 0").limit(1).count())
+def chain_levels(blocks: DataFrame, fan: int = FAN) -> int:
+    """Levels of the chain over the longest trace, 0 when no trace has a second block."""
+    last = blocks.agg(F.max("blk")).first()[0] or 0
+    return levels_of(last, fan) if last else 0
 
 
 def maximization(s: np.ndarray, m: Model, flags: str = "stmc") -> Model:
@@ -347,9 +371,9 @@ def em(blocks: DataFrame, model: Model, tol: float, max_iter: int, flags: str =
     """H1: EM until the gain in log-likelihood falls below ``tol`` or, where ``rel_tol`` is given
     instead, until its change relative to the previous value falls below that."""
     history: list[float] = []
-    chained = is_chained(blocks)
+    levels = chain_levels(blocks)
     for _ in range(max_iter):
-        s, ll = expectation(blocks, model, keys, chained)
+        s, ll = expectation(blocks, model, keys, levels)
         model = maximization(s, model, flags)
         history.append(ll)
         if len(history) > 1:
@@ -369,9 +393,10 @@ def hmm_fit(tr: DataFrame, k: int, init: str = "linspace", tol: float = 1e-2, ma
         blocks.unpersist()
 
 
-def log_likelihood(blocks: DataFrame, m: Model, keys: list[str] = KEY) -> DataFrame:
+def log_likelihood(blocks: DataFrame, m: Model, keys: list[str] = KEY, levels: int | None = None) -> DataFrame:
     """H4: log-likelihood of each trace."""
-    return _boundaries(blocks, m, keys).filter("blk = 0").select(*keys, "ll")
+    n = max(chain_levels(blocks), 1) if levels is None else levels
+    return _boundaries(blocks, m, keys, n).filter("blk = 0").select(*keys, "ll")
 
 
 def hmm_sweep(tr: DataFrame, kmin: int = 1, kmax: int = 6, threshold: float = 1e-2, max_iter: int = 300,
@@ -384,7 +409,7 @@ def hmm_sweep(tr: DataFrame, kmin: int = 1, kmax: int = 6, threshold: float = 1e
         facts = signal_facts(tr)
         start = {k: (initial_model(tr, k, facts=facts), None) for k in range(kmin, kmax + 1)}
         models, history = em_all(blocks, start, threshold, max_iter, keys)
-        final_ll = expectation_all(blocks, {k: (m, None) for k, m in models.items()}, keys)
+        final_ll = expectation_all(blocks, {k: (m, None) for k, m in models.items()}, keys, levels=chain_levels(blocks))
         rows, hist = [], []
         for k in range(kmin, kmax + 1):
             ll = final_ll[k][1]
@@ -451,19 +476,20 @@ def _chain_jobs(keys: list[str]):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         k = int(round(len(p["mat"].iloc[0]) ** 0.5))
         out = _chain_sum(k, keys)(p)
-        out["head"] = np.arange(len(out)) == 0
+        out["head"] = (np.arange(len(out)) == 0) & (bool(p["in_head"].iloc[0]) if "in_head" in p else True)
         return out
 
     return run
 
 
-def expectation_all(blocks: DataFrame, jobs: dict, keys: list[str] = KEY, inside: bool = False, chained: bool = True) -> dict:
+def expectation_all(blocks: DataFrame, jobs: dict, keys: list[str] = KEY, inside: bool = False, levels: int = 1, fan: int = FAN) -> dict:
     """One E-step of several models at once: job -> (additive sums, log-likelihood).
 
     ``jobs`` maps a name to (model, fold to leave out or None); with ``inside`` the fold is what is scored. The
-    statistics are keyed by job, so all models share one scan of the blocks and one aggregate.
+    statistics are keyed by job, so all models share one scan of the blocks and one aggregate. ``levels`` as in
+    ``expectation``; blocks of folds need at least 1.
     """
-    names = list(jobs)
+    names, chained = list(jobs), levels > 0
     given = list(jobs.values())
     kd = _kdef(blocks, keys)
 
@@ -499,16 +525,19 @@ def expectation_all(blocks: DataFrame, jobs: dict, keys: list[str] = KEY, inside
             for j, s in acc.items():
                 yield pd.DataFrame({"job": j, "i": np.arange(len(s)), "v": s})
 
-    src = blocks
-    if chained:
-        mats = blocks.mapInPandas(transfers, f"{kd}, blk long, job int, mat array<double>")
-        edge = scan_blocks(mats, [*keys, "job"], f"{kd}, job int, blk long, a_in array<double>, b_out array<double>, ll double, head boolean",
-                           _chain_jobs([*keys, "job"]))
-        edge = edge.groupBy(*keys, "blk").agg(F.collect_list(F.struct("job", "a_in", "b_out", "ll", "head")).alias("edges"))
-        src = blocks.join(edge, [*keys, "blk"])
-    part = src.mapInPandas(sums, "job int, i int, v double").groupBy("job", "i").agg(F.sum("v").alias("v"))
+    with scratch(blocks.sparkSession):
+        src = blocks
+        if chained:
+            by = [*keys, "job"]
+            mats = blocks.mapInPandas(transfers, f"{kd}, blk long, job int, mat array<double>")
+            edge = scan_blocks(mats, by, f"{kd}, job int, blk long, a_in array<double>, b_out array<double>, ll double, head boolean",
+                               _chain_jobs(by), _product(by, False), ["a_in", "b_out", "ll", "head"], levels, fan)
+            edge = edge.groupBy(*keys, "blk").agg(F.collect_list(F.struct("job", "a_in", "b_out", "ll", "head")).alias("edges"))
+            src = blocks.join(edge, [*keys, "blk"])
+        part = src.mapInPandas(sums, "job int, i int, v double").groupBy("job", "i").agg(F.sum("v").alias("v"))
+        sums_of = part.collect()  # a few dozen sums per model
     out = {name: np.zeros(m.k * m.k + 4 * m.k + 1) for name, (m, _) in jobs.items()}
-    for r in part.collect():  # a few dozen sums per model
+    for r in sums_of:
         out[names[r["job"]]][r["i"]] = r["v"]
     return {name: (v[:-1], float(v[-1])) for name, v in out.items()}
 
@@ -517,9 +546,9 @@ def em_all(blocks: DataFrame, jobs: dict, tol: float, max_iter: int, keys: list[
     """H2: EM of several models side by side, one job per round; a model rests once its gain falls below ``tol``."""
     models, history = {n: m for n, (m, _) in jobs.items()}, {n: [] for n in jobs}
     live = list(jobs)
-    chained = "fold" in blocks.columns or is_chained(blocks)
+    levels = max(chain_levels(blocks), int("fold" in blocks.columns))
     for _ in range(max_iter):
-        step = expectation_all(blocks, {n: (models[n], jobs[n][1]) for n in live}, keys, chained=chained)
+        step = expectation_all(blocks, {n: (models[n], jobs[n][1]) for n in live}, keys, levels=levels)
         for n in list(live):
             s, ll = step[n]
             models[n] = maximization(s, models[n])
@@ -547,7 +576,7 @@ def hmm_cross_validate(tr: DataFrame, kmin: int = 1, kmax: int = 6, n_splits: in
         first = {k: initial_model(tr, k, facts=facts) for k in range(kmin, kmax + 1)}
         jobs = {(k, f): (m, f) for k, m in first.items() for f in sorted(size_of)}
         models, history = em_all(blocks, jobs, tol, max_iter, keys)
-        held = expectation_all(blocks, {j: (models[j], j[1]) for j in jobs}, keys, inside=True)
+        held = expectation_all(blocks, {j: (models[j], j[1]) for j in jobs}, keys, inside=True, levels=max(chain_levels(blocks), 1))
     finally:
         blocks.unpersist()
     n = sum(size_of.values())
@@ -575,14 +604,17 @@ def sweep_tables(spark: SparkSession, sweep: dict) -> tuple[DataFrame, DataFrame
     )
 
 
-def hmm_decode(tr: DataFrame, m: Model, keys: list[str] = KEY, size: int = BLOCK, chunk_s: float = CHUNK_S) -> DataFrame:
+def hmm_decode(tr: DataFrame, m: Model, keys: list[str] = KEY, size: int = BLOCK, chunk_s: float = CHUNK_S,
+               fan: int = FAN) -> DataFrame:
     """H3: the samples with their most likely ``state``."""
     d = indexed(tr.filter(F.col("signal").isNotNull() & ~F.isnan("signal")).drop("idx", "n_rows"), keys, chunk_s)
     d = cut_lineage(d, "indexed")  # read by both passes and by the final join
     blocks = d.groupBy(*keys, F.floor(F.col("idx") / size).alias("blk")).agg(
         F.sort_array(F.collect_list(F.struct("idx", "signal"))).alias("r")).select(*keys, "blk", F.col("r.signal").alias("xs"))
     kd = _kdef(blocks, keys)
-    edge = scan_blocks(_transfers(blocks, m, keys, True), keys, f"{kd}, blk long, z_prev long, z_end long", _chain_max(m.k, keys))
+    last = d.agg(F.max("idx")).first()[0] or 0
+    edge = scan_blocks(_transfers(blocks, m, keys, True), keys, f"{kd}, blk long, z_prev long, z_end long", _chain_max(m.k, keys),
+                       _product(keys, True), ["z_prev", "z_end"], levels_of(last // size, fan), fan)
 
     def run(it):
         for p in it:
@@ -601,10 +633,11 @@ def hmm_decode(tr: DataFrame, m: Model, keys: list[str] = KEY, size: int = BLOCK
 def hmm_score(tr: DataFrame, models: dict[str, Model], baseline: str, keys: list[str] = KEY) -> DataFrame:
     """H4: log-likelihood of each trace under each model, the best one and its gain over the
     baseline model."""
-    blocks = blocks_of(tr, keys)
+    blocks = cut_lineage(blocks_of(tr, keys), "blocks")  # read once a model
+    levels = max(chain_levels(blocks), 1)
     out = None
     for name, m in models.items():
-        t = log_likelihood(blocks, m, keys).withColumnRenamed("ll", f"ll_{name}")
+        t = log_likelihood(blocks, m, keys, levels).withColumnRenamed("ll", f"ll_{name}")
         out = t if out is None else out.join(t, keys)
     names = list(models)
     best = F.greatest(*[F.col(f"ll_{n}") for n in names]) if len(names) > 1 else F.col(f"ll_{names[0]}")

@@ -323,20 +323,48 @@ def sliding_windows(tr: DataFrame, win: int, step: int, keys: list[str] = KEY) -
     return d.withColumn("window", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
-def scan_blocks(summaries: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
-    """Apply a sequential function to one small row per block, in block order, per key.
+FAN = 1024  # blocks that one step of a chain folds into one row
+
+
+def levels_of(last: int, fan: int = FAN) -> int:
+    """Levels of a chain whose last block has the number ``last``: 1 while a key fits into one group."""
+    n = 1
+    while last >= fan:
+        last, n = last // fan, n + 1
+    return n
 
-    This is the only sequential step of a long trace: it sees samples / block_size rows.
-    """
-    return summaries.groupBy(*keys).applyInPandas(lambda p: fn(p.sort_values("blk", ignore_index=True)), schema)
 
+def scan_blocks(summaries: DataFrame, keys: list[str], schema: str, fn, fold=None, carry: list[str] = (), levels: int = 1,
+                fan: int = FAN) -> DataFrame:
+    """Apply a sequential function to one small row per block, in block order, per key.
 
-def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys: list[str] = KEY, block: int = 2048) -> DataFrame:
+    With one level all rows of a key are one group. Beyond it ``fold`` turns each ``fan`` neighbouring rows into one
+    row of the same columns, level by level, until a key has one group left; ``fn`` runs on that and its results go
+    back down: on a lower group it also sees the columns ``carry`` of the group's own result, as ``in_<name>``. No
+    task sees more than ``fan`` rows of a key, and the groups of a level run in parallel.
+    """
+    up = [cut_lineage(summaries, "chain") if levels > 1 else summaries]
+    for _ in range(levels - 1):
+        g = up[-1].withColumn("_g", F.floor(F.col("blk") / fan))
+        rows = g.groupBy(*keys, "_g").applyInPandas(
+            lambda p: fold(p.sort_values("blk", ignore_index=True)).assign(blk=p["_g"].iloc[0]), summaries.schema)
+        up.append(cut_lineage(rows, "chain"))
+    in_order = lambda p: fn(p.sort_values("blk", ignore_index=True))
+    out = up[-1].groupBy(*keys).applyInPandas(in_order, schema)
+    for lower in reversed(up[:-1]):
+        given = out.select(*keys, F.col("blk").alias("_g"), *[F.col(c).alias(f"in_{c}") for c in carry])
+        g = lower.withColumn("_g", F.floor(F.col("blk") / fan)).join(given, [*keys, "_g"])
+        out = g.groupBy(*keys, "_g").applyInPandas(in_order, schema)
+    return out
+
+
+def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys: list[str] = KEY, block: int = 2048,
+               fan: int = FAN) -> DataFrame:
     """Start at the best model; switch only when best - current >= delta.
 
     ``windows`` has (keys, w, <one column per model>). The rule is a function from the label
     before a block to the label after it, so blocks are folded independently for every possible
-    start, the folds are chained per trace (one row per block), and labels are then written.
+    start, the folds are chained per trace (one row per block, ``fan`` rows at a time), and labels are then written.
     """
     types = {f.name: f.dataType.simpleString() for f in windows.schema.fields}
     kdef = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -362,8 +390,14 @@ def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys:
             q["first"] = [int(s[0].argmax()) for s in sc]
             yield q
 
+    def fold_ends(p: pd.DataFrame) -> pd.DataFrame:
+        to = np.arange(m)
+        for e in p["ends"]:
+            to = np.asarray(e)[to]
+        return p[[*keys, "blk", "ends", "first"]].iloc[:1].assign(ends=[to.tolist()])
+
     def chain(p: pd.DataFrame) -> pd.DataFrame:
-        cur, starts = int(p["first"].iloc[0]), []
+        cur, starts = int(p["in_start" if "in_start" in p else "first"].iloc[0]), []
         for e in p["ends"]:
             starts.append(cur)
             cur = int(e[cur])
@@ -380,8 +414,10 @@ def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys:
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
+    last = windows.agg(F.max("w")).first()[0]
     starts = scan_blocks(
-        blocks.mapInPandas(ends, f"{kdef}, blk long, ends array<long>, first long"), keys, f"{kdef}, blk long, start long", chain)
+        blocks.mapInPandas(ends, f"{kdef}, blk long, ends array<long>, first long"), keys, f"{kdef}, blk long, start long", chain,
+        fold_ends, ["start"], levels_of((last or 0) // block, fan), fan)
     return blocks.join(starts, [*keys, "blk"]).mapInPandas(label, f"{kdef}, w long, label string")
 
 
