@@ -344,8 +344,9 @@ def pair_states(masks: DataFrame, f: Filters) -> DataFrame:
     def nuc(on: bool, pos: int) -> str:
         return f"({_bit('u', pos)} = 1 AND {_bit('m', pos)} = 0)" if on else "false"
 
+    more = [c for c in masks.columns if c not in (*PAIR, "u", "m", "sites")]  # whatever else a pair carries
     s = masks.selectExpr(
-        *PAIR, "u", "m", "u | m AS meas", f"bit_count((u | m) & {CORE_MASK}L) AS n_measured",
+        *PAIR, "u", "m", *more, "u | m AS meas", f"bit_count((u | m) & {CORE_MASK}L) AS n_measured",
         f"bit_count(u & {CORE_MASK}L) AS n_bound",
     )
     s = s.selectExpr(
@@ -749,16 +750,17 @@ def select_group(states: DataFrame, name: str) -> DataFrame:
     return states.filter(f"(meas & ~u & {lo}L) <> 0 AND (u & {hi}L) <> 0").select(*PAIR)
 
 
-def global_classes(states: DataFrame) -> DataFrame:
+def global_classes(states: DataFrame, keep: list[str] = ()) -> DataFrame:
     """One exclusive label per pair; ``nuc`` pairs leave static / dynamic / unbound.
 
-    States must carry nucleosome flags; 'mix' = Static + Dynamic and 'all' = every label.
+    States must carry nucleosome flags; 'mix' = Static + Dynamic and 'all' = every label. ``keep`` names further
+    columns of the pairs that stay.
     """
     label = (
         f"CASE WHEN nuc THEN 'Nucleosomes' ELSE element_at(map('static', 'Static', 'dynamic', 'Dynamic', "
         f"'naked', 'Unbound'), {_CLASS_SQL}) END AS label"
     )
-    return states.selectExpr(*PAIR, label).filter("label IS NOT NULL")
+    return states.selectExpr(*PAIR, *keep, label).filter("label IS NOT NULL")
 
 
 def matrix_export(bp: DataFrame, bins: list[tuple[int, str]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlight.operators.binding import CORE_MASK, PAIR, Windows, pair_masks
+from strandlight.operators.binding import CORE_MASK, PAIR, Windows, offset_bits, pair_masks
 from strandlight.operators.lookups import complete_bins
 from strandlight.ordered import with_index
 from strandlight.session import cut_lineage
@@ -54,6 +54,55 @@ def metaprofile_macro(cm: DataFrame, sets: DataFrame | None, W: int = 1000, w: i
     )
 
 
+def set_masks(motif_sets: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Every motif of the sets once, with ``in_set``: bit i marks the i-th set of the returned names."""
+    names = list(motif_sets)
+    if len(names) > 62:
+        raise ValueError("a membership mask holds 62 sets")
+    cols = ["chrom", "start", "end", "strand", "center"]
+    rows = None
+    for i, name in enumerate(names):
+        m = motif_sets[name].select(*cols, F.lit(1 << i).cast("long").alias("in_set"))
+        rows = m if rows is None else rows.unionByName(m)
+    return rows.groupBy(*cols).agg(F.expr("bit_or(in_set)").alias("in_set")), names
+
+
+def metaprofile_sets(cm: DataFrame, names: list[str], W: int = 1000, w: int = 5) -> DataFrame:
+    """P4 for many motif sets from one pass: ``cm`` carries the mask ``in_set`` of its motif.
+
+    The fraction U of a (motif, bin) is taken once and counted in each set that holds the motif; sets may overlap.
+    """
+    rows = cm.filter(f"rel_pos > {-W} AND rel_pos <= {W}").selectExpr(
+        "motif_id", "in_set", f"CAST(ceil(rel_pos / {w}) * {w} - {w} AS INT) AS rel_bin", "CAST(status = 'U' AS INT) AS u")
+    per = rows.groupBy("motif_id", "rel_bin").agg(F.avg("u").alias("f"), F.expr("bit_or(in_set)").alias("in_set"))
+    held = F.expr(f"filter(sequence(0, {len(names) - 1}), i -> getbit(in_set, i) = 1)")
+    per = per.select("rel_bin", "f", F.explode(held).alias("_i"))
+    out = per.groupBy("_i", "rel_bin").agg(F.avg("f").alias("mean"), F.stddev_samp("f").alias("sd"), F.count("*").alias("n_motifs"))
+    return out.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1).alias("label"), "rel_bin", "mean", "sd", "n_motifs")
+
+
+def pair_cells(cm: DataFrame, windows: Windows, W: int, w: int) -> DataFrame:
+    """One row per (motif, read) from one pass over the calls: the masks ``u`` and ``m`` of ``pair_masks`` and
+    ``cells``, the calls and U calls of each occupied bin within +-W.
+
+    Calls first combine per (pair, bin), so a list holds at most 2 W / w + 1 bins however often a call repeats.
+    """
+    rows = cm.filter("status IN ('M', 'U')").selectExpr(
+        *PAIR, "status = 'U' AS is_u", f"{offset_bits(windows)} AS bits",
+        f"CASE WHEN rel_pos BETWEEN {-W} AND {W} THEN CAST(floor(rel_pos / {w}) * {w} AS INT) END AS rel_bin").filter("bits <> 0 OR rel_bin IS NOT NULL")
+    per = rows.groupBy(*PAIR, "rel_bin").agg(
+        F.count("*").alias("n"), F.count_if("is_u").alias("n_u"),
+        F.expr("bit_or(CASE WHEN is_u THEN bits ELSE 0L END) AS u"), F.expr("bit_or(CASE WHEN is_u THEN 0L ELSE bits END) AS m"))
+    cell = F.when(F.col("rel_bin").isNotNull(), F.struct("rel_bin", "n", "n_u"))  # collect_list skips nulls
+    return per.groupBy(*PAIR).agg(F.expr("bit_or(u) AS u"), F.expr("bit_or(m) AS m"), F.collect_list(cell).alias("cells"))
+
+
+def metaprofile_cells(labelled: DataFrame) -> DataFrame:
+    """P3 on pairs that carry a ``label`` and their ``cells``: pooled fraction U per label and bin."""
+    c = labelled.select("label", F.explode("cells").alias("c")).select("label", "c.*")
+    return c.groupBy("rel_bin", "label").agg((F.sum("n_u") / F.sum("n")).alias("frac_u"))
+
+
 # ---------------------------------------------------------------- rasters
 
 

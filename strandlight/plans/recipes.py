@@ -140,12 +140,14 @@ def r3b(cm: DataFrame, signals: DataFrame, dynamic: bool = True) -> tuple[DataFr
 
 
 def s1b(calls: DataFrame, motif_sets: dict[str, DataFrame], half: int = 1000, w: int = 5) -> DataFrame:
-    """S1B: macro-averaged profiles of several motif sets, smoothed over five bins."""
-    out = None
-    for name, m in motif_sets.items():
-        cm = with_motif(calls, fc.window_at(m, "center", half, 0))
-        p = pf.metaprofile_macro(cm, None, half, w).withColumn("label", F.lit(name))
-        out = p if out is None else out.unionByName(p)
+    """S1B: macro-averaged profiles of several motif sets, smoothed over five bins. The calls are read once for all
+    sets: a motif carries a mask of the sets that hold it."""
+    m, names = pf.set_masks({n: fc.window_at(d, "center", half, 0) for n, d in motif_sets.items()})
+    j = iv.overlap_join(calls, m, a_max_len=2)
+    cm = j.select(
+        fc.motif_id("b_chrom", "b_start", "b_end", "b_strand").alias("motif_id"), F.col("a_status").alias("status"),
+        fc.rel_pos("a_call_pos", "b_center", "b_strand").alias("rel_pos"), F.col("b_in_set").alias("in_set"))
+    out = cut_lineage(pf.metaprofile_sets(cm, names, half, w), "profiles")  # bins x sets; smoothing reads it twice
     i = with_index(chunk_by(out, "rel_bin", 100_000), ["label"], ["rel_bin"])
     return centred_mean(i, ["label"], "idx", "mean", 5, "smooth").drop("idx", "n_rows", "_chunk")
 
@@ -157,10 +159,12 @@ def s1c(cm: DataFrame) -> DataFrame:
 
 
 def s1e(calls: DataFrame, motifs: DataFrame, half: int = 600, w: int = 5) -> DataFrame:
-    """S1E: profiles of the four exclusive read classes around the nearest motif."""
-    cm = with_nearest(calls, motifs, 1500)
-    s = bd.pair_states(bd.pair_masks(cm, NARROW), bd.Filters(exclude_up=True, exclude_down=True))
-    return lk.complete_bins(pf.metaprofile_labeled(cm, bd.global_classes(s), half, w), half, w, ["label"])
+    """S1E: profiles of the four exclusive read classes around the nearest motif. The nearest join runs once: one
+    aggregate holds the masks that give a pair its class and the counts per bin, which are labelled afterwards."""
+    pairs = pf.pair_cells(with_nearest(calls, motifs, 1500), NARROW, half, w)
+    s = bd.pair_states(pairs, bd.Filters(exclude_up=True, exclude_down=True))
+    prof = cut_lineage(pf.metaprofile_cells(bd.global_classes(s, ["cells"])), "profiles")  # bins x classes; its labels are read again
+    return lk.complete_bins(prof, half, w, ["label"])
 
 
 def s1f(cm: DataFrame) -> DataFrame:
