@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from strandlight.functions import calls as fc
 from strandlight.plans.oracle import sql
-from strandlight.plans.queries_genome import _WIDE, wide_from_raw
+from strandlight.plans.queries_genome import _OV, _WIDE, wide_from_raw
 from strandlight.plans.registry import query
 from strandlight.session import scratch_path
 from strandlight.sources import adapters as ad
 from strandlight.sources import genome as g
+from strandlight.sources import layout as ly
 from strandlight.sources import traces as ts
 from strandlight.streaming.ingest import append_to, calls_to_motifs_stream, read_raw_stream
 
@@ -37,6 +38,21 @@ def _raw_parquet(s, d):
     return s.read.parquet(p).select(*fc.WIDE_COLUMNS)
 
 
+def _layout(s, d):
+    return ly.write_calls(ad.calls(s, d), int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _layout_overlap(s, d, stored: bool):
+    lay, m = _layout(s, d), ad.motifs(s, d)
+    return ly.overlap(s, lay, ly.write_motifs(m, lay) if stored else m).selectExpr(
+        "a_chrom AS chrom", "a_call_pos AS call_pos", "a_read_id AS read_id", "b_start AS m_start", "b_center AS center")
+
+
+_LAYOUT = sql(f"""SELECT a.chrom, a.call_pos, a.read_id, b."start" AS m_start, b.center FROM calls a JOIN motifs b ON {_OV}""", "calls", "motifs")
+query("A1_layout_overlap", _LAYOUT)(lambda s, d: _layout_overlap(s, d, False))
+query("A1_layout_overlap_stored", _LAYOUT)(lambda s, d: _layout_overlap(s, d, True))
+query("A20_layout_region", sql("SELECT chrom, call_pos, read_id, status FROM calls WHERE chrom = 'chr7' AND call_pos BETWEEN 2000 AND 5000", "calls"))(
+    lambda s, d: ly.region(s, _layout(s, d), "chr7", 2000, 5000).select("chrom", "call_pos", "read_id", "status"))
 query("A1_calls_to_parquet", sql(_WIDE, "raw"), dbl="llr llr_met llr_unmet")(_raw_parquet)
 
 

@@ -11,6 +11,7 @@ PICK = [
     "A5_read_motifs", "C1_overlap_join", "C4_multi_depth", "C11_nearest_join", "D10_binding_prob", "D15_scatter_stats",
     "D16_read_category_counts", "D17_dynamic_static_by_k", "D20_cond_prob_bound", "P3_metaprofile_labeled",
     "P7_track_stat", "W7_dwell_next", "X2_drift_correct", "X9_occupancy_sd", "S4_bh_adjust", "C22_nearest_index", "W11_top_peaks",
+    "A1_layout_overlap", "A1_layout_overlap_stored", "A20_layout_region", "S1B_macro_profile", "S1E_class_profiles",
     "H4_score_windows", "S3_rank_test_values", "R1B_scatter_stats", "R1B_mappability_by_sites", "P10_region_matrix",
 ]
 
