@@ -287,13 +287,14 @@ def _boundaries(blocks: DataFrame, m: Model, keys: list[str], levels: int = 1, f
         _chain_sum(m.k, keys), _product(keys, False), ["a_in", "b_out", "ll"], levels, fan)
 
 
-def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, levels: int = 1, fan: int = FAN) -> tuple[np.ndarray, float]:
+def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, chained: bool = True, levels: int = 1,
+                fan: int = FAN) -> tuple[np.ndarray, float]:
     """One E-step: additive sums of all blocks and the total log-likelihood.
 
-    ``levels`` comes from ``chain_levels``. At 0 no trace has a second block: nothing needs chaining and the
-    step is one narrow pass and one sum.
+    With ``chained`` False (or no ``levels``, see ``chain_levels``) no trace has a second block: nothing needs
+    chaining and the step is one narrow pass and one sum.
     """
-    chained = levels > 0
+    chained = chained and levels > 0
     names = [f"s{i}" for i in range(m.k * m.k + 4 * m.k)]
     k = m.k
 
@@ -373,7 +374,7 @@ def em(blocks: DataFrame, model: Model, tol: float, max_iter: int, flags: str =
     history: list[float] = []
     levels = chain_levels(blocks)
     for _ in range(max_iter):
-        s, ll = expectation(blocks, model, keys, levels)
+        s, ll = expectation(blocks, model, keys, levels=levels)
         model = maximization(s, model, flags)
         history.append(ll)
         if len(history) > 1:
