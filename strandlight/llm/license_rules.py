@@ -84,7 +84,9 @@ def sentence_ids(text: Column) -> Column:
     t = F.regexp_replace(t, "[.!?](?:[ \t]+|[ \t]*\\r?\\n)", "\1")
     t = F.regexp_replace(t, "\\r?\\n", "\2")
     t = F.regexp_replace(F.translate(t, upper, lower), "[^a-z0-9\1\2]+", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, "[ \2]*\1[ \1\2]*", "\1"), "[ \2]*\2[ \2]*", "\2"))
+    # a run of marks and blanks is one mark; the look-behind lets a search start only where a run does
+    t = F.regexp_replace(t, "(?<![ \1\2])[ \2]*+\1[ \1\2]*+", "\1")
+    t = F.trim(F.regexp_replace(t, "(?<![ \2])[ \2]*\2[ \2]*", "\2"))
     longest = sorted((k for k, _ in known()), key=lambda k: (-len(k), k))
     rx = "(?:^|[\1\2])(" + "|".join(k.replace(" ", "[ \2]") for k in longest) + ")(?=[\1\2]|\\z)"
     table = F.create_map(*[F.lit(x) for pair in known() for x in pair])
