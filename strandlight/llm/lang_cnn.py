@@ -23,10 +23,15 @@ EMBED = 8
 PAD = 256  # index of the zero vector
 PER_LANG = 400  # bound: training documents per language
 PER_DOC = 3  # bound: training windows per document
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no decimal digits
 RESULT = "lang string, score double"
 
 
+def has_letter(text: str) -> bool:
+    """True for a letter of any script; raised, circled and Roman numbers, fractions and the like are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
     """All windows of a text as rows of byte indexes, the last one padded."""
     n = max(1, -(-len(data) // size))
@@ -140,7 +145,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     )
     got = rows.select("i", "y", cut.alias("w")).join(F.broadcast(few.dropDuplicates(["i"])), ["i", "y"], "left_semi").collect()
     sample = sorted({(r["y"], r["i"], tuple(dict.fromkeys(r["w"]))) for r in got})
-    sample = [(y, w) for y, _, ws in sample for w in ws if LETTER.search(w)]
+    sample = [(y, w) for y, _, ws in sample for w in ws if has_letter(w)]
     if not sample:
         return None
     langs = sorted({y for y, _ in sample})
@@ -151,7 +156,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         x.append(windows(data)[0])
         y.append(langs.index(lang))
         n = int(rng.integers(12, 64))  # short pieces too, for short texts and last windows
-        if len(data) > n and LETTER.search(data[:n].decode(errors="ignore")):
+        if len(data) > n and has_letter(data[:n].decode(errors="ignore")):
             x.append(windows(data[:n])[0])
             y.append(langs.index(lang))
     return ByteCnn(langs).fit(np.stack(x), np.array(y))
@@ -160,7 +165,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 def languages(texts: list[str | None], net: ByteCnn | None) -> tuple[list[str], list[float]]:
     """Per text: the language of the highest mean log-probability over its windows, and its mean probability."""
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
-    use = [i for i, t in enumerate(texts) if net is not None and t is not None and LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if net is not None and t is not None and has_letter(t)]
     at = 0
     while at < len(use):
         rows, total = [], 0
