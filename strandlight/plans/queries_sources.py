@@ -200,9 +200,12 @@ def _paired(s, d):
     return m.withColumn("bin", F.when(F.col("strand") == "-", 63 - F.col("bin")).otherwise(F.col("bin")))
 
 
-query("A13_A14_paired_profile", """SELECT CASE WHEN vec_id % 3 = 0 THEN 64 - i ELSE i - 1 END AS bin, sum(vec_id * round(CAST(embedding[i] AS DOUBLE), 4)) AS weighted, count(*) AS n
-    FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1""", dbl="weighted", ints="bin", digits=3)(
-    lambda s, d: _paired(s, d).groupBy("bin").agg(F.sum(F.col("start") / 10 * F.col("value")).alias("weighted"), F.count("*").alias("n")))
+# values have four digits, so their weighted sum is exact in ten-thousandths, in any order
+query("A13_A14_paired_profile", """SELECT CASE WHEN vec_id % 3 = 0 THEN 64 - i ELSE i - 1 END AS bin,
+      CAST(sum(vec_id * CAST(round(CAST(embedding[i] AS DOUBLE) * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS weighted, count(*) AS n
+    FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1""", dbl="weighted", ints="bin", digits=4)(
+    lambda s, d: _paired(s, d).groupBy("bin").agg(
+        (F.expr("sum(CAST(start DIV 10 AS DECIMAL(20)) * CAST(round(value * 10000) AS DECIMAL(10)))").cast("double") / 10000).alias("weighted"), F.count("*").alias("n")))
 
 
 def _mixed_motifs(s, d):

@@ -179,25 +179,31 @@ def to_bed6(df: DataFrame) -> DataFrame:
     return t.withColumn("name", F.concat(F.lit("motif"), (F.col("_i") + 1).cast("string"))).select(*out.columns)
 
 
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of a text input with the file (``_file``) and the split (``_at``, its first byte) they come from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+
+
 def _numbered(lines: DataFrame, row_col: str) -> DataFrame:
-    """Lines of one text input numbered 0.. in file order.
+    """Lines of one text input (``_lines``) numbered 0.. in file order: by path, then by place.
 
-    Partition ids follow file order; one small row per partition carries the offsets.
+    Spark packs splits into partitions by size, so partition ids do not follow file order; the file and
+    the split do. One small row per split carries the offsets.
     """
-    t = lines.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
-    t = cut_lineage(t, "lines")
-    per = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = t.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_m")) - 1)
-    return at.join(per.select("_part", before.alias("_b")), "_part").withColumn(row_col, (F.col("_b") + F.col("_k")).cast("long")).drop("_m", "_part", "_k", "_b")
+    split = ["_file", "_at"]
+    t = cut_lineage(lines.withColumn("_m", F.monotonically_increasing_id()), "lines")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = t.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).select(*split, before.alias("_b"))
+    at = t.withColumn("_k", F.row_number().over(Window.partitionBy(*split).orderBy("_m")) - 1)
+    return at.join(per, split).withColumn(row_col, (F.col("_b") + F.col("_k")).cast("long")).drop("_m", "_k", "_b", *split)
 
 
 def read_matrix_tab(spark: SparkSession, path, row_col: str = "region_id") -> DataFrame:
     """Numeric text rows in long form (row, bin, value): comment and blank lines, and tab-separated
     tokens that are not numbers, skipped; rows are numbered 0.. among the numeric ones, in file order."""
-    t = spark.read.text(path).filter("trim(value) <> '' AND NOT value LIKE '#%'")
+    t = _lines(spark, path).filter("trim(value) <> '' AND NOT value LIKE '#%'")
     vals = F.expr("filter(transform(split(value, '\t'), x -> try_cast(trim(x) AS DOUBLE)), x -> x IS NOT NULL)")
-    t = _numbered(t.select(vals.alias("v")).filter("size(v) > 0"), row_col)
+    t = _numbered(t.select(vals.alias("v"), "_file", "_at").filter("size(v) > 0"), row_col)
     return t.select(row_col, F.posexplode("v").alias("bin", "value")).withColumn(
         "value", F.when(~F.isnan("value"), F.col("value")))
 
@@ -220,9 +226,9 @@ def pad_matrix(mat: DataFrame, row_col: str = "region_id") -> DataFrame:
 def read_regions(spark: SparkSession, path, strand_col: int | None = None, row_col: str = "region_id") -> DataFrame:
     """Region rows without comment, track and browser lines, numbered 0.. in file order; the strand
     from the given 0-based column or the detected one, '+' where there is none."""
-    t = spark.read.text(path).filter(
+    t = _lines(spark, path).filter(
         "trim(value) <> '' AND NOT value LIKE '#%' AND NOT value LIKE 'track%' AND NOT value LIKE 'browser%'"
-    ).select(F.split("value", "\t").alias("f"))
+    ).select(F.split("value", "\t").alias("f"), "_file", "_at")
     if strand_col is None:
         strand_col = detect_strand_col(t)
     s = F.coalesce(F.get("f", F.lit(strand_col)), F.lit("+")) if strand_col is not None else F.lit("+")
