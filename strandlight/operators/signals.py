@@ -170,25 +170,32 @@ def region_matrix(regions: DataFrame, track: DataFrame, before: int, after: int,
     """P10: mean track value per bin of [c-before, c+after), reversed on the minus strand.
 
     A bin's value is the length-weighted mean of the bases that have signal, null when none has. Every bin of
-    every region is present. Only the overlaps of a region travel; its bins come from their running sums, all at
-    once, so narrow bins cost no row per base before the result itself.
+    every region is present. A region meets all its overlaps in the bin of its start, and they are gathered there:
+    only regions and track rows travel, no overlap does. A region's bins come from running sums of its overlaps,
+    all at once, so narrow bins cost no row per base before the result itself.
     """
     c = F.col("center")
     n_bins = math.ceil((before + after) / w)
     win = regions.select("region_id", "strand", "chrom", (c - before).alias("start"), (c + after).alias("end"))
-    j = overlap_join(win.dropDuplicates(["region_id", "chrom", "start"]), track.filter("value IS NOT NULL"), bin_size=bin_size)
-    lo = F.greatest("a_start", "b_start") - F.col("a_start")
-    hi = F.least("a_end", "b_end") - F.col("a_start")
-    got = j.groupBy(F.col("a_region_id").alias("region_id"), F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start")).agg(
-        F.collect_list(F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.col("b_value").cast("double").alias("v"))).alias("o"))
-    full = win.join(got, ["region_id", "chrom", "start"], "left").select("region_id", "strand", "o.lo", "o.hi", "o.v")
+    at = F.floor(F.col("start") / bin_size)
+    a = win.groupBy(*win.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("_bin", at)
+    b = track.filter("value IS NOT NULL").select(
+        F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("value").cast("double").alias("b_value"),
+        F.explode(F.sequence(F.floor((F.col("start") - (before + after)) / bin_size), F.greatest(F.floor((F.col("end") - 1) / bin_size), F.floor(F.col("start") / bin_size)))).alias("b__bin"))
+    hit = (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("b__bin")) & (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start"))
+    lo = F.greatest("start", "b_start") - F.col("start")
+    hi = F.least("end", "b_end") - F.col("start")
+    piece = F.when(F.col("b_start").isNotNull(), F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.col("b_value").alias("v")))
+    # merged, not broadcast: the join leaves a region's overlaps in one place, so the grouping moves nothing
+    full = a.join(b.hint("merge"), hit, "left").groupBy("chrom", "_bin", "region_id", "strand", "start", "copies").agg(F.collect_list(piece).alias("o"))
+    full = full.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("region_id", "strand", "o.lo", "o.hi", "o.v")
     kind = {f.name: f.dataType.simpleString() for f in full.schema.fields}
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x, y, v in zip(b.column("lo"), b.column("hi"), b.column("v")):
-                if not x.is_valid:
+                if not len(x):
                     out.append(np.full(n_bins, np.nan))
                     continue
                 out.append(bin_means(*(t.values.to_numpy() for t in (x, y, v)), n_bins, w))
@@ -205,7 +212,7 @@ def region_matrix(regions: DataFrame, track: DataFrame, before: int, after: int,
 def _touched(lo: pa.ListScalar, hi: pa.ListScalar, n_bins: int, w: int) -> np.ndarray:
     """Bins that hold at least one base of an interval."""
     step = np.zeros(n_bins + 1, np.int64)
-    if lo.is_valid:
+    if len(lo):
         np.add.at(step, lo.values.to_numpy() // w, 1)
         np.add.at(step, (hi.values.to_numpy() - 1) // w + 1, -1)
     return np.cumsum(step)[:n_bins] > 0

@@ -183,6 +183,7 @@ def s21(motifs: DataFrame, tracks: dict[str, DataFrame], ref: str, half: int = 5
     for name, t in tracks.items():
         p = sg.matrix_profile(sg.region_matrix(regions, t, half, half, w), n, w).withColumn("track", F.lit(name))
         prof = p if prof is None else prof.unionByName(p)
+    prof = cut_lineage(prof, "profiles")  # bins x tracks; the scaling reads it again
     return sg.scale_profiles(prof, prof.filter(F.col("track") == ref), "refmax")
 
 

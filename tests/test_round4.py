@@ -5,6 +5,7 @@ import pandas as pd
 from test_queries import canon
 
 import __spark_entry__ as entry
+from strandlight.operators import signals
 from strandlight.sources import genome as g
 
 
@@ -43,3 +44,21 @@ def test_curve_numbers_longer_than_three_digits_match_the_sql(spark, tmp_path):
     got = canon(entry.queries()["B28_curve_keys"](spark, str(tmp_path)).toPandas())
     pd.testing.assert_frame_equal(got, canon(con.execute(entry.oracle_sql()["B28_curve_keys"]).df()), check_dtype=False)
     assert set(got["curve"]) == {"05", "42", "999", "100", "123"}
+
+
+def _moved(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    return [p for p in plan.split("\n") if "Exchange hashpartitioning" in p]
+
+
+def test_a_regions_overlaps_do_not_travel(spark):
+    track = spark.range(300_000).selectExpr("'chr1' AS chrom", "id * 10 AS start", "id * 10 + 10 AS end", "id % 7 / 2 AS value")
+    spots = [("a", "+", "chr1", 1000), ("a", "+", "chr1", 1000), ("a", "-", "chr1", 1000), ("b", "-", "chr1", 40_960), ("c", "+", "chr9", 50), ("d", "+", None, 50)]
+    regions = spark.createDataFrame(spots, "region_id string, strand string, chrom string, center long")
+    m = signals.region_matrix(regions, track, 100, 100, 50)
+    assert len(_moved(m)) == 3  # regions (once for copies), regions and track for the join
+    got = sorted((r["region_id"], r["bin"], r["value"] is None) for r in m.collect())
+    assert got == sorted((s[0], b, s[2] != "chr1") for s in spots for b in range(4))
+    left, right = (sorted(r["value"] for r in m.filter(f"region_id = 'b' AND bin = {b}").collect()) for b in (0, 3))
+    assert left == [sum(i % 7 / 2 for i in range(4101, 4106)) / 5] and right == [sum(i % 7 / 2 for i in range(4086, 4091)) / 5]
