@@ -24,7 +24,7 @@ from strandlight.operators.signals import exact_percentiles
 from strandlight.ordered import halo_blocks, value_chunks, with_running
 from strandlight.session import broadcast_if_small, cut_lineage, scratch
 from strandlight.operators.traces import (
-    CHUNK_S, FAN, KEY, collapse_spikes, hysteresis, indexed, levels_of, min_run, scan_blocks,
+    CHUNK_S, FAN, KEY, collapse_spikes, hysteresis, indexed, levels_of, min_run, scan_blocks, steps_of,
 )
 
 BLOCK = 1024
@@ -280,11 +280,70 @@ def _chain_max(k: int, keys: list[str]):
     return run
 
 
+def _mats(p: pd.DataFrame, k: int) -> np.ndarray:
+    return np.stack(p["mat"].to_numpy()).reshape(-1, k, k)
+
+
+def _chain_sum_many(k: int, keys: list[str]):
+    """``_chain_sum`` of many whole traces at once."""
+
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        mats, steps = _mats(p, k), list(steps_of(starts, len(p)))
+        a = np.tile(np.where(np.arange(k) == 0, 0.0, -np.inf), (len(starts), 1))
+        b, ins, outs = np.zeros((len(starts), k)), np.zeros((len(p), k)), np.zeros((len(p), k))
+        for live, rows in steps:
+            ins[rows] = a[live]
+            a[live] = _lse(a[live][:, :, None] + mats[rows], 1)
+        for live, rows in reversed(steps):
+            outs[rows] = b[live]
+            v = _lse(mats[rows] + b[live][:, None, :], 2)
+            b[live] = v - v.max(axis=1, keepdims=True)
+        ll = np.repeat(_lse(a, 1), np.diff(np.append(starts, len(p))))
+        return p[[*keys, "blk"]].assign(a_in=list(ins), b_out=list(outs), ll=ll)
+
+    return run
+
+
+def _chain_jobs_many(keys: list[str]):
+    """``_chain_jobs`` of many whole traces and jobs at once; jobs of as many states go together."""
+
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        size, bounds = p["mat"].str.len().to_numpy(), np.append(starts, len(p))
+        parts = []
+        for kk in np.unique(size):
+            mine = size[starts] == kk
+            n = np.diff(bounds)[mine]
+            first = np.cumsum(n) - n
+            out = _chain_sum_many(int(round(kk**0.5)), keys)(p[size == kk], first)
+            parts.append(out.assign(head=np.isin(np.arange(len(out)), first)))
+        return pd.concat(parts, ignore_index=True)
+
+    return run
+
+
+def _chain_max_many(k: int, keys: list[str]):
+    """``_chain_max`` of many whole traces at once."""
+
+    def run(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        mats, steps = _mats(p, k), list(steps_of(starts, len(p)))
+        a, froms = np.tile(np.where(np.arange(k) == 0, 0.0, -np.inf), (len(starts), 1)), np.zeros((len(p), k), np.int64)
+        for live, rows in steps:
+            s = a[live][:, :, None] + mats[rows]
+            froms[rows], a[live] = s.argmax(axis=1), s.max(axis=1)
+        z, prev, end = a.argmax(axis=1), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for live, rows in reversed(steps):
+            end[rows] = z[live]
+            z[live] = prev[rows] = froms[rows, z[live]]
+        return p[[*keys, "blk"]].assign(z_prev=prev, z_end=end)
+
+    return run
+
+
 def _boundaries(blocks: DataFrame, m: Model, keys: list[str], levels: int = 1, fan: int = FAN) -> DataFrame:
     kd = _kdef(blocks, keys)
     return scan_blocks(
         _transfers(blocks, m, keys, False), keys, f"{kd}, blk long, a_in array<double>, b_out array<double>, ll double",
-        _chain_sum(m.k, keys), _product(keys, False), ["a_in", "b_out", "ll"], levels, fan)
+        _chain_sum(m.k, keys), _product(keys, False), ["a_in", "b_out", "ll"], levels, fan, _chain_sum_many(m.k, keys))
 
 
 def expectation(blocks: DataFrame, m: Model, keys: list[str] = KEY, chained: bool = True, levels: int = 1,
@@ -532,7 +591,7 @@ def expectation_all(blocks: DataFrame, jobs: dict, keys: list[str] = KEY, inside
             by = [*keys, "job"]
             mats = blocks.mapInPandas(transfers, f"{kd}, blk long, job int, mat array<double>")
             edge = scan_blocks(mats, by, f"{kd}, job int, blk long, a_in array<double>, b_out array<double>, ll double, head boolean",
-                               _chain_jobs(by), _product(by, False), ["a_in", "b_out", "ll", "head"], levels, fan)
+                               _chain_jobs(by), _product(by, False), ["a_in", "b_out", "ll", "head"], levels, fan, _chain_jobs_many(by))
             edge = edge.groupBy(*keys, "blk").agg(F.collect_list(F.struct("job", "a_in", "b_out", "ll", "head")).alias("edges"))
             src = blocks.join(edge, [*keys, "blk"])
         part = src.mapInPandas(sums, "job int, i int, v double").groupBy("job", "i").agg(F.sum("v").alias("v"))
@@ -615,7 +674,7 @@ def hmm_decode(tr: DataFrame, m: Model, keys: list[str] = KEY, size: int = BLOCK
     kd = _kdef(blocks, keys)
     last = d.agg(F.max("idx")).first()[0] or 0
     edge = scan_blocks(_transfers(blocks, m, keys, True), keys, f"{kd}, blk long, z_prev long, z_end long", _chain_max(m.k, keys),
-                       _product(keys, True), ["z_prev", "z_end"], levels_of(last // size, fan), fan)
+                       _product(keys, True), ["z_prev", "z_end"], levels_of(last // size, fan), fan, _chain_max_many(m.k, keys))
 
     def run(it):
         for p in it:

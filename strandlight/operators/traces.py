@@ -22,11 +22,22 @@ ORDER = ["t", "ev"]
 CHUNK_S = 600.0  # seconds per chunk; at 2.5 kHz 1.5 million samples
 
 
+WHOLE_ROWS = 200_000  # samples of the longest trace up to which a trace is one window
+
+
 def indexed(tr: DataFrame, keys: list[str] = KEY, chunk_s: float = CHUNK_S) -> DataFrame:
-    """Sample index ``idx`` and length ``n_rows`` of each trace."""
+    """Sample index ``idx`` and length ``n_rows`` of each trace.
+
+    While the longest trace has at most ``WHOLE_ROWS`` samples, a trace is one window and moves once; beyond that
+    all traces are numbered in time chunks.
+    """
     if "idx" in tr.columns:
         return tr
-    return with_index(chunk_by(tr, "t", chunk_s), keys, ORDER).drop("_chunk")
+    longest = tr.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > WHOLE_ROWS:
+        return with_index(chunk_by(tr, "t", chunk_s), keys, ORDER).drop("_chunk")
+    w = Window.partitionBy(*keys)
+    return tr.withColumn("idx", F.row_number().over(w.orderBy(*ORDER)).cast("long") - 1).withColumn("n_rows", F.count(F.lit(1)).over(w))
 
 
 def _per_trace(tr: DataFrame, aggs: list, keys: list[str] = KEY) -> DataFrame:
@@ -334,14 +345,49 @@ def levels_of(last: int, fan: int = FAN) -> int:
     return n
 
 
+def whole_groups(df: DataFrame, keys: list[str], order: str, schema: str, many) -> DataFrame:
+    """``many(rows, starts)`` over runs of whole groups: rows sorted by key and order, the first row of each group.
+
+    A task goes through its sorted rows batch by batch and holds back the last group of a batch, so short groups
+    cost no call each and no task holds more than a batch and one group. Rows without a key are left out.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for p in it:
+            p = p if rest is None else pd.concat([rest, p], ignore_index=True)
+            if not len(p):
+                continue
+            new = (p[keys] != p[keys].shift()).any(axis=1).to_numpy()
+            new[0] = True
+            starts = np.flatnonzero(new)
+            cut = starts[-1]
+            if cut:
+                yield many(p.iloc[:cut], starts[:-1])
+            rest = p.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield many(rest, np.zeros(1, np.int64))
+
+    return df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
+def steps_of(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(groups, rows) of the first, second, ... row of all groups that have one."""
+    sizes = np.diff(np.append(starts, n))
+    for t in range(sizes.max()):
+        live = np.flatnonzero(sizes > t)
+        yield live, starts[live] + t
+
+
 def scan_blocks(summaries: DataFrame, keys: list[str], schema: str, fn, fold=None, carry: list[str] = (), levels: int = 1,
-                fan: int = FAN) -> DataFrame:
+                fan: int = FAN, many=None) -> DataFrame:
     """Apply a sequential function to one small row per block, in block order, per key.
 
     With one level all rows of a key are one group. Beyond it ``fold`` turns each ``fan`` neighbouring rows into one
     row of the same columns, level by level, until a key has one group left; ``fn`` runs on that and its results go
     back down: on a lower group it also sees the columns ``carry`` of the group's own result, as ``in_<name>``. No
-    task sees more than ``fan`` rows of a key, and the groups of a level run in parallel.
+    task sees more than ``fan`` rows of a key, and the groups of a level run in parallel. ``many`` is ``fn`` for the
+    rows of many keys at once (see ``whole_groups``); the top level, which has a row or more of every key, runs on it.
     """
     up = [cut_lineage(summaries, "chain") if levels > 1 else summaries]
     for _ in range(levels - 1):
@@ -350,7 +396,10 @@ def scan_blocks(summaries: DataFrame, keys: list[str], schema: str, fn, fold=Non
             lambda p: fold(p.sort_values("blk", ignore_index=True)).assign(blk=p["_g"].iloc[0]), summaries.schema)
         up.append(cut_lineage(rows, "chain"))
     in_order = lambda p: fn(p.sort_values("blk", ignore_index=True))
-    out = up[-1].groupBy(*keys).applyInPandas(in_order, schema)
+    if many is not None:
+        out = whole_groups(up[-1], keys, "blk", schema, many)
+    else:
+        out = up[-1].groupBy(*keys).applyInPandas(in_order, schema)
     for lower in reversed(up[:-1]):
         given = out.select(*keys, F.col("blk").alias("_g"), *[F.col(c).alias(f"in_{c}") for c in carry])
         g = lower.withColumn("_g", F.floor(F.col("blk") / fan)).join(given, [*keys, "_g"])
@@ -403,6 +452,14 @@ def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys:
             cur = int(e[cur])
         return p[[*keys, "blk"]].assign(start=starts)
 
+    def chain_many(p: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ends_of, cur = np.stack(p["ends"].to_numpy()), p["first"].to_numpy()[starts].astype(np.int64)
+        enter = np.zeros(len(p), np.int64)
+        for live, rows in steps_of(starts, len(p)):
+            enter[rows] = cur[live]
+            cur[live] = ends_of[rows, cur[live]]
+        return p[[*keys, "blk"]].assign(start=enter)
+
     def label(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
             parts = []
@@ -417,7 +474,7 @@ def hysteresis(windows: DataFrame, models: list[str], delta: float = 8.0, keys:
     last = windows.agg(F.max("w")).first()[0]
     starts = scan_blocks(
         blocks.mapInPandas(ends, f"{kdef}, blk long, ends array<long>, first long"), keys, f"{kdef}, blk long, start long", chain,
-        fold_ends, ["start"], levels_of((last or 0) // block, fan), fan)
+        fold_ends, ["start"], levels_of((last or 0) // block, fan), fan, chain_many)
     return blocks.join(starts, [*keys, "blk"]).mapInPandas(label, f"{kdef}, w long, label string")
 
 
