@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.operators.binding import CORE_MASK, PAIR, Windows, offset_bits, pair_masks
@@ -108,18 +108,24 @@ def metaprofile_cells(labelled: DataFrame) -> DataFrame:
 
 def prepare_reads(cm: DataFrame, W: int, core_span: int = 0, min_calls: int = 0, w: int = 5) -> DataFrame:
     """M/U calls within +-W with their bin, of reads that span +-core_span and carry enough
-    calls. All motifs at once: a read counts per motif."""
+    calls. All motifs at once: a read counts per motif.
+
+    The calls are joined and moved once: a read at a motif is one window, and what follows per pair stays in place.
+    """
     rows = cm.filter(f"status IN ('M', 'U') AND rel_pos BETWEEN {-W} AND {W}").selectExpr(
         *PAIR, "rel_pos", f"CAST(floor(rel_pos / {w}) * {w} AS INT) AS rel_bin", "status"
     )
     if core_span <= 0 and min_calls <= 0:
         return rows
-    keep = rows.groupBy(*PAIR).agg(F.min("rel_pos").alias("lo"), F.max("rel_pos").alias("hi"), F.count("*").alias("n"))
+    pair = Window.partitionBy(*PAIR)
+    ok = []
     if core_span > 0:
-        keep = keep.filter(f"lo <= {-core_span} AND hi >= {core_span}")
+        rows = rows.withColumns({"_lo": F.min("rel_pos").over(pair), "_hi": F.max("rel_pos").over(pair)})
+        ok.append(f"_lo <= {-core_span} AND _hi >= {core_span}")
     if min_calls > 0:
-        keep = keep.filter(f"n >= {min_calls}")
-    return rows.join(keep.select(*PAIR), PAIR, "left_semi")
+        rows = rows.withColumn("_n", F.count("*").over(pair))
+        ok.append(f"_n >= {min_calls}")
+    return rows.filter(" AND ".join(ok)).filter("motif_id IS NOT NULL AND read_id IS NOT NULL").drop("_lo", "_hi", "_n")
 
 
 def prepare_counts(cm: DataFrame, W: int, core_span: int = 0, min_calls: int = 0) -> DataFrame:
@@ -145,12 +151,12 @@ def raster(reads: DataFrame, status: str = "M") -> DataFrame:
     """Per (motif, read, bin) 1 when any call has the chosen status, else 0; absent cells are
     the -1 of a dense matrix. ``row_ord`` follows the first occupied bin, then the read id.
 
-    The calls are read once: the cells are written, and the order comes from them."""
+    The calls are read once: a pair is written as one row with its cells, numbered, and unfolded."""
     cell = reads.groupBy(*PAIR, "rel_bin").agg(F.max((F.col("status") == status).cast("int")).alias("val"))
-    cell = cut_lineage(cell, "cells")
-    first = cell.groupBy(*PAIR).agg(F.min("rel_bin").alias("first_bin"))
-    order = _row_order(first.withColumn("_chunk", F.col("first_bin").cast("long")), ["first_bin", "read_id"], "row_ord")
-    return cell.join(order.select(*PAIR, "row_ord"), PAIR)
+    pairs = cell.groupBy(*PAIR).agg(F.min("rel_bin").alias("first_bin"), F.collect_list(F.struct("rel_bin", "val")).alias("cells"))
+    pairs = cut_lineage(pairs.filter("motif_id IS NOT NULL AND read_id IS NOT NULL"), "cells")
+    order = _row_order(pairs.withColumn("_chunk", F.col("first_bin").cast("long")), ["first_bin", "read_id"], "row_ord")
+    return order.select(*PAIR, "row_ord", F.explode("cells").alias("c")).select(*PAIR, "c.rel_bin", "c.val", "row_ord")
 
 
 def raster_dense(r: DataFrame, W: int, w: int) -> DataFrame:
@@ -230,16 +236,15 @@ def u_profile(reads: DataFrame) -> DataFrame:
 def extend_calls(r: DataFrame, L: int, W: int, w: int) -> DataFrame:
     """Fill empty bins from the nearest observed bin at most L bins away, ties to the left.
 
-    Each observed cell offers itself to the 2L bins around it; the best offer per cell wins. The
-    work follows the observed cells, not the width of the raster.
+    ``r`` is a raster of bins ``w`` wide, one row a cell. An observed cell owns the bins up to the middle of the gap
+    to its neighbours, so a row moves once, unfilled. The work follows the observed cells, not the width of the raster.
     """
-    b, d = F.col("rel_bin"), F.col("_d")
-    offers = r.withColumn("_d", F.explode(F.sequence(F.lit(-L), F.lit(L)))).withColumn("to_bin", b + d * w)
-    offers = offers.filter(F.col("to_bin").between(-W, W))
-    # distance first; at equal distance the offer from the left (positive shift) first
-    rank = F.struct(F.abs(d), F.when(d > 0, 0).otherwise(1))
-    return (
-        offers.groupBy(*PAIR, "row_ord", "to_bin")
-        .agg(F.min_by("val", rank).alias("val"))
-        .withColumnRenamed("to_bin", "rel_bin")
-    )
+    b = F.col("rel_bin")
+    read = Window.partitionBy(*PAIR, "row_ord").orderBy("rel_bin")
+    before, after = F.lag(b).over(read), F.lead(b).over(read)
+    # of the bins between two cells the middle one goes to the left cell
+    lo = F.greatest(F.lit(-L), F.coalesce(-F.floor((b - before - w) / (2 * w)), F.lit(-L)), F.ceil((F.lit(-W) - b) / w))
+    hi = F.least(F.lit(L), F.coalesce(F.floor((after - b) / (2 * w)), F.lit(L)), F.floor((F.lit(W) - b) / w))
+    own = r.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
+    own = own.withColumn("_d", F.explode(F.sequence("_lo", "_hi")))
+    return own.select(*PAIR, "row_ord", (b + F.col("_d") * w).cast("int").alias("rel_bin"), "val")
