@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,28 +106,39 @@ def merge_close(ext: DataFrame, sign: str, keys: list[str], seconds: float = 2.0
     """Right to left, of two candidates closer than ``seconds`` the more extreme stays.
 
     Where neighbours lie ``seconds`` or more apart nothing on one side can meet the other, so a curve is cut there
-    into runs that are merged independently, each over one candidate per block of rows.
+    into runs that are merged independently, each over one candidate per block of rows. A task merges many
+    runs one after another.
     """
     types = {f.name: f.dataType.simpleString() for f in ext.schema.fields}
     cols = [*keys, "block", "idx", "t", "value"]
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx", ignore_index=True)
-        t, y = p["t"].to_numpy(), p["value"].to_numpy()
-        keep, cur = [], len(p) - 1
-        for i in range(len(p) - 2, -1, -1):
-            if abs(t[cur] - t[i]) < seconds:
-                if (y[cur] > y[i]) if sign == "-" else (y[cur] < y[i]):
-                    cur = i
-            else:
-                keep.append(cur)
-                cur = i
-        keep.append(cur)
-        return p.loc[sorted(keep), cols]
+    n = len(keys) + 1
+
+    def merge(batches):
+        """Rows come run by run, each from right to left; only the candidate that still stands is held."""
+        def number(v):
+            return float("nan") if v is None else v
+
+        cur = None
+        for b in batches:
+            keep = []
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if cur is not None and cur[:n] == row[:n] and abs(number(cur[n]) - number(row[n])) < seconds:
+                    y, z = number(cur[n + 1]), number(row[n + 1])
+                    if (y > z) if sign == "-" else (y < z):
+                        cur = row
+                else:
+                    keep += [cur] if cur is not None else []
+                    cur = row
+            yield pa.RecordBatch.from_pylist([dict(zip(b.schema.names, r)) for r in keep], schema=b.schema)
+            last = b.schema
+        if cur is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(last.names, cur))], schema=last)
 
     d = with_neighbors(chunk_by(ext.select(*cols), "t", chunk_s), keys, ["idx"], prev={"_pt": "t"})
     d = with_running(d, keys, ["idx"], {"_run": F.coalesce((F.col("t") - F.col("_pt") >= seconds).cast("long"), F.lit(0).cast("long"))})
-    return d.groupBy(*keys, "_run").applyInPandas(one, ", ".join(f"{c} {types[c]}" for c in cols))
+    d = d.select(*keys, "_run", "t", "value", "block", "idx").repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", F.desc("idx"))
+    return d.mapInArrow(merge, ", ".join(f"{c} {(types | {'_run': 'bigint'})[c]}" for c in d.columns)).select(*cols)
 
 
 def first_valley(ext: DataFrame, curves: DataFrame, value: str, k: int, keys: list[str]) -> DataFrame:
