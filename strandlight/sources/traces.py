@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
+def _first_file(spark: SparkSession, root: str) -> str | None:
+    """Some file with content below ``root``, found without listing the others; None where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    above = fs.makeQualified(path).toUri().getPath().rstrip("/")
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        below = f.getPath().toUri().getPath()[len(above):].strip("/").split("/")
+        if f.getLen() > 0 and not any(p.startswith(("_", ".")) for p in below):
+            return f.getPath().toString()
+    return None
+
+
 def read_traces(spark: SparkSession, root: str, time: str = "time (seconds)", value: str = "force (pN)",
                 extra: list[str] | None = None) -> DataFrame:
     """One CSV per trace below a condition path: condition, trace_id, ev, t, signal.
@@ -19,7 +35,8 @@ def read_traces(spark: SparkSession, root: str, time: str = "time (seconds)", va
     def files() -> DataFrameReader:
         return spark.read.option("header", True).option("recursiveFileLookup", True)
 
-    names = files().csv(root).columns  # of one file; every other file must have the same header
+    first = _first_file(spark, root)  # listing all files for the header of one would double what the driver gets
+    names = files().csv(first or root).columns  # of one file; every other file must have the same header
     schema = ", ".join(f"`{c}` string" for c in names)
     df = files().schema(schema).option("enforceSchema", False).csv(root)
     base = root.rstrip("/").split("://")[-1]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlight.operators import profiles as pf
 from strandlight.operators import unzip as uz
+from strandlight.sources import traces as ts
 
 
 def plan(df):
@@ -90,3 +91,21 @@ def test_f13_runs_share_a_task(spark):
                 cur = r
         want.add((c, cur[2]))
     assert got == want
+
+
+def test_f14_files_are_listed_once(spark, tmp_path):
+    for i in range(40):
+        d = tmp_path / f"c{i}"
+        d.mkdir()
+        (d / "a.csv").write_text(f"time (seconds),force (pN)\n0,{i}\n1,2\n")
+        (d / "_started").write_text("x\n")
+    (tmp_path / "c0" / "0.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("f14", "listing")
+    try:
+        df = ts.read_traces(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("f14")) == 2  # the header of one file, one listing
+    assert df.count() == 80 and df.select("trace_id").distinct().count() == 40
+    assert ts._first_file(spark, str(tmp_path)).endswith("/a.csv") and ts._first_file(spark, str(tmp_path / "no")) is None
