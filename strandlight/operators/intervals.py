@@ -230,13 +230,14 @@ def nearest_index(x: DataFrame, y: DataFrame) -> DataFrame:
     xs = x.filter("value IS NOT NULL").select("key", "value", F.lit(None).cast(ys.schema["_y"].dataType).alias("_y"), F.struct(*x.columns).alias("_x"))
     both = value_chunks(ys.unionByName(xs), "value")
     per = both.groupBy("key", "_chunk").agg(F.max("_y").alias("_l"), F.min("_y").alias("_f"))
-    outer = Window.partitionBy("key").orderBy("_chunk")
+    # what comes after is looked up in falling order: a frame that ends with the window is summed anew for every row
+    seen = lambda c, w, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+    outer = Window.partitionBy("key")
     per = per.select(
-        "key", "_chunk", F.last("_l", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_f", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    inner = Window.partitionBy("key", "_chunk").orderBy("value", F.col("_x").isNotNull())
-    both = both.withColumn("_p", F.last("_y", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_n", F.first("_y", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)))
+        "key", "_chunk", seen("_l", outer.orderBy("_chunk"), -1).alias("_before"), seen("_f", outer.orderBy(F.desc("_chunk")), -1).alias("_after"))
+    inner = Window.partitionBy("key", "_chunk")
+    both = both.withColumn("_p", seen("_y", inner.orderBy("value", F.col("_x").isNotNull()), 0))
+    both = both.withColumn("_n", seen("_y", inner.orderBy(F.desc("value"), F.col("_x").isNotNull()), 0))
     both = both.filter("_x IS NOT NULL").join(per, ["key", "_chunk"])
 
     def off(c: Column) -> Column:
