@@ -122,27 +122,38 @@ def overlap_map(
         *[F.col(LEFT + c).alias(c) for c in a.columns], *aggs)
 
 
-def multi_depth(beds: DataFrame, min_k: int, label: str = "replicate", chunk_bp: int = 1 << 22) -> DataFrame:
+def multi_depth(
+    beds: DataFrame, min_k: int, label: str = "replicate", chunk_bp: int = 1 << 18, rows: int = 1_000_000
+) -> DataFrame:
     """C4: elementary segments covered by at least ``min_k`` labels, with the count ``depth``.
 
-    Endpoints are pre-aggregated to one row per (chrom, pos); running sums cross chunks of
-    the chromosome through a per-chunk summary. The labels are file names: a short list.
+    The intervals are written once. Their endpoints move once, by chunk of the chromosome, to as many partitions as
+    leave about ``rows`` of them in a task whatever the size of the input; there they become one row per (chrom, pos)
+    and are summed in order. What crosses a chunk travels in one summary row. The labels are file names: a short list.
     """
-    labels = sorted(r[0] for r in beds.select(label).distinct().collect())
-    ends = beds.select("chrom", F.col("start").alias("pos"), label, F.lit(1).alias("d")).unionAll(
-        beds.select("chrom", F.col("end").alias("pos"), label, F.lit(-1).alias("d"))
-    )
-    pts = ends.groupBy("chrom", "pos").agg(
+    beds = cut_lineage(beds.select("chrom", "start", "end", label), "intervals")
+    counts = beds.groupBy(label).count().collect()
+    labels = sorted(r[0] for r in counts)
+    n = max(1, -(-2 * sum(r["count"] for r in counts) // rows))
+    end = lambda c, d: F.struct(F.col(c).alias("pos"), F.lit(d).alias("d"))
+    ends = beds.select("chrom", label, F.explode(F.array(end("start", 1), end("end", -1))).alias("e")).select("chrom", label, "e.*")
+    pts = chunk_by(ends, "pos", chunk_bp).repartition(n, "chrom", "_chunk").groupBy("chrom", "_chunk", "pos").agg(
         *[F.sum(F.when(F.col(label) == v, F.col("d")).otherwise(0)).alias(f"d{i}") for i, v in enumerate(labels)]
     )
-    pts = chunk_by(pts, "pos", chunk_bp)
-    run = with_running(pts, ["chrom"], ["pos"], {f"c{i}": F.col(f"d{i}") for i in range(len(labels))})
-    depth = sum((F.col(f"c{i}") > 0).cast("int") for i in range(len(labels))) if labels else F.lit(0)
-    run = run.withColumn("depth", depth)
-    seg = with_neighbors(run, ["chrom"], ["pos"], next={"end": "pos"})
-    return seg.filter((F.col("depth") >= min_k) & F.col("end").isNotNull()).select(
-        "chrom", F.col("pos").alias("start"), "end", "depth"
-    )
+    per = pts.groupBy("chrom", "_chunk").agg(F.min("pos").alias("first"), *[F.sum(f"d{i}").alias(f"s{i}") for i in range(len(labels))])
+    outer = Window.partitionBy("chrom").orderBy("_chunk")
+    before = outer.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        "chrom", "_chunk", F.lead("first").over(outer).alias("beyond"),
+        *[F.coalesce(F.sum(f"s{i}").over(before), F.lit(0)).alias(f"o{i}") for i in range(len(labels))])
+    inner = Window.partitionBy("chrom", "_chunk").orderBy("pos")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    run = pts.select(
+        "chrom", "_chunk", "pos", F.lead("pos").over(inner).alias("next"), *[F.sum(f"d{i}").over(upto).alias(f"c{i}") for i in range(len(labels))])
+    depth = sum((F.col(f"c{i}") + F.col(f"o{i}") > 0).cast("int") for i in range(len(labels))) if labels else F.lit(0)
+    seg = run.join(per, ["chrom", "_chunk"]).select(
+        "chrom", F.col("pos").alias("start"), F.coalesce("next", "beyond").alias("end"), depth.alias("depth"))
+    return seg.filter((F.col("depth") >= min_k) & F.col("end").isNotNull())
 
 
 def drop_close(df: DataFrame, gap: int = 36, chrom: str = "chrom", center: str = "center",

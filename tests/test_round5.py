@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandlight.operators import intervals as iv
 from strandlight.operators import profiles as pf
 from strandlight.operators import unzip as uz
 from strandlight.sources import traces as ts
@@ -109,3 +110,19 @@ def test_f14_files_are_listed_once(spark, tmp_path):
     assert len(sc.statusTracker().getJobIdsForGroup("f14")) == 2  # the header of one file, one listing
     assert df.count() == 80 and df.select("trace_id").distinct().count() == 40
     assert ts._first_file(spark, str(tmp_path)).endswith("/a.csv") and ts._first_file(spark, str(tmp_path / "no")) is None
+
+
+def test_f20_partitions_follow_the_intervals(spark):
+    rnd = random.Random(13)
+    rows = [(rnd.choice(["c1", "c2"]), s, s + rnd.randrange(1, 60), rnd.choice("xyz")) for s in (rnd.randrange(900) for _ in range(250))]
+    out = iv.multi_depth(spark.createDataFrame(rows, "chrom string, start long, end long, replicate string"), 2, chunk_bp=64, rows=100)
+    assert ", 5), repartition_by_num" in plan(out)
+    want = set()
+    for c in ("c1", "c2"):
+        mine = [r for r in rows if r[0] == c]
+        pts = sorted({p for r in mine for p in r[1:3]})
+        for a, b in zip(pts, pts[1:]):
+            k = len({r[3] for r in mine if r[1] <= a and r[2] >= b})
+            if k >= 2:
+                want.add((c, a, b, k))
+    assert {tuple(r) for r in out.collect()} == want
