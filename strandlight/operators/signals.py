@@ -117,7 +117,9 @@ def average_ranks(
 def quantile_rank(df: DataFrame, value: str, q: int, out: str = "quantile") -> DataFrame:
     """ceil(rank * q / max rank) of tie-averaged ranks, within 1..q."""
     r = average_ranks(df, value, out="_rank")
-    top = r.agg(F.max("_rank")).first()[0] or 1.0
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    n, last = cnt.agg(F.sum("_c"), F.max_by("_c", value)).first()
+    top = n - (last - 1) / 2.0 if n else 1.0  # rank of the highest value
     e = F.greatest(F.least(F.ceil(F.col("_rank") * q / top), F.lit(q)), F.lit(1)).cast("int")
     return r.withColumn(out, F.when(F.col("_rank").isNotNull(), e)).drop("_rank", "ties", "n_key")
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlight.functions.tails import chi2_p, norm_p, pearson_p, rank_sum_p, signed_rank_p
-from strandlight.operators.signals import average_ranks
 from strandlight.ordered import value_chunks, with_index, with_running
 from strandlight.session import broadcast_if_small, cut_lineage
 
@@ -45,37 +44,52 @@ def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", missing: str = "exclude
     run = with_running(value_chunks(cnt, "_p").withColumn("_all", F.lit(1)), ["_all"], ["_p"], {"_k": F.col("_c")}, totals=True)
     run = run.withColumn("_q", F.least(F.col("_p") * F.col("_k_total") / F.col("_k"), F.lit(1.0)))
     per = run.groupBy("_chunk").agg(F.min("_q").alias("_m"))
-    after = Window.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)  # one row per chunk, at most 513
+    # from the top down: a frame that ends with the window is summed anew for every row
+    after = Window.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
     per = per.select("_chunk", F.min("_m").over(after).alias("_m"))
-    inner = Window.partitionBy("_chunk").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    inner = Window.partitionBy("_chunk").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     run = run.withColumn("_q", F.min("_q").over(inner)).join(per, "_chunk")
     run = run.select("_p", F.least("_q", F.coalesce("_m", F.lit(1.0))).alias(out))
     return base.join(run, "_p", "left").drop("_p")
 
 
+def _ranked_counts(cnt: DataFrame, keys: list[str], value: str, parts: list[str]) -> DataFrame:
+    """Adds to rows (keys, value) with the counts ``parts`` their sum ``c`` and the tie-averaged ``rank`` of the value
+    in its key. ``cnt`` is read several times and should be a table."""
+    cnt = value_chunks(cnt.withColumn("c", F.expr(" + ".join(parts))), value)
+    return with_running(cnt, keys, [value], {"_run": F.col("c")}).withColumn("rank", F.col("_run") - (F.col("c") - 1) / 2.0)
+
+
+def _tie_term():
+    """Sum over groups of ties of (c^3 - c), from their counts."""
+    c = F.col("c").cast("double")
+    return F.sum(c * (c * c - 1))
+
+
 def pairwise_wilcoxon(bp: DataFrame, bins: list[int]) -> DataFrame:
     """Paired signed-rank statistic for every bin pair over shared motifs.
 
-    A motif contributes one row per pair of reported bins (a fixed short list).
+    A motif contributes one row per pair of reported bins (a fixed short list). Equal pairs of values are counted in the
+    one pass over the motifs; everything else comes from the counts.
     """
-    v = bp.filter(F.col("zf").isin(bins) & F.col("binding_prob").isNotNull()).select("motif_id", "zf", "binding_prob")
-    pos = F.create_map(*[x for i, z in enumerate(bins) for x in (F.lit(z), F.lit(i))])
-    a = v.select("motif_id", F.col("zf").alias("bin1"), F.col("binding_prob").alias("x"))
-    b = v.select("motif_id", F.col("zf").alias("bin2"), F.col("binding_prob").alias("y"))
-    d = a.join(b, "motif_id").filter(F.element_at(pos, F.col("bin1")) < F.element_at(pos, F.col("bin2")))
-    d = d.withColumn("d", F.col("x") - F.col("y"))
+    v = bp.filter(F.col("zf").isin(bins) & F.col("binding_prob").isNotNull())
+    wide = v.groupBy("motif_id").agg(*[F.max(F.when(F.col("zf") == z, F.col("binding_prob"))).alias(f"v{i}") for i, z in enumerate(bins)])
+    both = [F.struct(F.lit(a).alias("bin1"), F.lit(b).alias("bin2"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
+            for i, a in enumerate(bins) for j, b in enumerate(bins) if i < j]
+    d = wide.filter("motif_id IS NOT NULL").select(F.explode(F.array(*both)).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
     keys = ["bin1", "bin2"]
+    d = cut_lineage(d.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), "pairs").withColumn("d", F.col("x") - F.col("y"))
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     means = d.groupBy(*keys).agg(
-        F.count("*").alias("n_paired"), F.avg("x").alias("mean1"), F.avg("y").alias("mean2"),
-        F.count_if(F.col("d") == 0).alias("n_zero"), F.max(F.abs("d")).alias("top"),
+        F.sum("n").alias("n_paired"), mean("x").alias("mean1"), mean("y").alias("mean2"),
+        count(F.col("d") == 0).alias("n_zero"), F.max(F.abs("d")).alias("top"),
     )
-    r = average_ranks(d.filter("d <> 0").withColumn("ad", F.abs("d")), "ad", keys)
-    t = F.col("ties").cast("double")
-    w = r.groupBy(*keys).agg(
-        F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"),
-        F.count("*").alias("n_used"),
-        F.sum(t * t - 1).alias("tie_term"),  # sum over rows of (c^2 - 1) = sum over ties of (c^3 - c)
+    ad = d.filter("d <> 0").groupBy(*keys, F.abs("d").alias("ad")).agg(
+        count(F.col("d") > 0).alias("n_plus"), count(F.col("d") < 0).alias("n_minus"))
+    w = _ranked_counts(ad, keys, "ad", ["n_plus", "n_minus"]).groupBy(*keys).agg(
+        F.sum(F.col("n_plus") * F.col("rank")).alias("w_plus"), F.sum(F.col("n_minus") * F.col("rank")).alias("w_minus"),
+        F.sum("c").alias("n_used"), _tie_term().alias("tie_term"),
     )
     out = means.join(w, keys, "left")
     flat = F.col("top") <= 1e-8
@@ -101,32 +115,40 @@ def pairwise_tests(bp: DataFrame, bins: list[int], method: str = "wilcoxon", alp
         p = signed_rank_p(F.col("stat"), F.col("n_used"), F.col("tie_term"), F.col("n_zero"), F.lit(p_method))
         t = t.withColumn("p_value", F.when(F.col("flat"), 1.0).otherwise(p)).drop("flat")
     else:
-        v = bp.filter(F.col("zf").isin(bins) & F.col("binding_prob").isNotNull()).select("zf", "binding_prob")
+        v = bp.filter(F.col("zf").isin(bins) & F.col("binding_prob").isNotNull())
+        v = cut_lineage(v.groupBy("zf", "binding_prob").agg(F.count("*").alias("n")), "values")
         order = {z: i for i, z in enumerate(bins)}
         pairs = [(a, b) for a in bins for b in bins if order[a] < order[b]]
         hits = F.array_compact(F.array(*[
             F.when(F.col("zf").isin(a, b), F.struct(F.lit(a).alias("bin1"), F.lit(b).alias("bin2"))) for a, b in pairs]))
-        rows = v.select("zf", "binding_prob", F.explode(hits).alias("k")).select("k.*", "zf", "binding_prob")
-        rows = rows.withColumn("side", F.when(F.col("zf") == F.col("bin1"), 1).otherwise(2))
-        t = rank_sums(rows, ["bin1", "bin2"], "side", "binding_prob").withColumn("stat", F.col("u1"))
+        rows = v.select("zf", "binding_prob", "n", F.explode(hits).alias("k")).select("k.*", "zf", "binding_prob", "n")
+        rows = rows.groupBy("bin1", "bin2", "binding_prob").agg(*[
+            F.sum(F.when(F.col("zf") == F.col(b), F.col("n")).otherwise(0)).alias(c) for b, c in (("bin1", "c1"), ("bin2", "c2"))])
+        t = _rank_sums(rows, ["bin1", "bin2"], "binding_prob").withColumn("stat", F.col("u1"))
         t = t.withColumn("p_value", rank_sum_p(F.col("u1"), F.col("n1"), F.col("n2"), F.col("tie_term"), F.lit(p_method)))
-    t = t.withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value")))
+    t = cut_lineage(t.withColumn("p_value", F.when(~F.isnan("p_value"), F.col("p_value"))), "tests")  # read several times below
     return bh_adjust(t, "p_value", missing="one").withColumn("significant", (F.col("p_adj") < alpha).cast("int"))
 
 
 def rank_sums(
     df: DataFrame, keys: list[str], side: str, value: str
 ) -> DataFrame:
-    """Tie-averaged rank sums and U of sides 1 and 2 per key, with the tie term."""
-    r = average_ranks(df.filter(F.col(value).isNotNull()), value, keys)
+    """Tie-averaged rank sums and U of sides 1 and 2 per key, with the tie term.
+
+    The rows are read once, for the counts of each value. Rows without a side belong to no sample; a null key has no row.
+    """
     one = F.col(side) == 1
-    t = F.col("ties").cast("double")
-    g = r.groupBy(*keys).agg(
-        F.count_if(one).alias("n1"), F.count_if(~one).alias("n2"),
-        F.sum(F.when(one, F.col("rank")).otherwise(0.0)).alias("r1"),
-        F.sum(F.when(one, 0.0).otherwise(F.col("rank"))).alias("r2"),
-        F.sum(t * t - 1).alias("tie_term"),
-        F.avg(F.when(one, F.col(value))).alias("mean1"), F.avg(F.when(~one, F.col(value))).alias("mean2"),
+    cnt = df.filter(F.col(value).isNotNull() & F.col(side).isNotNull()).groupBy(*keys, value).agg(
+        F.count_if(one).alias("c1"), F.count_if(~one).alias("c2"))
+    return _rank_sums(cut_lineage(cnt, "values"), keys, value)
+
+
+def _rank_sums(cnt: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rank_sums`` from the counts ``c1`` and ``c2`` of each value on the two sides."""
+    g = _ranked_counts(cnt, keys, value, ["c1", "c2"]).groupBy(*keys).agg(
+        F.sum("c1").alias("n1"), F.sum("c2").alias("n2"),
+        *[F.sum(F.col(f"c{i}") * F.col("rank")).alias(f"r{i}") for i in (1, 2)], _tie_term().alias("tie_term"),
+        *[F.try_divide(F.sum(F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.col(value))), F.sum(f"c{i}").cast("double")).alias(f"mean{i}") for i in (1, 2)],
     )
     n1 = F.col("n1")
     g = g.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2.0).withColumn("u2", n1 * F.col("n2") - F.col("u1"))
@@ -144,14 +166,26 @@ def mann_whitney(
     df: DataFrame, keys: list[str], side: str, value: str
 ) -> DataFrame:
     """With the tie-corrected normal p, no continuity correction."""
-    g = rank_sums(df, keys, side, value).withColumn("sd_u", _sd_u())
+    return _normal_p(rank_sums(df, keys, side, value))
+
+
+def _normal_p(g: DataFrame) -> DataFrame:
+    g = g.withColumn("sd_u", _sd_u())
     z = F.when(F.col("sd_u") > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2.0) / F.col("sd_u")).otherwise(0.0)
     return g.withColumn("z", z).withColumn("p_value", norm_p(F.col("z")))
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: DataFrame) -> DataFrame:
     """The values at 1-based positions ``picks`` (keys, name, k) of each key's sorted values."""
+    return _order_statistics(_value_counts(df, keys, value), keys, value, picks)
+
+
+def _value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     cnt = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    return cut_lineage(cnt, "values")
+
+
+def _order_statistics(cnt: DataFrame, keys: list[str], value: str, picks: DataFrame) -> DataFrame:
     run = with_running(value_chunks(cnt, value), keys, [value], {"_hi": F.col("_c")})
     j = run.join(F.broadcast(picks), keys).filter("k <= _hi AND k > _hi - _c")  # a few positions per key
     return j.select(*keys, "name", F.col(value).alias("v"))
@@ -159,7 +193,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: DataFram
 
 def median_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """S3: median and the order-statistic 95% interval per key."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    return _median_ci(_value_counts(df, keys, value), keys, value)
+
+
+def _median_ci(cnt: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``median_ci`` from the counts ``_c`` of each value."""
+    n = cnt.groupBy(*keys).agg(F.sum("_c").alias("n"))
     rad = 0.5 * Z95 * F.sqrt("n")
     pos = {
         "m1": F.floor((F.col("n") + 1) / 2), "m2": F.floor(F.col("n") / 2) + 1,
@@ -168,7 +207,7 @@ def median_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     }
     picks = n.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(k).alias("name"), e.cast("long").alias("k")) for k, e in pos.items()])).alias("x")).select(*keys, "x.*")
-    s = order_statistics(df, keys, value, picks)
+    s = _order_statistics(cnt, keys, value, picks)
     pick = lambda k: F.max(F.when(F.col("name") == k, F.col("v")))
     out = s.groupBy(*keys).agg(((pick("m1") + pick("m2")) / 2).alias("median"), pick("lo").alias("ci_low"), pick("hi").alias("ci_high"))
     return out.join(n, keys)
@@ -232,8 +271,16 @@ def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 64
     still holds at the end (few, or one value many times) is then listed as distinct value pairs. Keys with few
     differences are listed at once. Keys without one of the sides have no row; a null key has none either.
     """
+    return _hodges_lehmann(_side_counts(df, key, side, value), key, fan, enough)
+
+
+def _side_counts(df: DataFrame, key: str, side: str, value: str) -> DataFrame:
     cnt = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(side).alias("s"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cnt = cut_lineage(cnt, "values")
+    return cut_lineage(cnt, "values")
+
+
+def _hodges_lehmann(cnt: DataFrame, key: str, fan: int = 64, enough: int = 50_000) -> DataFrame:
+    """``hodges_lehmann`` from the counts ``c`` of each (key, side s, value v)."""
     x, y = cnt.filter("s = 1").drop("s"), cnt.filter("s = 2").drop("s")
     facts = cut_lineage(_shift_facts(cnt), "shifts")
     pad = 1e-9 * F.col("span")
@@ -260,14 +307,20 @@ def hodges_lehmann(df: DataFrame, key: str, side: str, value: str, fan: int = 64
 
 
 def rank_test_table(df: DataFrame, key: str, side: str, value: str) -> DataFrame:
-    """S3: one row per key: medians with intervals, Low - High difference, shift, U, p, marks."""
+    """S3: one row per key: medians with intervals, Low - High difference, shift, U, p, marks.
+
+    The rows are read once, for the counts of each value; all parts come from these.
+    """
     from strandlight.functions.calls import stars
 
-    a = median_ci(df.filter(F.col(side) == 1), [key], value)
-    b = median_ci(df.filter(F.col(side) == 2), [key], value)
+    cnt = _side_counts(df, key, side, value)
+    of = lambda i: cnt.filter(F.col("s") == i).select(F.col("key").alias(key), "v", F.col("c").alias("_c"))
+    a, b = _median_ci(of(1), [key], "v"), _median_ci(of(2), [key], "v")
     ren = lambda t, s: t.select(key, *[F.col(c).alias(f"{c}_{s}") for c in ("median", "ci_low", "ci_high")])
-    m = mann_whitney(df, [key], side, value).select(key, "n1", "n2", "r1", "r2", "u", "p_value")
-    t = m.join(ren(a, "high"), key).join(ren(b, "low"), key).join(hodges_lehmann(df, key, side, value), key)
+    both = cnt.filter("s IS NOT NULL").groupBy(F.col("key").alias(key), "v").agg(*[
+        F.sum(F.when(on, F.col("c")).otherwise(0)).alias(n) for n, on in (("c1", F.col("s") == 1), ("c2", F.col("s") != 1))])
+    m = _normal_p(_rank_sums(both, [key], "v")).select(key, "n1", "n2", "r1", "r2", "u", "p_value")
+    t = m.join(ren(a, "high"), key).join(ren(b, "low"), key).join(_hodges_lehmann(cnt, key), key)
     return t.withColumn("difference", F.col("median_low") - F.col("median_high")).withColumn("stars", stars("p_value"))
 
 
