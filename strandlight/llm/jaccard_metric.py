@@ -13,6 +13,8 @@ separate unrelated texts (nearly all of their distances are 1, within any window
 2. Document pivots inside a region. A set's shingle counts in 128 hash classes are a contraction: their
    L1 distance never exceeds the size of the symmetric difference. Farthest-first pivots, Voronoi cells
    and windows of twice the largest linkable difference recurse until a cell is small or stops shrinking.
+   A second contraction, the parities of the counts in 2,048 further classes, drops pairs that the counts leave
+   open: differences cancel in a count, but a class of odd difference always shows.
 
 Regions with equal members are one region. Every document then tries its nearest candidates first,
 exactly, on the whole sets; links merge groups, and pairs inside a group need no further look. Rounds try
@@ -42,6 +44,7 @@ from strandlight.session import broadcast_if_small, cut_lineage, scratch
 WIDTH = 3
 THRESHOLD = (9, 10)
 CLASSES = 128  # counts above 255 are held at 255, which keeps the map a contraction
+PARITY = 2048  # bits: a differing shingle flips one, so sets never differ in fewer shingles than in bits
 LEAF = 256  # cells of at most this size are compared at once
 PIVOTS = 8
 RUN = 200_000  # rows a task holds while it forms regions; only a shingle of more documents is named otherwise
@@ -113,6 +116,13 @@ def least_overlap(total, num: int, den: int):
     return -(-num * total // (num + den))
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """Shingle counts of the classes, then the parities of the counts of other, finer classes."""
+    counts = np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    odd = np.bincount(((h >> np.uint64(32)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _features(width: int, num: int, den: int, common: np.ndarray, commonness: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +135,7 @@ def _features(width: int, num: int, den: int, common: np.ndarray, commonness: np
                 out["doc"].append(doc)
                 out["n"].append(n)
                 out["fp"].append(xxhash.xxh3_128_digest(h.tobytes()))
-                out["sketch"].append(np.minimum(np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                out["sketch"].append(_sketch(h))
                 out["prefix"].append(np.ascontiguousarray(top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes())
             types = {"doc": pa.int64(), "n": pa.int64(), "fp": pa.binary(), "sketch": pa.binary(), "prefix": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
@@ -283,8 +293,9 @@ def voronoi(sk: np.ndarray, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of one region whose rank for one of the two documents is in [lo, hi)."""
+def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den: int, bits=None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of one region whose rank for one of the two documents is in [lo, hi). ``bits`` are the parities,
+    as 64-bit words; a pair passes or fails by them in every round alike, so ranks stay."""
     sk = sk.astype(np.int16)
     reach = widest(int(n.max()), num, den)
     xs, ys, more = [], [], False
@@ -295,11 +306,15 @@ def region_pairs(doc, n, sk, group, home, block, lo: int, hi: int, num: int, den
             rows = own[i : i + step]
             gap = np.abs(sk[rows][:, None] - sk[cols][None]).sum(2, dtype=np.int32)
             total = n[rows][:, None] + n[cols][None]
-            ok = (gap <= total - 2 * least_overlap(total, num, den)) & (home[rows][:, None] | home[cols][None])
+            room = total - 2 * least_overlap(total, num, den)
+            ok = (gap <= room) & (home[rows][:, None] | home[cols][None])
             ok &= den * np.minimum(n[rows][:, None], n[cols][None]) >= num * np.maximum(n[rows][:, None], n[cols][None])
             ok &= doc[rows][:, None] != doc[cols][None]
             if block is not None:
                 ok &= block[rows][:, None] != block[cols][None]
+            if bits is not None:
+                r, c = np.nonzero(ok)
+                ok[r, c] = np.bitwise_count(bits[rows[r]] ^ bits[cols[c]]).sum(1, dtype=np.int32) <= room[r, c]
             if not ok.any():
                 continue
             order = np.argsort(np.where(ok, gap, 1 << 30), axis=1, kind="stable")
@@ -321,7 +336,8 @@ def _join_regions(lo: int, hi: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = False
         for col, _ in _runs(batches, [*key, "block", "doc", "home", "n", "grp", "sketch"], key, 2 * HOT, False):
-            sk = np.frombuffer(b"".join(col.pop("sketch")), np.uint8).reshape(-1, CLASSES)
+            sk = np.frombuffer(b"".join(col.pop("sketch")), np.uint8).reshape(-1, CLASSES + PARITY // 8)
+            sk, bits = sk[:, :CLASSES], np.ascontiguousarray(sk[:, CLASSES:]).view(np.uint64)
             ks = np.stack([col[k] for k in key], 1)
             cut = np.flatnonzero(np.r_[True, (ks[1:] != ks[:-1]).any(1), True])
             xs, ys = [], []
@@ -329,7 +345,7 @@ def _join_regions(lo: int, hi: int, num: int, den: int):
                 if b - a < 2 or (col["grp"][a:b] == col["grp"][a]).all():
                     continue
                 block = col["block"][a:b] if ks[a, 2] != ks[a, 3] else None
-                x, y, more = region_pairs(col["doc"][a:b], col["n"][a:b], sk[a:b], col["grp"][a:b], col["home"][a:b], block, lo, hi, num, den)
+                x, y, more = region_pairs(col["doc"][a:b], col["n"][a:b], sk[a:b], col["grp"][a:b], col["home"][a:b], block, lo, hi, num, den, bits[a:b])
                 left = left or more
                 xs.append(np.minimum(x, y))
                 ys.append(np.maximum(x, y))
