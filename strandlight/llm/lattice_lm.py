@@ -218,11 +218,27 @@ def _score_words(ps: Pieces, n: int, enter: float):
     return run
 
 
-def _frequent_part(known: dict[bytes, tuple[float, float, int]]):
+def most_frequent(scored: DataFrame, most: int) -> pa.Table:
+    """w, b, p of the words with the highest training counts, at most ``most`` in all.
+
+    Words are counted by step of their count (eight to a doubling) and by 64 shares of each step, and whole shares are
+    taken from the top. So the driver gets that small table and the chosen rows, however many partitions there are.
+    """
+    scored = scored.filter("c > 0").withColumn("key", F.floor(F.log2("c") * 8) * 64 + F.pmod(F.xxhash64("w"), F.lit(64)))
+    cut, left = 1 << 62, most
+    for r in sorted(scored.groupBy("key").agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r["n"] > left:
+            break
+        cut, left = r["key"], left - r["n"]
+    return scored.filter(F.col("key") >= cut).select("w", "b", "p").toArrow().combine_chunks()
+
+
+def _frequent_part(frequent: pa.Table):
     """(row, text) -> sums over its frequent words, and its other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.get
+        w, b, p = (x.to_pylist() for x in frequent.columns)
+        get = dict(zip(w, zip(b, p))).get
         for b in batches:
             n, base, score, hit, ws, cs = [], [], [], [], [], []
             for t in b.column("t"):
@@ -237,7 +253,7 @@ def _frequent_part(known: dict[bytes, tuple[float, float, int]]):
                     else:
                         s0 += c * x[0]
                         s1 += c * x[1]
-                        k += c * x[2]
+                        k += c
                 n.append(tf.total())
                 base.append(s0)
                 score.append(s1)
@@ -282,10 +298,8 @@ def score(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id",
         return F.log10((c + ALPHA) / F.lit(n + ALPHA * (v + 1)))
 
     scored = scored.select("w", F.when(F.col("c") > 0, 1).otherwise(0).alias("k"), base(F.col("c")).alias("b"), "p", "c")
-    top = scored.filter("c > 0").orderBy(F.desc("c"), "w").limit(frequent).collect()
-    known = {bytes(r["w"]): (r["b"], r["p"], r["k"]) for r in top}
     parts = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held", "t").mapInArrow(
-        _frequent_part(known),
+        _frequent_part(most_frequent(scored, frequent)),
         "row long, doc_id long, held boolean, n long, base double, score double, known long, ws array<binary>, cs array<int>")
     parts = cut_lineage(parts, "lm-parts")
     rare = parts.filter(F.size("ws") > 0).select("row", F.explode(F.arrays_zip("ws", "cs")).alias("x"))

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -574,6 +575,33 @@ def test_lattice_scores(spark, docs, none):
     assert lattice_lm.score(none, crc_mod("doc_id", 10) == 0, path, rounds=1).count() == 0
 
 
+def test_lattice_frequent_words_are_bounded(spark):
+    """The driver gets at most the bounded number of words, not that many of every partition."""
+    import public_tokenizers
+
+    def sent() -> int:
+        sc, jvm = spark.sparkContext, spark._jvm
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return max(stages.apply(i).resultSize() for i in range(stages.size()) if stages.apply(i).stageId() > last)
+
+    last = max(spark.sparkContext.parallelize([0]).mapPartitions(lambda _: [TaskContext.get().stageId()]).collect())
+    texts = spark.createDataFrame([(i, " ".join(f"word-{i}-{k}-{'x' * 80}" for k in range(500))) for i in range(100)], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # eight tasks hold words
+    try:
+        n = lattice_lm.score(texts, F.lit(False), public_tokenizers.path("piece_bpe_32k.model"), rounds=0, frequent=5000).agg(F.sum("n_known")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert n == 100 * 501
+    assert sent() < 1_000_000  # 5,000 words of about 100 bytes with two scores; eight times that before
+    scored = spark.range(1, 3001).select(F.encode(F.col("id").cast("string"), "utf-8").alias("w"), F.lit(0.0).alias("b"), F.lit(0.0).alias("p"), (3000 / F.col("id")).cast("long").alias("c"))
+    for most in (0, 50, 1000, 3000):
+        got = {int(w) for w in lattice_lm.most_frequent(scored, most)["w"].to_pylist()}
+        assert 0.9 * most <= len(got) <= most and all(3000 // max(got) > 0.9 * (3000 // i) for i in range(1, max(got, default=0)) if i not in got)
+    same = scored.withColumn("c", F.lit(7).cast("long"))  # equal counts are split, not dropped as a whole
+    assert 1800 <= lattice_lm.most_frequent(same, 2000).num_rows <= 2000
+
+
 # 9
 
 
